@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,23 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+KEY = "_kept_key"
+
+
+def row_key(doc_id: Column, content: Column) -> Column:
+    """A non-null key of a document: its doc_id and a hash of its content."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit("/"), content.cast("string")).alias(KEY)
+
+
+def one_row_each(docs: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
+    """One row of docs for each of the keys (a table of row_key(), distinct), with docs' own columns.
+
+    Rows that repeat a key are joined before the shuffle, so that none is hot.
+    """
+    once = docs.select("*", key).dropDuplicates([KEY])
+    return once.join(keys, KEY, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def slices(batches: Iterable[pa.RecordBatch], most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that one slice holds few bytes whatever the length of its texts."""
     for batch in batches:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import string
 import tempfile
 from array import array
 from collections.abc import Iterable, Iterator
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, slices, written
+from .common import id_text, one_row_each, row_key, slices, written
 
 #: Bytes of content and members that a task's table may hold before it spills.
 BUCKET_BYTES = 64 << 20
@@ -195,6 +196,11 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without exact copies: all columns of the rows that stay; needs a unique doc_id."""
-    kept = exact_groups(docs, id_col=id_col, text_col=text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """docs without exact copies: one row of each group of equal texts, with all of docs' columns.
+
+    The row with the largest doc_id stays. Rows that repeat both doc_id and text are one
+    document, of which any row may stay.
+    """
+    kept = exact_groups(docs, id_col=id_col, text_col=text_col).filter("kept")
+    folded = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return one_row_each(docs, kept.select(row_key(F.col("doc_id"), F.col("text_sha256"))), row_key(F.col(id_col).cast("long"), F.sha2(folded, 256)))

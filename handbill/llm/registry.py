@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, simhash
+from . import byte_bpe, exact_dedup, language_id, mixing, mpeg_audio, packing, pii, secrets_scan, simhash, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,8 +28,43 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(documents(spark, sf_dir))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir))
+    return mixed.select("doc_id", *(F.col(f"_mix_{c}").alias(c) for c in ("source", "lang", "topic", "tokens", "rate", "copies")))
+
+
+def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = mpeg_audio.read(mpeg_audio.store(documents(spark, sf_dir)))
+    return read.withColumn("seek_points", F.size("seek_offsets")).drop("seek_offsets")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.digest(secrets_scan.scan(documents(spark, sf_dir)))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(documents(spark, sf_dir)))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of 2048 ids, each document ended by the vocabulary's free id."""
+    docs, path = documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    packed = packing.pack(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), end_id=50256, pad_id=50256, about_tokens=n_bytes // 3)
+    return packed.select("shard", "row", "doc_ids", "parts", "cu_seqlens", "n_tokens", "pad", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("position_ids", 256).alias("positions_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_byte_bpe, op6_simhash)}
+    found = (op1_mixing, op2_exact_dedup, op3_mpeg_audio, op4_byte_bpe, op5_secrets, op6_simhash, op7_token_counts, op8_language_id, op9_personal_data, op10_packing)
+    return {f.__name__: f for f in found}
 
 
 OP2_SQL = r"""
@@ -39,4 +75,4 @@ FROM texts WINDOW same AS (PARTITION BY content)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op1_mixing": mixing.mix_sql(mixing.Plan()), "op2_exact_dedup": OP2_SQL}

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_text, slices, written
+from .common import checkpointed, id_text, one_row_each, row_key, slices, written
 
 BITS, SEED = 64, 42
 
@@ -46,18 +46,23 @@ def text_fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-_PRINT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_PRINT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("text_hash", pa.int64())])
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, for every row; a null text counts as empty."""
+    """doc_id, fp (the fingerprint as a signed long) and text_hash (xxhash64 of the text) for every row.
+
+    A null text counts as empty.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found = np.array([text_fingerprint(t, words_per_shingle) for t in part.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64), pa.int64())], schema=_PRINT)
+            texts = part.column(1).to_pylist()
+            found = np.array([text_fingerprint(t, words_per_shingle) for t in texts], np.uint64)
+            hashes = np.array([xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"), SEED) for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64)), pa.array(hashes.view(np.int64))], schema=_PRINT)
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def ring(segments: int) -> list[int]:
@@ -144,23 +149,36 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(hashed, 8)), F.bit_xor(hashed)).first())
 
 
+def rooted(prints: DataFrame, *, most_bits: int = 2, segments: int = 5, pair_limit: int = 64) -> DataFrame:
+    """fp and root for every distinct fp of prints: the smallest fingerprint of its component."""
+    distinct = checkpointed(prints.select("fp").distinct())
+    roots = components(links(distinct, most_bits=most_bits, segments=segments, pair_limit=pair_limit))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, most_bits: int = 2, segments: int = 5, pair_limit: int = 64) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of docs.
 
     Documents link when their fingerprints differ in at most most_bits; component_id is the
     smallest doc_id reachable (null only where no member has one). Null and wordless texts
-    have fingerprint zero and link like any other. Repeated rows each get a row.
+    have fingerprint zero and link like any other. Repeated rows each get a row; an empty
+    table gives none.
     """
-    prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, words_per_shingle=words_per_shingle), "simhash")
-    distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = components(links(distinct.select("fp"), most_bits=most_bits, segments=segments, pair_limit=pair_limit))
-    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, words_per_shingle=words_per_shingle), "simhash").select("doc_id", "fp")
+    placed = checkpointed(rooted(prints, most_bits=most_bits, segments=segments, pair_limit=pair_limit))
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(placed, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each near-duplicate group, the one with the smallest doc_id."""
-    first = near_groups(docs, id_col=id_col, text_col=text_col).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(first, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """docs with one document of each near-duplicate group, the one with the smallest doc_id.
+
+    All of docs' columns stay. A null doc_id is larger than any other; of documents with the
+    same doc_id in a group, one stays.
+    """
+    prints = written(fingerprints(docs, id_col=id_col, text_col=text_col), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    kept = prints.groupBy("fp").agg(first).join(rooted(prints), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    content = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return one_row_each(docs, kept.select(row_key(F.col("first.doc_id"), F.col("first.text_hash"))), row_key(F.col(id_col).cast("long"), content))
