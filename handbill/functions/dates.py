@@ -9,6 +9,8 @@ wins, and a range of day words goes before a single one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,17 +54,29 @@ def year_number(text: Column) -> Column:
     return F.when(F.length(text) == 2, n + 2000).when(text != "", n)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use names it: keeps plans of nested rules small."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def dated(year_text: Column, month: Column, day: Column, reference: Column) -> Column:
     """The day meant: in the written year, else on or after the reference date."""
-    given = year_number(year_text)
-    plain = ymd(F.coalesce(given, F.year(reference)), month, day)
-    rolled = F.coalesce(ymd(F.year(reference) + 1, month, day), plain)
-    return F.when(given.isNull() & (plain < reference), rolled).otherwise(plain)
+
+    def of(s: Column) -> Column:
+        given, year = year_number(s["y"]), F.year(s["ref"])
+        plain = F.struct(ymd(F.coalesce(given, year), s["m"], s["d"]).alias("day"), ymd(year + 1, s["m"], s["d"]).alias("next"), (given.isNull() & s["ref"].isNotNull()).alias("bare"), s["ref"].alias("ref"))
+        return let(plain, lambda p: F.when(p["bare"] & (p["day"] < p["ref"]), F.coalesce(p["next"], p["day"])).otherwise(p["day"]))
+
+    return let(F.struct(year_text.alias("y"), month.alias("m"), day.alias("d"), reference.alias("ref")), of)
 
 
 def _result(start: Column, end: Column, raw: Column) -> Column:
     """Null unless both ends are days and in order."""
-    return F.when(start.isNotNull() & end.isNotNull() & (start <= end), F.struct(start.alias("start"), end.alias("end"), F.trim(raw).alias("raw")))
+    return let(F.struct(start.alias("start"), end.alias("end"), F.trim(raw).alias("raw")), lambda r: F.when(r["start"] <= r["end"], r))
+
+
+def _single(day: Column, raw: Column) -> Column:
+    return let(F.struct(day.alias("day"), F.trim(raw).alias("raw")), lambda r: F.when(r["day"].isNotNull(), F.struct(r["day"].alias("start"), r["day"].alias("end"), r["raw"].alias("raw"))))
 
 
 class Found:
@@ -89,8 +103,7 @@ def day_range(text: Column, reference: Column) -> Column:
 
 def day_word(text: Column, reference: Column) -> Column:
     m = Found(text, rf"{LEFT}{_WORD}{RIGHT}")
-    day = F.date_add(reference, _number(m[1], DAY_WORDS))
-    return _result(day, day, m[0])
+    return _single(F.date_add(reference, _number(m[1], DAY_WORDS)), m[0])
 
 
 def offset(text: Column, reference: Column) -> Column:
@@ -100,8 +113,7 @@ def offset(text: Column, reference: Column) -> Column:
         for pattern, sign in ((rf"{LEFT}через\s+(\d{{1,3}})\s+(?:{unit}){RIGHT}", 1), (rf"{LEFT}(\d{{1,3}})\s+(?:{unit})\s+назад{RIGHT}", -1)):
             m = Found(text, pattern)
             days = F.floor(m.number(1) / 24).cast("int") if size is None else m.number(1) * size
-            day = F.date_add(reference, sign * days)
-            rules.append(_result(day, day, m[0]))
+            rules.append(_single(F.date_add(reference, sign * days), m[0]))
     return F.coalesce(*rules)
 
 
@@ -111,43 +123,41 @@ def _coming(reference: Column, index: Column) -> Column:
 
 def weekday_range(text: Column, reference: Column) -> Column:
     m = Found(text, rf"{LEFT}{_DAY}\s*[-–—]\s*{_DAY}{RIGHT}")
-    first = _coming(reference, _number(m[1], WEEKDAYS))
-    last = F.date_add(first, F.pmod(_number(m[2], WEEKDAYS) - _number(m[1], WEEKDAYS), F.lit(7)).cast("int"))
-    return _result(first, last, m[0])
+    ends = F.struct(_number(m[1], WEEKDAYS).alias("a"), _number(m[2], WEEKDAYS).alias("b"))
+    return let(ends, lambda e: _result(_coming(reference, e["a"]), F.date_add(_coming(reference, e["a"]), F.pmod(e["b"] - e["a"], F.lit(7)).cast("int")), m[0]))
 
 
 def weekday(text: Column, reference: Column) -> Column:
     """This weekday may be the reference date; the next is the first one after it, even in the same week."""
     this, following = Found(text, rf"{LEFT}(?:эт(?:от|у|о|а))\s+{_DAY}{RIGHT}"), Found(text, rf"{LEFT}(?:следующ(?:ий|ую|ее|ая))\s+{_DAY}{RIGHT}")
-    a = _coming(reference, _number(this[1], WEEKDAYS))
-    b = _coming(F.date_add(reference, 1), _number(following[1], WEEKDAYS))
-    return F.coalesce(_result(a, a, this[0]), _result(b, b, following[0]))
+    return F.coalesce(_single(_coming(reference, _number(this[1], WEEKDAYS)), this[0]), _single(_coming(F.date_add(reference, 1), _number(following[1], WEEKDAYS)), following[0]))
+
+
+def _from_monday(m: Found, reference: Column, day: int, days: int) -> Column:
+    """So many days from a day of this week, or of the next where the phrase says so; the phrase must be there."""
+    start = F.date_add(F.date_trunc("week", reference).cast("date"), F.when(m[1].startswith("след"), day + 7).otherwise(day))
+    return F.when(m.is_there, let(start, lambda s: _result(s, F.date_add(s, days - 1), m[0])))
 
 
 def weekend(text: Column, reference: Column) -> Column:
-    m = Found(text, rf"{LEFT}(эти|этих|следующие|следующих)\s+выходны(?:е|х){RIGHT}")
-    saturday = F.date_add(F.date_trunc("week", reference).cast("date"), 5)
-    start = F.when(m[1].startswith("след"), F.date_add(saturday, 7)).otherwise(saturday)
-    return _result(F.when(m.is_there, start), F.date_add(start, 1), m[0])
+    return _from_monday(Found(text, rf"{LEFT}(эти|этих|следующие|следующих)\s+выходны(?:е|х){RIGHT}"), reference, 5, 2)
 
 
 def week(text: Column, reference: Column) -> Column:
-    m = Found(text, rf"{LEFT}(эта|эту|этой|следующая|следующую|следующей)\s+недел(?:я|ю|е){RIGHT}")
-    monday = F.date_trunc("week", reference).cast("date")
-    start = F.when(m[1].startswith("след"), F.date_add(monday, 7)).otherwise(monday)
-    return _result(F.when(m.is_there, start), F.date_add(start, 6), m[0])
+    return _from_monday(Found(text, rf"{LEFT}(эта|эту|этой|следующая|следующую|следующей)\s+недел(?:я|ю|е){RIGHT}"), reference, 0, 7)
 
 
 def part_of_month(text: Column, reference: Column) -> Column:
     """Days 1 to 10, 11 to 20, or 21 to the last."""
     m = Found(text, rf"{LEFT}(начал[оеа]|середин[аеы]|кон(?:ец|це|ца))\s+{_MONTH}{_YEAR}{RIGHT}")
-    year = F.coalesce(year_number(m[3]), F.year(reference))
-    month = month_number(m[2])
-    year = F.when((m[3] == "") & (month < F.month(reference)), year + 1).otherwise(year)
     first = F.when(m[1].startswith("нач"), 1).when(m[1].startswith("сер"), 11).otherwise(21)
-    start = ymd(year, month, first)
-    end = F.when(first == 21, F.last_day(start)).otherwise(F.date_add(start, 9))
-    return _result(start, end, m[0])
+    said = F.struct(first.alias("first"), month_number(m[2]).alias("month"), year_number(m[3]).alias("year"))
+
+    def of(s: Column) -> Column:
+        year = F.coalesce(s["year"], F.year(reference) + F.when(s["month"] < F.month(reference), 1).otherwise(0))
+        return let(ymd(year, s["month"], s["first"]), lambda start: _result(start, F.when(s["first"] == 21, F.last_day(start)).otherwise(F.date_add(start, 9)), m[0]))
+
+    return let(said, of)
 
 
 def explicit_range(text: Column, reference: Column) -> Column:
@@ -178,20 +188,17 @@ ENGLISH = rf"{LEFT}(\d{{1,2}})\s+({'|'.join(ENGLISH_MONTHS)})(?:\s+(\d{{4}}))?{R
 
 def dotted_date(text: Column, reference: Column) -> Column:
     m = Found(text, DOTTED)
-    day = dated(m[3], m.number(2), m.number(1), reference)
-    return _result(day, day, m[0])
+    return _single(dated(m[3], m.number(2), m.number(1), reference), m[0])
 
 
 def worded_date(text: Column, reference: Column) -> Column:
     m = Found(text, WORDED)
-    day = dated(m[3], month_number(m[2]), m.number(1), reference)
-    return _result(day, day, m[0])
+    return _single(dated(m[3], month_number(m[2]), m.number(1), reference), m[0])
 
 
 def english_date(text: Column, reference: Column) -> Column:
     m = Found(text, ENGLISH)
-    day = dated(m[3], _number(m[2], {w: k + 1 for k, w in enumerate(ENGLISH_MONTHS)}), m.number(1), reference)
-    return _result(day, day, m[0])
+    return _single(dated(m[3], _number(m[2], {w: k + 1 for k, w in enumerate(ENGLISH_MONTHS)}), m.number(1), reference), m[0])
 
 
 #: The cascade, in order.
@@ -203,12 +210,11 @@ RULES = {
 
 def date_range(text: Column, reference: Column) -> Column:
     """struct<start,end,raw,source> of the first rule that yields, else null."""
-    low = F.lower(text)
-    found = []
-    for name, rule in RULES.items():
-        r = rule(low, reference)
-        found.append(F.when(r.isNotNull(), F.struct(r["start"].alias("start"), r["end"].alias("end"), r["raw"].alias("raw"), F.lit(name).alias("source"))))
-    return F.coalesce(*found)
+    return let(F.lower(text), lambda low: F.coalesce(*(_named(rule(low, reference), name) for name, rule in RULES.items())))
+
+
+def _named(found: Column, name: str) -> Column:
+    return let(found, lambda r: F.when(r.isNotNull(), F.struct(r["start"].alias("start"), r["end"].alias("end"), r["raw"].alias("raw"), F.lit(name).alias("source"))))
 
 
 def all_dates(text: Column, reference: Column) -> Column:

@@ -88,6 +88,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **{n: view(spark, sf_dir, n) for n in _needs(sql)})
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """df with dates as ISO text, which reads the same from either engine."""
+    return df.withColumns({c: df[c].cast("string") for c, kind in df.dtypes if kind == "date"})
+
+
 def with_views(sql: str) -> str:
     """DuckDB SQL whose {name}s are tables or views, as one statement that defines the views it needs."""
     defined: dict[str, str] = {}

@@ -9,7 +9,7 @@ from .functions import dates, fields
 from .functions import text as t
 from .operators import posts as p
 from .operators import reports
-from .plans.fixtures import view, with_views
+from .plans.fixtures import plain, view, with_views
 
 QUERIES, SQL = {}, {}
 
@@ -18,7 +18,7 @@ def query(name: str, sql: str | None = None):
     """Registers a function of (spark, sf_dir) under the name."""
 
     def add(f):
-        QUERIES[name] = f
+        QUERIES[name] = lambda spark, d: plain(f(spark, d))
         if sql:
             SQL[name] = with_views(sql)
         return f
@@ -83,7 +83,7 @@ def rule(name: str, *columns: str):
 
 
 def start_end(start: str, end: str) -> str:
-    return over_posts(f"CASE WHEN ({start}) <= ({end}) THEN {start} END AS start_date, CASE WHEN ({start}) <= ({end}) THEN {end} END AS end_date")
+    return over_posts(f"(CASE WHEN ({start}) <= ({end}) THEN {start} END)::DATE::VARCHAR AS start_date, (CASE WHEN ({start}) <= ({end}) THEN {end} END)::DATE::VARCHAR AS end_date")
 
 
 _one = L + _W + R
@@ -126,13 +126,13 @@ def phrases(spark, d):
 PHRASES = "SELECT post_id, published, CASE post_id % 6 WHEN 0 THEN 'в эти выходные' WHEN 1 THEN 'на следующих выходных' WHEN 2 THEN 'на этой неделе' WHEN 3 THEN 'на следующей неделе' WHEN 4 THEN '12 may 2024' ELSE '3 december' END AS x FROM {posts}"
 
 
-@query("x7_x8_weekends_weeks", f"SELECT post_id, CASE WHEN x LIKE '%выходн%' THEN date_trunc('week', published)::DATE + 5 + CASE WHEN x LIKE '%след%' THEN 7 ELSE 0 END WHEN x LIKE '%недел%' THEN date_trunc('week', published)::DATE + CASE WHEN x LIKE '%след%' THEN 7 ELSE 0 END END AS start_date, start_date + CASE WHEN x LIKE '%выходн%' THEN 1 ELSE 6 END AS end_date FROM ({PHRASES}) q")
+@query("x7_x8_weekends_weeks", f"SELECT post_id, start_date::DATE::VARCHAR AS start_date, end_date::DATE::VARCHAR AS end_date FROM (SELECT post_id, CASE WHEN x LIKE '%выходн%' THEN date_trunc('week', published)::DATE + 5 + CASE WHEN x LIKE '%след%' THEN 7 ELSE 0 END WHEN x LIKE '%недел%' THEN date_trunc('week', published)::DATE + CASE WHEN x LIKE '%след%' THEN 7 ELSE 0 END END AS start_date, start_date + CASE WHEN x LIKE '%выходн%' THEN 1 ELSE 6 END AS end_date FROM ({PHRASES}) q) z")
 def _(spark, d):
     r = F.coalesce(dates.weekend(F.col("x"), F.col("published")), dates.week(F.col("x"), F.col("published")))
     return phrases(spark, d).select("post_id", r["start"].alias("start_date"), r["end"].alias("end_date"))
 
 
-@query("x12_english_dates", f"SELECT post_id, CASE WHEN x LIKE '%may%' THEN DATE '2024-05-12' WHEN x LIKE '%december%' THEN {dated(chr(39) * 2, '12', '3')} END AS start_date FROM ({PHRASES}) q")
+@query("x12_english_dates", f"SELECT post_id, (CASE WHEN x LIKE '%may%' THEN DATE '2024-05-12' WHEN x LIKE '%december%' THEN {dated(chr(39) * 2, '12', '3')} END)::DATE::VARCHAR AS start_date FROM ({PHRASES}) q")
 def _(spark, d):
     return phrases(spark, d).select("post_id", dates.english_date(F.col("x"), F.col("published"))["start"].alias("start_date"))
 
@@ -165,12 +165,12 @@ def _ranges() -> tuple[str, str]:
     return ends[0], ends[1]
 
 
-query("x10_explicit_ranges", f"SELECT post_id, CASE WHEN s <= e THEN s END AS start_date, CASE WHEN s <= e THEN e END AS end_date FROM ({over_posts(f'{_ranges()[0]} AS s, {_ranges()[1]} AS e')}) z")(rule("explicit_range"))
+query("x10_explicit_ranges", f"SELECT post_id, (CASE WHEN s <= e THEN s END)::DATE::VARCHAR AS start_date, (CASE WHEN s <= e THEN e END)::DATE::VARCHAR AS end_date FROM ({over_posts(f'{_ranges()[0]} AS s, {_ranges()[1]} AS e')}) z")(rule("explicit_range"))
 _dot = L + r"(\d{1,2})[./-](\d{1,2})(?:[./-](\d{4}|\d{2}))?" + R
 _word = L + r"(\d{1,2})\s+" + _M + _Y + R
 
 
-@query("x11_x16_single_dates", over_posts(f"{dated(ex(_dot, 3), num(_dot, 2), num(_dot, 1))} AS dotted, {dated(ex(_word, 3), month(ex(_word, 2)), num(_word, 1))} AS worded"))
+@query("x11_x16_single_dates", over_posts(f"({dated(ex(_dot, 3), num(_dot, 2), num(_dot, 1))})::VARCHAR AS dotted, ({dated(ex(_word, 3), month(ex(_word, 2)), num(_word, 1))})::VARCHAR AS worded"))
 def _(spark, d):
     return spark_posts(spark, d).select("post_id", dates.dotted_date(F.col("x"), F.col("published"))["start"].alias("dotted"), dates.worded_date(F.col("x"), F.col("published"))["start"].alias("worded"))
 
@@ -178,7 +178,7 @@ def _(spark, d):
 _list = L + r"((?:\d{1,2}\s*,\s*)*\d{1,2}\s+и\s+\d{1,2}|\d{1,2}(?:\s*,\s*\d{1,2})+)\s+" + _M + _Y + R
 
 
-@query("x14_day_lists", f"SELECT post_id, {dated('y', month('m'), 'try_cast(v AS INT)')} AS day FROM (SELECT post_id, published, {ex(_list, 2)} AS m, {ex(_list, 3)} AS y, unnest(regexp_extract_all({ex(_list, 1)}, '[0-9]+')) AS v FROM (SELECT *, {TEXT} AS x FROM {{posts}}) q) z")
+@query("x14_day_lists", f"SELECT post_id, ({dated('y', month('m'), 'try_cast(v AS INT)')})::VARCHAR AS day FROM (SELECT post_id, published, {ex(_list, 2)} AS m, {ex(_list, 3)} AS y, unnest(regexp_extract_all({ex(_list, 1)}, '[0-9]+')) AS v FROM (SELECT *, {TEXT} AS x FROM {{posts}}) q) z")
 def _(spark, d):
     return spark_posts(spark, d).select("post_id", F.explode(dates.day_list(F.col("x"), F.col("published"))).alias("day"))
 
@@ -187,7 +187,7 @@ def _all_of(pattern: str, m: str) -> str:
     return f"SELECT post_id, {dated(ex(pattern, 3, 'v'), m, num(pattern, 1, 'v'))} AS day FROM (SELECT post_id, published, unnest(regexp_extract_all(x, '{pattern}')) AS v FROM (SELECT *, {TEXT} AS x FROM {{posts}}) q) z"
 
 
-@query("x13_all_dates", f"SELECT DISTINCT post_id, day FROM ({_all_of(_dot, num(_dot, 2, 'v'))} UNION ALL {_all_of(_word, month(ex(_word, 2, 'v')))} UNION ALL SELECT post_id, {dated('y', month('m'), 'try_cast(v AS INT)')} AS day FROM (SELECT post_id, published, {ex(_list, 2)} AS m, {ex(_list, 3)} AS y, unnest(regexp_extract_all({ex(_list, 1)}, '[0-9]+')) AS v FROM (SELECT *, {TEXT} AS x FROM {{posts}}) q) z) w WHERE day IS NOT NULL")
+@query("x13_all_dates", f"SELECT DISTINCT post_id, day::VARCHAR AS day FROM ({_all_of(_dot, num(_dot, 2, 'v'))} UNION ALL {_all_of(_word, month(ex(_word, 2, 'v')))} UNION ALL SELECT post_id, {dated('y', month('m'), 'try_cast(v AS INT)')} AS day FROM (SELECT post_id, published, {ex(_list, 2)} AS m, {ex(_list, 3)} AS y, unnest(regexp_extract_all({ex(_list, 1)}, '[0-9]+')) AS v FROM (SELECT *, {TEXT} AS x FROM {{posts}}) q) z) w WHERE day IS NOT NULL")
 def _(spark, d):
     return spark_posts(spark, d).select("post_id", F.explode(dates.all_dates(F.col("x"), F.col("published"))).alias("day"))
 
@@ -223,7 +223,7 @@ def _(spark, d):
     return found.select("post_id", "pos", F.col("r.start").alias("start_date"), F.col("r.end").alias("end_date"), F.col("r.raw").alias("raw"), F.col("r.source").alias("source"))
 
 
-@query("x13_document_dates", r"SELECT DISTINCT doc_id, try_cast(printf('%04d-%02d-%02d', regexp_extract(v, '(\d{1,2})[.](\d{1,2})[.](\d{4})', 3)::INT, regexp_extract(v, '(\d{1,2})[.](\d{1,2})[.](\d{4})', 2)::INT, regexp_extract(v, '(\d{1,2})[.](\d{1,2})[.](\d{4})', 1)::INT) AS DATE) AS day FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}')) AS v FROM documents) q WHERE day IS NOT NULL")
+@query("x13_document_dates", r"SELECT DISTINCT doc_id, day::VARCHAR AS day FROM (SELECT doc_id, try_cast(printf('%04d-%02d-%02d', regexp_extract(v, '(\d{1,2})[.](\d{1,2})[.](\d{4})', 3)::INT, regexp_extract(v, '(\d{1,2})[.](\d{1,2})[.](\d{4})', 2)::INT, regexp_extract(v, '(\d{1,2})[.](\d{1,2})[.](\d{4})', 1)::INT) AS DATE) AS day FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}')) AS v FROM documents) q) z WHERE day IS NOT NULL")
 def _(spark, d):
     """Full dotted dates anywhere in the documents."""
     found = view(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}"), F.lit(0))).alias("v"))

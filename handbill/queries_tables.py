@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import fields
 from .functions import text as t
 from .operators import reports
-from .plans.fixtures import view, with_views
+from .plans.fixtures import plain, view, with_views
 
 QUERIES, SQL = {}, {}
 
@@ -16,7 +16,7 @@ def query(name: str, sql: str | None = None):
     """Registers a function of (spark, sf_dir) under the name."""
 
     def add(f):
-        QUERIES[name] = f
+        QUERIES[name] = lambda spark, d: plain(f(spark, d))
         if sql:
             SQL[name] = with_views(sql)
         return f
