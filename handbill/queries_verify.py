@@ -1 +1,383 @@
+"""Queries over OCR blocks, and over drafts, links, facts and pages to be verified."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .functions import text as t
+from .operators import ocr, verify
+from .plans.fixtures import plain, view, with_views
+
 QUERIES, SQL = {}, {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of (spark, sf_dir) under the name."""
+
+    def add(f):
+        QUERIES[name] = lambda spark, d: plain(f(spark, d))
+        if sql:
+            SQL[name] = with_views(sql)
+        return f
+
+    return add
+
+
+def tables(spark, d, *names: str):
+    return [view(spark, d, n) for n in names]
+
+
+# OCR blocks
+
+_GOOD = r"SELECT * FROM {ocr_blocks} WHERE length(trim(text)) >= 2 AND confidence >= 0.3 AND regexp_matches(trim(text), '[\p{L}\p{N}]')"
+_PAIRS = f"SELECT a.image_id, a.ordinal AS a, b.ordinal AS b FROM ({_GOOD}) a JOIN ({_GOOD}) b ON a.image_id = b.image_id AND a.ordinal < b.ordinal WHERE greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) / (a.w * a.h + b.w * b.h - greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)))::DOUBLE >= 0.35 OR greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) >= 0.8 * least(a.w * a.h, b.w * b.h)"
+#: Groups by repeated steps to the smallest neighbour; an image has 7 blocks at most, so 6 steps reach everything.
+_STEPS = "e AS (SELECT image_id, a AS u, b AS v FROM pairs UNION ALL SELECT image_id, b, a FROM pairs), g0 AS (SELECT image_id, ordinal, ordinal AS label FROM good)" + "".join(f", g{k + 1} AS (SELECT g.image_id, g.ordinal, least(g.label, coalesce(min(n.label), g.label)) AS label FROM g{k} g LEFT JOIN e ON e.image_id = g.image_id AND e.u = g.ordinal LEFT JOIN g{k} n ON n.image_id = e.image_id AND n.ordinal = e.v GROUP BY g.image_id, g.ordinal, g.label)" for k in range(6))
+_GROUPED = f"WITH good AS ({_GOOD}), pairs AS ({_PAIRS}), {_STEPS}, grouped AS (SELECT good.*, g6.label AS group_id FROM good JOIN g6 USING (image_id, ordinal)) "
+
+
+def good_blocks(spark, d):
+    return ocr.accepted(view(spark, d, "ocr_blocks"))
+
+
+def grouped_blocks(spark, d):
+    good = good_blocks(spark, d)
+    return ocr.overlap_groups(good, ocr.overlaps(good))
+
+
+@query("f5_accepted_blocks", f"SELECT image_id, ordinal FROM ({_GOOD}) q")
+def _(spark, d):
+    return good_blocks(spark, d).select("image_id", "ordinal")
+
+
+@query("j14_overlaps", _PAIRS)
+def _(spark, d):
+    return ocr.overlaps(good_blocks(spark, d))
+
+
+@query("j15_overlap_groups", _GROUPED + "SELECT image_id, ordinal, group_id FROM grouped")
+def _(spark, d):
+    return grouped_blocks(spark, d).select("image_id", "ordinal", "group_id")
+
+
+_SCORE = "round(confidence + CASE WHEN n_lines > 0 THEN 0.05 ELSE 0.0 END + least(length(text) / 1000.0, 0.05), 6)"
+_FUSED = _GROUPED + f", best AS (SELECT *, row_number() OVER (PARTITION BY image_id, group_id ORDER BY {_SCORE} DESC, n_lines > 0 DESC, length(text) DESC, backend DESC, y, x, ordinal) AS n FROM grouped), types AS (SELECT image_id, group_id, block_type, row_number() OVER (PARTITION BY image_id, group_id ORDER BY count(*) DESC, block_type DESC) AS n FROM grouped WHERE block_type <> 'unknown' GROUP BY image_id, group_id, block_type), fused AS (SELECT b.image_id, b.group_id, b.text, b.x, b.y, s.confidence, s.n_blocks, s.source, coalesce(t.block_type, 'unknown') AS block_type, row_number() OVER (PARTITION BY b.image_id ORDER BY b.y, b.x, b.group_id) - 1 AS reading_order FROM best b JOIN (SELECT image_id, group_id, max(confidence) AS confidence, count(*) AS n_blocks, 'fusion:' || string_agg(DISTINCT backend, ',' ORDER BY backend) AS source FROM grouped GROUP BY image_id, group_id) s USING (image_id, group_id) LEFT JOIN (SELECT * FROM types WHERE n = 1) t ON t.image_id = b.image_id AND t.group_id = b.group_id WHERE b.n = 1) "
+
+
+@query("r20_a11_a14_w4_fused_blocks", _FUSED + "SELECT image_id, group_id, text, confidence, n_blocks, source, block_type, reading_order FROM fused")
+def _(spark, d):
+    return ocr.fuse(grouped_blocks(spark, d)).select("image_id", "group_id", "text", "confidence", "n_blocks", "source", "block_type", "reading_order")
+
+
+@query("a9_a10_image_texts", _FUSED + "SELECT image_id, string_agg(text, chr(10) ORDER BY reading_order) AS raw_text, max(confidence) AS confidence, round(avg(confidence), 6) AS mean_confidence, count(*) AS n_blocks FROM fused GROUP BY image_id")
+def _(spark, d):
+    return ocr.image_text(ocr.fuse(grouped_blocks(spark, d)))
+
+
+@query("a12_richest_blocks", _GROUPED + "SELECT image_id, group_id, arg_max(ordinal, n_lines * 1000000 + confidence * 1000 - ordinal / 100.0) AS richest FROM grouped GROUP BY image_id, group_id")
+def _(spark, d):
+    return ocr.fuse(grouped_blocks(spark, d)).select("image_id", "group_id", "richest")
+
+
+@query("r19_evidence_rows", _FUSED + "SELECT kind, count(*) AS n FROM (SELECT 'block' AS kind FROM fused UNION ALL SELECT 'raw_text' FROM (SELECT DISTINCT image_id FROM fused) a UNION ALL SELECT 'normal_text' FROM (SELECT DISTINCT image_id FROM fused) b) q GROUP BY kind")
+def _(spark, d):
+    fused = ocr.fuse(grouped_blocks(spark, d))
+    return ocr.evidence(ocr.image_text(fused), fused).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("w5_n23_line_text", "WITH g AS (SELECT image_id, x, y, text, x - lag(x + w) OVER o AS gap, greatest(length(text), length(lag(text) OVER o)) AS longest, row_number() OVER o AS n FROM {ocr_blocks} WINDOW o AS (PARTITION BY image_id ORDER BY x, y, text)) SELECT image_id, string_agg(CASE WHEN gap IS NULL OR gap <= CASE WHEN longest <= 1 THEN 28 WHEN longest <= 2 THEN 18 ELSE 6 END THEN text ELSE ' ' || text END, '' ORDER BY n) AS text FROM g GROUP BY image_id")
+def _(spark, d):
+    words = view(spark, d, "ocr_blocks").withColumn("line", F.lit(0))
+    return ocr.line_text(words).select("image_id", "text")
+
+
+def tokens(spark, d):
+    return view(spark, d, "ocr_blocks").select(F.explode(F.split("text", " ")).alias("token")).filter("token rlike '^[A-Za-zА-Яа-я]+$'").distinct()
+
+
+@query("n19_token_variants")
+def _(spark, d):
+    return ocr.token_variants(tokens(spark, d))
+
+
+@query("n20_repaired_tokens")
+def _(spark, d):
+    return ocr.repaired(tokens(spark, d))
+
+
+def entities(spark, d):
+    return view(spark, d, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.lit("artist").alias("entity_type"), F.col("s_name").alias("name"), F.array(F.concat(F.lit("Supp "), F.col("s_suppkey").cast("string"))).alias("aliases"))
+
+
+def block_texts(spark, d):
+    return view(spark, d, "ocr_blocks").select(F.concat_ws("/", "image_id", "ordinal").alias("text_id"), "text")
+
+
+@query("j2_exact_names", "SELECT DISTINCT image_id || '/' || ordinal AS text_id, s_name AS name, s_suppkey AS entity_id FROM {ocr_blocks} JOIN supplier ON lower(replace(text, ' ', '')) = lower(replace(s_name, ' ', ''))")
+def _(spark, d):
+    return ocr.exact_names(block_texts(spark, d), entities(spark, d))
+
+
+@query("j3_j4_fuzzy_names")
+def _(spark, d):
+    """The nearest name of each distinct block text, over the threshold."""
+    texts = view(spark, d, "ocr_blocks").select(F.col("text").alias("text_id"), "text").distinct()
+    return ocr.fuzzy_names(texts, entities(spark, d), 0.8)
+
+
+@query("f13_block_classes")
+def _(spark, d):
+    texts = view(spark, d, "ocr_blocks").select(F.col("text").alias("text_id"), "text").distinct()
+    return ocr.classified(texts, entities(spark, d))
+
+
+@query("a17_dictionary", "SELECT count(*) AS n, count(DISTINCT lower(phrase)) AS keys FROM (SELECT arg_min(phrase, r || phrase) AS phrase FROM (SELECT trim(regexp_replace(unnest(string_split(text, chr(10))), '\\s+', ' ', 'g')) AS phrase, '0' AS r FROM documents UNION ALL SELECT s_name, '1' FROM supplier UNION ALL SELECT 'Supp ' || s_suppkey, '1' FROM supplier) q WHERE phrase <> '' GROUP BY lower(phrase)) z")
+def _(spark, d):
+    made = ocr.dictionary(view(spark, d, "documents").select("text"), entities(spark, d))
+    return made.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.lower("phrase")).alias("keys"))
+
+
+def backend_results(spark, d):
+    return view(spark, d, "ocr_blocks").groupBy("image_id", "backend").agg(F.array_join(F.collect_list("text"), " ").alias("raw_text"), F.count(F.lit(1)).alias("n_blocks")).withColumn("error", F.expr("CASE WHEN image_id % 5 = 0 AND backend = 'alpha' THEN 'timeout' END"))
+
+
+_RESULTS = "SELECT image_id, backend, count(*) AS n_blocks, CASE WHEN image_id % 5 = 0 AND backend = 'alpha' THEN 'timeout' END AS error FROM {ocr_blocks} GROUP BY image_id, backend"
+
+
+@query("f6_w6_first_backend", f"SELECT image_id, backend FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY backend) AS n FROM ({_RESULTS}) q WHERE error IS NULL) z WHERE n = 1")
+def _(spark, d):
+    return ocr.first_backend(backend_results(spark, d), {"alpha": 0, "beta": 1}).select("image_id", "backend")
+
+
+@query("a20_outcomes", f"SELECT image_id, count(*) AS tried, count(*) FILTER (error IS NULL) AS successful, sum(n_blocks)::BIGINT AS n_blocks, coalesce(max(error), '') AS errors FROM ({_RESULTS}) q GROUP BY image_id")
+def _(spark, d):
+    return ocr.outcomes(backend_results(spark, d))
+
+
+@query("r21_r22_image_results")
+def _(spark, d):
+    """Fused blocks with resolved names, as one text for each image."""
+    return ocr.pipeline(view(spark, d, "ocr_blocks"), entities(spark, d))[1]
+
+
+@query("s13_s14_overlay_payloads", "SELECT image_id, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM {ocr_blocks} GROUP BY image_id")
+def _(spark, d):
+    """Blocks as an overlay payload and back: a line's box is the union of its words'."""
+    word = F.struct("text", F.col("x").alias("left"), F.col("y").alias("top"), F.col("w").alias("width"), F.col("h").alias("height"))
+    payload = view(spark, d, "ocr_blocks").groupBy("image_id").agg(F.to_json(F.array(F.struct(F.array(F.struct(F.lit("line").alias("text"), F.collect_list(word).alias("words"))).alias("lines")))).alias("payload"))
+    return payload.select("image_id", F.explode(ocr.flatten_overlay(F.col("payload"))).alias("b")).select("image_id", "b.x", "b.y", "b.w", "b.h")
+
+
+@query("s15_parallel_arrays", "SELECT image_id, text, CASE WHEN ordinal % 2 = 0 THEN 0.0 ELSE confidence END AS score, x, greatest(1, w) AS w FROM {ocr_blocks}")
+def _(spark, d):
+    rows = view(spark, d, "ocr_blocks").select("image_id", F.array("text").alias("texts"), F.when(F.col("ordinal") % 2 == 0, F.array().cast("array<double>")).otherwise(F.array("confidence")).alias("scores"), F.array(F.array(F.array("x", "y"), F.array(F.col("x") + F.col("w"), F.col("y") + F.col("h")))).alias("polygons"))
+    return rows.select("image_id", F.explode(ocr.flatten_arrays(F.col("texts"), F.col("scores"), F.col("polygons"))).alias("b")).select("image_id", "b.text", "b.score", "b.x", "b.w")
+
+
+# Verification
+
+_KEY = "trim(regexp_replace(translate(lower({0}), 'ё', 'е'), '[^0-9a-zа-я]+', ' ', 'g'))"
+
+
+def key(x: str) -> str:
+    return _KEY.replace("{0}", f"coalesce({x}, '')")
+
+
+_PAGES = f"SELECT run_id, pos AS page_pos, url, ' ' || {key(chr(39).join(['concat_ws(', ' ', ', url, title, text)']))} || ' ' AS hay FROM {{pages_read}} WHERE ok AND NOT blocked AND (status_code IS NULL OR status_code BETWEEN 200 AND 399)"
+_MONTHS = "CASE month(d) " + " ".join(f"WHEN {k + 1} THEN '{m}'" for k, m in enumerate(verify.MONTH_WORDS)) + " END"
+
+
+def has(value: str) -> str:
+    return f"({value} <> '' AND contains(hay, ' ' || {value} || ' '))"
+
+
+def has_date(d: str) -> str:
+    forms = [f"strftime({d}, '{f}')" for f in ("%Y %m %d", "%d %m %Y")] + [f"day({d}) || ' ' || strftime({d}, '%m %Y')", f"day({d}) || ' ' || month({d}) || ' ' || year({d})", f"day({d}) || ' ' || {_MONTHS.replace('month(d)', f'month({d})')}"]
+    return f"coalesce({' OR '.join(f'contains(hay, {chr(39)} {chr(39)} || {f} || {chr(39)} {chr(39)})' for f in forms)}, false)"
+
+
+_OCC = f"SELECT run_id, pos, page_pos, url, {has(key('artist'))} AS a, {has_date('event_date')} AS d, {has(key('city_name'))} AS c, {has(key('venue_name'))} AS v, coalesce({has(key('start_time'))}, false) AS s FROM {{v_occurrences}} JOIN ({_PAGES}) p USING (run_id)"
+_MATCH = f"SELECT run_id, pos, page_pos, url, n_fields, score FROM (SELECT *, row_number() OVER (PARTITION BY run_id, pos ORDER BY score DESC, page_pos) AS n FROM (SELECT run_id, pos, page_pos, url, a::INT + d::INT + c::INT + v::INT + s::INT AS n_fields, round(least(0.7 + CASE WHEN a THEN 0.08 ELSE 0 END + CASE WHEN d THEN 0.08 ELSE 0 END + CASE WHEN c THEN 0.05 ELSE 0 END + CASE WHEN v THEN 0.07 ELSE 0 END + CASE WHEN s THEN 0.05 ELSE 0 END, 0.98), 6)::DOUBLE AS score FROM ({_OCC}) o) q WHERE n_fields >= 3) z WHERE n = 1"
+
+
+@query("j5_j6_j22_occurrence_pages", _MATCH)
+def _(spark, d):
+    return verify.occurrence_matches(*tables(spark, d, "v_occurrences", "pages_read"))
+
+
+@query("f7_usable_pages", "SELECT run_id, pos FROM {pages_read} WHERE ok AND NOT blocked AND (status_code IS NULL OR status_code BETWEEN 200 AND 399)")
+def _(spark, d):
+    return verify.usable(view(spark, d, "pages_read")).select("run_id", "pos")
+
+
+@query("f8_ticket_urls", "SELECT run_id, pos, regexp_matches(lower(url), 'ticket|kassir|radario|afisha') AS ticket FROM {v_links}")
+def _(spark, d):
+    return view(spark, d, "v_links").select("run_id", "pos", verify.is_ticket_url(F.col("url")).alias("ticket"))
+
+
+_LOOSE = "regexp_replace(lower(trim({0})), '/+$', '')"
+_BY_URL = f"SELECT l.run_id, l.pos, min(page_pos) AS page_pos FROM {{v_links}} l JOIN ({_PAGES}) p ON p.run_id = l.run_id AND {_LOOSE.replace('{0}', 'l.url')} = {_LOOSE.replace('{0}', 'p.url')} GROUP BY l.run_id, l.pos"
+
+
+@query("j7_links_by_url", _BY_URL)
+def _(spark, d):
+    return verify.links_by_url(*tables(spark, d, "v_links", "pages_read"))
+
+
+def domain(x: str) -> str:
+    return f"regexp_replace(lower(regexp_extract({x}, '^[A-Za-z]+://([^/?#\\s:]+)', 1)), '^www\\.', '')"
+
+
+_PAIR = f"SELECT l.run_id, l.pos, page_pos, {domain('l.url')} AS a, {domain('p.url')} AS b FROM {{v_links}} l JOIN ({_PAGES}) p ON p.run_id = l.run_id"
+_BY_DOMAIN = f"WITH pair AS ({_PAIR}), same AS (SELECT run_id, pos, min(page_pos) AS page_pos FROM pair WHERE a = b GROUP BY ALL) SELECT run_id, pos, page_pos, true AS exact FROM same UNION ALL SELECT run_id, pos, min(page_pos), false FROM pair WHERE (ends_with(a, '.' || b) OR ends_with(b, '.' || a)) AND (run_id, pos) NOT IN (SELECT run_id, pos FROM same) GROUP BY run_id, pos"
+
+
+@query("j8_links_by_domain", _BY_DOMAIN)
+def _(spark, d):
+    return verify.links_by_domain(*tables(spark, d, "v_links", "pages_read"))
+
+
+@query("j10_j11_fact_pages", f"SELECT run_id, pos, min(page_pos) AS page_pos, arg_min(url, page_pos) AS url FROM (SELECT f.run_id, f.pos, page_pos, p.url, hay, value, field FROM {{v_facts}} f JOIN ({_PAGES}) p ON p.run_id = f.run_id) q WHERE CASE WHEN field = 'дата' THEN {has_date('try_cast(value AS DATE)')} ELSE {has(key('value'))} END GROUP BY run_id, pos")
+def _(spark, d):
+    return verify.fact_matches(*tables(spark, d, "v_facts", "pages_read"))
+
+
+@query("r2_source_types", "SELECT run_id, pos, CASE WHEN regexp_matches(lower(source_url), 't\\.me/|telegram\\.me/') THEN 'social' ELSE CASE source_type WHEN 'official_site' THEN 'official' WHEN 'search' THEN 'search' WHEN 'manual' THEN 'manual' WHEN 'user' THEN 'user_input' ELSE 'unknown' END END AS source_type, CASE field WHEN 'дата' THEN 'date' ELSE field END AS field FROM {v_facts}")
+def _(spark, d):
+    return view(spark, d, "v_facts").select("run_id", "pos", verify.canonical_source(F.col("source_type"), F.col("source_url")).alias("source_type"), verify.canonical_field(F.col("field")).alias("field"))
+
+
+_SAN_O = "SELECT run_id, pos, verified AND source_url <> '' AS v, CASE WHEN verified AND source_url <> '' THEN confidence ELSE least(confidence, 0.5) END AS c, verified AND source_url = '' AS changed FROM {v_occurrences}"
+
+
+@query("r3_sanitized_occurrences", f"SELECT run_id, pos, v AS verified, c::DOUBLE AS confidence, changed FROM ({_SAN_O}) q")
+def _(spark, d):
+    return verify.sanitize_occurrences(view(spark, d, "v_occurrences")).select("run_id", "pos", "verified", "confidence", "changed")
+
+
+_SOCIAL = "regexp_matches(lower(url), 't\\.me/|telegram\\.me/|vk\\.com/|instagram\\.com/')"
+
+
+@query("r3_sanitized_links", f"SELECT run_id, pos, CASE WHEN {_SOCIAL} AND kind IN ('official', 'ticket') THEN 'social' ELSE kind END AS kind, verified AND NOT {_SOCIAL} AS verified, (CASE WHEN verified AND NOT {_SOCIAL} THEN confidence ELSE least(confidence, 0.5) END)::DOUBLE AS confidence FROM {{v_links}}")
+def _(spark, d):
+    return verify.sanitize_links(view(spark, d, "v_links")).select("run_id", "pos", "kind", "verified", "confidence")
+
+
+_ST = "CASE source_type WHEN 'official_site' THEN 'official' WHEN 'search' THEN 'search' WHEN 'manual' THEN 'manual' ELSE 'user_input' END"
+
+
+@query("r3_sanitized_facts", f"SELECT run_id, pos, CASE WHEN status = 'verified' AND NOT ({_ST} = 'manual' OR ({_ST} = 'official' AND source_url <> '')) THEN 'unverified' ELSE status END AS status FROM {{v_facts}}")
+def _(spark, d):
+    return verify.sanitize_facts(view(spark, d, "v_facts")).select("run_id", "pos", "status")
+
+
+@query("r4_r5_confirmed_occurrences", f"SELECT o.run_id, o.pos, o.verified OR m.url IS NOT NULL AS verified, (CASE WHEN m.url IS NOT NULL THEN greatest(o.confidence, m.score, 0.9) ELSE o.confidence END)::DOUBLE AS confidence, coalesce(m.url, o.source_url) AS source_url FROM {{v_occurrences}} o LEFT JOIN ({_MATCH}) m ON m.run_id = o.run_id AND m.pos = o.pos")
+def _(spark, d):
+    return verify.confirm_occurrences(*tables(spark, d, "v_occurrences", "pages_read")).select("run_id", "pos", "verified", "confidence", "source_url")
+
+
+@query("a5_a18_run_metrics", "SELECT run_id, o.v AS v_occurrences, k.a AS v_official, k.b AS v_ticket, k.c AS unverified_tickets, f.v AS v_facts, f.c AS conflicts FROM (SELECT run_id, count(*) FILTER (verified AND source_url <> '') AS v FROM {v_occurrences} GROUP BY run_id) o JOIN (SELECT run_id, count(*) FILTER (verified AND kind = 'official') AS a, count(*) FILTER (verified AND kind = 'ticket') AS b, count(*) FILTER (NOT verified AND kind = 'ticket') AS c FROM {v_links} GROUP BY run_id) k USING (run_id) JOIN (SELECT run_id, count(*) FILTER (status = 'verified' AND source_type = 'manual') AS v, count(*) FILTER (status = 'conflicted') AS c FROM {v_facts} GROUP BY run_id) f USING (run_id)")
+def _(spark, d):
+    return verify.run_metrics(*tables(spark, d, "v_occurrences", "v_links", "v_facts")).select("run_id", "v_occurrences", "v_official", "v_ticket", "unverified_tickets", "v_facts", "conflicts")
+
+
+@query("a6_evidence_status", "SELECT run_id, count(*) FILTER (status = 'verified') AS verified, count(*) FILTER (status = 'unverified') AS unverified, count(*) FILTER (status = 'conflicted') AS conflicted FROM {v_facts} GROUP BY run_id")
+def _(spark, d):
+    return view(spark, d, "v_facts").groupBy("run_id").agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("verified", "unverified", "conflicted")))
+
+
+@query("a8_first_values", "SELECT run_id, arg_min(value, pos) FILTER (field = 'artist') AS artist, arg_min(value, pos) FILTER (field = 'venue') AS venue FROM {v_facts} GROUP BY run_id")
+def _(spark, d):
+    first = lambda name: F.min_by("value", F.when(verify.canonical_field(F.col("field")) == name, F.col("pos"))).alias(name)
+    return view(spark, d, "v_facts").groupBy("run_id").agg(first("artist"), first("venue"))
+
+
+@query("r14_r6_a16_decisions")
+def _(spark, d):
+    """The whole verification: sanitise, confirm, sanitise, count, score, decide."""
+    return verify.verify(*tables(spark, d, "v_occurrences", "v_links", "v_facts", "pages_read"))
+
+
+_DEC = "SELECT o.run_id, n_occurrences, v_occurrences, b AS best, k.v AS v_links, k.c AS unverified_tickets, f.c AS conflicts FROM (SELECT run_id, count(*) AS n_occurrences, count(*) FILTER (verified AND source_url <> '') AS v_occurrences, max(confidence) AS b FROM {v_occurrences} GROUP BY run_id) o JOIN (SELECT run_id, count(*) FILTER (verified AND kind IN ('official', 'ticket')) AS v, count(*) FILTER (NOT verified AND kind = 'ticket') AS c FROM {v_links} GROUP BY run_id) k USING (run_id) JOIN (SELECT run_id, count(*) FILTER (status = 'conflicted') AS c FROM {v_facts} GROUP BY run_id) f USING (run_id)"
+_RAW = "greatest(best, CASE WHEN v_occurrences > 0 AND v_links > 0 THEN 0.85 WHEN v_occurrences > 0 OR v_links > 0 THEN 0.7 ELSE 0 END)"
+
+
+@query("r14_raw_decisions", f"SELECT run_id, overall, CASE WHEN n_occurrences = 0 THEN 'blocked' WHEN overall >= 0.85 AND unverified_tickets = 0 AND v_occurrences > 0 AND conflicts = 0 THEN 'auto_publish' ELSE 'needs_review' END AS decision FROM (SELECT *, round(CASE WHEN unverified_tickets > 0 THEN least({_RAW}, 0.8) ELSE {_RAW} END, 6)::DOUBLE AS overall FROM ({_DEC}) q) z")
+def _(spark, d):
+    """Decisions from the given states, without confirming by pages."""
+    metrics = verify.run_metrics(*tables(spark, d, "v_occurrences", "v_links", "v_facts"))
+    return verify.decide(verify.overall_confidence(metrics)).select("run_id", "overall", "decision")
+
+
+def review_drafts(spark, d):
+    links = view(spark, d, "v_links").groupBy("run_id").agg(F.count_if(F.col("kind") == "ticket").alias("n_tickets"))
+    return view(spark, d, "v_occurrences").withColumn("title", F.col("artist")).join(links, "run_id")
+
+
+_ISSUES = "SELECT run_id, unnest(list_filter([CASE WHEN city_name = '' THEN 'city is missing' END, CASE WHEN event_date IS NULL THEN 'date is missing' END, CASE WHEN NOT verified THEN 'occurrence is not verified' END, CASE WHEN n = 0 THEN 'no ticket link' END], lambda x: x IS NOT NULL)) AS message FROM {v_occurrences} JOIN (SELECT run_id, count(*) FILTER (kind = 'ticket') AS n FROM {v_links} GROUP BY run_id) k USING (run_id)"
+
+
+@query("r13_a7_issue_counts", f"SELECT CASE message WHEN 'city is missing' THEN 'error' WHEN 'date is missing' THEN 'error' WHEN 'no ticket link' THEN 'info' ELSE 'warning' END AS severity, message, count(*) AS n FROM ({_ISSUES}) q GROUP BY message")
+def _(spark, d):
+    return verify.issue_counts(verify.issues(review_drafts(spark, d)))
+
+
+@query("r15_u4_refuted_issues", f"SELECT message, count(*) AS n FROM ({_ISSUES}) q JOIN (SELECT run_id, count(*) FILTER (verified AND kind = 'ticket') AS t FROM {{v_links}} GROUP BY run_id) k USING (run_id) WHERE NOT (message = 'occurrence is not verified' AND t > 0) GROUP BY message")
+def _(spark, d):
+    metrics = verify.run_metrics(*tables(spark, d, "v_occurrences", "v_links", "v_facts"))
+    kept = verify.without_refuted(verify.issues(review_drafts(spark, d)), metrics, {"occurrence is not verified": "v_ticket"})
+    return kept.groupBy("message").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("u3_j17_merged_links", f"SELECT run_id, url, src FROM (SELECT *, row_number() OVER (PARTITION BY run_id, {_LOOSE.replace('{0}', 'url')} ORDER BY src, pos) AS n FROM (SELECT run_id, pos, url, 0 AS src FROM {{v_links}} UNION ALL SELECT run_id, pos, url, 1 FROM {{pages_read}}) q) z WHERE n = 1")
+def _(spark, d):
+    merged = verify.merge_links(view(spark, d, "v_links").select("run_id", "pos", "url", F.lit(0).alias("origin")), view(spark, d, "pages_read").select("run_id", "pos", "url", F.lit(1).alias("origin")))
+    return merged.select("run_id", "url", F.col("origin").alias("src"))
+
+
+@query("r7_r23_trust", "SELECT run_id, pos, CASE WHEN weak THEN 'low' WHEN source_type = 'search' AND label = 'high' THEN 'medium' ELSE label END AS label, CASE WHEN status = 'verified' AND (weak OR source_type = 'search' OR (source_type = 'user' AND source_url = '')) THEN 'unverified' ELSE status END AS status FROM (SELECT *, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS label, run_id % 7 = 0 AS weak FROM {v_facts}) q")
+def _(spark, d):
+    evidence = view(spark, d, "v_facts").withColumns({"label": verify.label_of(F.col("confidence")), "explanation": F.expr("CASE WHEN run_id % 7 = 0 THEN 'maybe so' ELSE 'seen' END")})
+    return verify.trust(evidence).select("run_id", "pos", "label", "status")
+
+
+@query("j12_j13_support", f"SELECT f.run_id, f.pos, bool_or({has(key('f.value')).replace('contains(hay', 'contains(hay').replace(chr(39) + ' ' + chr(39) + ' || ', '').replace(' || ' + chr(39) + ' ' + chr(39), '')}) AS supported FROM {{v_facts}} f JOIN (SELECT run_id, {key('text')} AS hay FROM {{pages_read}}) p ON p.run_id = f.run_id WHERE f.field IN ('venue', 'price') GROUP BY f.run_id, f.pos")
+def _(spark, d):
+    facts = view(spark, d, "v_facts").filter("field in ('venue', 'price')").select("run_id", "pos", "value")
+    both = facts.join(view(spark, d, "pages_read").select("run_id", "text"), "run_id")
+    plain_support = F.contains(t.search_key(F.col("text")), t.search_key(F.col("value"))) & (t.search_key(F.col("value")) != "")
+    return both.groupBy("run_id", "pos").agg(F.bool_or(plain_support & verify.supports(F.col("value"), F.col("text"))).alias("supported"))
+
+
+@query("r11_confidence_labels", "SELECT run_id, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS label, CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.55 THEN 'medium' ELSE 'low' END AS sync_label, round(greatest(CASE WHEN city_name <> '' THEN 0.25 ELSE 0 END + CASE WHEN event_date IS NOT NULL THEN 0.3 ELSE 0 END + 0.25, 0.4), 6)::DOUBLE AS built FROM {v_occurrences}")
+def _(spark, d):
+    o = view(spark, d, "v_occurrences")
+    return o.select("run_id", verify.label_of(F.col("confidence")).alias("label"), verify.label_of(F.col("confidence"), *verify.SYNC_CUTS).alias("sync_label"), verify.occurrence_confidence(F.col("city_name"), F.col("event_date"), F.col("venue_name")).alias("built"))
+
+
+@query("r1_r16_parsed_results", "SELECT run_id, artist AS title, CASE WHEN run_id % 2 = 0 THEN true ELSE false END AS is_useful, least(greatest((run_id % 30) / 10.0 - 0.5, 0), 1)::DOUBLE AS confidence, CASE WHEN run_id % 3 = 0 THEN 'needs_review' ELSE 'publish' END AS recommendation FROM {v_occurrences} WHERE run_id % 5 <> 0")
+def _(spark, d):
+    """JSON answers within prose, typed; one in five is cut off and goes to the rejects."""
+    body = F.expr("concat('Answer:\\n{\"title\": \"', artist, '\", \"is_useful\": \"', CASE WHEN run_id % 2 = 0 THEN 'да' ELSE 'no' END, '\", \"confidence\": ', cast(run_id % 30 / 10.0 - 0.5 as decimal(6, 2)), ', \"recommendation\": \"', CASE WHEN run_id % 3 = 0 THEN ' ' ELSE 'publish' END, '\"', CASE WHEN run_id % 5 = 0 THEN '' ELSE '} bye' END)")
+    good, _ = verify.parse_results(view(spark, d, "v_occurrences").select("run_id", body.alias("text")))
+    return good.select("run_id", "title", "is_useful", "confidence", "recommendation")
+
+
+@query("r24_manual_flags", "SELECT run_id, run_id % 4 = 1 AS manual FROM {v_occurrences}")
+def _(spark, d):
+    metadata = F.create_map(F.lit("manual_confirmation"), F.expr("CASE run_id % 4 WHEN 1 THEN ' Да' WHEN 2 THEN 'no' ELSE '' END"))
+    return view(spark, d, "v_occurrences").select("run_id", verify.manual_flag(metadata).alias("manual"))
+
+
+@query("t2_t6_summaries", f"SELECT run_id, string_agg(CASE WHEN status = 'verified' THEN '✅' ELSE '⚠️' END || ' ' || field || ': ' || value, chr(10) ORDER BY pos) || chr(10) || '→ ' || CASE WHEN run_id % 2 = 0 THEN 'publish' ELSE 'review' END AS text FROM {{v_facts}} GROUP BY run_id")
+def _(spark, d):
+    rows = view(spark, d, "v_facts").withColumn("decision", F.expr("CASE WHEN run_id % 2 = 0 THEN 'publish' ELSE 'review' END"))
+    return verify.summary_text(rows)
+
+
+@query("n25_spellings", f"SELECT run_id, count(*) AS n_pages FROM {{v_occurrences}} JOIN ({_PAGES}) p USING (run_id) WHERE {has_date('event_date')} GROUP BY run_id")
+def _(spark, d):
+    """How many of a run's pages carry its date in any spelling."""
+    page = verify.usable(view(spark, d, "pages_read")).select("run_id", verify.haystack().alias("hay"))
+    met = view(spark, d, "v_occurrences").join(page, "run_id").filter(verify.held(F.col("hay"), verify.date_spellings(F.col("event_date"))))
+    return met.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_pages"))
