@@ -6,7 +6,6 @@ Blocks are rows of image_id, ordinal, backend, text, confidence, x, y, w, h, blo
 from __future__ import annotations
 
 import difflib
-import tempfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +15,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions import dates, fields
 from ..functions import text as t
+from ..plans.shared import checkpointed
 
 
 def accepted(blocks: DataFrame, least: float = 0.3) -> DataFrame:
@@ -64,16 +64,14 @@ def overlap_groups(blocks: DataFrame, pairs: DataFrame, most_rounds: int = 50) -
     Labels pass along edges and jump to their own label's label until none changes; each
     round is checkpointed. Groups never leave an image.
     """
-    spark = blocks.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-    edges = pairs.unionByName(pairs.select("image_id", F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
+    edges = pairs.unionByName(pairs.select("image_id", F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = checkpointed(edges)
     labels = edges.select("image_id", F.col("a").alias("ordinal")).distinct().withColumn("label", F.col("ordinal"))
     for _ in range(most_rounds):
         seen = edges.join(labels.select("image_id", F.col("ordinal").alias("b"), F.col("label").alias("near")), ["image_id", "b"]).groupBy("image_id", F.col("a").alias("ordinal")).agg(F.min("near").alias("near"))
         stepped = labels.join(seen, ["image_id", "ordinal"]).select("image_id", "ordinal", "label", F.least("label", "near").alias("to"))
         jump = stepped.select("image_id", F.col("ordinal").alias("to"), F.col("to").alias("further"))
-        moved = stepped.join(jump, ["image_id", "to"]).select("image_id", "ordinal", "label", F.least("to", "further").alias("new")).checkpoint()
+        moved = checkpointed(stepped.join(jump, ["image_id", "to"]).select("image_id", "ordinal", "label", F.least("to", "further").alias("new")))
         labels = moved.select("image_id", "ordinal", F.col("new").alias("label"))
         if moved.filter("new <> label").isEmpty():
             break

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, fields
 from ..functions import text as t
+from ..plans.shared import checkpointed
 
 
 def lines(posts: DataFrame) -> DataFrame:
@@ -116,11 +117,14 @@ def source_lines(line_table: DataFrame) -> DataFrame:
     return line_table.groupBy("post_id").agg(F.min_by("line", F.struct(rank.isNull(), rank, F.col("pos"))).alias("source_line"))
 
 
-def occurrences(line_table: DataFrame) -> DataFrame:
-    """post_id, event_date, city, strategy: two or more linked or dated cities, else the post's single fields."""
+def occurrences(line_table: DataFrame, single: DataFrame | None = None) -> DataFrame:
+    """post_id, event_date, city, strategy: two or more linked or dated cities, else the post's single fields.
+
+    single is single_fields() of the same lines, if it is at hand.
+    """
     plan = schedule(line_table)
     many = plan.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("post_id"))).filter("n >= 2").select("post_id", "event_date", "city", F.lit("schedule").alias("strategy"))
-    one = single_fields(line_table).filter("start_date is not null or city is not null").select("post_id", F.col("start_date").alias("event_date"), "city", F.lit("single").alias("strategy"))
+    one = (single_fields(line_table) if single is None else single).filter("start_date is not null or city is not null").select("post_id", F.col("start_date").alias("event_date"), "city", F.lit("single").alias("strategy"))
     return many.unionByName(one.join(many.select("post_id").distinct(), "post_id", "left_anti"))
 
 
@@ -145,16 +149,20 @@ def warnings(kind: Column, n_occurrences: Column) -> Column:
 
 
 def drafts(posts: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
-    """One row for each post with every field; the shuffle key of all parts is post_id."""
-    table = lines(posts)
+    """One row for each post with every field; the shuffle key of all parts is post_id.
+
+    The lines, and the fields taken from them, are computed once and kept in the shared folder.
+    """
+    table = checkpointed(lines(posts))
+    single = checkpointed(single_fields(table))
     listed = lambda df, of, name: df.groupBy("post_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", of))), lambda s: s[of]), ", ").alias(name))
     link_table = links(table)
-    spread = occurrences(table).groupBy("post_id").agg(F.count(F.lit(1)).alias("n_occurrences"), F.count("event_date").alias("n_dated"))
+    spread = occurrences(table, single).groupBy("post_id").agg(F.count(F.lit(1)).alias("n_occurrences"), F.count("event_date").alias("n_dated"))
     text = t.normal_text(F.col("text"))
     kind = fields.message_kind(text)
     base = posts.select("post_id", "channel_id", "source", "published", kind["kind"].alias("kind"), kind["confidence"].alias("kind_confidence"), fields.status(text).alias("status"), fields.age_limit(text).alias("age_limit"), F.array_join(fields.promo_codes(text), ",").alias("promo_codes"))
     out = base
-    for part in (titles(table), listed(artists(table), "artist", "artists"), listed(link_table, "url", "links"), link_table.groupBy("post_id").agg(F.count_if(F.col("link_type") == "ticket").alias("n_tickets")), single_fields(table), spread, descriptions(table)):
+    for part in (titles(table), listed(artists(table), "artist", "artists"), listed(link_table, "url", "links"), link_table.groupBy("post_id").agg(F.count_if(F.col("link_type") == "ticket").alias("n_tickets")), single, spread, descriptions(table)):
         out = out.join(part, "post_id", "left")
     out = out.fillna(0, ["n_occurrences", "n_dated", "n_tickets"])
     if profiles is not None:
@@ -163,7 +171,7 @@ def drafts(posts: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
 
 
 def with_ocr(posts: DataFrame, images: DataFrame) -> DataFrame:
-    """Posts with the first non-empty image text appended: by position, nulls last, then the larger area."""
-    order = Window.partitionBy("post_id").orderBy(F.col("position").asc_nulls_last(), F.desc(F.col("width") * F.col("height")))
+    """Posts with the first non-empty image text appended: by position, nulls last, then the larger area, then the text."""
+    order = Window.partitionBy("post_id").orderBy(F.col("position").asc_nulls_last(), F.desc(F.col("width") * F.col("height")), "ocr_text")
     first = images.filter(F.trim("ocr_text") != "").withColumn("n", F.row_number().over(order)).filter("n = 1").select("post_id", "ocr_text")
     return posts.join(first, "post_id", "left").withColumn("text", F.concat_ws("\n\n", "text", "ocr_text")).drop("ocr_text")

@@ -10,6 +10,7 @@ from .functions import text as t
 from .operators import posts as p
 from .operators import reports
 from .plans.fixtures import plain, view, with_views
+from .plans.shared import checkpointed
 
 QUERIES, SQL = {}, {}
 
@@ -374,7 +375,7 @@ def _(spark, d):
     return p.descriptions(p.lines(view(spark, d, "posts")))
 
 
-@query("x44_with_ocr", "SELECT p.post_id, sha256(CASE WHEN o.t IS NULL THEN p.text ELSE p.text || chr(10) || chr(10) || o.t END) AS text_sha256 FROM {posts} p LEFT JOIN (SELECT image_id, t FROM (SELECT image_id, text AS t, row_number() OVER (PARTITION BY image_id ORDER BY pos NULLS LAST, w * h DESC, ordinal) AS n FROM (SELECT *, CASE WHEN ordinal % 3 = 0 THEN NULL ELSE ordinal END AS pos FROM {ocr_blocks}) b WHERE trim(text) <> '') c WHERE n = 1) o ON o.image_id = p.post_id")
+@query("x44_with_ocr", "SELECT p.post_id, sha256(CASE WHEN o.t IS NULL THEN p.text ELSE p.text || chr(10) || chr(10) || o.t END) AS text_sha256 FROM {posts} p LEFT JOIN (SELECT image_id, t FROM (SELECT image_id, text AS t, row_number() OVER (PARTITION BY image_id ORDER BY pos NULLS LAST, w * h DESC, text) AS n FROM (SELECT *, CASE WHEN ordinal % 3 = 0 THEN NULL ELSE ordinal END AS pos FROM {ocr_blocks}) b WHERE trim(text) <> '') c WHERE n = 1) o ON o.image_id = p.post_id")
 def _(spark, d):
     images = view(spark, d, "ocr_blocks").selectExpr("image_id AS post_id", "CASE WHEN ordinal % 3 = 0 THEN NULL ELSE ordinal END AS position", "w AS width", "h AS height", "text AS ocr_text")
     return p.with_ocr(view(spark, d, "posts"), images).select("post_id", F.sha2("text", 256).alias("text_sha256"))
@@ -386,8 +387,9 @@ def _(spark, d):
 
 
 def drafts(spark, d):
+    """Drafts of the posts, kept once made: reports read them more than once."""
     profiles = view(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("channel_id"), F.expr("CASE WHEN n_nationkey % 3 = 0 THEN n_name END").alias("profile_city"), F.lit(None).cast("string").alias("profile_venue"))
-    return p.drafts(view(spark, d, "posts"), profiles)
+    return checkpointed(p.drafts(view(spark, d, "posts"), profiles))
 
 
 @query("x43_drafts")

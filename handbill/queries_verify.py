@@ -110,10 +110,10 @@ def entities(spark, d):
 
 
 def block_texts(spark, d):
-    return view(spark, d, "ocr_blocks").select(F.concat_ws("/", "image_id", "ordinal").alias("text_id"), "text")
+    return view(spark, d, "ocr_blocks").select(F.concat_ws("/", "image_id", "ordinal", "text").alias("text_id"), "text").distinct()
 
 
-@query("j2_exact_names", "SELECT DISTINCT image_id || '/' || ordinal AS text_id, s_name AS name, s_suppkey AS entity_id FROM {ocr_blocks} JOIN supplier ON lower(replace(text, ' ', '')) = lower(replace(s_name, ' ', ''))")
+@query("j2_exact_names", "SELECT DISTINCT image_id || '/' || ordinal || '/' || text AS text_id, s_name AS name, s_suppkey AS entity_id FROM {ocr_blocks} JOIN supplier ON lower(replace(text, ' ', '')) = lower(replace(s_name, ' ', ''))")
 def _(spark, d):
     return ocr.exact_names(block_texts(spark, d), entities(spark, d))
 
