@@ -202,9 +202,10 @@ def with_note(value: Column, note: Column) -> Column:
 
 
 def balanced_object(value: Column) -> Column:
-    """The first JSON object in free text; null if none parses."""
+    """The first JSON object in free text, null if there is none; only texts with nested or several braces leave the JVM."""
     greedy = F.regexp_extract(text_or_empty(value), r"(?s)\{.*\}", 0)
-    return F.when(F.try_parse_json(greedy).isNotNull(), greedy).when(F.contains(value, F.lit("{")), first_object(value))
+    flat = greedy.rlike(r"(?s)^\{[^{}]*\}$") & F.try_parse_json(greedy).isNotNull()
+    return F.when(flat, greedy).when(F.contains(value, F.lit("{")), first_object(value))
 
 
 @pandas_udf(T.StringType())

@@ -303,3 +303,36 @@ def summary_text(rows: DataFrame) -> DataFrame:
     mark = F.when(F.col("status") == "verified", "✅").otherwise("⚠️")
     parts = F.array_sort(F.collect_list(F.struct("pos", F.concat(mark, F.lit(" "), "field", F.lit(": "), "value").alias("line"))))
     return rows.groupBy("run_id").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("facts"), F.first("decision").alias("decision")).select("run_id", F.concat_ws("\n", "facts", F.concat(F.lit("→ "), "decision")).alias("text"))
+
+
+def synced(drafts: DataFrame, verified: DataFrame) -> DataFrame:
+    """Draft occurrences with what they lack taken from the verified one at the same place of the run."""
+    known = [c for c in verified.columns if c in drafts.columns and c not in ("run_id", "pos")]
+    found = verified.select("run_id", "pos", *(F.col(c).alias(f"_v_{c}") for c in known))
+    joined = drafts.join(found, ["run_id", "pos"], "left")
+    return joined.withColumns({c: F.coalesce(F.col(f"_v_{c}"), t.blank_to_null(F.col(c))) if c == "source_url" else F.coalesce(F.col(c), F.col(f"_v_{c}")) for c in known}).drop(*(f"_v_{c}" for c in known))
+
+
+def best_source(links: DataFrame, facts: DataFrame) -> DataFrame:
+    """run_id, url: the first verified official link, else the first fact's source."""
+    official = links.filter("verified and kind = 'official'").select("run_id", F.lit(0).alias("rank"), "pos", "url")
+    said = facts.select("run_id", F.lit(1).alias("rank"), "pos", t.blank_to_null(F.col("source_url")).alias("url")).filter("url is not null")
+    runs = links.select("run_id").unionByName(facts.select("run_id")).distinct()
+    return runs.join(official.unionByName(said).groupBy("run_id").agg(F.min_by("url", F.struct("rank", "pos")).alias("url")), "run_id", "left")
+
+
+def page_evidence(pages: DataFrame) -> DataFrame:
+    """An evidence row for each page that was read."""
+    return usable(pages).select("run_id", F.lit("page").alias("field"), F.col("title").alias("value"), F.lit("verified").alias("status"), F.when(is_ticket_url(F.col("url")), "ticket_service").otherwise("official_site").alias("source_type"), F.col("url").alias("source_url"))
+
+
+def consistency() -> Column:
+    """Warnings of an occurrence whose parts contradict each other."""
+    return F.array_compact(F.array(F.when((F.col("confidence") > 0.9) & ~F.col("verified"), "sure_but_unverified"), F.when(F.col("verified") & t.blank_to_null(F.col("source_url")).isNull(), "verified_without_source")))
+
+
+def review_rows(occurrences: DataFrame, links: DataFrame) -> DataFrame:
+    """run_id, title, n_links, confidence and missing of runs: .70, or .55 where a date or city is missing."""
+    counts = links.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_links"))
+    missing = F.array_compact(F.array(F.when(F.col("event_date").isNull(), "date"), F.when(t.blank_to_null(F.col("city_name")).isNull(), "city")))
+    return occurrences.join(counts, "run_id").select("run_id", F.col("artist").alias("title"), "n_links", F.when(F.size(missing) > 0, 0.55).otherwise(0.7).alias("confidence"), F.array_join(missing, ",").alias("missing"))

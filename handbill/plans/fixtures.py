@@ -58,17 +58,17 @@ FROM {orders} JOIN {customer} ON o_custkey = c_custkey CROSS JOIN (SELECT 1 AS k
     "v_occurrences": """
 SELECT o_orderkey AS run_id, cast(0 as int) AS pos, c_name AS artist, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'Минск' END AS city_name, 'Клуб ' || cast(o_orderkey % 50 as string) AS venue_name,
   CASE WHEN o_orderkey % 9 = 0 THEN cast(null as date) ELSE cast(o_orderdate as date) END AS event_date, CASE WHEN o_orderkey % 2 = 0 THEN '20:00' ELSE cast(null as string) END AS start_time,
-  o_orderkey % 6 = 0 AS verified, round((o_orderkey % 100) / 100.0, 2) AS confidence, CASE WHEN o_orderkey % 6 = 0 THEN 'https://site.example/' ELSE '' END AS source_url
+  o_orderkey % 6 = 0 AS verified, cast(round((o_orderkey % 100) / 100.0, 2) as double) AS confidence, CASE WHEN o_orderkey % 6 = 0 THEN 'https://site.example/' ELSE '' END AS source_url
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
     "v_links": """
 SELECT o_orderkey AS run_id, cast(k as int) AS pos, CASE WHEN k = 1 THEN 'https://' || CASE o_orderkey % 4 WHEN 0 THEN 'site' WHEN 1 THEN 'TICKETS.site' WHEN 2 THEN 't.me/site' ELSE 'other' END || cast(c_nationkey as string) || '.example/p' || cast(o_orderkey as string) ELSE 'https://vk.com/club' || cast(o_orderkey as string) END AS url,
-  CASE (o_orderkey + k) % 3 WHEN 0 THEN 'ticket' WHEN 1 THEN 'official' ELSE 'social' END AS kind, o_orderkey % 4 = 1 AS verified, round((o_orderkey % 90) / 100.0, 2) AS confidence
+  CASE (o_orderkey + k) % 3 WHEN 0 THEN 'ticket' WHEN 1 THEN 'official' ELSE 'social' END AS kind, o_orderkey % 4 = 1 AS verified, cast(round((o_orderkey % 90) / 100.0, 2) as double) AS confidence
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) AS two""",
     "v_facts": """
 SELECT o_orderkey AS run_id, cast(k as int) AS pos, CASE k WHEN 1 THEN 'artist' WHEN 2 THEN 'дата' WHEN 3 THEN 'venue' ELSE 'price' END AS field,
   CASE k WHEN 1 THEN c_name WHEN 2 THEN cast(cast(o_orderdate as date) as string) WHEN 3 THEN 'Клуб ' || cast(o_orderkey % 50 as string) ELSE cast(o_orderkey % 1000 as string) END AS value,
   CASE (o_orderkey + k) % 3 WHEN 0 THEN 'verified' WHEN 1 THEN 'unverified' ELSE 'conflicted' END AS status, CASE o_orderkey % 4 WHEN 0 THEN 'official_site' WHEN 1 THEN 'search' WHEN 2 THEN 'manual' ELSE 'user' END AS source_type,
-  round(((o_orderkey + k) % 100) / 100.0, 2) AS confidence, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'https://site' || cast(c_nationkey as string) || '.example/' END AS source_url
+  cast(round(((o_orderkey + k) % 100) / 100.0, 2) as double) AS confidence, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'https://site' || cast(c_nationkey as string) || '.example/' END AS source_url
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) AS four""",
 }
 #: The one view whose SQL differs: a row for each line.

@@ -196,9 +196,9 @@ def _(spark, d):
 _every = L + r"(?:кажд(?:ый|ую|ое)|по)\s+" + _D + R
 
 
-@query("x15_recurring", over_posts(f"regexp_matches(x, '{L}(?:ежедневно|каждый\\s+день){R}') AS daily, {pick(ex(_every, 1), dates.WEEKDAYS)} AS weekday"))
+@query("x15_recurring", over_posts(f"regexp_matches(x, '{L}(?:ежедневно|каждый\\s+день){R}') AS daily, coalesce({pick(ex(_every, 1), dates.WEEKDAYS)}, -1) AS weekday"))
 def _(spark, d):
-    return spark_posts(spark, d).select("post_id", dates.is_daily(F.col("x")).alias("daily"), dates.recurring_weekday(F.col("x")).alias("weekday"))
+    return spark_posts(spark, d).select("post_id", dates.is_daily(F.col("x")).alias("daily"), F.coalesce(dates.recurring_weekday(F.col("x")), F.lit(-1)).alias("weekday"))
 
 
 _lab = r"(?m)^\s*(?:дата|когда|when|date)\s*[:\-]\s*(.+)$"
@@ -278,9 +278,9 @@ def _(spark, d):
     return view(spark, d, "posts").select("post_id", F.explode(fields.promo_codes(F.col("text"))).alias("code")).select("post_id", F.upper("code").alias("code"))
 
 
-@query("x25_ages", r"SELECT post_id, try_cast(regexp_extract(lower(text), '(?:^|[^0-9])([0-9]{1,2})\s*(?:\+|лет)', 1) AS INT) AS age FROM {posts}")
+@query("x25_ages", r"SELECT post_id, try_cast(regexp_extract(lower(text), '(?:^|[^0-9])([0-9]{1,2})\s*(?:\+|лет)', 1) AS INT) AS age FROM {posts} WHERE age IS NOT NULL")
 def _(spark, d):
-    return view(spark, d, "posts").select("post_id", fields.age_limit(F.col("text")).alias("age"))
+    return view(spark, d, "posts").select("post_id", fields.age_limit(F.col("text")).alias("age")).filter("age is not null")
 
 
 @query("x26_prices", r"SELECT post_id, pos, trim(coalesce(nullif(regexp_extract(line, '(?i)^\s*(?:цена|стоимость|price)\s*[:\-]\s*(.+?)\s*$', 1), ''), nullif(regexp_extract(line, '(?i)([0-9]+\s*(?:руб|₽|р))', 1), ''))) AS price FROM {lines} WHERE regexp_matches(lower(line), '" + f"{L}(?:цена|стоимость|price){R}" + r"|[0-9]+\s*(?:руб|₽|р($|[^\p{L}]))')")
@@ -310,7 +310,7 @@ _KIND = "CASE WHEN y = '' THEN 'unknown' " + " ".join(f"WHEN {_in(whole)}regexp_
 _KINDS = f"SELECT post_id, source, channel_id, y, {_KIND} AS kind FROM (SELECT *, {TEXT} AS x, regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g') AS y FROM {{posts}}) q"
 
 
-@query("f2_message_kinds", f"SELECT post_id, kind, CASE kind WHEN 'giveaway' THEN 0.95 WHEN 'promo' THEN 0.9 WHEN 'digest' THEN 0.85 WHEN 'tour_announcement' THEN 0.8 WHEN 'event' THEN 0.75 WHEN 'unknown' THEN 0.3 ELSE CASE WHEN {_in(fields.LOW_SIGNAL)[:-4]} THEN 0.75 ELSE 0.7 END END AS confidence FROM ({_KINDS}) z")
+@query("f2_message_kinds", f"SELECT post_id, kind, (CASE kind WHEN 'giveaway' THEN 0.95 WHEN 'promo' THEN 0.9 WHEN 'digest' THEN 0.85 WHEN 'tour_announcement' THEN 0.8 WHEN 'event' THEN 0.75 WHEN 'unknown' THEN 0.3 ELSE CASE WHEN {_in(fields.LOW_SIGNAL)[:-4]} THEN 0.75 ELSE 0.7 END END)::DOUBLE AS confidence FROM ({_KINDS}) z")
 def _(spark, d):
     k = fields.message_kind(F.col("text"))
     return view(spark, d, "posts").select("post_id", k["kind"].alias("kind"), k["confidence"].alias("confidence"))

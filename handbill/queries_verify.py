@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import text as t
-from .operators import ocr, verify
+from .operators import ocr, render, verify
 from .plans.fixtures import plain, view, with_views
+from .sources import chat, sinks
 
 QUERIES, SQL = {}, {}
 
@@ -381,3 +382,116 @@ def _(spark, d):
     page = verify.usable(view(spark, d, "pages_read")).select("run_id", verify.haystack().alias("hay"))
     met = view(spark, d, "v_occurrences").join(page, "run_id").filter(verify.held(F.col("hay"), verify.date_spellings(F.col("event_date"))))
     return met.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_pages"))
+
+
+# Rendered texts
+
+
+def draft_columns():
+    return {"title": F.col("artist"), "artists": F.lit(""), "date": F.col("event_date"), "city": F.col("city_name"), "venue": F.col("venue_name"), "age": F.lit(18), "links": F.concat(F.lit("https://t.example/"), F.col("run_id").cast("string"))}
+
+
+@query("t1_post_texts", "SELECT run_id, concat_ws(chr(10), artist, concat_ws(', ', event_date::VARCHAR, nullif(city_name, ''), venue_name), '18+', 'https://t.example/' || run_id) AS text, '<' || artist || '> ' || coalesce(event_date::VARCHAR, '') || ' ' || city_name AS templated FROM {v_occurrences}")
+def _(spark, d):
+    o, c = view(spark, d, "v_occurrences"), draft_columns()
+    return o.select("run_id", render.post_text(c).alias("text"), render.post_text(c, "<{title}> {date} {city}").alias("templated"))
+
+
+@query("t4_draft_messages", "SELECT run_id, concat_ws(chr(10), 'title: ' || artist, 'date: ' || event_date::VARCHAR, 'city: ' || nullif(city_name, ''), 'venue: ' || venue_name, 'age: 18', 'links: https://t.example/' || run_id) AS text FROM {v_occurrences}")
+def _(spark, d):
+    return view(spark, d, "v_occurrences").select("run_id", render.draft_message(draft_columns()).alias("text"))
+
+
+@query("t3_review_texts", f"SELECT o.run_id, concat_ws(chr(10), '# ' || o.artist, 'Decision: needs_review', 'Issues:' || chr(10) || '- ' || string_agg(message, chr(10) || '- ' ORDER BY message)) AS text FROM {{v_occurrences}} o JOIN ({_ISSUES}) i ON i.run_id = o.run_id GROUP BY o.run_id, o.artist")
+def _(spark, d):
+    grouped = verify.issues(review_drafts(spark, d)).groupBy("run_id").agg(F.array_sort(F.collect_list("message")).alias("issues"))
+    held = view(spark, d, "v_occurrences").join(grouped, "run_id")
+    return held.select("run_id", render.review_text(F.col("artist"), F.lit("needs_review"), F.lit(""), F.col("issues")).alias("text"))
+
+
+@query("t5_search_texts", "SELECT run_id, rtrim(left(trim(regexp_replace(concat_ws(' ', artist, city_name, venue_name), '\\s+', ' ', 'g')), 700)) || ' official site tickets' AS text FROM {v_occurrences}")
+def _(spark, d):
+    return view(spark, d, "v_occurrences").select("run_id", render.search_text(F.col("artist"), F.col("city_name"), F.col("venue_name")).alias("text"))
+
+
+# Sources: exports and tool results derived from the tables, as their JSON would be read
+
+
+def exports(spark, d):
+    """Chat exports of up to a hundred messages each, as JSON text; one in eleven is cut off."""
+    message = F.struct(F.col("post_id").alias("id"), F.expr("CASE WHEN post_id % 4 = 3 THEN 'service' ELSE 'message' END").alias("type"), F.col("published").cast("string").alias("date"), F.col("text").alias("text"))
+    part = F.floor(F.col("post_id") / 100)
+    grouped = view(spark, d, "posts").groupBy("channel_id", part.alias("part")).agg(F.to_json(F.struct(F.first("channel_id").alias("id"), F.array_sort(F.collect_list(message)).alias("messages"))).alias("json"))
+    text = F.when((F.col("channel_id") + F.col("part")) % 11 == 0, F.left("json", F.lit(40))).otherwise(F.col("json"))
+    return grouped.select(F.concat_ws("-", F.col("channel_id"), F.col("part")).alias("file"), F.from_json(text, chat.EXPORT, {"columnNameOfCorruptRecord": "_corrupt"}).alias("x")).select("file", "x.*")
+
+
+@query("s1_s8_chat_posts", "SELECT post_id, channel_id, published::VARCHAR AS published, length(text) AS n_chars FROM {posts} WHERE post_id % 4 <> 3 AND (channel_id + post_id // 100) % 11 <> 0")
+def _(spark, d):
+    good, _ = chat.good_and_bad(exports(spark, d))
+    made = chat.posts(chat.messages(good.withColumn("file", F.concat("file", F.lit(".json")))))
+    return made.select("post_id", "channel_id", "published", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("s2_bad_exports", "SELECT channel_id || '-' || part AS file, 'unreadable' AS reason FROM (SELECT DISTINCT channel_id, post_id // 100 AS part FROM {posts}) q WHERE (channel_id + part) % 11 = 0")
+def _(spark, d):
+    return chat.good_and_bad(exports(spark, d))[1].select("file", "reason")
+
+
+@query("s9_s11_flat_rows", "SELECT run_id, NULL::VARCHAR AS list, title FROM {pages_read} WHERE pos = 1 UNION ALL SELECT o_orderkey, '[\"' || o_orderstatus || '\",\"x\"]', NULL FROM orders")
+def _(spark, d):
+    """Tables of different columns as rows for one CSV file, nested values as JSON."""
+    pages = view(spark, d, "pages_read").filter("pos = 1").select("run_id", "title")
+    orders = view(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.array("o_orderstatus", F.lit("x")).alias("list"))
+    return sinks.flat_rows(pages, orders)
+
+
+@query("s12_fingerprints", "SELECT page_id, strlen(html) AS length, sha256(html) AS sha256 FROM pages")
+def _(spark, d):
+    content = view(spark, d, "pages").select(F.col("page_id").alias("path"), F.octet_length("html").cast("long").alias("length"), F.col("html").cast("binary").alias("content"))
+    return sinks.fingerprints(content).withColumnRenamed("path", "page_id")
+
+
+@query("s22_tool_pages", "SELECT run_id, url, coalesce(status_code, 0) AS status_code FROM {pages_read} WHERE run_id % 6 <> 0")
+def _(spark, d):
+    """Pages of nested tool results; one run in six has a broken result."""
+    page = F.struct("url", "ok", F.col("blocked").alias("blocked_by_antibot"), "status_code", "title", F.col("text").alias("text_preview"))
+    results = view(spark, d, "pages_read").groupBy("run_id").agg(F.to_json(F.struct(F.collect_list(page).alias("pages"))).alias("json"))
+    data = F.when(F.col("run_id") % 6 == 0, F.lit("{broken")).otherwise(F.col("json"))
+    return sinks.tool_pages(results.select("run_id", F.lit(0).alias("step"), F.lit("url_read").alias("tool"), data.alias("data"))).select("run_id", "url", F.coalesce("status_code", F.lit(0)).alias("status_code"))
+
+
+@query("s20_kept_results", "SELECT image_id, count(*) AS n FROM {ocr_blocks} GROUP BY image_id, backend HAVING count(*) > 0")
+def _(spark, d):
+    return backend_results(spark, d).filter((F.trim("raw_text") != "") | (F.col("n_blocks") > 0)).select("image_id", F.col("n_blocks").alias("n"))
+
+
+@query("j16_synced_occurrences", "SELECT o.run_id, coalesce(nullif(o.city_name, ''), CASE WHEN m.url IS NOT NULL THEN 'Минск' END) AS city_name, coalesce(m.url, nullif(o.source_url, '')) AS source_url FROM {v_occurrences} o LEFT JOIN (SELECT run_id, min_by(url, pos) AS url FROM {pages_read} WHERE ok GROUP BY run_id) m USING (run_id)")
+def _(spark, d):
+    """Occurrences filled from the verified ones at the same place of the run."""
+    verified = view(spark, d, "pages_read").filter("ok").groupBy("run_id").agg(F.min_by("url", "pos").alias("source_url")).select("run_id", F.lit(0).alias("pos"), F.lit("Минск").alias("city_name"), "source_url")
+    return verify.synced(view(spark, d, "v_occurrences").withColumn("city_name", t.blank_to_null(F.col("city_name"))), verified).select("run_id", "city_name", "source_url")
+
+
+@query("a21_best_sources", "SELECT run_id, coalesce(min_by(url, pos) FILTER (verified AND kind = 'official'), min_by(source_url, p) FILTER (source_url <> '')) AS url FROM (SELECT run_id, pos, url, verified, kind, NULL AS source_url, NULL AS p FROM {v_links} UNION ALL SELECT run_id, NULL, NULL, NULL, NULL, source_url, pos FROM {v_facts}) q GROUP BY run_id")
+def _(spark, d):
+    return verify.best_source(*tables(spark, d, "v_links", "v_facts"))
+
+
+@query("u1_evidence_union", "SELECT field, count(*) AS n FROM (SELECT field FROM {v_facts} UNION ALL SELECT 'page' FROM {pages_read} WHERE ok AND NOT blocked AND (status_code IS NULL OR status_code BETWEEN 200 AND 399)) q GROUP BY field")
+def _(spark, d):
+    """Evidence of facts, and of the pages that were read, in one table."""
+    facts, pages = tables(spark, d, "v_facts", "pages_read")
+    every = facts.select("run_id", "field", "value", "status", "source_type", "source_url").unionByName(verify.page_evidence(pages))
+    return every.groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("r17_consistency", "SELECT run_id, array_to_string(list_filter([CASE WHEN confidence > 0.9 AND NOT verified THEN 'sure_but_unverified' END, CASE WHEN verified AND source_url = '' THEN 'verified_without_source' END], lambda x: x IS NOT NULL), ',') AS warnings FROM {v_occurrences}")
+def _(spark, d):
+    return view(spark, d, "v_occurrences").select("run_id", F.array_join(verify.consistency(), ",").alias("warnings"))
+
+
+@query("r10_r12_review_rows", "SELECT o.run_id, o.artist AS title, n AS n_links, CASE WHEN o.event_date IS NULL OR o.city_name = '' THEN 0.55 ELSE 0.7 END::DOUBLE AS confidence, array_to_string(list_filter([CASE WHEN o.event_date IS NULL THEN 'date' END, CASE WHEN o.city_name = '' THEN 'city' END], lambda x: x IS NOT NULL), ',') AS missing FROM {v_occurrences} o JOIN (SELECT run_id, count(*) AS n FROM {v_links} GROUP BY run_id) k USING (run_id)")
+def _(spark, d):
+    """Verification rows put together from evidence: title, links, what is missing, and a confidence by that."""
+    return verify.review_rows(*tables(spark, d, "v_occurrences", "v_links"))
