@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Tokens that a shard has on average.
-SHARD_TOKENS = 4 << 20
+SHARD_TOKENS = 2 << 20
 
 
 class Rooms:
@@ -79,7 +79,9 @@ _PACKED = pa.schema(
 
 def pack_shard(shard: int, docs: Iterable[tuple[int | None, np.ndarray]], capacity: int, pad_id: int) -> list[tuple]:
     """Packed rows of one shard's documents, which are put in order first."""
-    docs = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0, len(d[1]), d[1].tobytes()))
+    docs = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0, len(d[1])))
+    if len({(d, len(ids)) for d, ids in docs}) < len(docs):  # repeated documents go by their ids
+        docs.sort(key=lambda d: (d[0] is None, d[0] or 0, len(d[1]), d[1].tobytes()))
     segments = [(n, part, ids[start : start + capacity]) for n, (_, ids) in enumerate(docs) for part, start in enumerate(range(0, len(ids), capacity))]
     out = []
     for row, members in enumerate(best_fit_decreasing([len(s[2]) for s in segments], capacity)):
@@ -109,7 +111,7 @@ def pack(encoded: DataFrame, *, capacity: int = 2048, pad_id: int = 0, end_id: i
     if about_tokens is None:
         about_tokens = encoded.agg(F.sum(F.octet_length("ids") / 4)).first()[0] or 0
     shards = max(1, math.ceil(about_tokens / shard_tokens))
-    placed = encoded.withColumn("shard", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)))
+    placed = encoded.withColumn("shard", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards))).repartition(shards, "shard")
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
