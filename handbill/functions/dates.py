@@ -208,9 +208,16 @@ RULES = {
 }
 
 
+#: What a text must contain for a rule to be tried: one quick search in place of several exact ones.
+SIGNS = {
+    "relative_range": "сегодня|завтра|вчера", "relative_day": "сегодня|завтра|вчера", "relative_offset": "через|назад", "weekday_range": "[-–—]", "weekday": "эт|следующ", "weekend": "выходн", "week": "недел",
+    "part_of_month": "нач|сер|кон", "explicit_range": r"\d", "dotted": r"\d[./-]\d", "worded": r"\d\s+[а-я]", "english": r"\d\s+[a-z]",
+}
+
+
 def date_range(text: Column, reference: Column) -> Column:
     """struct<start,end,raw,source> of the first rule that yields, else null."""
-    return let(F.lower(text), lambda low: F.coalesce(*(_named(rule(low, reference), name) for name, rule in RULES.items())))
+    return let(F.lower(text), lambda low: F.coalesce(*(F.when(low.rlike(SIGNS[name]), _named(rule(low, reference), name)) for name, rule in RULES.items())))
 
 
 def _named(found: Column, name: str) -> Column:

@@ -117,7 +117,7 @@ def line_text(words: DataFrame) -> DataFrame:
 
     Small is 6, up to 28 between single characters and 18 between words of two.
     """
-    order = Window.partitionBy("image_id", "line").orderBy("x", "y", "text")
+    order = Window.partitionBy("image_id", "line").orderBy("x", "y", "text", "w")
     gap = F.col("x") - F.lag(F.col("x") + F.col("w")).over(order)
     longest = F.greatest(F.length("text"), F.length(F.lag("text").over(order)))
     small = F.when(longest <= 1, 28).when(longest <= 2, 18).otherwise(6)

@@ -86,7 +86,7 @@ def _(spark, d):
     return ocr.evidence(ocr.image_text(fused), fused).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("w5_n23_line_text", "WITH g AS (SELECT image_id, x, y, text, x - lag(x + w) OVER o AS gap, greatest(length(text), length(lag(text) OVER o)) AS longest, row_number() OVER o AS n FROM {ocr_blocks} WINDOW o AS (PARTITION BY image_id ORDER BY x, y, text)) SELECT image_id, string_agg(CASE WHEN gap IS NULL OR gap <= CASE WHEN longest <= 1 THEN 28 WHEN longest <= 2 THEN 18 ELSE 6 END THEN text ELSE ' ' || text END, '' ORDER BY n) AS text FROM g GROUP BY image_id")
+@query("w5_n23_line_text", "WITH g AS (SELECT image_id, x, y, text, x - lag(x + w) OVER o AS gap, greatest(length(text), length(lag(text) OVER o)) AS longest, row_number() OVER o AS n FROM {ocr_blocks} WINDOW o AS (PARTITION BY image_id ORDER BY x, y, text, w)) SELECT image_id, string_agg(CASE WHEN gap IS NULL OR gap <= CASE WHEN longest <= 1 THEN 28 WHEN longest <= 2 THEN 18 ELSE 6 END THEN text ELSE ' ' || text END, '' ORDER BY n) AS text FROM g GROUP BY image_id")
 def _(spark, d):
     words = view(spark, d, "ocr_blocks").withColumn("line", F.lit(0))
     return ocr.line_text(words).select("image_id", "text")
