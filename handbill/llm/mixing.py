@@ -5,12 +5,17 @@ scaled to the target share of each source, then of each language, then of each t
 and again. A cell's rate is its weight times the token budget over its tokens: the expected
 number of times that each of its documents is drawn. A draw is a hash of doc_id, so it
 repeats exactly.
+
+A bounded plan rakes under the bound of most_copies itself: each step finds the factor at which
+the cells of a value, none over its bound, have the value's share. Where no weights reach all
+targets the budget is lowered until some do.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +43,7 @@ class Plan:
     most_copies: int = 4
     sweeps: int = 25
     seed: int = 42
+    bounded: bool = False  # rake under most_copies, instead of cutting the rates afterwards
 
 
 def topic(text: Column) -> Column:
@@ -106,22 +112,116 @@ def rake(cells: DataFrame, plan: Plan, *, local_cells: int = 20_000) -> DataFram
     return checkpointed(raked)
 
 
+#: A bounded mix is settled when no share is further from its target; the most sweeps to get there.
+SETTLED, MOST_SWEEPS = 1e-4, 600
+
+
+def _near_bounded(at: list[np.ndarray], goal: list[np.ndarray], start: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights under the bound, and how far the worst share is from its target; at has each cell's value by dimension."""
+    total = lambda k, w: np.bincount(at[k], w, len(goal[k]))
+    latent, far = start, np.inf
+    for sweep in range(MOST_SWEEPS):
+        for k, share in enumerate(goal):
+            everything = total(k, latent)
+            factor = np.divide(share, everything, out=np.zeros_like(share), where=everything > 0)  # never too large; from there Newton's steps go up
+            for _ in range(50):
+                now = latent * factor[at[k]]
+                have, free = total(k, np.minimum(now, bound)), total(k, np.where(now < bound, now, 0.0))
+                step = np.where((free > 0) & (have < share), 1 + (share - have) / np.where(free > 0, free, 1.0), 1.0)
+                if (step < 1 + 1e-12).all():
+                    break
+                factor = factor * np.minimum(step, 1e3)
+            latent = np.minimum(latent * factor[at[k]], 1e9 * bound)
+        weight = np.minimum(latent, bound)
+        was, far = far, max(np.abs(total(k, weight) - share).max() for k, share in enumerate(goal))
+        if far < SETTLED / 10 or sweep > 50 and far > SETTLED and far > was * 0.9999:
+            break
+    return weight, far
+
+
+def _far_bounded(cells: DataFrame, wanted: dict[str, DataFrame], whole: int, per_token: float) -> tuple[DataFrame, float]:
+    """_near_bounded() as joins over the table of cells, one of Newton's steps for each dimension in a sweep."""
+    bound, latent = F.col("tokens") * F.lit(per_token), F.col("weight")
+    raked, far = cells.withColumn("weight", F.col("tokens") / F.lit(float(whole))), np.inf
+    held = F.least(latent, bound)
+    for sweep in range(MOST_SWEEPS):
+        for name in DIMENSIONS:
+            sums = raked.groupBy(F.col(name).alias("value")).agg(F.sum(held).alias("have"), F.sum(F.when(latent < bound, latent).otherwise(0.0)).alias("free"), F.sum(latent).alias("all")).join(wanted[name], "value")
+            low = F.col("share") / F.col("all")
+            step = F.when(F.col("free") > 0, 1 + (F.col("share") - F.col("have")) / F.col("free")).otherwise(low)
+            factor = F.when(F.col("all") > 0, F.least(F.greatest(low, step), F.lit(1e3))).otherwise(0.0)
+            raked = checkpointed(raked.join(sums.select(F.col("value").alias(name), factor.alias("factor")), name).select(*DIMENSIONS, "tokens", F.least(latent * F.col("factor"), bound * 1e9).alias("weight")))
+        if sweep % 3 == 2:
+            was = far
+            gaps = [raked.groupBy(F.col(n).alias("value")).agg(F.sum(held).alias("have")).join(wanted[n], "value").agg(F.max(F.abs(F.col("have") - F.col("share")))).first()[0] for n in DIMENSIONS]
+            far = max(g or 0.0 for g in gaps)
+            if far < SETTLED or sweep > 50 and far > SETTLED and far > was * 0.9997:
+                break
+    return raked.withColumn("weight", held), far
+
+
+def rake_bounded(cells: DataFrame, plan: Plan, *, local_cells: int = 20_000) -> tuple[DataFrame, float]:
+    """rake() with no cell's rate over most_copies, and the budget for which its weights hold.
+
+    That is plan.budget or, where most_copies keeps it from the targets, about the largest that
+    meets them (to a hundredth of itself). Targets that no weights meet even without a bound are
+    met as closely as without one.
+    """
+    wanted = {name: checkpointed(_targets(cells, name, plan)) for name in DIMENSIONS}
+    whole = cells.agg(F.sum("tokens")).first()[0] or 0
+    if not whole:
+        return cells.withColumn("weight", F.lit(0.0)), plan.budget
+    reach = [cells.groupBy(F.col(n).alias("value")).agg(F.sum("tokens").alias("tokens")).join(wanted[n], "value").filter("share > 0").agg(F.min(F.col("tokens") / F.col("share"))).first()[0] for n in DIMENSIONS]
+    most = min([plan.budget, *(plan.most_copies * r / whole for r in reach if r is not None)])
+    head = cells.limit(local_cells + 1).collect()
+    if local := len(head) <= local_cells:
+        goal = [{r["value"]: r["share"] for r in wanted[n].collect()} for n in DIMENSIONS]
+        index = [{v: k for k, v in enumerate(g)} for g in goal]
+        at = [np.array([ix[r[n]] for r in head]) for ix, n in zip(index, DIMENSIONS, strict=True)]
+        tokens = np.array([r["tokens"] for r in head], float)
+        shares = [np.array(list(g.values()), float) for g in goal]
+
+    def tried(budget: float) -> tuple:
+        per_token = plan.most_copies / (budget * whole)
+        return _near_bounded(at, shares, tokens / whole, tokens * per_token) if local else _far_bounded(cells, wanted, whole, per_token)
+
+    budget, (weight, far) = most, tried(most)
+    if far > SETTLED:
+        low, high, closest = 0.0, most, tried(most * 1e-9)
+        enough, weight = max(SETTLED, closest[1] * 1.01), closest[0]
+        budget = most * 1e-9
+        while high - low > high / 100 and high > most * 1e-3:
+            middle = (low + high) / 2
+            found, far = tried(middle)
+            if far <= enough:
+                low, budget, weight = middle, middle, found
+            else:
+                high = middle
+    if not local:
+        return checkpointed(weight), budget
+    rows = [(*(r[n] for n in DIMENSIONS), r["tokens"], float(w)) for r, w in zip(head, weight, strict=True)]
+    return F.broadcast(cells.sparkSession.createDataFrame(rows, "source string, lang string, topic string, tokens long, weight double")), budget
+
+
 def mix(docs: DataFrame, plan: Plan | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", local_cells: int = 20_000) -> DataFrame:
     """docs with _mix_topic, _mix_tokens, _mix_rate and _mix_copies, the times that the row is drawn.
 
     The expected tokens drawn are plan.budget of all tokens, shared as raked, less what
-    most_copies cuts from rates above it. A null text is empty and counts one token; a null
+    most_copies cuts from rates above it; a bounded plan loses nothing to the cut, and _mix_budget
+    is then the budget that was reached. A null text is empty and counts one token; a null
     doc_id draws as the text 'null'. Repeated rows draw alike. An empty table stays empty.
     """
     plan = plan or Plan()
     described = docs.select("*", *_described(docs, text_col, source_col, lang_col))
     cells = checkpointed(described.groupBy(*(F.col(f"_mix_{n}").alias(n) for n in DIMENSIONS)).agg(F.sum("_mix_tokens").alias("tokens")))
-    raked = rake(cells, plan, local_cells=local_cells)
+    raked, budget = rake_bounded(cells, plan, local_cells=local_cells) if plan.bounded else (rake(cells, plan, local_cells=local_cells), plan.budget)
     whole = cells.agg(F.sum("tokens").alias("whole"))
-    rates = raked.crossJoin(F.broadcast(whole)).select(*(F.col(n).alias(f"_mix_{n}") for n in DIMENSIONS), F.round(F.col("weight") * plan.budget * F.col("whole") / F.col("tokens"), 6).alias("_mix_rate"))
+    rates = raked.crossJoin(F.broadcast(whole)).select(*(F.col(n).alias(f"_mix_{n}") for n in DIMENSIONS), F.round(F.col("weight") * budget * F.col("whole") / F.col("tokens"), 6).alias("_mix_rate"))
     if len(cells.limit(local_cells + 1).collect()) <= local_cells:
         rates = F.broadcast(rates)
     drawn = described.join(rates, [f"_mix_{n}" for n in DIMENSIONS], "left")
+    if plan.bounded:
+        drawn = drawn.withColumn("_mix_budget", F.lit(float(budget)))
     return drawn.withColumn("_mix_copies", copies(F.col("_mix_rate"), F.col(id_col), plan))
 
 

@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from handbill.llm import overlap
+from handbill.llm import mixing, overlap
 
 DDL = "doc_id long, text string, lang string, source string"
 
@@ -69,3 +69,43 @@ def test_near_stage_equals_brute_force(spark, limit):
 
 def test_near_stage_of_nothing(spark):
     assert corpus_pipeline.near(spark, spark.createDataFrame([], DDL), "").count() == 0
+
+
+def drawn_shares(mixed):
+    """The largest distance of the expected shares of drawn tokens from their targets, by dimension."""
+    plan, rows = corpus_pipeline.MIX, mixed
+    whole = sum(r._mix_rate * r._mix_tokens for r in rows)
+    out = {}
+    for name in mixing.DIMENSIONS:
+        have, all_of = {}, {}
+        for r in rows:
+            v = r[f"_mix_{name}"]
+            have[v] = have.get(v, 0) + min(r._mix_rate, plan.most_copies) * r._mix_tokens
+            all_of[v] = all_of.get(v, 0) + r._mix_tokens
+        raw = {v: plan.shares[name].get(v, 0) if name in plan.shares else n ** plan.powers[name] for v, n in all_of.items()}
+        out[name] = max(abs(have[v] / whole - raw[v] / sum(raw.values())) for v in raw)
+    return out
+
+
+def test_mixture_stage_meets_its_targets_under_the_bound(spark):
+    rng = random.Random(7)
+    signs = ["", "", "", "", "", "@", " | ", "icense", "%"]
+    rows = [(k, rng.choice(signs) + "x" * rng.randrange(40, 400), rng.choice(["a", "a", "b"]), rng.choice(["s", "s", "s", "t"])) for k in range(600)]
+    mixed = mixing.mix(spark.createDataFrame(rows, DDL), corpus_pipeline.MIX).collect()
+    assert all(0 <= r._mix_rate <= 1 for r in mixed)
+    assert max(drawn_shares(mixed).values()) < 0.001
+    assert 0.5 < mixed[0]._mix_budget <= 0.8
+    drawn = sum(r._mix_rate * r._mix_tokens for r in mixed) / sum(r._mix_tokens for r in mixed)
+    assert abs(drawn - mixed[0]._mix_budget) < 0.001
+
+
+def test_bounded_raking_both_ways(spark):
+    rows = [("s", "en", "prose", 60), ("s", "en", "contact", 9), ("s", "de", "prose", 30), ("s", "de", "contact", 12), ("t", "en", "prose", 25), ("t", "de", "contact", 6)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long").coalesce(1)
+    plan = mixing.Plan(shares={"topic": {"prose": 0.8, "contact": 0.2}}, powers={"source": 1.0, "lang": 1.0}, budget=0.6, most_copies=1)
+    for local in (20_000, 0):
+        raked, budget = mixing.rake_bounded(cells, plan, local_cells=local)
+        found = raked.collect()
+        assert budget == 0.6 and all(r.weight * budget * 142 <= r.tokens * (1 + 1e-9) for r in found)
+        assert abs(sum(r.weight for r in found if r.topic == "prose") - 0.8) < 0.001
+        assert abs(sum(r.weight for r in found if r.source == "t") - 31 / 142) < 0.001
