@@ -205,18 +205,22 @@ def _table(data: bytes, at: int, head: Header) -> dict | None:
 
 
 def read_stream(data: bytes) -> Stream:
-    """Reads any bytes. A header counts as a frame if the next frame of the stream, or its end, follows it."""
+    """Reads any bytes. A header counts as a frame if the next frame of the stream, or its end, follows it.
+
+    TAG 128 bytes before the end begins an ID3v1 tag unless it lies within a frame of the stream.
+    """
     found, size, at = Stream(), len(data), 0
     while (end := _id3v2(data, at, found)) > at:
         at = end
     if size - at >= 128 and data[-128:-125] == b"TAG":
         found.id3v1, size = True, size - 128
-        for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93)):
-            if text := data[size + a : size + b].rstrip(b"\0 ").decode("latin-1"):
-                found.tags.setdefault(name, text)
     kind, synced, first = None, False, True
     while at + 4 <= size:
         head = header(data[at : at + 4])
+        if found.id3v1 and head is not None and size < (after := at + head.size) <= len(data) and (kind is None or head.kind == kind):
+            nearby = header(data[after : after + 4])
+            if after == len(data) or (nearby is not None and nearby.kind == head.kind):
+                found.id3v1, size = False, len(data)
         good = head is not None and at + head.size <= size and (kind is None or head.kind == kind)
         if good and not synced:
             after = at + head.size
@@ -249,6 +253,10 @@ def read_stream(data: bytes) -> Stream:
         first = False
         at += head.size
     found.skipped += max(0, size - at)
+    if found.id3v1:
+        for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93)):
+            if text := data[size + a : size + b].rstrip(b"\0 ").decode("latin-1"):
+                found.tags.setdefault(name, text)
     return found
 
 

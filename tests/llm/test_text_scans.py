@@ -170,3 +170,15 @@ def test_audio_table(spark):
     assert len({r.media_sha256 for r in rows}) == 2 and {r.payload_bytes for r in rows} == {192}
     assert {r.n_bytes for r in rows} == {0, 4}
     assert mpeg_audio.read(mpeg_audio.store(docs.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("units", [1, 2, 3, 4, 5, 6, 7])
+def test_audio_round_trip_of_a_text_with_tag(units):
+    for at in range(192 * units - 2):
+        data = bytearray(b"." * (192 * units))
+        data[at : at + 3] = b"TAG"
+        media = mpeg_audio.write_stream(bytes(data))
+        for end, id3v1 in ((b"", False), (b"TAG" + b"title".ljust(125, b"\0"), True)):
+            found = mpeg_audio.read_stream(media + end)
+            assert mpeg_audio.payload(media, found) == data and found.id3v1 == id3v1 and found.skipped == 0
+            assert found.tags.get("title") == ("title" if id3v1 else None)
