@@ -18,6 +18,7 @@ FIELD_ALIASES = {"дата": "date", "date": "date", "город": "city", "city
 SOURCE_TYPES = {"official_site": "official", "official": "official", "ticket_service": "ticket", "tickets": "ticket", "search": "search", "user": "user_input", "user_input": "user_input", "manual": "manual"}
 TRUSTED = ("official", "ticket", "manual")
 TICKET_HOSTS = ("ticket", "kassir", "radario", "afisha")
+TICKET_PAGES = ("ticketscloud", "qtickets", "kassir", "radario", "ticketland", "tickets", "bilet", "билет")
 MONTH_WORDS = ("января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря")
 
 
@@ -156,10 +157,25 @@ def confirm_occurrences(occurrences: DataFrame, pages: DataFrame) -> DataFrame:
     return joined.withColumns({"verified": F.col("verified") | hit, "confidence": F.when(hit, F.greatest("confidence", "score", F.lit(0.9))).otherwise(F.col("confidence")), "source_url": F.coalesce("page_url", "source_url")}).drop("page_url", "score")
 
 
-def confirm_links(links: DataFrame, pages: DataFrame) -> DataFrame:
-    """Ticket and official links whose page was read are verified: 1.0 by address, .8 by domain."""
+def links_by_page_facts(links: DataFrame, pages: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """run_id, pos: links whose page by domain holds three of the run's facts, or two for a ticket link on a ticket page.
+
+    Any artist of the run counts once; each occurrence's date, city and venue count each.
+    """
+    page = usable(pages).select("run_id", F.col("pos").alias("page_pos"), haystack().alias("hay"), F.lower(F.concat_ws(" ", "url", "title")).rlike("|".join(TICKET_PAGES)).alias("tickets"))
+    met = links_by_domain(links, pages).select("run_id", "pos", "page_pos").join(links.select("run_id", "pos", "kind"), ["run_id", "pos"]).filter(F.col("kind").isin("ticket", "official", "source"))
+    said = met.select("run_id", "page_pos").distinct().join(page, ["run_id", "page_pos"]).join(occurrences.select("run_id", "artist", "event_date", "city_name", "venue_name"), "run_id")
+    has = lambda values: F.coalesce(held(F.col("hay"), values), F.lit(False)).cast("int")
+    one = lambda c: F.array(t.search_key(F.col(c)))
+    each = has(date_spellings(F.col("event_date"))) + has(city_spellings(F.col("city_name"))) + has(one("venue_name"))
+    facts = said.groupBy("run_id", "page_pos").agg((F.max(has(one("artist"))) + F.sum(each)).alias("n"), F.bool_or("tickets").alias("tickets"))
+    return met.join(facts, ["run_id", "page_pos"]).filter((F.col("n") >= 3) | ((F.col("kind") == "ticket") & F.col("tickets") & (F.col("n") >= 2))).select("run_id", "pos")
+
+
+def confirm_links(links: DataFrame, pages: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """Ticket and official links whose page was read are verified: 1.0 by address, .8 by domain if the page holds the run's facts."""
     by_url = links_by_url(links, pages).select("run_id", "pos", F.lit(1.0).alias("by_url"))
-    by_domain = links_by_domain(links, pages).select("run_id", "pos", F.lit(0.8).alias("by_domain"))
+    by_domain = links_by_page_facts(links, pages, occurrences).select("run_id", "pos", F.lit(0.8).alias("by_domain"))
     joined = links.join(by_url, ["run_id", "pos"], "left").join(by_domain, ["run_id", "pos"], "left")
     sure = F.when(F.col("kind").isin("ticket", "official", "source"), F.coalesce("by_url", "by_domain"))
     return joined.withColumns({"verified": F.col("verified") | sure.isNotNull(), "confidence": F.greatest("confidence", F.coalesce(sure, F.lit(0.0)))}).drop("by_url", "by_domain")
@@ -201,7 +217,7 @@ def decide(scored: DataFrame, auto: float = 0.85) -> DataFrame:
 def verify(occurrences: DataFrame, links: DataFrame, facts: DataFrame, pages: DataFrame) -> DataFrame:
     """The whole job: sanitise, confirm by pages, sanitise again, count, score and decide."""
     o = sanitize_occurrences(confirm_occurrences(sanitize_occurrences(occurrences), pages))
-    k = sanitize_links(confirm_links(sanitize_links(links), pages))
+    k = sanitize_links(confirm_links(sanitize_links(links), pages, occurrences))
     f = sanitize_facts(confirm_facts(sanitize_facts(facts), pages))
     return decide(overall_confidence(run_metrics(o, k, f)))
 

@@ -130,3 +130,15 @@ def test_streams_equal_batches(spark, tmp_path):
     assert sorted(r.id for r in run_stream(jobs.released(messages, cutoffs), "released").collect()) == [2, 2, 3]
     events = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "messages")).withColumns({"name": F.col("key"), "value": F.lit(1.0)})
     assert run_stream(jobs.minute_rollup(events), "minutes", "complete").agg(F.sum("n")).first()[0] == 5
+
+
+def test_links_by_domain_need_the_facts_on_their_page(spark):
+    day = dt.date(2025, 5, 3)
+    o = spark.createDataFrame([(r, 0, "Band X", "Минск", "Club Y", day) for r in range(5)], "run_id long, pos int, artist string, city_name string, venue_name string, event_date date")
+    texts = ["nothing of it", "Band X at Club Y", "Band X, Минск, Club Y", "Band X, Минск", "Band X, 2025-05-03, Минск, Club Y"]
+    hosts = ["a.example", "a.example", "a.example", "tickets.example", "a.example"]
+    p = spark.createDataFrame([(r, 0, f"https://{h}/other", True, False, 200, "", t) for r, (h, t) in enumerate(zip(hosts, texts, strict=True))], "run_id long, pos int, url string, ok boolean, blocked boolean, status_code int, title string, text string")
+    kinds = ["ticket", "official", "official", "ticket", "social"]
+    k = spark.createDataFrame([(r, 0, f"https://{h}/link", kind, False, 0.1) for r, (h, kind) in enumerate(zip(hosts, kinds, strict=True))], "run_id long, pos int, url string, kind string, verified boolean, confidence double")
+    found = {r.run_id: (r.verified, r.confidence) for r in verify.confirm_links(k, p, o).collect()}
+    assert found == {0: (False, 0.1), 1: (False, 0.1), 2: (True, 0.8), 3: (True, 0.8), 4: (False, 0.1)}
