@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where a session names none (local tests) a folder of its own is made and also
-    set as the checkpoint folder.
+    Where a session names none, a folder of its own is made and also set as the checkpoint
+    folder, but only where driver and tasks are one process: no other machine would see it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if (own := spark.sparkContext.getCheckpointDir()) is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         own = spark.sparkContext.getCheckpointDir()
     return own
@@ -44,21 +46,31 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-KEY = "_kept_key"
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have, whatever its columns are called."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def own_columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def row_key(doc_id: Column, content: Column) -> Column:
     """A non-null key of a document: its doc_id and a hash of its content."""
-    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit("/"), content.cast("string")).alias(KEY)
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit("/"), content.cast("string"))
 
 
 def one_row_each(docs: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
-    """One row of docs for each of the keys (a table of row_key(), distinct), with docs' own columns.
+    """One row of docs for each of the keys (a table of one column, row_key(), distinct), with docs' own columns.
 
     Rows that repeat a key are joined before the shuffle, so that none is hot.
     """
-    once = docs.select("*", key).dropDuplicates([KEY])
-    return once.join(keys, KEY, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    name = fresh(docs, "row_key")
+    once = docs.select("*", key.alias(name)).dropDuplicates([name])
+    return once.join(keys.toDF(name), name, "left_semi").select(*own_columns(docs))
 
 
 def slices(batches: Iterable[pa.RecordBatch], most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:

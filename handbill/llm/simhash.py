@@ -2,26 +2,35 @@
 
 A 64-bit fingerprint is cut into a ring of segments. If two fingerprints differ in at most
 T bits in all, then from some segment of the ring onwards every chain of l consecutive
-segments differs in at most l * T / segments bits. The first chain lengths allow no
-difference at all: their bits are an equality key for the candidate join. The longer chains
-are checked on each candidate before the full Hamming distance.
-
-Equal fingerprints are joined first, so copies cost nothing further. A key shared by more
-fingerprints than `pair_limit` is not paired; there each fingerprint is sent to the points
-within half the threshold, and those that meet at a point are linked to the point's smallest
-one: the same links' components, with rows in proportion to the fingerprints.
+segments differs in at most l * T / segments bits.
+
+At 2 bits and five segments the first two segments of such a chain allow no difference and
+the next two allow one between them, so one of those is equal too: three equal segments, 38
+bits, are the key of the candidate join. The longer chains are checked on each candidate
+before the full Hamming distance. Equal fingerprints are joined first, so copies cost nothing
+further. A key shared by more fingerprints than `pair_limit` is not paired; there each
+fingerprint is sent to the points within half the threshold, and those that meet at a point
+are linked to the point's smallest one: the same links' components, with rows in proportion
+to the fingerprints.
+
+Documents alike by .8 in their word shingles differ in about 10 of 64 bits and in up to 26,
+where no equal segments are left to join on. drop_similar() therefore takes its candidates
+from shared shingles (`overlap`), and the ring of eight segments and the Hamming distance
+prune them before whole sets are compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import overlap
 from .common import checkpointed, id_text, one_row_each, row_key, slices, written
 
 BITS, SEED = 64, 42
@@ -75,6 +84,36 @@ def _long(mask: int) -> Column:
     return F.lit(mask - (1 << BITS) if mask >> (BITS - 1) else mask).cast("long")
 
 
+def _keys(segments: int, most_bits: int) -> list[tuple[int, int]]:
+    """First segment and bit mask of each key: the segments from it on that allow no bit, and one of those that allow one bit among them."""
+    masks = ring(segments)
+    allowed = lambda n: n * most_bits // segments
+    free = max(n for n in range(segments) if allowed(n) == 0)
+    one = max(n for n in range(free, segments) if allowed(n) <= 1)
+    found = []
+    for start in range(segments):
+        base = sum(masks[(start + j) % segments] for j in range(free))
+        found += [(start, base | masks[(start + j) % segments]) for j in range(free, one)] if one > free + 1 else [(start, base)]
+    return found
+
+
+def _chain(a: Column, b: Column, start: int, segments: int, most_bits: int) -> Column:
+    """Whether every chain from a segment on stays within its share of the bits."""
+    masks, differ, held = ring(segments), a.bitwiseXOR(b), F.lit(True)
+    for n in range(1, segments + 1):
+        mask = sum(masks[(start + j) % segments] for j in range(n))
+        held &= F.bit_count(differ.bitwiseAND(_long(mask))) <= n * most_bits // segments
+    return held
+
+
+def on_ring(a: Column, b: Column, most_bits: int, segments: int) -> Column:
+    """Whether fingerprints differ in at most most_bits: first whether some start has its chains within their budgets, then the distance."""
+    some = _chain(a, b, 0, segments, most_bits)
+    for start in range(1, segments):
+        some |= _chain(a, b, start, segments, most_bits)
+    return some & (F.bit_count(a.bitwiseXOR(b)) <= most_bits)
+
+
 def links(prints: DataFrame, *, most_bits: int = 2, segments: int = 5, pair_limit: int = 64) -> DataFrame:
     """Edges a < b over distinct fingerprints whose components are those of all pairs within most_bits.
 
@@ -82,37 +121,26 @@ def links(prints: DataFrame, *, most_bits: int = 2, segments: int = 5, pair_limi
     """
     if most_bits != 2:
         raise ValueError("keys shared by many are resolved by midpoints, which fit a threshold of 2 bits")
-    masks = ring(segments)
-    free = next(n for n in range(1, segments + 1) if n * most_bits >= segments) - 1  # chain lengths that allow no bit
-    runs = [sum(masks[(k + j) % segments] for j in range(free)) for k in range(segments)]
-    keyed = prints.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(_long(m)) for m in runs))).alias("start", "key"))
-    met = keyed.groupBy("start", "key").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
-    shared = checkpointed(keyed.join(met, ["start", "key"]))
-
-    few = shared.filter(F.col("met") <= pair_limit).select("start", "key", "fp")
-    pairs = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), ["start", "key"]).filter("a < b")
-    differ = F.col("a").bitwiseXOR(F.col("b"))
-
-    def chain(start: int) -> Column:
-        held = F.lit(True)
-        for n in range(free + 1, segments + 1):
-            mask = sum(masks[(start + j) % segments] for j in range(n))
-            held &= F.bit_count(differ.bitwiseAND(_long(mask))) <= n * most_bits // segments
-        return held
-
-    passes = F.coalesce(*(F.when(F.col("start") == k, chain(k)) for k in range(segments)))
-    linked = pairs.filter(passes).filter(F.bit_count(differ) <= most_bits).select("a", "b")
+    runs = _keys(segments, most_bits)
+    keyed = prints.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(_long(m)) for _, m in runs))).alias("run", "key"))
+    met = keyed.groupBy("run", "key").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
+    shared = checkpointed(keyed.join(met, ["run", "key"]))
+
+    few = shared.filter(F.col("met") <= pair_limit).select("run", "key", "fp")
+    pairs = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), ["run", "key"]).filter("a < b")
+    passes = F.coalesce(*(F.when(F.col("run") == k, _chain(F.col("a"), F.col("b"), start, segments, most_bits)) for k, (start, _) in enumerate(runs)))
+    linked = pairs.filter(passes).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most_bits).select("a", "b")
 
     flips = F.array(F.lit(0).cast("long"), *(_long(1 << k) for k in range(BITS)))
-    outside = F.element_at(F.array(*(_long(((1 << BITS) - 1) ^ m) for m in runs)), F.col("start") + 1)
+    outside = F.element_at(F.array(*(_long(((1 << BITS) - 1) ^ m) for _, m in runs)), F.col("run") + 1)
     near = (
         shared.filter(F.col("met") > pair_limit)
         .withColumn("outside", outside)
-        .select("start", "key", "fp", F.explode(F.filter(flips, lambda f: f.bitwiseAND(F.col("outside")) == f)).alias("flip"))
-        .select("start", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
+        .select("run", "key", "fp", F.explode(F.filter(flips, lambda f: f.bitwiseAND(F.col("outside")) == f)).alias("flip"))
+        .select("run", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
     )
-    least = near.groupBy("start", "point").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).filter("a < top").drop("top")
-    met_at = near.join(least, ["start", "point"]).filter("a < fp").select("a", F.col("fp").alias("b"))
+    least = near.groupBy("run", "point").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).filter("a < top").drop("top")
+    met_at = near.join(least, ["run", "point"]).filter("a < fp").select("a", F.col("fp").alias("b"))
     return linked.unionByName(met_at)
 
 
@@ -182,3 +210,89 @@ def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     kept = prints.groupBy("fp").agg(first).join(rooted(prints), "fp").groupBy("root").agg(F.min("first").alias("first"))
     content = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     return one_row_each(docs, kept.select(row_key(F.col("first.doc_id"), F.col("first.text_hash"))), row_key(F.col(id_col).cast("long"), content))
+
+
+#: Most bits by which fingerprints of alike documents may differ, of 64, and the ring's segments there.
+ALIKE_BITS, ALIKE_SEGMENTS = 26, 8
+
+
+def similar_roots(docs: DataFrame, described: DataFrame, *, words: int = overlap.WORDS, alike: Fraction = overlap.ALIKE, pair_limit: int = 64, pivots: int = 4) -> DataFrame:
+    """node, root: the smallest id reachable by links, for each id of `described` that has a link.
+
+    Candidates are pairs of one shared shingle of their sketches whose sizes and places allow
+    a link and whose fingerprints pass the ring. They are verified by whole sets in rounds:
+    first each one's nearest and smallest candidate, then four times as many of those that are
+    not connected yet, until none is left. A shingle in more than pair_limit sketches is not
+    paired at once: some of its sets are compared with all of them, then of those not in its
+    largest component twice as many, until each pair in different components was compared.
+    """
+    side = ["id", "n", "r", "fp"]
+    keyed = described.select("id", "n", "fp", F.posexplode("keys").alias("at", "key")).select("key", "id", "n", (F.col("n") - F.col("at")).alias("r"), "fp")
+    often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
+    shared = checkpointed(keyed.join(often, "key").dropDuplicates(["key", "id"]))
+    met = shared.groupBy("key").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
+    shared = checkpointed(shared.drop("met").join(met, "key"))
+    lead = F.col("r") * (alike.numerator + alike.denominator) >= F.col("n") * 2 * alike.numerator  # places where a set can be its pair's smaller
+
+    fits = overlap.reach(F.col("r_x"), F.col("n_x"), F.col("r_y"), F.col("n_y"), alike) & on_ring(F.col("fp_x"), F.col("fp_y"), ALIKE_BITS, ALIKE_SEGMENTS)
+    ordered = F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), F.bit_count(F.col("fp_x").bitwiseXOR(F.col("fp_y"))).alias("bits")
+    named = lambda df, which, more=(): df.select("key", *(F.col(c).alias(f"{c}_{which}") for c in (*side, *more)))
+    few = shared.filter(F.col("met") <= pair_limit)
+    left = checkpointed(named(few.filter(lead), "x").join(named(few, "y"), "key").filter((F.struct("n_x", "id_x") < F.struct("n_y", "id_y")) & fits).select(*ordered).distinct())
+    hot = checkpointed(shared.filter(F.col("met") > pair_limit).select("key", *side))
+
+    ids = left.select(F.explode(F.array("a", "b")).alias("id")).unionByName(hot.select("id")).distinct()
+    wanted = described.select("id", "doc_id", "text_hash").join(ids, "id").groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
+    sets = written(overlap.sets_of(docs, wanted.select("id", "one.*"), words), "overlap-sets")
+
+    edges, roots, most = left.select("a", "b").limit(0), left.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0), 1
+    while not left.isEmpty():
+        near, low = (F.row_number().over(Window.partitionBy("b").orderBy(*by)) for by in (("bits", "a"), ("a",)))
+        ranked = left.withColumn("turn", F.least(near, low))
+        edges = checkpointed(edges.unionByName(overlap.alike_pairs(ranked.filter(F.col("turn") <= most).select("a", "b"), sets, alike)))
+        roots, later, most = components(edges), ranked.filter(F.col("turn") > most).drop("turn"), most * 4
+        left = checkpointed(_apart(later, roots))
+
+    done, salts = None, 16
+    while not hot.isEmpty():
+        placed = hot.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+        largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("top"))
+        rest = placed.join(largest, "key")
+        rest = rest if done is None else rest.filter("root <> top").join(done, ["key", "id"], "left_anti")
+        rest = checkpointed(rest.drop("top"))
+        if rest.isEmpty():
+            break
+        share = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(pivots)).alias("every"))
+        chosen = checkpointed(rest.join(share, "key").filter(F.pmod(F.xxhash64("key", "id", F.lit(pivots)), F.col("every")) == 0).select("key", *side, "root"))
+        done = checkpointed(chosen.select("key", "id") if done is None else done.unionByName(chosen.select("key", "id")))
+        x = named(chosen, "x", ("root",)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        y = named(placed, "y", ("root",)).withColumn("salt", F.pmod(F.hash("id_y"), F.lit(salts)))
+        pairs = x.join(y, ["key", "salt"]).filter((F.col("root_x") != F.col("root_y")) & fits).select(*ordered).select("a", "b").distinct()
+        edges = checkpointed(edges.unionByName(overlap.alike_pairs(pairs, sets, alike)))
+        roots, pivots = components(edges), pivots * 2
+    return roots
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are not connected yet."""
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(~F.col("root_a").eqNullSafe(F.col("root_b")) | F.col("root_a").isNull()).select(*pairs.columns)
+
+
+def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = overlap.WORDS, alike: Fraction = overlap.ALIKE, pair_limit: int = 64) -> DataFrame:
+    """docs with one document of each group of near copies, the one with the smallest doc_id.
+
+    Documents link when the Jaccard similarity of their word shingles is at least alike and
+    the fingerprints of those sets differ in at most ALIKE_BITS of 64; null and wordless
+    texts link with each other. All of docs' columns stay. A null doc_id is larger than any
+    other; of documents with the same doc_id in a group, one stays. An empty table stays empty.
+    """
+    plain = id_text(docs, id_col, text_col)
+    described = written(overlap.described(plain, words, alike), "overlap")
+    roots = similar_roots(plain, described, words=words, alike=alike, pair_limit=pair_limit)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    least = described.groupBy("id").agg(first)
+    kept = least.join(roots, least["id"] == roots["node"], "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))
+    content = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return one_row_each(docs, kept.select(row_key(F.col("first.doc_id"), F.col("first.text_hash"))), row_key(F.col(id_col).cast("long"), content))

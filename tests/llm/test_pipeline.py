@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from handbill.llm import mixing, overlap
+from handbill.llm import mixing, overlap, simhash
 
 DDL = "doc_id long, text string, lang string, source string"
 
@@ -42,6 +42,7 @@ def brute_kept(rows):
         return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
 
     rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
+    prints = [overlap.set_fingerprint(overlap.shingle_set(r[1])) for r in rows]
     sets, root = [shingles(r[1]) for r in rows], list(range(len(rows)))
 
     def find(i):
@@ -52,6 +53,7 @@ def brute_kept(rows):
     for b in range(len(rows)):
         for a in range(b):
             if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                assert ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count() <= simhash.ALIKE_BITS
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return sorted((rows[k] for k in range(len(rows)) if find(k) == k), key=str)
@@ -62,11 +64,41 @@ def test_near_stage_equals_brute_force(spark, limit):
     rows = planted()
     docs = spark.createDataFrame(rows, DDL).repartition(3)
     want = brute_kept(rows)
-    left = corpus_pipeline.near(spark, docs, "") if limit == 64 else overlap.drop_similar(docs, pair_limit=limit)
+    left = corpus_pipeline.near(spark, docs, "") if limit == 64 else simhash.drop_similar(docs, pair_limit=limit)
     assert sorted(map(tuple, left.collect()), key=str) == want
     assert left.columns == docs.columns and len(want) < len(rows) - 40
 
 
+def test_ring_loses_no_close_fingerprints(spark):
+    rng = random.Random(11)
+    rows = []
+    for bits in range(40):
+        for _ in range(20):
+            a, flips = rng.getrandbits(64), 0
+            for k in rng.sample(range(64), bits):
+                flips |= 1 << k
+            rows.append((a - (1 << 63), (a ^ flips) - (1 << 63), bits))
+    table = spark.createDataFrame(rows, "a long, b long, bits int")
+    for most, segments in ((26, 8), (2, 5), (3, 7)):
+        found = table.select("bits", simhash.on_ring(table["a"], table["b"], most, segments).alias("close")).collect()
+        assert all(r.close == (r.bits <= most) for r in found)
+
+
+def test_sketches_of_long_texts(spark):
+    """A text of many shingles sends few of them, and still meets its copies."""
+    rng = random.Random(3)
+    words = [f"v{k}" for k in range(5000)]
+    rows = []
+    for k in range(12):
+        base = [rng.choice(words) for _ in range(2000)]
+        copy = list(base)
+        for _ in range(30):
+            copy[rng.randrange(2000)] = rng.choice(words)
+        rows += [(2 * k, " ".join(base), "en", "s"), (2 * k + 1, " ".join(copy), "en", "s")]
+    left = simhash.drop_similar(spark.createDataFrame(rows, DDL).repartition(3))
+    assert sorted(map(tuple, left.collect()), key=str) == brute_kept(rows) and left.count() == 12
+
+
 def test_near_stage_of_nothing(spark):
     assert corpus_pipeline.near(spark, spark.createDataFrame([], DDL), "").count() == 0
 
