@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text
-from .spans import counted, digits, joined, labelled, luhn, matches, mod97
+from .spans import blocks, counted, digits, joined, labelled, let, luhn, matches, mod97, part
 
 
 @dataclass(frozen=True)
@@ -46,21 +46,25 @@ def find(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, *, id_col: str = "doc
 
     A row for every row of docs, an empty array where nothing is found; a null text counts
     as empty. The score, at most 1, rises when a word of the kind's context stands nearby.
+    Repeated rows, and rows with a null doc_id, are searched like any other; an empty table
+    gives none, and other columns are ignored whatever their names. The time follows the
+    text's length, however many matches it has.
     """
     docs = id_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     text = F.col("text")
     parts = [labelled(matches(text, k.pattern, k.valid, F.contains(text, F.lit(k.gate)) & text.rlike(k.pattern) if k.gate else None), k.name, n) for n, k in enumerate(kinds)]
     found = docs.select("doc_id", "text", F.concat(*parts).alias("found"))
 
-    def scored(s: Column) -> Column:
+    def scored(s: Column, cut: Column) -> Column:
         begin = F.greatest(s["start"] - NEARBY, F.lit(0))
-        around = F.lower(F.substring(F.col("text"), begin + 1, s["end"] - begin + NEARBY))
+        around = F.lower(F.concat(part(cut, begin, s["start"] - begin), s["value"], part(cut, s["end"], F.lit(NEARBY))))
         near = F.coalesce(*(F.when(s["kind"] == k.name, around.rlike(k.context)) for k in kinds))
         base = F.coalesce(*(F.when(s["kind"] == k.name, F.lit(k.score)) for k in kinds))
         return F.struct(s["order"], s["kind"], s["start"], s["end"], s["value"], F.round(F.least(base + F.when(near, BONUS).otherwise(0.0), F.lit(1.0)), 2).alias("score"))
 
     stays = [k.name for k in kinds if k.base]
-    spans = F.filter(F.transform("found", scored), lambda s: s["kind"].isin(stays) | (s["score"] >= LEAST))
+    every = let(F.when(F.size("found") > 0, blocks(text)), lambda cut: F.transform("found", lambda s: scored(s, cut)))
+    spans = F.filter(every, lambda s: s["kind"].isin(stays) | (s["score"] >= LEAST))
     return found.select("doc_id", F.array_sort(spans).alias("spans"))
 
 
