@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text
-from .spans import counted, joined, labelled, matches
+from .spans import counted, joined, matches
 
 
 @dataclass(frozen=True)
@@ -101,55 +101,62 @@ def _letters(members) -> set[str]:
     return found if len(found) <= MOST_LETTERS else set()
 
 
+#: A document's key: its doc_id and its text's hash, so that rows without a doc_id are not one key.
+KEY = ["doc_id", "key"]
+
+
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """doc_id, gram: which of the trigrams each document contains, in lower case."""
-    low = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    """doc_id, key, gram: which of the trigrams each document contains, in lower case."""
+    low = docs.select(*KEY, F.lower("text").alias("low"))
     held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in trigrams)))
-    return low.select("doc_id", F.explode(held).alias("gram"))
+    return low.select(*KEY, F.explode(held).alias("gram"))
 
 
 def candidates(docs: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
-    """doc_id, kinds: the documents whose postings satisfy a kind's query, with all such kinds."""
+    """doc_id, key, kinds: the documents whose postings satisfy a kind's query, with all such kinds."""
     terms = [(kind, n, gram, 1 << k, (1 << len(grams)) - 1) for kind, query in queries.items() for n, grams in enumerate(query) for k, gram in enumerate(sorted(grams))]
     asked = docs.sparkSession.createDataFrame(terms, "kind string, alternative int, gram string, bit long, whole long")
     index = postings(docs, sorted({gram for _, _, gram, _, _ in terms}))
-    met = index.join(F.broadcast(asked), "gram").groupBy("doc_id", "kind", "alternative", "whole").agg(F.bit_or("bit").alias("bits"))
-    return met.filter("bits = whole").groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
+    met = index.join(F.broadcast(asked), "gram").groupBy(*KEY, "kind", "alternative", "whole").agg(F.bit_or("bit").alias("bits"))
+    return met.filter("bits = whole").groupBy(*KEY).agg(F.collect_set("kind").alias("kinds"))
+
+
+_SPANS = "array<struct<start:int,order:int,kind:string,end:int,value:string>>"
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and spans (array of order, kind, start, end, value), by start, then the rules' order.
+    """doc_id and spans (array of start, order, kind, end, value), by start, then the rules' order.
 
     A row for every row of docs, with an empty array where nothing is found; a null text
-    counts as empty. Repeated rows, and rows with a null doc_id, are scanned like any other.
+    counts as empty. Repeated rows, and rows with a null doc_id, are scanned like any other;
+    an empty table gives none, and other columns are ignored whatever their names. Rows are
+    told apart by doc_id and a 64-bit hash of the text together. The time follows the text's
+    length, however many matches it has.
     """
     docs = id_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
     queries = {rule.kind: trigram_query(rule.pattern) for rule in rules}
-    key = F.xxhash64("doc_id", "text").alias("key")
+    none = F.array().cast(_SPANS)
 
     def spans_of(k: int, rule: Rule) -> Column:
-        return labelled(matches(F.col("text"), rule.pattern, rule.valid), rule.kind, k)
+        found = matches(F.col("text"), rule.pattern, rule.valid)
+        return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("order"), F.lit(rule.kind).alias("kind"), m["end"].alias("end"), m["value"].alias("value")))
 
     everywhere = [spans_of(k, r) for k, r in enumerate(rules) if queries[r.kind] is None]
-    none = F.array().cast("array<struct<order:int,kind:string,start:int,end:int,value:string>>")
-    full = docs.select("doc_id", key, (F.concat(none, *everywhere) if everywhere else none).alias("spans"))
+    full = docs.select(*KEY, F.concat(none, *everywhere).alias("spans"))
     asked = {kind: q for kind, q in queries.items() if q is not None}
     if not asked:
-        return full.select("doc_id", F.array_sort("spans", _by_start).alias("spans"))
-    found = candidates(docs, asked).withColumnRenamed("doc_id", "cand_id")
+        return full.select("doc_id", F.array_sort("spans").alias("spans"))
+
+    def same(a: DataFrame, b: DataFrame) -> Column:
+        return a["doc_id"].eqNullSafe(b["found_id"]) & (a["key"] == b["found_key"])
+
+    found = candidates(docs, asked).withColumnsRenamed({"doc_id": "found_id", "key": "found_key"})
     verified = [F.when(F.array_contains("kinds", rule.kind), spans_of(k, rule)).otherwise(none) for k, rule in enumerate(rules) if rule.kind in asked]
-    checked = (
-        docs.join(found, docs["doc_id"].eqNullSafe(found["cand_id"]))
-        .select(key, F.concat(*verified).alias("more"))
-        .dropDuplicates(["key"])
-    )
-    both = full.join(checked, "key", "left").select("doc_id", F.concat("spans", F.coalesce("more", none)).alias("spans"))
-    return both.select("doc_id", F.array_sort("spans", _by_start).alias("spans"))
-
-
-def _by_start(a: Column, b: Column) -> Column:
-    by = lambda x: F.struct(x["start"], x["order"])
-    return F.when(by(a) < by(b), -1).when(by(a) > by(b), 1).otherwise(0)
+    checked = docs.join(found, same(docs, found)).select(F.col("doc_id").alias("found_id"), F.col("key").alias("found_key"), F.concat(*verified).alias("more"))
+    checked = checked.dropDuplicates(["found_id", "found_key"])
+    both = full.join(checked, same(full, checked), "left").select("doc_id", F.concat("spans", F.coalesce("more", none)).alias("spans"))
+    return both.select("doc_id", F.array_sort("spans").alias("spans"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
