@@ -5,15 +5,18 @@ compares complete content. When the table would outgrow its budget, the task dea
 and remaining input out to spill files by the next bits of the hash and treats each file
 the same way, as deep as it takes.
 
-Two rounds keep hot content harmless. The first deduplicates within each input partition,
-so that afterwards a text stands at most once per partition; only those survivors, not
-their copies, are shuffled by hash for the second round. Copies rejoin by the key of their
-partition's survivor, never by content, so no group gathers in one task.
+Rounds keep hot content harmless. The first deduplicates within each input partition, so
+that afterwards a text stands at most once per partition. Digests of those survivors are
+counted, and only content whose digest stands in several partitions goes on to be compared;
+content in very many partitions meets in salted groups first, and those groups' survivors
+after that. Copies rejoin by the key of their partition's survivor, never by content, so no
+group gathers in one task.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import pickle
 import string
 import tempfile
@@ -25,12 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, one_row_each, row_key, slices, written
+from .common import checkpointed, id_text, one_row_each, row_key, slices, written
 
 #: Bytes of content and members that a task's table may hold before it spills.
 BUCKET_BYTES = 64 << 20
 #: Bits of the hash that one level of spill files uses up, and the levels that 64 bits allow.
 LEVEL_BITS, LEVELS = 4, 14
+#: Content that stands in more partitions than CROWD meets in SALTS groups first.
+CROWD, SALTS = 64, 32
 
 
 class ContentTable:
@@ -91,7 +96,7 @@ def grace(records: Iterable[tuple[int, bytes, list]], budget: int = BUCKET_BYTES
         yield from table
         return
     shift, fan = 64 - LEVEL_BITS * (level + 1), 1 << LEVEL_BITS
-    with tempfile.TemporaryDirectory(prefix="grace-") as folder:
+    with tempfile.TemporaryDirectory(prefix="grace-", dir=_scratch()) as folder:
         files = [open(f"{folder}/{k}", "w+b") for k in range(fan)]  # noqa: SIM115
         try:
             for source in (table, records):
@@ -108,6 +113,12 @@ def grace(records: Iterable[tuple[int, bytes, list]], budget: int = BUCKET_BYTES
                 file.close()
 
 
+def _scratch() -> str | None:
+    """Spark's own scratch folder on this executor, where spill files live as long as their task."""
+    folders = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")
+    return next((f for f in folders if f and os.path.isdir(f)), None)
+
+
 def _loaded(file) -> Iterator[tuple[int, bytes, list]]:
     while True:
         try:
@@ -123,8 +134,8 @@ def normal_bytes(text: str | None) -> bytes:
 
 _LOCAL = pa.schema([("hash", pa.int64()), ("rep", pa.int64()), ("top_id", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.int64())), ("sha256", pa.string()), ("content", pa.binary())])
 _LOCAL_DDL = "hash long, rep long, top_id long, n long, ids array<long>, sha256 string, content binary"
-_MERGED = pa.schema([("rep", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("wins", pa.bool_())])
-_MERGED_DDL = "rep long, keep_id long, group_size long, wins boolean"
+_MERGED = pa.schema([("hash", pa.int64()), ("crowded", pa.bool_()), ("rep", pa.int64()), ("top_id", pa.int64()), ("n", pa.int64()), ("reps", pa.list_(pa.int64())), ("content", pa.binary())])
+_MERGED_DDL = "hash long, crowded boolean, rep long, top_id long, n long, reps array<long>, content binary"
 
 
 def _signed(hashed: int) -> int:
@@ -173,23 +184,32 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         yield from _batched(rows(), _LOCAL)
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of equal content as one, with the survivor's rep and all reps; the content stays with the crowded ones."""
+
         def records():
             for part in slices(batches):
-                for hashed, content, *member in zip(*(part.column(c).to_pylist() for c in ("hash", "content", "rep", "top_id", "n")), strict=True):
+                for hashed, content, *member in zip(*(part.column(c).to_pylist() for c in ("hash", "content", "crowded", "rep", "top_id", "n", "reps")), strict=True):
                     yield hashed & ((1 << 64) - 1), content, [tuple(member)]
 
         def rows():
-            for _, _, members in grace(records(), bucket_bytes):
-                first = max(members, key=lambda m: (m[1] is not None, m[1] or 0, -m[0]))
-                size = sum(m[2] for m in members)
-                for rep, _, _ in members:
-                    yield rep, first[1], size, rep == first[0]
+            for hashed, content, members in grace(records(), bucket_bytes):
+                crowded, rep, top_id, _, _ = max(members, key=lambda m: (m[2] is not None, m[2] or 0, -m[1]))
+                yield _signed(hashed), crowded, rep, top_id, sum(m[3] for m in members), [r for m in members for r in m[4]], content if crowded else b""
 
         yield from _batched(rows(), _MERGED)
 
     classes = written(id_text(docs, id_col, text_col).mapInArrow(local, _LOCAL_DDL), "exact-dedup")
-    merged = classes.select("hash", "content", "rep", "top_id", "n").repartition("hash").mapInArrow(merge, _MERGED_DDL)
-    members = classes.select("rep", "ids", "sha256").join(merged, "rep")
+    spread = classes.groupBy("sha256").agg(F.count(F.lit(1)).alias("met"))
+    alone = classes.select("sha256", "rep", "top_id", "n").join(spread.filter("met = 1"), "sha256")
+    salt = F.when(F.col("crowded"), F.pmod(F.hash("rep"), F.lit(SALTS))).otherwise(0).alias("salt")
+    shared = classes.drop("ids").join(spread.filter("met > 1"), "sha256").withColumn("crowded", F.col("met") > CROWD)
+    shared = shared.select("hash", "crowded", "rep", "top_id", "n", F.array("rep").alias("reps"), "content", salt)
+    met = checkpointed(shared.repartition("hash", "salt").drop("salt").mapInArrow(merge, _MERGED_DDL))
+    crowds = met.filter("crowded").repartition("hash").mapInArrow(merge, _MERGED_DDL)
+    joined = met.filter("not crowded").unionByName(crowds)
+    ended = joined.select("top_id", "n", F.col("rep").alias("first"), F.explode("reps").alias("rep")).select("rep", F.col("top_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("first") == F.col("rep")).alias("wins"))
+    ended = ended.unionByName(alone.select("rep", F.col("top_id").alias("keep_id"), F.col("n").alias("group_size"), F.lit(True).alias("wins")))
+    members = classes.select("rep", "ids", "sha256").join(ended, "rep")
     return members.select("*", F.posexplode("ids").alias("at", "doc_id")).select(
         "doc_id", "keep_id", "group_size", (F.col("wins") & (F.col("at") == 0)).alias("kept"), F.col("sha256").alias("text_sha256")
     )
@@ -199,7 +219,8 @@ def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """docs without exact copies: one row of each group of equal texts, with all of docs' columns.
 
     The row with the largest doc_id stays. Rows that repeat both doc_id and text are one
-    document, of which any row may stay.
+    document, of which any row may stay. Columns of docs may have any names; an empty table
+    stays empty.
     """
     kept = exact_groups(docs, id_col=id_col, text_col=text_col).filter("kept")
     folded = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
