@@ -102,25 +102,33 @@ def pack(encoded: DataFrame, *, capacity: int = 2048, pad_id: int = 0, end_id: i
     A row has its ids padded to capacity, cu_seqlens (where its segments begin and the last
     ends), position_ids that start again at 0 with each segment, and for each segment the
     doc_id and the number of its part. end_id, if given, is put after every document.
-    Documents without ids (null or empty) are in no row unless end_id is given. Shards are
-    chosen by doc_id and ids, so repeated rows and a null doc_id pack like any other; a
-    document longer than a shard's share makes its shard larger, never incomplete.
+    Documents without ids (null or empty) are in no row unless end_id is given. Repeated rows
+    and rows with a null doc_id pack like any other; a document longer than a shard's share
+    makes its shard larger, never incomplete.
     about_tokens spares a pass over the ids that would count them for the number of shards.
+    An empty table gives no rows; other columns are ignored whatever their names.
+
+    Shards are dealt by a hash of doc_id, ids and the row's place in its partition, so that
+    rows repeated any number of times spread; a repeated task deals its rows as before. One
+    task holds one shard.
     """
     encoded = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("ids", F.lit(b"")).alias("ids"))
     if about_tokens is None:
         about_tokens = encoded.agg(F.sum(F.octet_length("ids") / 4)).first()[0] or 0
     shards = max(1, math.ceil(about_tokens / shard_tokens))
-    placed = encoded.withColumn("shard", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards))).repartition(shards, "shard")
-
-    def run(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        docs = []
-        for doc_id, ids in zip(table.column("doc_id").to_pylist(), table.column("ids").to_pylist(), strict=True):
-            ids = np.frombuffer(ids, "<u4")
-            docs.append((doc_id, ids if end_id is None else np.append(ids, np.uint32(end_id))))
-        rows = pack_shard(shard, docs, capacity, pad_id)
-        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in _PACKED]
-        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _PACKED, strict=True)], schema=_PACKED)
-
-    return placed.groupBy("shard").applyInArrow(run, PACKED_DDL)
+    place = F.monotonically_increasing_id()
+    placed = encoded.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.octet_length("ids"), place), F.lit(shards)).cast("int")).repartitionById(shards, "shard")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for doc_id, ids, shard in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "shard")), strict=True):
+                ids = np.frombuffer(ids, "<u4")
+                held.setdefault(shard, []).append((doc_id, ids if end_id is None else np.append(ids, np.uint32(end_id))))
+        for shard in sorted(held):
+            rows = pack_shard(shard, held.pop(shard), capacity, pad_id)
+            for start in range(0, len(rows), 256):
+                columns = zip(*rows[start : start + 256], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _PACKED, strict=True)], schema=_PACKED)
+
+    return placed.mapInArrow(run, PACKED_DDL)
