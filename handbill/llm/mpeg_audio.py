@@ -7,7 +7,9 @@ so the stream's bit rate varies; an ID3v2 tag carries the length and an Info fra
 table of frames, bytes and seek points.
 
 The reader finds tags, resynchronises on frame headers past anything else, checks each
-protected frame's CRC-16, and gives exact durations and each frame's place.
+protected frame's CRC-16 in all three layers, and gives each frame's place and the exact
+duration, less the encoder delay and padding where the stream names them. Free-format bit
+rates are not read: such frames are skipped like anything that is no frame.
 """
 
 from __future__ import annotations
@@ -91,6 +93,45 @@ def crc16(data: bytes) -> int:
     return crc
 
 
+def crc16_bits(data: bytes, n_bits: int) -> int:
+    """crc16() of the first n_bits."""
+    crc = crc16(data[: n_bits // 8])
+    for k in range(n_bits // 8 * 8, n_bits):
+        bit = data[k // 8] >> (7 - k % 8) & 1
+        crc = (crc << 1 ^ 0x8005 if (crc >> 15 ^ bit) & 1 else crc << 1) & 0xFFFF
+    return crc
+
+
+def allocation_widths(head: Header) -> list[int]:
+    """Bits of each subband's allocation in Layer II, by bit rate a channel and sample rate."""
+    if head.version != 3:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    each = head.kbps if head.mono else head.kbps // 2
+    if each < 56:
+        return [4] * 2 + [3] * (10 if head.sample_rate == 32000 else 6)
+    return [4] * 11 + [3] * 12 + [2] * (7 if each >= 96 and head.sample_rate != 48000 else 4)
+
+
+def protected_bits(data: bytes, at: int, head: Header) -> int:
+    """How many bits after the checksum it covers: side information, or allocations (and in Layer II their scale factor choices)."""
+    if head.layer == 3:
+        return 8 * head.side
+    channels, mode = (1 if head.mono else 2), data[at + 3] >> 6
+    widths = [4] * 32 if head.layer == 1 else allocation_widths(head)
+    bound = 4 * ((data[at + 3] >> 4 & 3) + 1) if mode == 1 else len(widths)
+    own = [channels if k < bound else 1 for k in range(len(widths))]
+    bits = sum(w * c for w, c in zip(widths, own, strict=True))
+    if head.layer == 1:
+        return bits
+    body = int.from_bytes(data[at + 6 : at + 6 + -(-bits // 8)], "big") >> (-bits % 8)
+    left, choices = bits, 0
+    for width, times in zip(widths, own, strict=True):
+        for _ in range(times):
+            left -= width
+            choices += (body >> left & (1 << width) - 1 > 0) * (channels if times < channels else 1)
+    return bits + 2 * choices
+
+
 _crcs: dict[bytes, int] = {}
 
 
@@ -151,12 +192,13 @@ class Stream:
     crc_bad: int = 0
     skipped: int = 0
     resyncs: int = 0
+    trimmed: int = 0  # samples of encoder delay and padding
     offsets: list[int] = field(default_factory=list)
     ancillary: list[tuple[int, int]] = field(default_factory=list)
 
     @property
     def duration_us(self) -> int:
-        return self.samples * 1_000_000 // self.sample_rate if self.sample_rate else 0
+        return max(0, self.samples - self.trimmed) * 1_000_000 // self.sample_rate if self.sample_rate else 0
 
 
 def _id3v2(data: bytes, at: int, found: Stream) -> int:
@@ -194,6 +236,9 @@ def _table(data: bytes, at: int, head: Header) -> dict | None:
                 if flags & bit and k + size <= at + head.size:
                     out[name] = data[k : k + size] if name == "toc" else int.from_bytes(data[k : k + size], "big")
                     k += size
+            if k + 24 <= at + head.size and data[k : k + 4].isalpha():  # an encoder's name, then its settings
+                both = int.from_bytes(data[k + 21 : k + 24], "big")
+                out["delay"], out["padding"] = both >> 12, both & 0xFFF
             return out
     if data[at + 36 : at + 40] == b"VBRI" and head.size >= 62:
         size, frames = struct.unpack(">II", data[at + 46 : at + 54])
@@ -214,6 +259,9 @@ def read_stream(data: bytes) -> Stream:
         at = end
     if size - at >= 128 and data[-128:-125] == b"TAG":
         found.id3v1, size = True, size - 128
+    if size - at >= 32 and data[size - 32 : size - 24] == b"APETAGEX":
+        length = int.from_bytes(data[size - 20 : size - 16], "little") + (32 if data[size - 9] & 0x80 else 0)
+        size -= length if 32 <= length <= size - at else 0
     kind, synced, first = None, False, True
     while at + 4 <= size:
         head = header(data[at : at + 4])
@@ -237,12 +285,18 @@ def read_stream(data: bytes) -> Stream:
             continue
         synced, kind = True, head.kind
         begin = at + 4 + (2 if head.protected else 0)
-        if head.protected and head.layer == 3:
-            ok = int.from_bytes(data[at + 4 : at + 6], "big") == _crc(data[at + 2 : at + 4] + data[begin : begin + head.side])
+        if head.protected:
+            named = int.from_bytes(data[at + 4 : at + 6], "big")
+            if head.layer == 3:
+                ok = named == _crc(data[at + 2 : at + 4] + data[begin : begin + head.side])
+            else:
+                bits = protected_bits(data, at, head)
+                ok = begin + -(-bits // 8) <= at + head.size and named == crc16_bits(data[at + 2 : at + 4] + data[begin : begin + -(-bits // 8)], 16 + bits)
             found.crc_ok += ok
             found.crc_bad += not ok
         if first and (table := _table(data, at, head)):
             found.table = table
+            found.trimmed = table.get("delay", 0) + table.get("padding", 0)
         else:
             found.frames += 1
             found.samples += head.samples
@@ -255,7 +309,7 @@ def read_stream(data: bytes) -> Stream:
     found.skipped += max(0, size - at)
     if found.id3v1:
         for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93)):
-            if text := data[size + a : size + b].rstrip(b"\0 ").decode("latin-1"):
+            if text := data[len(data) - 128 + a : len(data) - 128 + b].rstrip(b"\0 ").decode("latin-1"):
                 found.tags.setdefault(name, text)
     return found
 
@@ -266,7 +320,11 @@ def payload(data: bytes, found: Stream) -> bytes:
 
 
 def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and media (binary): each whole text's UTF-8 as a stream; a null text counts as empty."""
+    """doc_id and media (binary): each whole text's UTF-8 as a stream; a null text counts as empty.
+
+    Repeated rows and rows with a null doc_id each get a row; an empty table gives none;
+    other columns are ignored whatever their names.
+    """
     make = lambda: lambda text: (write_stream((text or "").encode("utf-8", "surrogatepass")),)
     return per_text(id_text(docs, id_col, text_col), make, pa.schema([("doc_id", pa.int64()), ("media", pa.binary())]), "doc_id long, media binary")
 
@@ -283,7 +341,8 @@ def read(stored: DataFrame) -> DataFrame:
     """Reads the column media of rows of doc_id and media: payload digests, exact durations, frame seek offsets.
 
     Any bytes are accepted: a stream without frames has duration 0 and no offsets; null
-    media count as empty. n_bytes is null where no tag names the payload's length.
+    media count as empty. n_bytes is null where no tag names the payload's length. Repeated
+    rows each get a row; an empty table gives none; other columns are ignored.
     """
 
     def of(media: bytes | None) -> tuple:
