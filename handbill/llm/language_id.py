@@ -11,10 +11,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, per_texts, slices
+from .common import checkpointed, id_text, per_texts, slices
 
 UNDETERMINED = "und"
 #: Families by ISO 639-1 code. A language not listed is a family of its own.
@@ -29,8 +29,8 @@ FAMILIES = {
 }
 FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes}
 BUCKETS = 4096
-#: At most so many labelled documents are learned from, shared evenly among languages.
-SAMPLE = 2000
+#: At most so many labelled documents are learned from, shared evenly among languages, of which the commonest are learned.
+SAMPLE, MOST_LANGUAGES = 2000, 256
 
 _LETTERS: np.ndarray | None = None
 
@@ -142,19 +142,21 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """A model from labelled documents that are not held out.
 
-    Of each language the documents whose text hashes fall below a rate are taken, about
-    sample / languages of them, so that at most about `sample` vectors reach the driver.
+    Of each language, copies aside, the texts with the smallest hashes are taken, sample /
+    languages of them, so that a rare or much copied language has some too and at most
+    about `sample` vectors reach the driver. Of more than MOST_LANGUAGES labels the
+    commonest are learned.
     """
-    spark = docs.sparkSession
     labelled = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    labelled = labelled.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("text").alias("place"))
+    distinct = checkpointed(labelled.select("lang", "place").distinct())
+    common = [r["lang"] for r in distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
+    if not common:
         return Model()
-    each = max(1, sample // len(counts))
-    rates = spark.createDataFrame([(lang, min(1.0, each / n)) for lang, n in counts.items()], "lang string, rate double")
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(1 << 20)
-    chosen = labelled.join(F.broadcast(rates), "lang").filter(place < F.col("rate")).dropDuplicates(["lang", "text"]).select("lang", "text")
+    order = Window.partitionBy("lang").orderBy("place")
+    first = distinct.filter(F.col("lang").isin(common)).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= max(1, sample // len(common)))
+    bounds = first.groupBy("lang").agg(F.max("place").alias("last"))
+    chosen = labelled.join(F.broadcast(bounds), "lang").filter(F.col("place") <= F.col("last")).dropDuplicates(["lang", "place"]).select("lang", "text")
 
     def vectors(batches):
         for batch in batches:
@@ -190,6 +192,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     """doc_id, lang_pred, score for every row of docs, from the whole text alone.
 
     `und` with score 0 where the text is null or has no letter, or nothing was learned.
+    Repeated rows each get a row; an empty table gives none; other columns are ignored.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
     return per_texts(id_text(docs, id_col, text_col), lambda: lambda texts: classify(model, texts), schema, "doc_id long, lang_pred string, score double")
@@ -202,7 +205,11 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.2) -> DataFrame:
-    """The rows of docs whose language is determined with a score of at least `least`, all columns as they are."""
+    """The rows of docs whose language is determined with a score of at least `least`, all columns as they are.
+
+    Null and empty texts and those without letters go. Columns may have any names; repeated
+    rows are kept or go alike; an empty table stays empty.
+    """
     model, at = learn(docs, id_col=id_col, text_col=text_col, lang_col=lang_col), docs.columns.index(text_col)
 
     def run(batches):
@@ -210,4 +217,5 @@ def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             good = [name != UNDETERMINED and score >= least for name, score in classify(model, part.column(at).to_pylist())]
             yield part.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
