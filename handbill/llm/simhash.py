@@ -216,15 +216,16 @@ def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 ALIKE_BITS, ALIKE_SEGMENTS = 26, 8
 
 
-def similar_roots(docs: DataFrame, described: DataFrame, *, words: int = overlap.WORDS, alike: Fraction = overlap.ALIKE, pair_limit: int = 64, pivots: int = 4) -> DataFrame:
+def similar_roots(docs: DataFrame, described: DataFrame, *, words: int = overlap.WORDS, alike: Fraction = overlap.ALIKE, pair_limit: int = 64, pivots: int = 8) -> DataFrame:
     """node, root: the smallest id reachable by links, for each id of `described` that has a link.
 
     Candidates are pairs of one shared shingle of their sketches whose sizes and places allow
-    a link and whose fingerprints pass the ring. They are verified by whole sets in rounds:
-    first each one's nearest and smallest candidate, then four times as many of those that are
-    not connected yet, until none is left. A shingle in more than pair_limit sketches is not
-    paired at once: some of its sets are compared with all of them, then of those not in its
-    largest component twice as many, until each pair in different components was compared.
+    a link and whose fingerprints pass the ring. A shingle in more than pair_limit sketches
+    is not paired at once: those of its sets that it stands first in, which have the least of
+    their own and so the most links, meet all of them; in the next round four times as many of
+    those not in its largest component, until each pair in different components has met.
+    Candidates are verified by whole sets in the same rounds: first each one's four nearest and
+    smallest, then sixteen times as many of those not connected yet, until none is left.
     """
     side = ["id", "n", "r", "fp"]
     keyed = described.select("id", "n", "fp", F.posexplode("keys").alias("at", "key")).select("key", "id", "n", (F.col("n") - F.col("at")).alias("r"), "fp")
@@ -245,33 +246,31 @@ def similar_roots(docs: DataFrame, described: DataFrame, *, words: int = overlap
     wanted = described.select("id", "doc_id", "text_hash").join(ids, "id").groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
     sets = written(overlap.sets_of(docs, wanted.select("id", "one.*"), words), "overlap-sets")
 
-    edges, roots, most = left.select("a", "b").limit(0), left.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0), 1
-    while not left.isEmpty():
+    edges, roots, most, done, salts = left.select("a", "b").limit(0), left.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0), 4, None, 16
+    crowded = not hot.isEmpty()
+    while True:
+        if crowded:
+            placed = hot.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+            rest = placed.filter(lead)
+            if done is not None:
+                sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+                largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("top"))
+                placed = placed.join(done, ["key", "id"], "left_anti")
+                rest = placed.filter(lead).join(largest, "key").filter("root <> top").drop("top")
+            hubs = Window.partitionBy("key").orderBy(F.col("n") - F.col("r"), "id")
+            chosen = checkpointed(rest.withColumn("place", F.row_number().over(hubs)).filter(F.col("place") <= pivots).select("key", *side, "root"))
+            done = checkpointed(chosen.select("key", "id") if done is None else done.unionByName(chosen.select("key", "id")))
+            x = named(chosen, "x", ("root",)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+            y = named(placed, "y", ("root",)).withColumn("salt", F.pmod(F.hash("id_y"), F.lit(salts)))
+            left = left.unionByName(x.join(y, ["key", "salt"]).filter((F.col("root_x") != F.col("root_y")) & fits).select(*ordered)).distinct()
+            crowded = not chosen.isEmpty()
         near, low = (F.row_number().over(Window.partitionBy("b").orderBy(*by)) for by in (("bits", "a"), ("a",)))
-        ranked = left.withColumn("turn", F.least(near, low))
+        ranked = checkpointed(left.withColumn("turn", F.least(near, low)))
+        if ranked.isEmpty() and not crowded:
+            return roots
         edges = checkpointed(edges.unionByName(overlap.alike_pairs(ranked.filter(F.col("turn") <= most).select("a", "b"), sets, alike)))
-        roots, later, most = components(edges), ranked.filter(F.col("turn") > most).drop("turn"), most * 4
-        left = checkpointed(_apart(later, roots))
-
-    done, salts = None, 16
-    while not hot.isEmpty():
-        placed = hot.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
-        largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("top"))
-        rest = placed.join(largest, "key")
-        rest = rest if done is None else rest.filter("root <> top").join(done, ["key", "id"], "left_anti")
-        rest = checkpointed(rest.drop("top"))
-        if rest.isEmpty():
-            break
-        share = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(pivots)).alias("every"))
-        chosen = checkpointed(rest.join(share, "key").filter(F.pmod(F.xxhash64("key", "id", F.lit(pivots)), F.col("every")) == 0).select("key", *side, "root"))
-        done = checkpointed(chosen.select("key", "id") if done is None else done.unionByName(chosen.select("key", "id")))
-        x = named(chosen, "x", ("root",)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        y = named(placed, "y", ("root",)).withColumn("salt", F.pmod(F.hash("id_y"), F.lit(salts)))
-        pairs = x.join(y, ["key", "salt"]).filter((F.col("root_x") != F.col("root_y")) & fits).select(*ordered).select("a", "b").distinct()
-        edges = checkpointed(edges.unionByName(overlap.alike_pairs(pairs, sets, alike)))
-        roots, pivots = components(edges), pivots * 2
-    return roots
+        roots, later = components(edges), ranked.filter(F.col("turn") > most).drop("turn")
+        left, most, pivots = checkpointed(_apart(later, roots)), most * 16, pivots * 4
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
