@@ -34,8 +34,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = mpeg_audio.read(mpeg_audio.store(documents(spark, sf_dir)))
-    return read.withColumn("seek_points", F.size("seek_offsets")).drop("seek_offsets")
+    return mpeg_audio.read(mpeg_audio.store(documents(spark, sf_dir)))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of 2048 ids, each document ended by the vocabulary's free id."""
     docs, path = documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    packed = packing.pack(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), end_id=50256, pad_id=50256, about_tokens=n_bytes // 3)
-    return packed.select("shard", "row", "doc_ids", "parts", "cu_seqlens", "n_tokens", "pad", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("position_ids", 256).alias("positions_sha256"))
+    return packing.pack(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), end_id=50256, pad_id=50256, about_tokens=n_bytes // 3)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

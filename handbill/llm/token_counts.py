@@ -111,8 +111,10 @@ def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
     """doc_id, n_tokens, score, n_chars for every row of docs.
 
     model_path is a SentencePiece model file that every executor can read, whose pieces and
-    scores serve as the unigram vocabulary. A null or empty text has 0 tokens and score 0.
-    Other columns are ignored; repeated rows stay repeated.
+    scores serve as the unigram vocabulary; texts are taken as they are, as a file whose
+    normaliser is the identity asks for. A null or empty text has 0 tokens and score 0. Other
+    columns are ignored whatever their names; repeated rows stay repeated; an empty table
+    gives none.
     """
 
     def make():

@@ -38,6 +38,16 @@ def test_exact_groups(spark, budget):
     assert all(r.doc_id == r.keep_id for r in found if r.kept)
 
 
+@pytest.mark.parametrize("crowd", [0, 2])
+def test_crowded_content_meets_in_groups(spark, crowd, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "CROWD", crowd)
+    rows = [(k, f"text {k % 5}") for k in range(200)] + [(500 + k, "TEXT 1") for k in range(20)]
+    found = exact_dedup.exact_groups(docs(spark, rows).repartition(12)).collect()
+    want, groups = expected(rows)
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in found), key=str) == want
+    assert sum(r.kept for r in found) == groups
+
+
 def test_grace_joins_members_and_settles_equal_hashes_by_content():
     records = [(h, c, [k]) for k, (h, c) in enumerate([(7, b"a"), (7, b"b"), (7, b"a"), (1 << 63, b"a")] * 50)]
     found = {(h, c): sorted(m) for h, c, m in exact_dedup.grace(iter(records), budget=500)}

@@ -1,5 +1,6 @@
 """The pipeline's stages against plain Python, with planted copies."""
 
+import hashlib
 import random
 
 import corpus_pipeline
@@ -103,32 +104,21 @@ def test_near_stage_of_nothing(spark):
     assert corpus_pipeline.near(spark, spark.createDataFrame([], DDL), "").count() == 0
 
 
-def drawn_shares(mixed):
-    """The largest distance of the expected shares of drawn tokens from their targets, by dimension."""
-    plan, rows = corpus_pipeline.MIX, mixed
-    whole = sum(r._mix_rate * r._mix_tokens for r in rows)
-    out = {}
-    for name in mixing.DIMENSIONS:
-        have, all_of = {}, {}
-        for r in rows:
-            v = r[f"_mix_{name}"]
-            have[v] = have.get(v, 0) + min(r._mix_rate, plan.most_copies) * r._mix_tokens
-            all_of[v] = all_of.get(v, 0) + r._mix_tokens
-        raw = {v: plan.shares[name].get(v, 0) if name in plan.shares else n ** plan.powers[name] for v, n in all_of.items()}
-        out[name] = max(abs(have[v] / whole - raw[v] / sum(raw.values())) for v in raw)
-    return out
-
-
 def test_mixture_stage_meets_its_targets_under_the_bound(spark):
     rng = random.Random(7)
     signs = ["", "", "", "", "", "@", " | ", "icense", "%"]
     rows = [(k, rng.choice(signs) + "x" * rng.randrange(40, 400), rng.choice(["a", "a", "b"]), rng.choice(["s", "s", "s", "t"])) for k in range(600)]
-    mixed = mixing.mix(spark.createDataFrame(rows, DDL), corpus_pipeline.MIX).collect()
-    assert all(0 <= r._mix_rate <= 1 for r in mixed)
-    assert max(drawn_shares(mixed).values()) < 0.001
-    assert 0.5 < mixed[0]._mix_budget <= 0.8
-    drawn = sum(r._mix_rate * r._mix_tokens for r in mixed) / sum(r._mix_tokens for r in mixed)
-    assert abs(drawn - mixed[0]._mix_budget) < 0.001
+    docs = spark.createDataFrame(rows, DDL)
+    mixed = mixing.mix(docs, corpus_pipeline.MIX)
+    held = mixed.collect()
+    assert all(0 <= r._mix_rate <= 1 for r in held)
+    for r in mixing.report(mixed, corpus_pipeline.MIX).collect():
+        assert abs(r.expected - r.target) < 0.001
+    assert 0.4 < held[0]._mix_budget <= 0.8
+    drawn = sum(r._mix_rate * r._mix_tokens for r in held) / sum(r._mix_tokens for r in held)
+    assert abs(drawn - held[0]._mix_budget) < 0.001
+    stayed = corpus_pipeline.mixture(spark, docs, "")
+    assert sorted(map(tuple, stayed.collect())) == sorted(tuple(r)[:4] for r in held if r._mix_copies) and stayed.columns == docs.columns
 
 
 def test_bounded_raking_both_ways(spark):
@@ -136,8 +126,52 @@ def test_bounded_raking_both_ways(spark):
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long").coalesce(1)
     plan = mixing.Plan(shares={"topic": {"prose": 0.8, "contact": 0.2}}, powers={"source": 1.0, "lang": 1.0}, budget=0.6, most_copies=1)
     for local in (20_000, 0):
-        raked, budget = mixing.rake_bounded(cells, plan, local_cells=local)
+        raked, budget = mixing.rake(cells, plan, local_cells=local)
         found = raked.collect()
         assert budget == 0.6 and all(r.weight * budget * 142 <= r.tokens * (1 + 1e-9) for r in found)
         assert abs(sum(r.weight for r in found if r.topic == "prose") - 0.8) < 0.001
         assert abs(sum(r.weight for r in found if r.source == "t") - 31 / 142) < 0.001
+
+
+NAMES = ["row_key", "row_key_", "_mix_source", "_mix_tokens", "_mix_rate", "row", "key", "fp", "id", "n", "salt", "content", "hash", "rep", "text_hash", "held", "shard", "place", "Kind.with.dots"]
+
+
+def test_columns_of_any_name(spark):
+    """Every stage keeps docs' own columns, whatever they are called."""
+    rows = [(1, "the house and the street", "en", "s"), (2, "The house and the street", "en", "s"), (2, "The house and the street", "en", "s"), (None, "das Haus und die Strasse", "de", "s"), (4, None, None, None), (5, "", "en", None), (6, "the end " * 40_000, "en", "t")]
+    docs = spark.createDataFrame([(*r, *NAMES) for r in rows], f"{DDL}, " + ", ".join(f"`{n}` string" for n in NAMES))
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (docs, docs.limit(0)):
+            left = stage(spark, table, "")
+            found = left.collect()
+            assert name == "tokens" or left.columns == docs.columns
+            assert len(found) == 0 if table is not docs else len(found) > 0 or name == "mixture"
+            assert name == "tokens" or all(tuple(r)[4:] == tuple(NAMES) for r in found)
+
+
+def test_run_equals_its_stages_in_plain_python(spark, tmp_path):
+    """run() over planted exact and near copies: each stage's rows follow from the rows of the one before."""
+    rng = random.Random(4)
+    english, german = ("the of and house street to in is was for water people".split(), "der die das und haus ist nicht mit auf wasser leute ein".split())
+    rows = []
+    for k in range(120):
+        lang, words = (("en", english), ("de", german))[k % 2]
+        base = [rng.choice(words) + (str(rng.randrange(50)) if rng.random() < 0.5 else "") for _ in range(80)]
+        rows.append((k, " ".join(base), lang, f"s{k % 3}"))
+        if k % 10 == 0:
+            rows.append((1000 + k, " ".join(base).upper(), lang, "s0"))
+        if k % 7 == 0:
+            rows.append((2000 + k, " ".join([*base[:-1], "changed"]), lang, "s1"))
+    rows += [(3000, None, None, None), (3001, "12 !", None, "s0"), (7, rows[7][1], rows[7][2], rows[7][3])]
+    spark.createDataFrame(rows, DDL).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    worded = [r for r in set(rows) if r[1] and any(c.isalpha() for c in r[1])]
+    last = {}
+    for r in worded:
+        last[r[1].lower()] = max(last.get(r[1].lower(), r), r)
+    kept = {r[0]: r for r in brute_kept(list(last.values()))}
+    mixed = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(list(kept.values()), DDL), corpus_pipeline.MIX).collect()}
+    want = {i for i, r in mixed.items() if r._mix_copies}
+    assert set(found) == want and len(want) > 20
+    for i in want:
+        assert found[i].decoded_sha256 == hashlib.sha256(kept[i][1].encode()).hexdigest()

@@ -5,6 +5,7 @@ import random
 import re
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,29 @@ def test_scan_of_nulls_repeats_and_nothing(spark):
     assert secrets_scan.scan(docs.limit(0)).count() == 0 == pii.find(docs.limit(0)).count()
 
 
+def test_many_matches_in_one_text(spark):
+    """Spans of a text of many thousand matches, in the order and places of Python's."""
+    rng = random.Random(8)
+    mails = "".join(rng.choice(["a@b.c, ", "é write x.y@z.de ", "+49 30 1234567; ", "😀 "]) for _ in range(30_000))
+    keys = "".join(rng.choice(["secret=abcdefg ", "é ", "deadbeef" * 3 + " ", "AKIA" + "B" * 16 + "; "]) for _ in range(30_000))
+    (found,) = pii.digest(pii.find(table(spark, [mails]))).collect()
+    assert found.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in brute(PII_BASE, mails)).encode()).hexdigest()
+    (found,) = secrets_scan.digest(secrets_scan.scan(table(spark, [keys]))).collect()
+    order = {k: n for n, (k, _, _) in enumerate(SECRET_BASE)}
+    base = sorted(brute(SECRET_BASE, keys), key=lambda s: (s[1], order[s[0]]))
+    assert found.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+
+
+def test_context_equals_python(spark):
+    """The words within 48 characters of either side, wherever the text is cut."""
+    rng = random.Random(9)
+    texts = ["x" * rng.randrange(700) + rng.choice(["call", "phone", "é" * 40, "y"]) + " " * rng.randrange(60) + "+49 30 1234567" + "." * rng.randrange(60) + rng.choice([" mobile", "z"]) for _ in range(300)]
+    for r in pii.find(table(spark, texts)).collect():
+        for s in r.spans:
+            around = texts[r.doc_id][max(0, s.start - 48) : s.end + 48].lower()
+            assert s.score == (0.75 if re.search(r"phone|call|tel\b|mobile|fax", around, re.ASCII) else 0.5)
+
+
 def test_trigram_queries():
     assert secrets_scan.trigram_query("[0-9a-f]{24,}") is None
     assert secrets_scan.trigram_query("abcd") == [frozenset({"abc", "bcd"})]
@@ -93,6 +117,27 @@ def test_languages_held_out(spark):
     assert found.filter("score < 0 or score > 1").count() == 0
 
 
+def test_languages_within_a_family(spark):
+    """Accuracy for each pair of languages of one family, and of a rare and much copied one."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    found = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    for a, b in (("de", "en"), ("es", "fr")):
+        some = [r for r in found if r.lang in (a, b)]
+        assert len(some) > 10 and sum(r.lang == r.lang_pred for r in some) / len(some) > 0.95
+    copied = spark.createDataFrame([(k, f"the house number {k % 3} of the street", "en") for k in range(3000)] + [(5000 + k, f"das Haus Nummer {k} in der Strasse", "de") for k in range(40)], "doc_id long, text string, lang string")
+    model = language_id.learn(copied, sample=50)
+    assert model.languages == {"germanic": ["de", "en"]}
+
+
+def test_only_the_text_decides_a_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source")
+    model = language_id.learn(docs)
+    plain = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(docs, model).collect()}
+    changed = docs.withColumns({"lang": F.lit("zz"), "source": F.lit("q"), "doc_id": F.col("doc_id") + 7})
+    assert {r.doc_id - 7: (r.lang_pred, r.score) for r in language_id.predict(changed, model).collect()} == plain
+    assert language_id.predict(spark.createDataFrame([(1, "the house " * 200_000)], "doc_id long, text string"), model).first().lang_pred == "en"
+
+
 def test_language_edges(spark):
     docs = spark.createDataFrame([(1, "the house", "en", "z"), (2, "das Haus ist", "de", "z"), (3, None, "de", "z"), (4, "123 !", None, "z"), (None, "the", "en", "z"), (1, "the house", "en", "z"), (11, "la maison", None, "z")], "doc_id long, text string, lang string, score string")
     found = language_id.identify(docs).collect()
@@ -104,19 +149,60 @@ def test_language_edges(spark):
     assert language_id.identify(docs.limit(0)).count() == 0
 
 
-def test_raking_meets_targets_both_ways(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    plan = mixing.Plan(sweeps=40)
-    cells = docs.select(*mixing._described(docs, "text", "source", "lang")).groupBy(*(F.col(f"_mix_{n}").alias(n) for n in mixing.DIMENSIONS)).agg(F.sum("_mix_tokens").alias("tokens"))
-    cells = spark.createDataFrame(cells.collect(), cells.schema)
-    near = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(cells, plan).collect()}
-    far = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(cells, mixing.Plan(sweeps=4), local_cells=0).collect()}
-    short = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(cells, mixing.Plan(sweeps=4)).collect()}
-    assert far.keys() == short.keys() and all(abs(far[k] - short[k]) < 1e-9 for k in far)
-    for at, name in enumerate(mixing.DIMENSIONS):
-        goal = {r.value: r.share for r in mixing._targets(cells, name, plan).collect()}
-        for value, share in goal.items():
-            assert abs(sum(w for k, w in near.items() if k[at] == value) - share) < 0.02
+def cell_table(spark, docs):
+    columns = mixing.Columns()
+    cells = mixing.cells_of(docs.select(*columns.described("_mix_")), "_mix_")
+    return spark.createDataFrame(cells.collect(), cells.schema).coalesce(1)
+
+
+def test_raking_meets_targets(spark, small):
+    cells = cell_table(spark, spark.read.parquet(f"{small}/documents.parquet"))
+    raked, budget = mixing.rake(cells, mixing.Plan())
+    rows, whole = raked.collect(), cells.agg(F.sum("tokens")).first()[0]
+    assert 0 < budget <= 0.5 and all(r.weight * budget * whole <= 4 * r.tokens * (1 + 1e-9) for r in rows)
+    for name in mixing.DIMENSIONS:
+        for goal in mixing.targets(cells, name, mixing.Plan()).collect():
+            assert abs(sum(r.weight for r in rows if r[name] == goal.value) - goal.share) <= mixing.SETTLED
+
+
+def test_factors_equal_bisection():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n, values = rng.integers(1, 30), rng.integers(1, 5)
+        at, latent, bound = rng.integers(0, values, n), rng.random(n) * rng.integers(0, 2, n), rng.random(n)
+        share = rng.random(values) * np.array([np.minimum(1e6 * latent, bound)[at == v].sum() for v in range(values)])
+        found = mixing._factors(at, share, latent, bound)
+        for v in range(values):
+            here = at == v
+            assert abs(np.minimum(found[v] * latent, bound)[here].sum() - share[v]) < 1e-9
+
+
+def test_drawn_shares_are_within_sampling_error(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    mixed = mixing.mix(docs)
+    rows = mixed.collect()
+    for name in mixing.DIMENSIONS:
+        for value in {r["_mix_" + name] for r in rows}:
+            some = [r for r in rows if r["_mix_" + name] == value]
+            gap = sum(r._mix_tokens * (r._mix_copies - r._mix_rate) for r in some)
+            spread = sum(r._mix_tokens**2 * (r._mix_rate % 1) * (1 - r._mix_rate % 1) for r in some) ** 0.5
+            assert abs(gap) <= 3.5 * spread + 1e-6, (name, value)
+    for r in mixing.report(mixed, mixing.Plan()).collect():
+        assert abs(r.expected - r.target) <= mixing.SETTLED
+
+
+def test_targets_out_of_reach_are_met_as_closely_as_can_be(spark):
+    docs = spark.createDataFrame([(k, "x" * 40, "a" if k % 2 else "b", "en" if k % 2 else "de") for k in range(100)], "doc_id long, text string, source string, lang string")
+    plan = mixing.Plan(shares={"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.5, "de": 0.5}}, powers={"topic": 1.0})
+    rows = mixing.mix(docs, plan).collect()
+    assert all(r._mix_rate <= 4 for r in rows) and any(r._mix_copies for r in rows)
+
+
+def test_mixing_by_given_topics_and_tokens(spark):
+    docs = spark.createDataFrame([(k, "x", "s", "en", "rare" if k % 10 == 0 else None, 5) for k in range(200)], "doc_id long, text string, source string, lang string, about string, size int")
+    mixed = mixing.mix(docs, mixing.Plan(shares={"topic": {"rare": 0.3, mixing.NONE: 0.7}}), topic="about", tokens="size").collect()
+    assert {r._mix_topic for r in mixed} == {"rare", mixing.NONE} and {r._mix_tokens for r in mixed} == {5}
+    assert abs(sum(r._mix_rate for r in mixed if r.about) / sum(r._mix_rate for r in mixed) - 0.3) < 0.001
 
 
 def test_mixing_edges(spark):
@@ -182,3 +268,49 @@ def test_audio_round_trip_of_a_text_with_tag(units):
             found = mpeg_audio.read_stream(media + end)
             assert mpeg_audio.payload(media, found) == data and found.id3v1 == id3v1 and found.skipped == 0
             assert found.tags.get("title") == ("title" if id3v1 else None)
+
+
+def bit_crc(bits):
+    crc = 0xFFFF
+    for bit in bits:
+        crc = ((crc << 1) ^ (0x8005 if (crc >> 15) ^ int(bit) else 0)) & 0xFFFF
+    return crc
+
+
+def checked_frame(head, side):
+    """A protected frame whose checksum covers the header's last two bytes and the bits of side."""
+    crc = bit_crc("".join(f"{b:08b}" for b in head[2:]) + side)
+    body = int(side.ljust(-(-len(side) // 8) * 8, "0"), 2).to_bytes(-(-len(side) // 8), "big")
+    return (head + crc.to_bytes(2, "big") + body).ljust(mpeg_audio.header(head).size, b"\0")
+
+
+def test_audio_checksums_of_the_other_layers():
+    rng = random.Random(6)
+    stereo = "".join(rng.choice("01") for _ in range(256))
+    one = checked_frame(bytes((0xFF, 0xFE, 8 << 4 | 4, 0x00)), stereo)  # MPEG-1 Layer I, stereo
+    joint = checked_frame(bytes((0xFF, 0xFE, 8 << 4 | 4, 0x40)), stereo[: (2 * 4 + 28) * 4])  # joint from subband 4
+    # MPEG-1 Layer II, mono, 48 kHz, 128 kbit/s: 27 subbands of 4, 3 and 2 bits, then 2 for each that is in use
+    widths = [4] * 11 + [3] * 12 + [2] * 4
+    used = ["".join(rng.choice("01") for _ in range(w)) for w in widths]
+    two = checked_frame(bytes((0xFF, 0xFC, 8 << 4 | 4, 0xC0)), "".join(used) + "10" * sum("1" in u for u in used))
+    # MPEG-2 Layer II, stereo, 24 kHz
+    low = [4] * 4 + [3] * 7 + [2] * 19
+    used = [("".join(rng.choice("01") for _ in range(w)), "".join(rng.choice("01") for _ in range(w))) for w in low]
+    half = checked_frame(bytes((0xFF, 0xF4, 8 << 4 | 4, 0x00)), "".join(a + b for a, b in used) + "01" * sum("1" in u for pair in used for u in pair))
+    for frame in (one, joint, two, half):
+        found = mpeg_audio.read_stream(frame * 5)
+        assert (found.frames, found.crc_ok, found.crc_bad) == (5, 5, 0)
+        wrong = bytearray(frame * 5)
+        wrong[6] ^= 0x80
+        assert mpeg_audio.read_stream(bytes(wrong)).crc_bad == 1
+
+
+def test_audio_delay_padding_and_trailing_tags():
+    head = bytes((0xFF, 0xFB, 9 << 4, 0xC0))
+    size = mpeg_audio.header(head).size
+    info = (head + bytes(17) + b"Info" + struct.pack(">II", 1, 3) + b"LAME3.100" + bytes(12) + (576 << 12 | 800).to_bytes(3, "big")).ljust(size, b"\0")
+    frames = (head + bytes(size - 4)) * 3
+    tag = b"APETAGEX" + struct.pack("<IIII", 2000, 52, 1, 0) + bytes(8)
+    found = mpeg_audio.read_stream(info + frames + bytes(20) + tag)
+    assert (found.frames, found.trimmed, found.skipped) == (3, 1376, 0)
+    assert found.duration_us == (3 * 1152 - 1376) * 1_000_000 // 44100

@@ -72,6 +72,21 @@ def test_counts_equal_the_library(unigram, texts):
         assert ours.count(text)[0] == count, text
 
 
+def test_counts_equal_the_model_library(unigram, texts):
+    """The same pieces as a unigram model of the public library, with the file's own normaliser: none."""
+    from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(MODEL, "rb") as file:
+        model.ParseFromString(file.read())
+    assert model.normalizer_spec.name == "identity" and not model.normalizer_spec.remove_extra_whitespaces
+    model.trainer_spec.model_type = sentencepiece_model_pb2.TrainerSpec.UNIGRAM
+    theirs, (ours, _) = SentencePieceProcessor(model_proto=model.SerializeToString()), unigram
+    for text in texts:
+        if token_counts.BLANK not in text and "\0" not in text:
+            assert ours.count(text)[0] == len(theirs.encode(text)), text
+
+
 def test_parts_add_up(unigram, texts):
     ours, _ = unigram
     for text in texts[:400]:
@@ -81,7 +96,9 @@ def test_parts_add_up(unigram, texts):
 
 def test_count_table(spark):
     rows = [(1, "a b"), (1, "a b"), (None, None), (3, "")]
-    found = token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), MODEL).collect()
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, n_tokens string, score string")
+    assert token_counts.token_counts(docs.limit(0), MODEL).count() == 0
+    found = token_counts.token_counts(docs, MODEL).collect()
     assert sorted((r.n_tokens, r.n_chars) for r in found) == [(0, 0), (0, 0), (2, 3), (2, 3)]
 
 
@@ -126,3 +143,14 @@ def test_packing_is_lossless(spark):
         else:
             assert sum(len(x) for _, x in docs[doc]) == sum(map(len, want))
     assert packing.pack(table.limit(0)).count() == 0
+
+
+def test_repeated_rows_spread_over_shards(spark):
+    one = np.arange(50, dtype="<u4").tobytes()
+    table = spark.createDataFrame([(7, one)] * 400 + [(None, one)] * 400, "doc_id long, ids binary").repartition(3)
+    packed = packing.pack(table, capacity=64, shard_tokens=2000).collect()
+    sizes = {}
+    for r in packed:
+        sizes[r.shard] = sizes.get(r.shard, 0) + r.n_tokens
+    assert sum(sizes.values()) == 800 * 50 and max(sizes.values()) < 4 * 2000
+    assert all(np.frombuffer(r.ids, "<u4")[a:b].tobytes() == one for r in packed for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:], strict=False))
