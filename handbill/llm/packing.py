@@ -70,14 +70,14 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return rows
 
 
-PACKED_DDL = "shard long, row long, doc_ids array<long>, parts array<int>, cu_seqlens array<int>, ids binary, position_ids binary, n_tokens int, pad int"
+PACKED_DDL = "shard long, row long, doc_ids array<long>, parts array<int>, cu_seqlens array<int>, resets array<int>, ids binary, position_ids binary, n_tokens int, pad int"
 _PACKED = pa.schema(
-    [("shard", pa.int64()), ("row", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32())), ("cu_seqlens", pa.list_(pa.int32()))]
+    [("shard", pa.int64()), ("row", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32())), ("cu_seqlens", pa.list_(pa.int32())), ("resets", pa.list_(pa.int32()))]
     + [("ids", pa.binary()), ("position_ids", pa.binary()), ("n_tokens", pa.int32()), ("pad", pa.int32())]
 )
 
 
-def pack_shard(shard: int, docs: Iterable[tuple[int | None, np.ndarray]], capacity: int, pad_id: int) -> list[tuple]:
+def pack_shard(shard: int, docs: Iterable[tuple[int | None, np.ndarray]], capacity: int, pad_id: int, positioned: bool = True) -> list[tuple]:
     """Packed rows of one shard's documents, which are put in order first."""
     docs = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0, len(d[1])))
     if len({(d, len(ids)) for d, ids in docs}) < len(docs):  # repeated documents go by their ids
@@ -89,19 +89,22 @@ def pack_shard(shard: int, docs: Iterable[tuple[int | None, np.ndarray]], capaci
         used = int(cuts[-1])
         ids = np.full(capacity, pad_id, np.uint32)
         ids[:used] = np.concatenate([segments[k][2] for k in members])
-        positions = np.zeros(capacity, np.uint32)
-        positions[:used] = np.arange(used) - np.repeat(cuts[:-1], np.diff(cuts))
+        positions = None
+        if positioned:
+            positions = np.zeros(capacity, np.uint32)
+            positions[:used] = np.arange(used) - np.repeat(cuts[:-1], np.diff(cuts))
+            positions = positions.astype("<u4").tobytes()
         of = [docs[segments[k][0]][0] for k in members]
-        out.append((shard, row, of, [segments[k][1] for k in members], cuts.tolist(), ids.astype("<u4").tobytes(), positions.astype("<u4").tobytes(), used, capacity - used))
+        out.append((shard, row, of, [segments[k][1] for k in members], cuts.tolist(), cuts[:-1].tolist(), ids.astype("<u4").tobytes(), positions, used, capacity - used))
     return out
 
 
-def pack(encoded: DataFrame, *, capacity: int = 2048, pad_id: int = 0, end_id: int | None = None, shard_tokens: int = SHARD_TOKENS, about_tokens: int | None = None) -> DataFrame:
+def pack(encoded: DataFrame, *, capacity: int = 2048, pad_id: int = 0, end_id: int | None = None, shard_tokens: int = SHARD_TOKENS, about_tokens: int | None = None, positioned: bool = True) -> DataFrame:
     """Packed rows of a table of doc_id and ids (binary, little-endian unsigned 32-bit).
 
     A row has its ids padded to capacity, cu_seqlens (where its segments begin and the last
-    ends), position_ids that start again at 0 with each segment, and for each segment the
-    doc_id and the number of its part. end_id, if given, is put after every document.
+    ends), resets (where positions start again at 0), position_ids that do so (null unless
+    positioned, as the resets say the same in less room), and for each segment the doc_id and the number of its part. end_id, if given, is put after every document.
     Documents without ids (null or empty) are in no row unless end_id is given. Repeated rows
     and rows with a null doc_id pack like any other; a document longer than a shard's share
     makes its shard larger, never incomplete.
@@ -126,7 +129,7 @@ def pack(encoded: DataFrame, *, capacity: int = 2048, pad_id: int = 0, end_id: i
                 ids = np.frombuffer(ids, "<u4")
                 held.setdefault(shard, []).append((doc_id, ids if end_id is None else np.append(ids, np.uint32(end_id))))
         for shard in sorted(held):
-            rows = pack_shard(shard, held.pop(shard), capacity, pad_id)
+            rows = pack_shard(shard, held.pop(shard), capacity, pad_id, positioned)
             for start in range(0, len(rows), 256):
                 columns = zip(*rows[start : start + 256], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _PACKED, strict=True)], schema=_PACKED)

@@ -131,7 +131,7 @@ def test_packing_is_lossless(spark):
     for r in packed:
         ids, positions = np.frombuffer(r.ids, "<u4"), np.frombuffer(r.position_ids, "<u4")
         assert len(ids) == 16 and r.n_tokens + r.pad == 16 and r.cu_seqlens[-1] == r.n_tokens
-        assert (ids[r.n_tokens :] == 9).all()
+        assert (ids[r.n_tokens :] == 9).all() and r.resets == r.cu_seqlens[:-1] == np.flatnonzero(positions[: r.n_tokens] == 0).tolist()
         for doc, part, a, b in zip(r.doc_ids, r.parts, r.cu_seqlens, r.cu_seqlens[1:], strict=False):
             docs.setdefault(doc, []).append((part, ids[a:b].tobytes()))
             assert positions[a:b].tolist() == list(range(b - a))
