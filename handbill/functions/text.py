@@ -63,7 +63,7 @@ _STABLE = "^[\\x{00}-\\x{7f}\\x{400}-\\x{45f}«»–—]*$"
 def clean_line(value: Column) -> Column:
     """A line without leading icons and noise at its ends; NFKC-normalised where that matters."""
     v = text_or_empty(value)
-    v = F.when(v.rlike(_STABLE), v).otherwise(nfkc(v))
+    v = F.coalesce(nfkc(F.when(~v.rlike(_STABLE), v)), v)  # only what can change is sent to Python
     v = F.trim(F.replace(v, F.lit("\ufeff"), F.lit("")))
     v = F.regexp_replace(v, rf"^[^{WORD}]{{1,4}}\s*", "")
     v = F.regexp_replace(v, r"^[\s\-–—•*|:;,.]+|[\s\-–—•*|:;,]+$", "")
@@ -91,7 +91,7 @@ def unescape(value: Column) -> Column:
     v = value
     for name, char in ENTITIES.items():
         v = F.replace(v, F.lit(f"&{name};"), F.lit(char))
-    return F.when(v.contains("&#"), numeric_entities(v)).otherwise(v)
+    return F.coalesce(numeric_entities(F.when(v.contains("&#"), v)), v)
 
 
 @pandas_udf(T.StringType())
@@ -173,6 +173,16 @@ def readable_url(url: Column) -> Column:
     return F.when(scheme.isin("http", "https") & host.contains("."), full)
 
 
+def allowed_urls(value: Column, allowed: tuple[str, ...], denied: tuple[str, ...] = ()) -> Column:
+    """The addresses in a search answer, each once in order, whose domain is an allowed one or lies below it and is not denied.
+
+    Closing signs are cut off; addresses that end in a slash or in dots name no page.
+    """
+    found = F.transform(F.regexp_extract_all(text_or_empty(value), F.lit("https?://[^\\s<>)\"']+"), F.lit(0)), lambda u: F.regexp_replace(u, r"[.,;:!?*\]})]+$", ""))
+    below = lambda u, names: F.coalesce(url_domain(u).rlike(r"(?:^|\.)(?:" + "|".join(n.replace(".", r"\.") for n in names) + ")$"), F.lit(False)) if names else F.lit(False)
+    return F.array_distinct(F.filter(found, lambda u: ~F.endswith(u, F.lit("/")) & below(u, allowed) & ~below(u, denied)))
+
+
 def script(value: Column) -> Column:
     """numeric, cyrillic, latin, mixed or unknown."""
     v = text_or_empty(value)
@@ -205,7 +215,7 @@ def balanced_object(value: Column) -> Column:
     """The first JSON object in free text, null if there is none; only texts with nested or several braces leave the JVM."""
     greedy = F.regexp_extract(text_or_empty(value), r"(?s)\{.*\}", 0)
     flat = greedy.rlike(r"(?s)^\{[^{}]*\}$") & F.try_parse_json(greedy).isNotNull()
-    return F.when(flat, greedy).when(F.contains(value, F.lit("{")), first_object(value))
+    return F.coalesce(F.when(flat, greedy), first_object(F.when(~flat & F.contains(value, F.lit("{")), value)))
 
 
 @pandas_udf(T.StringType())

@@ -75,6 +75,8 @@ def overlap_groups(blocks: DataFrame, pairs: DataFrame, most_rounds: int = 50) -
         labels = moved.select("image_id", "ordinal", F.col("new").alias("label"))
         if moved.filter("new <> label").isEmpty():
             break
+    else:
+        raise RuntimeError(f"overlap groups did not settle in {most_rounds} rounds")
     return blocks.join(labels, ["image_id", "ordinal"], "left").withColumn("group_id", F.coalesce("label", "ordinal")).drop("label")
 
 
@@ -175,7 +177,8 @@ def fuzzy_names(texts: DataFrame, entities: DataFrame, threshold: float = 0.72)
 
     Nothing over the threshold is lost: a ratio is at most 2 * shorter / (both lengths), and
     texts of together 12 or more characters that are that similar share two letters in a
-    row; only shorter ones are compared without that. Equal texts are compared once.
+    row; shorter ones share a letter and have lengths near each other. Equal texts are
+    compared once.
     """
     if threshold < 0.7:
         raise ValueError("the filter of shared pairs of letters needs a threshold of 0.7 or more")
@@ -185,14 +188,19 @@ def fuzzy_names(texts: DataFrame, entities: DataFrame, threshold: float = 0.72)
     def spread(df: DataFrame, name: str) -> DataFrame:
         """Rows by shared pair of letters of the lookalike form, and of the plain form; short ones also by length."""
         forms = F.array_distinct(F.concat(*(F.when(F.length(F.col(name)) > 1, pairs_of(f)).otherwise(F.array().cast("array<string>")) for f in (F.col(name), t.lookalike_key(F.col(name))))))
-        short = F.when(F.length(F.col(name)) < 12, F.array(F.lit("\0short"))).otherwise(F.array().cast("array<string>"))
-        return df.select("*", F.explode(F.concat(forms, short)).alias("gram"))
+        none = F.array().cast("array<string>")
+        letters = F.array_distinct(F.filter(F.split(F.concat(F.col(name), t.lookalike_key(F.col(name))), ""), lambda c: c != ""))
+        size = F.length(F.col(name))
+        reach = lambda n: F.sequence(F.ceil(n * threshold / (2 - threshold)).cast("int"), F.least(F.floor(n * (2 - threshold) / threshold), F.lit(11)).cast("int"))
+        sizes = F.array(size) if name == "other" else reach(size)
+        by_letter = F.flatten(F.transform(sizes, lambda n: F.transform(letters, lambda c: F.concat(F.lit("\0"), n.cast("string"), c))))
+        return df.select("*", F.explode(F.concat(forms, F.when(size < 12, by_letter).otherwise(none))).alias("gram"))
 
     left = keyed.select("key").distinct()
     right = name_keys(entities).withColumnRenamed("key", "other")
     names = right.select("other").distinct()
     fits = 2 * F.least(F.length("key"), F.length("other")) >= threshold * (F.length("key") + F.length("other"))
-    met = spread(left, "key").join(spread(names, "other"), "gram").filter(fits & ((F.col("gram") != "\0short") | (F.length("key") + F.length("other") < 12))).select("key", "other").distinct()
+    met = spread(left, "key").join(spread(names, "other"), "gram").filter(fits & (~F.startswith("gram", F.lit("\0")) | (F.length("key") + F.length("other") < 12))).select("key", "other").distinct()
     score = F.round(F.greatest(ratio(F.col("key"), F.col("other")), ratio(t.lookalike_key(F.col("key")), t.lookalike_key(F.col("other")))), 6)
     scored = met.withColumn("score", score).filter(F.col("score") >= threshold)
     best = scored.join(right, "other").groupBy("key").agg(F.max_by(F.struct("name", "entity_id", "score"), F.struct("score", -F.col("entity_id"), -F.col("at"))).alias("best"))
@@ -241,6 +249,22 @@ def evidence(texts: DataFrame, fused: DataFrame) -> DataFrame:
     return whole.unionByName(clean).unionByName(fused.select("image_id", F.lit("block").alias("kind"), "text", "confidence"))
 
 
+_WORD = "struct<text:string,confidence:double,bbox:array<int>>"
+_LINE = f"struct<text:string,confidence:double,bbox:array<int>,words:array<{_WORD}>>"
+RESULT = f"struct<backend_name:string,raw_text:string,confidence:double,blocks:array<struct<text:string,confidence:double,bbox:array<int>,lines:array<{_LINE}>,block_type:string,reading_order:int,source:string>>,metadata:map<string,string>>"
+
+
+def result_json(result: Column) -> Column:
+    """A recognition result, blocks of lines of words, as JSON text; missing values are left out."""
+    return F.to_json(result.cast(RESULT))
+
+
+def result_of(json: Column) -> Column:
+    """The result that result_json() wrote; null for what is no JSON object or names no backend."""
+    parsed = F.from_json(json, RESULT)
+    return F.when(parsed["backend_name"].isNotNull(), parsed)
+
+
 def flatten_overlay(payload: Column) -> Column:
     """array<struct<text,x,y,w,h>> of an overlay payload's lines; a line's box is the union of its words' boxes."""
     schema = "array<struct<lines:array<struct<text:string,top:int,height:int,words:array<struct<text:string,left:int,top:int,width:int,height:int>>>>>>"

@@ -32,22 +32,43 @@ def titles(line_table: DataFrame) -> DataFrame:
     return first_by_pos(usable, F.trim(F.element_at(F.split(t.clean_line(F.col("line")), r"\|"), 1)), "title")
 
 
+_APART = r"\s*(?:,|;|/|\||\s&\s|\s[xх]\s|\sи\s)\s*"
+
+
 def artists(line_table: DataFrame) -> DataFrame:
-    """post_id, at, artist: names from the candidate lines at the top, up to the first line that is a field.
+    """post_id, at, artist: names from the lines below the first, up to the first line that is a field.
 
-    Only the first six lines count; names are split at separators and given once each.
+    Only the first six lines count, and not those that repeat the title; names are split at
+    separators and given once each. Without any, the part of the title before its separators
+    is the artist.
     """
-    top = line_table.filter("pos < 6")
+    named = titles(line_table)
+    top = line_table.filter("pos between 1 and 5")
     stops = F.col("is_labelled") | F.col("is_date") | F.col("is_time") | F.col("is_age") | F.col("is_ticket") | F.col("is_promo") | F.col("is_service")
     ended = F.max(stops.cast("int")).over(Window.partitionBy("post_id").orderBy("pos"))
-    block = top.withColumn("ended", ended).filter("ended = 0")
-    names = block.select("post_id", "pos", F.posexplode(F.split(t.clean_line(F.col("line")), r"\s*(?:,|;|/|\||\s&\s|\s[xх]\s|\sи\s)\s*")).alias("part", "artist"))
-    good = names.withColumn("key", t.entity_key(F.col("artist"))).filter((F.col("key") != "") & (F.length("artist").between(2, 60)) & ~F.col("key").rlike(fields.words(("live", "концерт", "афиша", "розыгрыш*"))))
+    block = top.withColumn("ended", ended).filter("ended = 0").select("post_id", "pos", "line")
+    titled = named.select("post_id", t.entity_key(F.col("title")).alias("title_key"))
+    parts = block.select("post_id", "pos", F.posexplode(F.split(t.clean_line(F.col("line")), _APART)).alias("part", "artist"))
+    good = _names(parts).join(titled, "post_id", "left").filter("title_key is null or key <> title_key").drop("title_key")
+    from_title = _names(named.select("post_id", F.lit(-1).alias("pos"), F.lit(0).alias("part"), F.element_at(F.split("title", _APART), 1).alias("artist")))
+    every = good.unionByName(from_title.join(good.select("post_id").distinct(), "post_id", "left_anti"))
     once = Window.partitionBy("post_id", "key").orderBy("pos", "part")
-    kept = good.withColumn("n", F.row_number().over(once)).filter("n = 1")
+    kept = every.withColumn("n", F.row_number().over(once)).filter("n = 1")
     return kept.select("post_id", F.row_number().over(Window.partitionBy("post_id").orderBy("pos", "part")).alias("at"), "artist")
 
 
+def _names(parts: DataFrame) -> DataFrame:
+    """The rows whose artist can be a name, with its key."""
+    keyed = parts.withColumn("key", t.entity_key(F.col("artist")))
+    return keyed.filter((F.col("key") != "") & F.length("artist").between(2, 60) & ~F.col("key").rlike(fields.words(("live", "концерт*", "афиша", "розыгрыш*"))))
+
+
+def organizers(channels: DataFrame, keywords: tuple[str, ...] = ("concerts", "promo", "agency", "концерты", "агентство")) -> DataFrame:
+    """channel_id, organizer: the cleaned title (channel_id, title) of channels whose title says that they organise."""
+    named = channels.select("channel_id", t.clean_line(F.col("title")).alias("organizer"))
+    return named.filter(F.lower("organizer").rlike(fields.words(keywords)))
+
+
 def links(line_table: DataFrame, buttons: DataFrame | None = None) -> DataFrame:
     """post_id, at, url, label, link_type: addresses of lines, then of buttons; the first place of an address counts.
 
@@ -76,6 +97,32 @@ def safe_city(value: Column, aliases: dict[str, str] | None = None) -> Column:
     return F.when(good, t.city_name(value, aliases))
 
 
+def venue_and_city(value: Column, aliases: dict[str, str] | None = None) -> Column:
+    """struct<venue,city> of "venue CITY": a last word in capitals, else a known city anywhere in it; else all is venue."""
+    known = aliases or t.CITY_ALIASES
+    cleaned = t.clean_line(value)
+    last = F.regexp_extract(cleaned, r"\s(\p{Lu}[\p{Lu}\-]+)$", 1)
+    within = rf"(?iu){dates.LEFT}({'|'.join(sorted(known, key=len, reverse=True))}){dates.RIGHT}"
+    named = F.regexp_extract(cleaned, within, 1)
+    pair = lambda venue, city: F.struct(t.blank_to_null(t.clean_line(venue)).alias("venue"), city.alias("city"))
+    by_last = pair(F.regexp_replace(cleaned, r"\s\p{Lu}[\p{Lu}\-]+$", ""), safe_city(last, aliases))
+    return F.when(last != "", by_last).when(named != "", pair(F.regexp_replace(cleaned, within, " "), t.city_name(named, aliases))).otherwise(pair(cleaned, F.lit(None).cast("string")))
+
+
+def legacy_occurrences(texts: DataFrame) -> DataFrame:
+    """post_id, pos, date, city, raw: lines of free text in which a city follows a date; never verified."""
+    rows = texts.select("post_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    pattern = r"(\d{1,2}[./-]\d{1,2}(?:[./-]\d{2,4})?).{0,80}?(\p{L}[\p{L} -]{2,40})"
+    found = rows.select("post_id", "pos", F.regexp_extract("raw", pattern, 1).alias("date"), F.trim(F.regexp_extract("raw", pattern, 2)).alias("city"), F.trim("raw").alias("raw"))
+    return found.filter("date <> ''")
+
+
+def legacy_issues(texts: DataFrame, marks: tuple[str, ...] = ("не подтвержд", "не хватает", "unverified", "conflict")) -> DataFrame:
+    """post_id, pos, severity, message: lines of free text that say what is wrong."""
+    rows = texts.select("post_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    return rows.filter(F.lower("raw").rlike("|".join(marks))).select("post_id", "pos", F.lit("warning").alias("severity"), F.trim("raw").alias("message"))
+
+
 def schedule(line_table: DataFrame) -> DataFrame:
     """post_id, pos, event_date, city: lines of `date - city` and `city: address`, once for each city and date."""
     low = F.lower("line")
@@ -99,7 +146,7 @@ def single_fields(line_table: DataFrame) -> DataFrame:
     )
     venue = F.coalesce(fields.labelled(F.col("line"), "venue"), F.when(F.lower("line").rlike(fields.words(("клуб*", "арен*", "бар*", "hall", "club"))) & ~F.col("is_service"), F.nullif(F.regexp_extract("line", "[\"«]([^\"»]+)[\"»]", 1), F.lit(""))))
     address = F.when(F.lower("line").rlike(rf"{dates.LEFT}(?:ул\.|улица|просп\.|проспект|наб\.|набережная|street|ave){dates.RIGHT}|{dates.LEFT}(?:ул|пр)\."), F.col("line"))
-    per_line = line_table.select("post_id", "pos", "line", "is_date", found.alias("found"), F.transform(fields.timings(F.col("line")), lambda x: F.concat_ws("@", x["label"], x["time"])).alias("times"), city.alias("city"), venue.alias("venue"), address.alias("address"))
+    per_line = line_table.select("post_id", "pos", "line", "is_date", found.alias("found"), F.transform(fields.timings(F.col("line")), lambda x: F.concat_ws("@", x["label"], F.concat_ws("-", x["time"], x["until"]))).alias("times"), city.alias("city"), venue.alias("venue"), address.alias("address"))
     first = lambda name, c: F.min_by(c, F.when(c.isNotNull(), F.col("pos"))).alias(name)
     times = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.size("times") > 0, F.struct("pos", "times")))), lambda s: F.array_join(s["times"], ",")), ",").alias("times")
     return per_line.groupBy("post_id").agg(

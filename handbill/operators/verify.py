@@ -342,6 +342,62 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     return usable(pages).select("run_id", F.lit("page").alias("field"), F.col("title").alias("value"), F.lit("verified").alias("status"), F.when(is_ticket_url(F.col("url")), "ticket_service").otherwise("official_site").alias("source_type"), F.col("url").alias("source_url"))
 
 
+#: How sure an input's own words make a field.
+INPUT_CONFIDENCE = {"title": 0.6, "artist": 0.6, "event_type": 0.5, "date": 0.6, "city": 0.6, "venue": 0.6, "price": 0.5, "age_limit": 0.5}
+_EVIDENCE = ("run_id", "field", "value", "status", "source_type", "source_url", "confidence")
+
+
+def input_evidence(inputs: DataFrame) -> DataFrame:
+    """Evidence rows of what an input says itself: a row for each field that has a value (run_id and columns named like the fields)."""
+    value = lambda name: F.lit("concert") if name == "event_type" else F.col(name).cast("string")
+    said = [F.when(F.trim(F.col("artist" if n == "event_type" else n).cast("string")) != "", F.struct(F.lit(n).alias("field"), value(n).alias("value"), F.lit(c).alias("confidence"))) for n, c in INPUT_CONFIDENCE.items()]
+    rows = inputs.select("run_id", F.explode(F.array_compact(F.array(*said))).alias("e"))
+    return rows.select("run_id", "e.field", "e.value", F.lit("input").alias("status"), F.lit("input_text").alias("source_type"), F.lit("").alias("source_url"), "e.confidence")
+
+
+def link_evidence(links: DataFrame) -> DataFrame:
+    """Evidence rows of the addresses to be verified (run_id, url): social, ticket or official, by the address."""
+    kind = F.when(F.lower("url").rlike(r"(?:t|telegram)\.me/"), "social_link").when(is_ticket_url(F.col("url")), "ticket_link").otherwise("official_source")
+    return links.filter(F.col("url").rlike("^https?://")).select("run_id", kind.alias("field"), "url", F.lit("input").alias("status"), F.lit("input_text").alias("source_type"), F.lit("").alias("source_url"), F.lit(0.4).alias("confidence")).toDF(*_EVIDENCE)
+
+
+def read_evidence(inputs: DataFrame, pages: DataFrame) -> DataFrame:
+    """Evidence rows of pages that were read: the page itself, and each of its run's facts that it holds."""
+    page = usable(pages).select("run_id", "url", haystack().alias("hay"))
+    own = page.select("run_id", F.when(is_ticket_url(F.col("url")), F.struct(F.lit("ticket_link").alias("field"), F.lit("unverified").alias("status"), F.lit(0.5).alias("confidence"))).otherwise(F.struct(F.lit("official_source").alias("field"), F.lit("verified").alias("status"), F.lit(0.9).alias("confidence"))).alias("e"), "url")
+    own = own.select("run_id", "e.field", F.col("url").alias("value"), "e.status", F.lit("url").alias("source_type"), F.col("url").alias("source_url"), "e.confidence")
+    facts = inputs.select("run_id", F.explode(F.array(*(F.struct(F.lit(n).alias("field"), F.col(n).cast("string").alias("value")) for n in ("title", "artist", "date", "city", "venue")))).alias("f"))
+    said = facts.join(page, "run_id").filter(held(F.col("hay"), F.array(t.search_key(F.col("f.value")))))
+    return own.unionByName(said.select("run_id", "f.field", "f.value", F.lit("verified").alias("status"), F.lit("url").alias("source_type"), F.col("url").alias("source_url"), F.lit(0.9).alias("confidence")))
+
+
+def rule_evidence(inputs: DataFrame, links: DataFrame, pages: DataFrame) -> DataFrame:
+    """All evidence that rules find: in the input, among its addresses and on the pages read. No model is asked."""
+    return input_evidence(inputs).unionByName(link_evidence(links)).unionByName(read_evidence(inputs, pages))
+
+
+_SEEN = "struct<source:string,value:string,confidence:double>"
+STORED = f"struct<content_type:string,is_useful:boolean,priority:string,confidence:double,main_decision:string,decisions:array<struct<type:string,confidence:double,data:map<string,string>,evidence:array<{_SEEN}>>>,variants:array<map<string,string>>,sql_plan:array<struct<purpose:string,query:string>>,warnings:array<string>,raw:map<string,string>>"
+#: Without these a stored result is none.
+REQUIRED = ("content_type", "is_useful", "priority", "confidence", "main_decision")
+
+
+def result_json(result: Column) -> Column:
+    """An analysis result as JSON text."""
+    return F.to_json(result.cast(STORED))
+
+
+def result_of(json: Column) -> Column:
+    """The result in a JSON text, null where a required field is missing or of another type; missing lists are empty."""
+    parsed = F.from_json(json, STORED)
+    whole = F.lit(True)
+    for name in REQUIRED:
+        whole &= parsed[name].isNotNull()
+    empty = {n: F.coalesce(parsed[n], F.from_json(F.lit("[]"), k)) for n, k in (("variants", "array<map<string,string>>"), ("warnings", "array<string>"))}
+    kept = [empty.get(n, parsed[n]).alias(n) for n in ("content_type", "is_useful", "priority", "confidence", "main_decision", "decisions", "variants", "sql_plan", "warnings", "raw")]
+    return F.when(whole, F.struct(*kept))
+
+
 def consistency() -> Column:
     """Warnings of an occurrence whose parts contradict each other."""
     return F.array_compact(F.array(F.when((F.col("confidence") > 0.9) & ~F.col("verified"), "sure_but_unverified"), F.when(F.col("verified") & t.blank_to_null(F.col("source_url")).isNull(), "verified_without_source")))

@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir, or to a folder of its own where a session names none (local tests)."""
+    """df written to spark.checkpoint.dir, or to a folder of its own where a local session names none."""
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
     return df.checkpoint()
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """The name of a folder, not made yet, where driver and executors both see it."""
+    checkpointed(spark.range(0))
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()).rstrip('/')}/{label}-{uuid.uuid4().hex}"

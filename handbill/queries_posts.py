@@ -235,10 +235,15 @@ def _(spark, d):
 _time = r"(?:^|[^0-9:])(([01]?\d|2[0-3]):([0-5]\d))(?:$|[^0-9:])"
 
 
-@query("x19_timings", f"SELECT DISTINCT post_id, CASE WHEN dd AND NOT ss THEN 'doors' WHEN ss THEN 'start' END AS label, lpad(v, 5, '0') AS time FROM (SELECT post_id, v, regexp_matches(c, '{L}(?:двери|doors){R}') AS dd, regexp_matches(c, '{L}(?:начало|start|show){R}') AS ss FROM (SELECT post_id, v, lower(right(b, 40)) AS c FROM (SELECT post_id, unnest(regexp_extract_all(x, '{_time}', 1)) AS v, unnest(regexp_split_to_array(x, '(?:[01]?\\d|2[0-3]):[0-5]\\d')) AS b FROM (SELECT post_id, regexp_replace(text, '-', ' - ', 'g') AS x FROM {{posts}}) q) z WHERE v IS NOT NULL) y) w")
+_clock = r"(?:[01]?\d|2[0-3]):[0-5]\d"
+_span = rf"(?:^|[^0-9:])({_clock})(?:\s*[-–—]\s*({_clock}))?"
+_cut = rf"{_clock}(?:\s*[-–—]\s*{_clock})?"
+
+
+@query("x19_timings", f"SELECT post_id, CASE WHEN dd AND NOT ss THEN 'doors' WHEN ss THEN 'start' END AS label, lpad(v, 5, '0') AS time, CASE WHEN u <> '' THEN lpad(u, 5, '0') END AS until, count(*) AS n FROM (SELECT post_id, v, u, regexp_matches(c, '{L}(?:двери|doors){R}') AS dd, regexp_matches(c, '{L}(?:начало|start|show){R}') AS ss FROM (SELECT post_id, v, u, lower(right(b, 40)) AS c FROM (SELECT post_id, unnest(regexp_extract_all(text, '{_span}', 1)) AS v, unnest(regexp_extract_all(text, '{_span}', 2)) AS u, unnest(regexp_split_to_array(text, '{_cut}')) AS b FROM {{posts}}) z WHERE v IS NOT NULL) y) w GROUP BY ALL")
 def _(spark, d):
-    spaced = F.regexp_replace("text", "-", " - ")
-    return view(spark, d, "posts").select("post_id", F.explode(fields.timings(spaced)).alias("t")).select("post_id", "t.*").distinct()
+    found = view(spark, d, "posts").select("post_id", F.explode(fields.timings(F.col("text"))).alias("t")).select("post_id", "t.*")
+    return found.groupBy("post_id", "label", "time", "until").agg(F.count(F.lit(1)).alias("n"))
 
 
 _URLS = r"SELECT DISTINCT post_id, regexp_replace(CASE WHEN regexp_matches(u, '(?i)^https?://') THEN u ELSE 'https://' || u END, '/+$', '') AS url FROM (SELECT post_id, regexp_replace(unnest(regexp_extract_all(text, '(?i)(?:https?://|www\.|t\.me/|vk\.com/)[^\s<>()]+')), '[.,;:!?)\]}''" + '"' + r"»]+$', '') AS u FROM {posts}) q"
@@ -253,7 +258,7 @@ def _(spark, d):
 def _(spark, d):
     listed = F.array(F.concat(F.lit("https://tickets.example/"), F.col("post_id").cast("string")))
     every = fields.urls_to_verify(F.col("text"), listed)
-    rest = F.array_sort(F.slice(every, 2, 100))
+    rest = F.array_sort(F.slice(every, F.lit(2), F.greatest(F.size(every) - 1, F.lit(0))))
     return view(spark, d, "posts").select("post_id", F.array_join(F.concat(F.slice(every, 1, 1), rest), " ").alias("urls"))
 
 
@@ -288,39 +293,40 @@ def _(spark, d):
     return view(spark, d, "lines").filter(fields.is_price(F.col("line"))).select("post_id", "pos", fields.price_value(F.col("line")).alias("price"))
 
 
-@query("x27_labels", "SELECT post_id, pos, label, trim(value) AS value FROM (SELECT post_id, pos, CASE " + " ".join(rf"WHEN regexp_matches(line, '(?i)^\s*(?:{'|'.join(w)})\s*[:\-]\s*.+$') THEN '{n}'" for n, w in fields.LABELS.items()) + " END AS label, coalesce(" + ", ".join(rf"nullif(regexp_extract(line, '(?i)^\s*(?:{'|'.join(w)})\s*[:\-]\s*(.+)$', 1), '')" for w in fields.LABELS.values()) + ") AS value FROM {lines}) q WHERE label IS NOT NULL")
+@query("x27_labels", "SELECT post_id, pos, label, trim(value) AS value FROM (SELECT post_id, pos, CASE " + " ".join(rf"WHEN regexp_matches(line, '(?i)^\s*(?:{'|'.join(w)})\s*[:\-]\s*.+$') THEN '{n}'" for n, w in fields.CONCERTS.labels.items()) + " END AS label, coalesce(" + ", ".join(rf"nullif(regexp_extract(line, '(?i)^\s*(?:{'|'.join(w)})\s*[:\-]\s*(.+)$', 1), '')" for w in fields.CONCERTS.labels.values()) + ") AS value FROM {lines}) q WHERE label IS NOT NULL")
 def _(spark, d):
     return view(spark, d, "lines").select("post_id", "pos", fields.any_label(F.col("line")).alias("f")).filter("f is not null").select("post_id", "pos", "f.*")
 
 
-@query("x42_statuses", over_posts("CASE " + " ".join(f"WHEN regexp_matches(x, '{L}(?:{s}){R}') THEN '{n}'" for n, s in fields.STATUSES) + " ELSE 'announced' END AS status"))
-def _(spark, d):
-    return view(spark, d, "posts").select("post_id", fields.status(F.col("text")).alias("status"))
+def _words_sql(of: tuple[str, ...]) -> str:
+    return L + "(?:" + "|".join(w[:-1] + r"[\p{L}]*" if w.endswith("*") else w.replace(" ", r"\s*") for w in of) + ")" + R
 
 
-def _words_sql(of: tuple[str, ...]) -> str:
-    return L + "(?:" + "|".join(w[:-1] + r"[\p{L}]*" if w.endswith("*") else w.replace(" ", r"\s+") for w in of) + ")" + R
+@query("x42_statuses", over_posts("CASE " + " ".join(f"WHEN regexp_matches(x, '{_words_sql(s)}') THEN '{n}'" for n, s in fields.CONCERTS.statuses) + " ELSE 'announced' END AS status"))
+def _(spark, d):
+    return view(spark, d, "posts").select("post_id", fields.status(F.col("text")).alias("status"))
 
 
-def _in(of: tuple[str, ...]) -> str:
-    return f"y IN ({', '.join(repr(w) for w in of)}) OR " if of else ""
+def _kind_sql(value: str, otherwise: str, few: str, nothing: str) -> str:
+    ranked = sorted(fields.CONCERTS.kinds, key=lambda k: -k.confidence)
+    marked = " ".join(f"WHEN regexp_matches(x, '{_words_sql(k.marks)}') THEN {getattr(k, value)!r}" for k in ranked)
+    return f"CASE {marked} WHEN trim(x) = '' THEN {nothing} WHEN len(regexp_split_to_array(trim(x), '\\s+')) <= {fields.CONCERTS.short_words} THEN {few} ELSE {otherwise} END"
 
 
-_KIND = "CASE WHEN y = '' THEN 'unknown' " + " ".join(f"WHEN {_in(whole)}regexp_matches(x, '{_words_sql(marks)}') THEN '{kind}'" for kind, _, whole, marks in fields.KINDS) + f" WHEN {_in(fields.LOW_SIGNAL)[:-4]} THEN 'low_signal' WHEN regexp_matches(x, '{_words_sql(fields.LOW_WORDS)}') THEN 'low_signal' WHEN len(string_split(y, chr(10))) <= 2 AND len(regexp_split_to_array(y, '\\s+')) <= 3 THEN 'low_signal' ELSE 'unknown' END"
-_KINDS = f"SELECT post_id, source, channel_id, y, {_KIND} AS kind FROM (SELECT *, {TEXT} AS x, regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g') AS y FROM {{posts}}) q"
+_KINDS = f"SELECT post_id, source, channel_id, {_kind_sql('name', repr('unknown'), repr('low_signal'), repr('unknown'))} AS kind, ({_kind_sql('confidence', '0.3', str(fields.CONCERTS.short_confidence), '0.0')})::DOUBLE AS confidence FROM (SELECT *, {TEXT} AS x FROM {{posts}}) q"
 
 
-@query("f2_message_kinds", f"SELECT post_id, kind, (CASE kind WHEN 'giveaway' THEN 0.95 WHEN 'promo' THEN 0.9 WHEN 'digest' THEN 0.85 WHEN 'tour_announcement' THEN 0.8 WHEN 'event' THEN 0.75 WHEN 'unknown' THEN 0.3 ELSE CASE WHEN {_in(fields.LOW_SIGNAL)[:-4]} THEN 0.75 ELSE 0.7 END END)::DOUBLE AS confidence FROM ({_KINDS}) z")
+@query("f2_message_kinds", f"SELECT post_id, kind, confidence FROM ({_KINDS}) z")
 def _(spark, d):
     k = fields.message_kind(F.col("text"))
-    return view(spark, d, "posts").select("post_id", k["kind"].alias("kind"), k["confidence"].alias("confidence"))
+    return view(spark, d, "posts").select("post_id", k.alias("k")).select("post_id", "k.kind", "k.confidence")
 
 
 _FLAG = {
     "is_date": f"regexp_matches(low, '{_dot}') OR regexp_matches(low, '{_word}') OR regexp_matches(line, '(?i)^\\s*(?:дата|когда|when|date)\\s*[:\\-]\\s*.+$')",
     "is_time": f"regexp_matches(line, '{_time}')",
-    "is_ticket": "regexp_matches(low, '" + "|".join(fields.TICKET_WORDS) + "')",
-    "is_promo": f"regexp_matches(low, '{_words_sql(('промокод', 'promo', 'код'))}')",
+    "is_ticket": "regexp_matches(low, '" + "|".join(fields.CONCERTS.ticket_words) + "')",
+    "is_promo": f"regexp_matches(low, '{_words_sql(fields.CONCERTS.code_words)}')",
     "is_short": "length(line) <= 2",
 }
 
@@ -421,3 +427,41 @@ def _(spark, d):
 @query("w2_examples")
 def _(spark, d):
     return reports.examples(reports.problems(drafts(spark, d))).select("tag", "source", "post_id", "at")
+
+
+@query("x31_organizers", "SELECT channel_id, title AS organizer FROM (SELECT c_custkey AS channel_id, c_name || CASE c_custkey % 3 WHEN 0 THEN ' Concerts' WHEN 1 THEN ' Concertsville' ELSE ' fans' END AS title FROM customer) q WHERE regexp_matches(lower(title), '(^|[^a-z])concerts($|[^a-z])')")
+def _(spark, d):
+    """Channels whose title says that they organise."""
+    title = F.expr("c_name || CASE c_custkey % 3 WHEN 0 THEN ' Concerts' WHEN 1 THEN ' Concertsville' ELSE ' fans' END")
+    return p.organizers(view(spark, d, "customer").select(F.col("c_custkey").alias("channel_id"), title.alias("title")))
+
+
+_HALL = "CASE run_id % 4 WHEN 0 THEN venue_name || ' МИНСК' WHEN 1 THEN 'Москва, ' || venue_name WHEN 2 THEN venue_name || ' в спб' ELSE venue_name END"
+
+
+@query("x38_venues_and_cities", "SELECT run_id, CASE run_id % 4 WHEN 2 THEN venue_name || ' в' ELSE venue_name END AS venue, CASE run_id % 4 WHEN 0 THEN 'Минск' WHEN 1 THEN 'Москва' WHEN 2 THEN 'Санкт-Петербург' END AS city FROM {v_occurrences}")
+def _(spark, d):
+    found = p.venue_and_city(F.expr(_HALL))
+    return view(spark, d, "v_occurrences").select("run_id", found.alias("f")).select("run_id", "f.*")
+
+
+_LEGACY = r"(\d{1,2}[./-]\d{1,2}(?:[./-]\d{2,4})?).{0,80}?([\p{L}][\p{L} -]{2,40})"
+
+
+@query("x45_legacy_occurrences", f"SELECT post_id, pos, regexp_extract(line, '{_LEGACY}', 1) AS date, trim(regexp_extract(line, '{_LEGACY}', 2)) AS city FROM {{posts_split}} WHERE regexp_matches(line, '{_LEGACY}')")
+def _(spark, d):
+    return p.legacy_occurrences(view(spark, d, "posts")).select("post_id", "pos", "date", "city")
+
+
+@query("x45_legacy_issues", "SELECT run_id AS post_id, pos AS pos, 'warning' AS severity, field || ' ' || status || ' ' || value AS message FROM {v_facts} WHERE status IN ('unverified', 'conflicted')")
+def _(spark, d):
+    """Lines of run reports that say what is wrong; the report of a run has its facts one a line."""
+    said = F.array_sort(F.collect_list(F.struct("pos", F.concat_ws(" ", "field", "status", "value").alias("line"))))
+    reports_of = view(spark, d, "v_facts").groupBy(F.col("run_id").alias("post_id")).agg(F.concat(F.lit("report\n"), F.array_join(F.transform(said, lambda s: s["line"]), "\n")).alias("text"))
+    return p.legacy_issues(reports_of)
+
+
+@query("f9_allowed_urls", r"SELECT DISTINCT post_id, url FROM (SELECT post_id, regexp_replace(unnest(regexp_extract_all(text, 'https?://[^\s<>)" + '"' + r"'']+')), '[.,;:!?*\]})]+$', '') AS url FROM {posts}) q WHERE NOT ends_with(url, '/') AND regexp_matches(url, '^https?://([^/]*\.)?(tickets\.example|t\.me)(/|$)') AND NOT regexp_matches(url, '^https?://t\.me(/|$)')")
+def _(spark, d):
+    """Addresses of the posts on allowed domains, less the denied ones."""
+    return view(spark, d, "posts").select("post_id", F.explode(t.allowed_urls(F.col("text"), ("tickets.example", "t.me"), ("t.me",))).alias("url"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .functions import text as t
 from .operators import ocr, render, verify
 from .plans.fixtures import plain, view, with_views
+from .plans.shared import new_folder
 from .sources import chat, sinks
 
 QUERIES, SQL = {}, {}
@@ -495,3 +496,61 @@ def _(spark, d):
 def _(spark, d):
     """Verification rows put together from evidence: title, links, what is missing, and a confidence by that."""
     return verify.review_rows(*tables(spark, d, "v_occurrences", "v_links"))
+
+
+@query("s13_result_json", "SELECT image_id, backend, ordinal, text, confidence, x, y, x + w AS right FROM {ocr_blocks} WHERE image_id % 7 <> 0")
+def _(spark, d):
+    """Recognition results as JSON, blocks of lines of words, and read back to words; one image in seven has a broken text."""
+    word = F.struct("text", "confidence", F.array(*(F.expr(c) for c in ("x", "y", "x + w", "y + h"))).alias("bbox"))
+    line = F.struct("text", "confidence", word["bbox"].alias("bbox"), F.array(word).alias("words"))
+    block = F.struct("text", "confidence", word["bbox"].alias("bbox"), F.array(line).alias("lines"), "block_type", F.col("ordinal").alias("reading_order"), F.lit("scan").alias("source"))
+    grouped = view(spark, d, "ocr_blocks").groupBy("image_id", "backend").agg(F.collect_list(block).alias("blocks"))
+    result = F.struct(F.col("backend").alias("backend_name"), F.lit("").alias("raw_text"), F.lit(0.5).alias("confidence"), "blocks", F.create_map(F.lit("k"), F.lit("v")).alias("metadata"))
+    stored = grouped.select("image_id", F.when(F.col("image_id") % 7 == 0, F.lit('{"raw_text": "x"')).otherwise(ocr.result_json(result)).alias("json"))
+    read = stored.select("image_id", ocr.result_of(F.col("json")).alias("r")).select("image_id", F.col("r.backend_name").alias("backend"), F.explode("r.blocks").alias("b"))
+    words = read.select("image_id", "backend", F.col("b.reading_order").alias("ordinal"), F.explode("b.lines").alias("l")).select("image_id", "backend", "ordinal", F.explode("l.words").alias("w"))
+    return words.select("image_id", "backend", "ordinal", "w.text", "w.confidence", F.col("w.bbox")[0].alias("x"), F.col("w.bbox")[1].alias("y"), F.col("w.bbox")[2].alias("right"))
+
+
+def results(spark, d):
+    """Analysis results of runs, a decision for each fact."""
+    decision = lambda f: F.struct(f["field"].alias("type"), f["confidence"].alias("confidence"), F.create_map(F.lit("value"), f["value"]).alias("data"), F.array(F.struct(f["source_type"].alias("source"), f["value"].alias("value"), f["confidence"].alias("confidence"))).alias("evidence"))
+    grouped = view(spark, d, "v_facts").groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("pos", "field", "value", "source_type", "confidence"))).alias("f"), F.max("confidence").alias("best"))
+    made = F.struct(F.lit("event").alias("content_type"), (F.col("run_id") % 2 == 0).alias("is_useful"), F.lit("normal").alias("priority"), F.col("best").alias("confidence"), F.lit("review").alias("main_decision"), F.transform("f", decision).alias("decisions"), F.array(F.create_map(F.lit("a"), F.lit("b"))).alias("variants"), F.array(F.struct(F.lit("look up").alias("purpose"), F.lit("select 1").alias("query"))).alias("sql_plan"), F.array(F.lit("w")).alias("warnings"), F.create_map(F.lit("raw"), F.lit("text")).alias("raw"))
+    return grouped.select("run_id", verify.result_json(made).alias("json"))
+
+
+@query("r18_results", "SELECT run_id, run_id % 2 = 0 AS is_useful, best AS confidence, n, evidence FROM (SELECT run_id, max(confidence) AS best, count(*) AS n, string_agg(field || '=' || value, ',' ORDER BY pos) AS evidence FROM {v_facts} GROUP BY run_id) q WHERE run_id % 5 > 1")
+def _(spark, d):
+    """Results as JSON and back; one run in five lacks a required field, one has a word for a truth value."""
+    json = F.when(F.col("run_id") % 5 == 0, F.replace("json", F.lit('"priority"'), F.lit('"urgency"'))).when(F.col("run_id") % 5 == 1, F.regexp_replace("json", '"is_useful":(true|false)', '"is_useful":"so"')).otherwise(F.col("json"))
+    read = results(spark, d).select("run_id", verify.result_of(json).alias("r")).filter("r is not null")
+    said = F.array_join(F.transform("r.decisions", lambda x: F.concat_ws("=", x["type"], x["data"]["value"])), ",")
+    return read.select("run_id", "r.is_useful", "r.confidence", F.size("r.decisions").cast("long").alias("n"), said.alias("evidence"))
+
+
+@query("s19_stored_results", "SELECT run_id, count(*) AS n FROM {v_facts} WHERE pos = 1 GROUP BY run_id UNION ALL SELECT run_id, 1 FROM {v_facts} WHERE pos = 1 AND run_id % 3 = 0")
+def _(spark, d):
+    """Results added to a stored table twice, the second time those of one run in three, and read back."""
+    path = new_folder(spark, "results")
+    made = results(spark, d)
+    sinks.append_results(made.withColumn("batch", F.lit(1)), path)
+    sinks.append_results(made.filter("run_id % 3 = 0").withColumn("batch", F.lit(2)), path)
+    stored = spark.read.parquet(path)
+    return stored.groupBy("run_id", "batch").agg(F.count(F.lit(1)).alias("n")).drop("batch")
+
+
+def _inputs(spark, d):
+    o = view(spark, d, "v_occurrences")
+    return o.select("run_id", F.col("artist").alias("title"), "artist", F.date_format("event_date", "d.MM.yyyy").alias("date"), F.col("city_name").alias("city"), F.col("venue_name").alias("venue"), F.lit(None).cast("string").alias("price"), F.lit(18).alias("age_limit"))
+
+
+_IN = "SELECT run_id, artist, CASE WHEN event_date IS NOT NULL THEN day(event_date) || '.' || strftime(event_date, '%m.%Y') END AS date, city_name AS city, venue_name AS venue FROM {v_occurrences}"
+_SAYS = f"SELECT run_id, page_pos, url, field, value, hay FROM (SELECT run_id, unnest(['title', 'artist', 'date', 'city', 'venue']) AS field, unnest([artist, artist, date, city, venue]) AS value FROM ({_IN}) i) f JOIN ({_PAGES}) p USING (run_id)"
+
+
+@query("r9_rule_evidence", f"SELECT run_id, field, status, confidence, count(*) AS n FROM (SELECT run_id, unnest(['title', 'artist', 'event_type', 'date', 'city', 'venue', 'age_limit']) AS field, unnest([artist, artist, 'concert', date, city, venue, '18']) AS value, 'input' AS status, unnest([0.6, 0.6, 0.5, 0.6, 0.6, 0.6, 0.5])::DOUBLE AS confidence FROM ({_IN}) i UNION ALL SELECT run_id, CASE WHEN regexp_matches(lower(url), 't\\.me/|telegram\\.me/') THEN 'social_link' WHEN regexp_matches(lower(url), 'ticket|kassir|radario|afisha') THEN 'ticket_link' ELSE 'official_source' END, url, 'input', 0.4 FROM {{v_links}} UNION ALL SELECT run_id, CASE WHEN regexp_matches(lower(url), 'ticket|kassir|radario|afisha') THEN 'ticket_link' ELSE 'official_source' END, url, CASE WHEN regexp_matches(lower(url), 'ticket|kassir|radario|afisha') THEN 'unverified' ELSE 'verified' END, CASE WHEN regexp_matches(lower(url), 'ticket|kassir|radario|afisha') THEN 0.5 ELSE 0.9 END FROM ({_PAGES}) p UNION ALL SELECT run_id, field, value, 'verified', 0.9 FROM ({_SAYS}) s WHERE {has(key('value'))}) e WHERE trim(value) <> '' GROUP BY ALL")
+def _(spark, d):
+    """Evidence that rules find in the inputs, among their addresses and on the pages read."""
+    found = verify.rule_evidence(_inputs(spark, d), *tables(spark, d, "v_links", "pages_read"))
+    return found.groupBy("run_id", "field", "status", "confidence").agg(F.count(F.lit(1)).alias("n"))

@@ -31,6 +31,11 @@ def write_text(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).cast("string").alias("value")).write.mode("errorifexists").text(path)
 
 
+def append_results(results: DataFrame, path: str) -> None:
+    """Adds analysis results to the table at path, which keeps every one that was ever added."""
+    results.write.mode("append").parquet(path)
+
+
 def tool_pages(results: DataFrame) -> DataFrame:
     """run_id, step, pos and the page's columns for each page of `url_read` results (run_id, step, tool, data); malformed rows go."""
     read = results.filter("tool = 'url_read'").select("run_id", "step", F.posexplode(F.from_json(F.get_json_object("data", "$.pages"), PAGES)).alias("pos", "page"))
