@@ -11,10 +11,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_text, per_texts, slices
+from .common import id_text, per_texts, slices
 
 UNDETERMINED = "und"
 #: Families by ISO 639-1 code. A language not listed is a family of its own.
@@ -142,21 +142,21 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """A model from labelled documents that are not held out.
 
-    Of each language, copies aside, the texts with the smallest hashes are taken, sample /
-    languages of them, so that a rare or much copied language has some too and at most
-    about `sample` vectors reach the driver. Of more than MOST_LANGUAGES labels the
-    commonest are learned.
+    Of each language, copies aside, the texts whose hashes fall below a rate are taken, about
+    sample / languages of them and all of a rarer language, so that a much copied language
+    has some too and at most about `sample` vectors reach the driver. Of more than
+    MOST_LANGUAGES labels the commonest are learned.
     """
     labelled = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("text").alias("place"))
-    distinct = checkpointed(labelled.select("lang", "place").distinct())
-    common = [r["lang"] for r in distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
+    found = labelled.select("lang", "place").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    common = {r["lang"]: r["n"] for r in found.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not common:
         return Model()
-    order = Window.partitionBy("lang").orderBy("place")
-    first = distinct.filter(F.col("lang").isin(common)).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= max(1, sample // len(common)))
-    bounds = first.groupBy("lang").agg(F.max("place").alias("last"))
-    chosen = labelled.join(F.broadcast(bounds), "lang").filter(F.col("place") <= F.col("last")).dropDuplicates(["lang", "place"]).select("lang", "text")
+    each = max(8, sample // len(common))
+    rates = docs.sparkSession.createDataFrame([(lang, min(1.0, each / n)) for lang, n in common.items()], "lang string, rate double")
+    share = F.pmod("place", F.lit(1 << 30)) / F.lit(1 << 30)
+    chosen = labelled.join(F.broadcast(rates), "lang").filter(share < F.col("rate")).dropDuplicates(["lang", "place"]).select("lang", "text")
 
     def vectors(batches):
         for batch in batches:
