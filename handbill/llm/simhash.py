@@ -216,7 +216,7 @@ def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 ALIKE_BITS, ALIKE_SEGMENTS = 26, 8
 
 
-def similar_roots(docs: DataFrame, described: DataFrame, *, words: int = overlap.WORDS, alike: Fraction = overlap.ALIKE, pair_limit: int = 64, pivots: int = 8) -> DataFrame:
+def similar_roots(docs: DataFrame, described: DataFrame, *, words: int = overlap.WORDS, alike: Fraction = overlap.ALIKE, pair_limit: int = 64, pivots: int = 1) -> DataFrame:
     """node, root: the smallest id reachable by links, for each id of `described` that has a link.
 
     Candidates are pairs of one shared shingle of their sketches whose sizes and places allow
@@ -224,8 +224,8 @@ def similar_roots(docs: DataFrame, described: DataFrame, *, words: int = overlap
     is not paired at once: those of its sets that it stands first in, which have the least of
     their own and so the most links, meet all of them; in the next round four times as many of
     those not in its largest component, until each pair in different components has met.
-    Candidates are verified by whole sets in the same rounds: first each one's four nearest and
-    smallest, then sixteen times as many of those not connected yet, until none is left.
+    Candidates are verified by whole sets in the same rounds: first each one's two nearest and
+    smallest, then four times as many of those not connected yet, until none is left.
     """
     side = ["id", "n", "r", "fp"]
     keyed = described.select("id", "n", "fp", F.posexplode("keys").alias("at", "key")).select("key", "id", "n", (F.col("n") - F.col("at")).alias("r"), "fp")
@@ -246,7 +246,7 @@ def similar_roots(docs: DataFrame, described: DataFrame, *, words: int = overlap
     wanted = described.select("id", "doc_id", "text_hash").join(ids, "id").groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
     sets = written(overlap.sets_of(docs, wanted.select("id", "one.*"), words), "overlap-sets")
 
-    edges, roots, most, done, salts = left.select("a", "b").limit(0), left.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0), 4, None, 16
+    edges, roots, most, done, salts = left.select("a", "b").limit(0), left.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0), 2, None, 16
     crowded = not hot.isEmpty()
     while True:
         if crowded:
@@ -270,7 +270,7 @@ def similar_roots(docs: DataFrame, described: DataFrame, *, words: int = overlap
             return roots
         edges = checkpointed(edges.unionByName(overlap.alike_pairs(ranked.filter(F.col("turn") <= most).select("a", "b"), sets, alike)))
         roots, later = components(edges), ranked.filter(F.col("turn") > most).drop("turn")
-        left, most, pivots = checkpointed(_apart(later, roots)), most * 16, pivots * 4
+        left, most, pivots = checkpointed(_apart(later, roots)), most * 4, pivots * 4
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
