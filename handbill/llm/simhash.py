@@ -153,10 +153,10 @@ def components(edges: DataFrame, *, most_rounds: int = 40) -> DataFrame:
     held = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(held)
     for _ in range(most_rounds):
-        both = held.unionByName(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = held.unionByName(held.select(F.col("b").alias("a"), F.col("a").alias("b"))).repartition("a")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, both["a"] == least["u"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
+        large = large.repartition("a").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         joined = large.join(small, large["a"] == small["u"])
         held = checkpointed(
@@ -222,10 +222,10 @@ def similar_roots(docs: DataFrame, described: DataFrame, *, words: int = overlap
     Candidates are pairs of one shared shingle of their sketches whose sizes and places allow
     a link and whose fingerprints pass the ring. A shingle in more than pair_limit sketches
     is not paired at once: those of its sets that it stands first in, which have the least of
-    their own and so the most links, meet all of them; in the next round four times as many of
+    their own and so the most links, meet all of them; in the next round eight times as many of
     those not in its largest component, until each pair in different components has met.
-    Candidates are verified by whole sets in the same rounds: first each one's two nearest and
-    smallest, then four times as many of those not connected yet, until none is left.
+    Candidates are verified by whole sets in the same rounds: first each one's four nearest
+    and smallest, then eight times as many of those not connected yet, until none is left.
     """
     side = ["id", "n", "r", "fp"]
     keyed = described.select("id", "n", "fp", F.posexplode("keys").alias("at", "key")).select("key", "id", "n", (F.col("n") - F.col("at")).alias("r"), "fp")
@@ -246,7 +246,7 @@ def similar_roots(docs: DataFrame, described: DataFrame, *, words: int = overlap
     wanted = described.select("id", "doc_id", "text_hash").join(ids, "id").groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
     sets = written(overlap.sets_of(docs, wanted.select("id", "one.*"), words), "overlap-sets")
 
-    edges, roots, most, done, salts = left.select("a", "b").limit(0), left.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0), 2, None, 16
+    roots, most, done, salts = left.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0), 4, None, 16
     crowded = not hot.isEmpty()
     while True:
         if crowded:
@@ -268,9 +268,9 @@ def similar_roots(docs: DataFrame, described: DataFrame, *, words: int = overlap
         ranked = checkpointed(left.withColumn("turn", F.least(near, low)))
         if ranked.isEmpty() and not crowded:
             return roots
-        edges = checkpointed(edges.unionByName(overlap.alike_pairs(ranked.filter(F.col("turn") <= most).select("a", "b"), sets, alike)))
-        roots, later = components(edges), ranked.filter(F.col("turn") > most).drop("turn")
-        left, most, pivots = checkpointed(_apart(later, roots)), most * 4, pivots * 4
+        alike_now = overlap.alike_pairs(ranked.filter(F.col("turn") <= most).select("a", "b"), sets, alike)
+        roots = components(alike_now.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        left, most, pivots = checkpointed(_apart(ranked.filter(F.col("turn") > most).drop("turn"), roots)), most * 8, pivots * 8
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
