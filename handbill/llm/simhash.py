@@ -147,36 +147,28 @@ def links(prints: DataFrame, *, most_bits: int = 2, segments: int = 5, pair_limi
 def components(edges: DataFrame, *, most_rounds: int = 40) -> DataFrame:
     """node, root: the smallest node reachable, for every node of an edge (columns a, b).
 
-    Alternates large-star and small-star steps until nothing changes; each round is
-    checkpointed. Work follows the edges, and groups are reduced to minima, not gathered.
+    Each round points every node at its smallest neighbour, follows the pointers once more and
+    replaces the ends of the edges by what they point at; edges within one node go. A node with
+    many edges is left with one after a round. Groups are reduced to minima before a shuffle,
+    never gathered, and the tables of a round are written to the shared folder.
     """
-    held = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = _mark(held)
+    held = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    roots = None
     for _ in range(most_rounds):
-        both = held.unionByName(held.select(F.col("b").alias("a"), F.col("a").alias("b"))).repartition("a")
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, both["a"] == least["u"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.repartition("a").distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        joined = large.join(small, large["a"] == small["u"])
-        held = checkpointed(
-            joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .filter("a <> b")
-            .unionByName(small.select(F.col("u").alias("a"), F.col("m").alias("b")))
-            .distinct()
-        )
-        if (new := _mark(held)) == mark:
-            return held.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = new
+        least = held.unionByName(held.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        far = written(least.join(least.select(F.col("u").alias("m"), F.col("m").alias("to")), "m").select("u", "to"), "pointers")
+        of = lambda end: far.select(F.col("u").alias(end), F.col("to").alias(f"to_{end}"))  # noqa: E731, B023
+        moved = held.join(of("a"), "a").join(of("b"), "b").filter("to_a <> to_b")
+        held = written(moved.select(F.greatest("to_a", "to_b").alias("a"), F.least("to_a", "to_b").alias("b")).distinct(), "edges")
+        if roots is None:
+            roots = far.select(F.col("u").alias("node"), F.col("to").alias("root"))
+        else:
+            roots = roots.join(far, roots["root"] == far["u"], "left").select("node", F.coalesce("to", "root").alias("root"))
+        if held.isEmpty():
+            return written(roots, "roots")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Two numbers that tell one set of edges from another."""
-    hashed = F.xxhash64("a", "b")
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(hashed, 8)), F.bit_xor(hashed)).first())
-
-
 def rooted(prints: DataFrame, *, most_bits: int = 2, segments: int = 5, pair_limit: int = 64) -> DataFrame:
     """fp and root for every distinct fp of prints: the smallest fingerprint of its component."""
     distinct = checkpointed(prints.select("fp").distinct())
@@ -216,31 +208,31 @@ def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 ALIKE_BITS, ALIKE_SEGMENTS = 26, 8
 
 
-def similar_roots(docs: DataFrame, described: DataFrame, *, words: int = overlap.WORDS, alike: Fraction = overlap.ALIKE, pair_limit: int = 64, pivots: int = 1) -> DataFrame:
+def similar_roots(docs: DataFrame, described: DataFrame, *, words: int = overlap.WORDS, alike: Fraction = overlap.ALIKE, pair_limit: int = 64, pivots: int = 16) -> DataFrame:
     """node, root: the smallest id reachable by links, for each id of `described` that has a link.
 
     Candidates are pairs of one shared shingle of their sketches whose sizes and places allow
     a link and whose fingerprints pass the ring. A shingle in more than pair_limit sketches
-    is not paired at once: those of its sets that it stands first in, which have the least of
+    is not paired at once: `pivots` of its sets that it stands first in, which have the least of
     their own and so the most links, meet all of them; in the next round eight times as many of
     those not in its largest component, until each pair in different components has met.
     Candidates are verified by whole sets in the same rounds: first each one's four nearest
-    and smallest, then eight times as many of those not connected yet, until none is left.
+    and smallest, then 64 times as many of those not connected yet, until none is left.
     """
     side = ["id", "n", "r", "fp"]
     keyed = described.select("id", "n", "fp", F.posexplode("keys").alias("at", "key")).select("key", "id", "n", (F.col("n") - F.col("at")).alias("r"), "fp")
     often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
-    shared = checkpointed(keyed.join(often, "key").dropDuplicates(["key", "id"]))
+    shared = written(keyed.join(often, "key").dropDuplicates(["key", "id"]), "overlap-shared")
     met = shared.groupBy("key").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
-    shared = checkpointed(shared.drop("met").join(met, "key"))
+    shared = written(shared.drop("met").join(met, "key"), "overlap-shared")
     lead = F.col("r") * (alike.numerator + alike.denominator) >= F.col("n") * 2 * alike.numerator  # places where a set can be its pair's smaller
 
     fits = overlap.reach(F.col("r_x"), F.col("n_x"), F.col("r_y"), F.col("n_y"), alike) & on_ring(F.col("fp_x"), F.col("fp_y"), ALIKE_BITS, ALIKE_SEGMENTS)
-    ordered = F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), F.bit_count(F.col("fp_x").bitwiseXOR(F.col("fp_y"))).alias("bits")
+    ordered = F.col("id_x").alias("a"), F.col("id_y").alias("b"), F.bit_count(F.col("fp_x").bitwiseXOR(F.col("fp_y"))).alias("bits")
     named = lambda df, which, more=(): df.select("key", *(F.col(c).alias(f"{c}_{which}") for c in (*side, *more)))
     few = shared.filter(F.col("met") <= pair_limit)
-    left = checkpointed(named(few.filter(lead), "x").join(named(few, "y"), "key").filter((F.struct("n_x", "id_x") < F.struct("n_y", "id_y")) & fits).select(*ordered).distinct())
-    hot = checkpointed(shared.filter(F.col("met") > pair_limit).select("key", *side))
+    left = written(named(few.filter(lead), "x").join(named(few, "y"), "key").filter((F.struct("n_x", "id_x") < F.struct("n_y", "id_y")) & fits).select(*ordered).distinct(), "overlap-pairs")
+    hot = shared.filter(F.col("met") > pair_limit).select("key", *side)
 
     ids = left.select(F.explode(F.array("a", "b")).alias("id")).unionByName(hot.select("id")).distinct()
     wanted = described.select("id", "doc_id", "text_hash").join(ids, "id").groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
@@ -258,19 +250,20 @@ def similar_roots(docs: DataFrame, described: DataFrame, *, words: int = overlap
                 placed = placed.join(done, ["key", "id"], "left_anti")
                 rest = placed.filter(lead).join(largest, "key").filter("root <> top").drop("top")
             hubs = Window.partitionBy("key").orderBy(F.col("n") - F.col("r"), "id")
-            chosen = checkpointed(rest.withColumn("place", F.row_number().over(hubs)).filter(F.col("place") <= pivots).select("key", *side, "root"))
-            done = checkpointed(chosen.select("key", "id") if done is None else done.unionByName(chosen.select("key", "id")))
+            chosen = written(rest.withColumn("place", F.row_number().over(hubs)).filter(F.col("place") <= pivots).select("key", *side, "root"), "overlap-hubs")
+            crowded = not chosen.isEmpty()
+        if crowded:
+            done = chosen.select("key", "id") if done is None else done.unionByName(chosen.select("key", "id"))
             x = named(chosen, "x", ("root",)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
             y = named(placed, "y", ("root",)).withColumn("salt", F.pmod(F.hash("id_y"), F.lit(salts)))
             left = left.unionByName(x.join(y, ["key", "salt"]).filter((F.col("root_x") != F.col("root_y")) & fits).select(*ordered)).distinct()
-            crowded = not chosen.isEmpty()
-        near, low = (F.row_number().over(Window.partitionBy("b").orderBy(*by)) for by in (("bits", "a"), ("a",)))
-        ranked = checkpointed(left.withColumn("turn", F.least(near, low)))
-        if ranked.isEmpty() and not crowded:
+        elif left.isEmpty():
             return roots
+        near, low = (F.row_number().over(Window.partitionBy("b").orderBy(*by)) for by in (("bits", "a"), ("a",)))
+        ranked = written(left.withColumn("turn", F.least(near, low)), "overlap-ranked")
         alike_now = overlap.alike_pairs(ranked.filter(F.col("turn") <= most).select("a", "b"), sets, alike)
         roots = components(alike_now.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        left, most, pivots = checkpointed(_apart(ranked.filter(F.col("turn") > most).drop("turn"), roots)), most * 8, pivots * 8
+        left, most, pivots = written(_apart(ranked.filter(F.col("turn") > most).drop("turn"), roots), "overlap-pairs"), most * 64, pivots * 8
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
