@@ -8,7 +8,7 @@ rank. Entries are never removed when a neighbour's merge overtakes them; an entr
 has gone, or whose pair's rank has changed, is stale and is skipped on arrival. Work follows
 the bytes, however long a pre-token is.
 
-Pre-tokens repeat, so a task remembers the ids of those it has met, within a bound, and
+Pre-tokens repeat, so a Python worker remembers, from task to task, the ids of those it has met, within a bound, and
 sends the new ones of a batch through the queue together. Merging holds about 64 bytes for
 each byte of the longest pre-token: one of 30 MB takes 2 GB.
 """
@@ -16,6 +16,7 @@ each byte of the longest pre-token: one of 30 MB takes 2 GB.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import re
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from .common import id_text, per_texts
 
-#: Pre-tokens that one task remembers, and that it merges at once.
+#: Pre-tokens that one worker remembers, and that it merges at once.
 REMEMBERED, MERGED_AT_ONCE = 700_000, 100_000
 
 
@@ -221,7 +222,7 @@ class Encoder:
         return self._find(text)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Pre-tokens not met before are merged together; the task remembers up to REMEMBERED of them."""
+        """Pre-tokens not met before are merged together; the worker remembers up to REMEMBERED of them."""
         found = [self.pieces(text) if text else [] for text in texts]
         new = list(set().union(*found).difference(self._known)) if found else []
         if len(self._known) + len(new) > REMEMBERED:
@@ -234,6 +235,12 @@ class Encoder:
         return [b"".join(map(known, pieces)) for pieces in found]
 
 
+@functools.lru_cache(maxsize=1)
+def worker_encoder(ranks_path: str, pattern: str) -> Encoder:
+    """The encoder of this Python worker: its next tasks neither build it nor merge again what it remembers."""
+    return Encoder(read_ranks(ranks_path), pattern)
+
+
 class Decoder:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
@@ -261,7 +268,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
     """
 
     def make():
-        encoder = Encoder(read_ranks(ranks_path), pattern)
+        encoder = worker_encoder(ranks_path, pattern)
         return lambda texts: [(ids,) for ids in encoder.encode(texts)]
 
     return per_texts(id_text(docs, id_col, text_col), make, pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]), "doc_id long, ids binary")
@@ -284,8 +291,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str =
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes every text and decodes its ids."""
 
     def make():
-        ranks = read_ranks(ranks_path)
-        encoder, decoder = Encoder(ranks, pattern), Decoder(ranks)
+        encoder, decoder = worker_encoder(ranks_path, pattern), Decoder(read_ranks(ranks_path))
 
         def of(texts: list[str | None]) -> list[tuple]:
             return [(len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoder.decode(ids)).hexdigest()) for ids in encoder.encode(texts)]
