@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language_id, mixing, mpeg_audio, packing, pii, secrets_scan, simhash, token_counts
+from . import byte_bpe, exact_dedup, language_id, mixing, mpeg_audio, packing, pii, secrets_scan, simhash, term_topk, token_counts, vector_codes, word_runs
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -60,8 +64,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), end_id=50256, pad_id=50256, about_tokens=n_bytes // 3, positioned=False).drop("position_ids")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.with_label_errors(vector_codes.coded(embeddings(spark, sf_dir)))
+
+
+def op12_term_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every vector whose id is divisible by 50."""
+    return term_topk.top(embeddings(spark, sf_dir), F.col("id") % 50 == 0)
+
+
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.digest(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mixing, op2_exact_dedup, op3_mpeg_audio, op4_byte_bpe, op5_secrets, op6_simhash, op7_token_counts, op8_language_id, op9_personal_data, op10_packing)
+    found = (op1_mixing, op2_exact_dedup, op3_mpeg_audio, op4_byte_bpe, op5_secrets, op6_simhash, op7_token_counts, op8_language_id, op9_personal_data, op10_packing, op11_vector_codes, op12_term_topk, op13_word_runs)
     return {f.__name__: f for f in found}
 
 
@@ -73,4 +90,4 @@ FROM texts WINDOW same AS (PARTITION BY content)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.mix_sql(mixing.Plan()), "op2_exact_dedup": OP2_SQL}
+    return {"op1_mixing": mixing.mix_sql(mixing.Plan()), "op2_exact_dedup": OP2_SQL, "op11_vector_codes": vector_codes.codes_sql(), "op12_term_topk": term_topk.TOP_SQL}
