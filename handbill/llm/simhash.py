@@ -144,29 +144,59 @@ def links(prints: DataFrame, *, most_bits: int = 2, segments: int = 5, pair_limi
     return linked.unionByName(met_at)
 
 
-def components(edges: DataFrame, *, most_rounds: int = 40) -> DataFrame:
-    """node, root: the smallest node reachable, for every node of an edge (columns a, b).
+def _joined(edges: DataFrame) -> DataFrame:
+    """u, to: the smallest node reachable, for every node of a bounded number of edges, which one task takes."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+
+        def top(x):
+            while (y := up[x]) != x:
+                up[x] = x = up[y]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                low, high = sorted((top(up.setdefault(a, a)), top(up.setdefault(b, b))))
+                up[high] = low
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([top(x) for x in up], pa.int64())], names=["u", "to"])
+
+    return edges.coalesce(1).mapInArrow(run, "u long, to long")
+
 
-    Each round points every node at its smallest neighbour, follows the pointers once more and
-    replaces the ends of the edges by what they point at; edges within one node go. A node with
-    many edges is left with one after a round. Groups are reduced to minima before a shuffle,
-    never gathered, and the tables of a round are written to the shared folder.
+#: Edges that one task may hold.
+FEW_EDGES = 1 << 17
+
+
+def components(edges: DataFrame, *, few_edges: int = FEW_EDGES) -> DataFrame:
+    """node, root: the smallest node reachable, for every node of an edge (columns a, b, long).
+
+    Each round gives the nodes new random ranks, points every node at the lowest rank among
+    itself and its neighbours, follows the pointers once more and replaces the ends of the edges by
+    what they point at; edges within one node go. Whatever the graph's shape, a round leaves a
+    third of the nodes or fewer on average, so that rounds grow with the logarithm of the edges. Up to few_edges, a number
+    that is counted, one task joins the rest. The rounds' pointers, each table a fraction of the
+    one before, are put together last. Groups are reduced to minima before a shuffle, never
+    gathered, and the tables of a round are written to the shared folder.
     """
     held = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    roots = None
-    for _ in range(most_rounds):
-        least = held.unionByName(held.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        far = written(least.join(least.select(F.col("u").alias("m"), F.col("m").alias("to")), "m").select("u", "to"), "pointers")
+    rounds: list[DataFrame] = []
+    while held.count() > few_edges:
+        rank = lambda end: F.struct(F.xxhash64(end, F.lit(len(rounds))).alias("rank"), F.col(end).alias("node"))  # noqa: E731, B023
+        lowest = held.unionByName(held.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("u"), F.least("m", rank("a"))["node"].alias("m"))
+        far = written(lowest.join(lowest.select(F.col("u").alias("m"), F.col("m").alias("to")), "m").select("u", "to"), "pointers")
         of = lambda end: far.select(F.col("u").alias(end), F.col("to").alias(f"to_{end}"))  # noqa: E731, B023
         moved = held.join(of("a"), "a").join(of("b"), "b").filter("to_a <> to_b")
         held = written(moved.select(F.greatest("to_a", "to_b").alias("a"), F.least("to_a", "to_b").alias("b")).distinct(), "edges")
-        if roots is None:
-            roots = far.select(F.col("u").alias("node"), F.col("to").alias("root"))
-        else:
-            roots = roots.join(far, roots["root"] == far["u"], "left").select("node", F.coalesce("to", "root").alias("root"))
-        if held.isEmpty():
-            return written(roots, "roots")
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        rounds.append(far)
+    found = _joined(held)
+    for far in reversed(rounds):
+        last = found.select(F.col("u").alias("to"), F.col("to").alias("last"))
+        found = far.join(last, "to", "left").select("u", F.coalesce("last", "to").alias("to"))
+    found = written(found, "roots")
+    if rounds:  # the lowest rank stood for a component; its smallest node does now
+        least = found.groupBy("to").agg(F.min("u").alias("root"))
+        return written(found.join(least, "to").select(F.col("u").alias("node"), "root"), "roots")
+    return found.select(F.col("u").alias("node"), F.col("to").alias("root"))
 
 
 def rooted(prints: DataFrame, *, most_bits: int = 2, segments: int = 5, pair_limit: int = 64) -> DataFrame:
@@ -215,7 +245,9 @@ def similar_roots(docs: DataFrame, described: DataFrame, *, words: int = overlap
     a link and whose fingerprints pass the ring. A shingle in more than pair_limit sketches
     is not paired at once: `pivots` of its sets that it stands first in, which have the least of
     their own and so the most links, meet all of them; in the next round eight times as many of
-    those not in its largest component, until each pair in different components has met.
+    those not in its largest component, whatever their place. A set that has met all others is done; a
+    shingle is done when all sets that are left lie in one component, as of any two in
+    different ones at least one is outside the largest.
     Candidates are verified by whole sets in the same rounds: first each one's four nearest
     and smallest, then 64 times as many of those not connected yet, until none is left.
     """
@@ -243,13 +275,13 @@ def similar_roots(docs: DataFrame, described: DataFrame, *, words: int = overlap
     while True:
         if crowded:
             placed = hot.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-            rest = placed.filter(lead)
+            rest = placed
             if done is not None:
+                placed = placed.join(done, ["key", "id"], "left_anti")
                 sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
                 largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("top"))
-                placed = placed.join(done, ["key", "id"], "left_anti")
-                rest = placed.filter(lead).join(largest, "key").filter("root <> top").drop("top")
-            hubs = Window.partitionBy("key").orderBy(F.col("n") - F.col("r"), "id")
+                rest = placed.join(largest, "key").filter("root <> top").drop("top")
+            hubs = Window.partitionBy("key").orderBy(~lead, F.col("n") - F.col("r"), "id")
             chosen = written(rest.withColumn("place", F.row_number().over(hubs)).filter(F.col("place") <= pivots).select("key", *side, "root"), "overlap-hubs")
             crowded = not chosen.isEmpty()
         if crowded:
@@ -272,7 +304,7 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(~F.col("root_a").eqNullSafe(F.col("root_b")) | F.col("root_a").isNull()).select(*pairs.columns)
 
 
-def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = overlap.WORDS, alike: Fraction = overlap.ALIKE, pair_limit: int = 64) -> DataFrame:
+def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = overlap.WORDS, alike: Fraction = overlap.ALIKE, pair_limit: int = 64, pivots: int = 16) -> DataFrame:
     """docs with one document of each group of near copies, the one with the smallest doc_id.
 
     Documents link when the Jaccard similarity of their word shingles is at least alike and
@@ -281,8 +313,8 @@ def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     other; of documents with the same doc_id in a group, one stays. An empty table stays empty.
     """
     plain = id_text(docs, id_col, text_col)
-    described = written(overlap.described(plain, words, alike), "overlap")
-    roots = similar_roots(plain, described, words=words, alike=alike, pair_limit=pair_limit)
+    described = overlap.told_apart(written(overlap.described(plain, words, alike), "overlap"))
+    roots = similar_roots(plain, described, words=words, alike=alike, pair_limit=pair_limit, pivots=pivots)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     least = described.groupBy("id").agg(first)
     kept = least.join(roots, least["id"] == roots["node"], "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("first").alias("first"))

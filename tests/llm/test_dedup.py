@@ -134,3 +134,40 @@ def test_drop_near_keeps_the_smallest(spark):
     rows = [(5, base), (3, base.upper()), (9, "something else entirely here"), (9, "something else entirely here"), (None, None), (4, "")]
     left = simhash.drop_near(docs(spark, rows)).collect()
     assert sorted((r.doc_id, r.text) for r in left) == [(3, base.upper()), (4, ""), (9, "something else entirely here")]
+
+
+def shapes():
+    rng = random.Random(9)
+    path = list(range(3000))
+    grid = [(k, k + d) for k in range(900) for d in (1, 30) if k + d < 900 and (d == 30 or k % 30 < 29)]
+    yield "path", list(zip(path, path[1:]))
+    yield "path backwards", list(zip(path[1:], path))
+    yield "star", [(77, k) for k in range(2000)]
+    yield "grid", grid
+    yield "random", [(rng.randrange(2000), rng.randrange(2000)) for _ in range(1200)]
+    yield "nothing", []
+
+
+@pytest.mark.parametrize(("name", "edges"), shapes())
+@pytest.mark.parametrize("few", [simhash.FEW_EDGES, 40])
+def test_components_of_any_shape(spark, name, edges, few):
+    found = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long"), few_edges=few).collect()}
+    root = {x: x for e in edges for x in e}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((top(a), top(b)))
+        root[high] = low
+    assert found == {x: top(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_a_long_run_of_neighbouring_fingerprints(spark):
+    chain = [0]
+    for k in range(300):
+        chain.append(chain[-1] ^ (3 << (k % 60)))
+    prints = spark.createDataFrame([(x,) for x in set(chain)], "fp long")
+    assert {r.root for r in simhash.rooted(prints).collect()} == {min(chain)}

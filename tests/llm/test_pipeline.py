@@ -70,6 +70,37 @@ def test_near_stage_equals_brute_force(spark, limit):
     assert left.columns == docs.columns and len(want) < len(rows) - 40
 
 
+def test_hot_shingles_lose_no_link(spark):
+    """A line in thousands of rows; some rows are alike only to a row of the largest component that is no hub at first."""
+    line = "one two three four five six seven eight nine ten eleven twelve".split()
+    rows = [(k, " ".join([*line, f"t{k}"]), "en", "s") for k in range(80)]
+    rows += [(80 + k, " ".join([*line, f"u{k}", f"v{k}"]), "en", "s") for k in range(3)]
+    rows += [(1000 + 90 * k + j, " ".join([*line[8:], f"t{k}", f"q{k}-{j}", f"r{j}"]), "en", "s") for k in range(10) for j in range(20)]
+    left = simhash.drop_similar(spark.createDataFrame(rows, DDL).repartition(3))
+    assert sorted(map(tuple, left.collect()), key=str) == brute_kept(rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_small_families_and_small_limits(spark, seed):
+    """Many short texts of few words with few hubs and few pairs at once equal brute force."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(12)]
+    rows = []
+    for k in range(400):
+        base = rows[rng.randrange(len(rows))][1].split() if rows and rng.random() < 0.7 else [rng.choice(words) for _ in range(rng.randrange(5, 16))]
+        base[rng.randrange(len(base))] = rng.choice(words)
+        rows.append((k, " ".join([*base, rng.choice(words)][: rng.randrange(5, 20)]), "en", "s"))
+    docs = spark.createDataFrame(rows, DDL).repartition(3)
+    left = simhash.drop_similar(docs, pair_limit=2, pivots=1)
+    assert sorted(map(tuple, left.collect()), key=str) == brute_kept(rows)
+
+
+def test_sets_of_one_id_are_told_apart(spark):
+    rows = [(1, 10, 7, 3, 0), (2, 11, 7, 3, 0), (3, 12, 7, 4, 1), (4, 13, 8, 2, 2)]
+    found = {r.doc_id: r.id for r in overlap.told_apart(spark.createDataFrame(rows, "doc_id long, text_hash long, id long, n long, fp long")).collect()}
+    assert found[1] == found[2] != found[3] and found[4] == 8
+
+
 def test_ring_loses_no_close_fingerprints(spark):
     rng = random.Random(11)
     rows = []
