@@ -249,37 +249,49 @@ def _table(data: bytes, at: int, head: Header) -> dict | None:
     return None
 
 
+def _trailing(data: bytes, at: int) -> dict[int, bool]:
+    """Where trailing tags may begin: places after `at` from which an APE tag, an ID3v1 tag or both reach the end; whether ID3v1 is there."""
+    size = len(data)
+    ends = {size: False}
+    if size - at >= 128 and data[-128:-125] == b"TAG":
+        ends[size - 128] = True
+    begins = {end: True for end in ends if end < size}
+    for end, id3v1 in ends.items():
+        if end - at >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
+            length = int.from_bytes(data[end - 20 : end - 16], "little") + (32 if data[end - 9] & 0x80 else 0)
+            if 32 <= length <= end - at:
+                begins[end - length] = id3v1
+    return begins
+
+
 def read_stream(data: bytes) -> Stream:
-    """Reads any bytes. A header counts as a frame if the next frame of the stream, or its end, follows it.
+    """Reads any bytes. A header counts as a frame if the next frame of the stream, or the end of sound, follows it.
 
-    TAG 128 bytes before the end begins an ID3v1 tag unless it lies within a frame of the stream.
+    Frames that follow each other go before tags: what looks like a trailing tag is one only where it
+    begins right after a frame or in bytes that are no frame.
     """
     found, size, at = Stream(), len(data), 0
     while (end := _id3v2(data, at, found)) > at:
         at = end
-    if size - at >= 128 and data[-128:-125] == b"TAG":
-        found.id3v1, size = True, size - 128
-    if size - at >= 32 and data[size - 32 : size - 24] == b"APETAGEX":
-        length = int.from_bytes(data[size - 20 : size - 16], "little") + (32 if data[size - 9] & 0x80 else 0)
-        size -= length if 32 <= length <= size - at else 0
+    begins = _trailing(data, at)
     kind, synced, first = None, False, True
     while at + 4 <= size:
         head = header(data[at : at + 4])
-        if found.id3v1 and head is not None and size < (after := at + head.size) <= len(data) and (kind is None or head.kind == kind):
-            nearby = header(data[after : after + 4])
-            if after == len(data) or (nearby is not None and nearby.kind == head.kind):
-                found.id3v1, size = False, len(data)
         good = head is not None and at + head.size <= size and (kind is None or head.kind == kind)
-        if good and not synced:
+        if good:
             after = at + head.size
             nearby = header(data[after : after + 4])
-            good = after == size or (nearby is not None and nearby.kind == head.kind)
+            followed = after == size or (nearby is not None and nearby.kind == head.kind)
+            good = followed or after in begins or (synced and not any(at < place < after for place in begins))
         if not good:
+            if at in begins:
+                found.id3v1, size = begins[at], at
+                break
             if synced:
                 found.resyncs += 1
             synced = False
             nxt = data.find(b"\xff", at + 1, size)
-            nxt = size if nxt < 0 else nxt
+            nxt = min([size if nxt < 0 else nxt, *(place for place in begins if place > at)])
             found.skipped += nxt - at
             at = nxt
             continue

@@ -314,3 +314,28 @@ def test_audio_delay_padding_and_trailing_tags():
     found = mpeg_audio.read_stream(info + frames + bytes(20) + tag)
     assert (found.frames, found.trimmed, found.skipped) == (3, 1376, 0)
     assert found.duration_us == (3 * 1152 - 1376) * 1_000_000 // 44100
+
+
+def test_audio_keeps_every_frame_whatever_its_last_bytes_look_like():
+    """TAG, APETAGEX with any length, and ID3 at every place of the last two frames' payloads."""
+    ape = lambda length, flags: b"APETAGEX" + struct.pack("<IIII", 2000, length, 1, flags) + bytes(8)
+    for units in (1, 2, 4, 9):
+        clean = b"x" * (192 * units)
+        for at in range(max(0, len(clean) - 960), len(clean)):
+            for sign in (b"TAG", b"ID3\x04\0\0\0\0\0\x7f", ape(112, 0), ape(80, 0x80 << 24)):
+                text = (clean[:at] + sign + clean[at + len(sign) :])[: len(clean)]
+                media = mpeg_audio.write_stream(text)
+                assert mpeg_audio.payload(media, mpeg_audio.read_stream(media)) == text
+        for length in range(32, 700):  # an APE tag that would begin anywhere, before what would be an ID3v1 tag
+            text = bytearray(clean)
+            media = mpeg_audio.write_stream(bytes(text))
+            place = len(media) - 128
+            found = mpeg_audio.read_stream(media)
+            start = found.ancillary[-1][0]
+            inside = len(text) - (found.ancillary[-1][1] - start) // 192 * 192 + place - start
+            if inside < 32 or inside + 3 > len(text):
+                break
+            text[inside : inside + 3] = b"TAG"
+            text[inside - 32 : inside] = ape(length, 0)
+            media = mpeg_audio.write_stream(bytes(text))
+            assert mpeg_audio.payload(media, mpeg_audio.read_stream(media)) == bytes(text)
