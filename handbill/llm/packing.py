@@ -11,13 +11,15 @@ room on that has any.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Tokens that a shard has on average.
 SHARD_TOKENS = 2 << 20
 
@@ -99,7 +101,7 @@ def pack_shard(shard: int, docs: Iterable[tuple[int | None, np.ndarray]], capaci
     return out
 
 
-def pack(encoded: DataFrame, *, capacity: int = 2048, pad_id: int = 0, end_id: int | None = None, shard_tokens: int = SHARD_TOKENS, about_tokens: int | None = None, positioned: bool = True) -> DataFrame:
+def pack(encoded: DataFrame, *, capacity: int = 2048, pad_id: int = 0, end_id: int | None = None, shard_tokens: int = SHARD_TOKENS, about_tokens: int | None = None, positioned: bool = True, replayed: bool = False) -> DataFrame:
     """Packed rows of a table of doc_id and ids (binary, little-endian unsigned 32-bit).
 
     A row has its ids padded to capacity, cu_seqlens (where its segments begin and the last
@@ -112,10 +114,14 @@ def pack(encoded: DataFrame, *, capacity: int = 2048, pad_id: int = 0, end_id: i
     An empty table gives no rows; other columns are ignored whatever their names.
 
     Shards are dealt by a hash of doc_id, ids and the row's place in its partition, so that
-    rows repeated any number of times spread; a repeated task deals its rows as before. One
-    task holds one shard.
+    rows repeated any number of times spread. A repeated task must see its rows in the order
+    in which it saw them before, or some would be packed twice and others never: encoded is
+    therefore written to the shared folder first, unless replayed says that its tasks read
+    files row by row, without a shuffle. One task holds one shard.
     """
     encoded = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("ids", F.lit(b"")).alias("ids"))
+    if not replayed:
+        encoded = written(encoded, "encoded")
     if about_tokens is None:
         about_tokens = encoded.agg(F.sum(F.octet_length("ids") / 4)).first()[0] or 0
     shards = max(1, math.ceil(about_tokens / shard_tokens))

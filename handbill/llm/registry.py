@@ -61,7 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of 2048 ids, each document ended by the vocabulary's free id."""
     docs, path = documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return packing.pack(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), end_id=50256, pad_id=50256, about_tokens=n_bytes // 3, positioned=False).drop("position_ids")
+    return packing.pack(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), end_id=50256, pad_id=50256, about_tokens=n_bytes // 3, positioned=False, replayed=True).drop("position_ids")
 
 
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
