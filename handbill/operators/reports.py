@@ -63,12 +63,19 @@ def last_messages(messages: DataFrame, n: int = 40) -> DataFrame:
     return messages.withColumn("back", F.row_number().over(order)).filter(F.col("back") <= n)
 
 
-def text_deltas(versions: DataFrame) -> DataFrame:
-    """key, seq, delta: what each full text adds to the one before it, or the whole text if it is no continuation."""
-    before = F.lag("text").over(Window.partitionBy("key").orderBy("seq"))
-    held = versions.withColumn("before", before)
+def text_deltas(versions: DataFrame, block: int = 1024) -> DataFrame:
+    """key, seq, delta: what each full text (key, seq, text) adds to the one before it, or the whole text if it is no continuation.
+
+    A key's versions are cut into blocks of so many sequence numbers (longs, each once), so that
+    a key with a large share of all versions is many groups; what goes from block to block is the last text of each. A null text is empty.
+    """
+    held = versions.select("key", "seq", F.coalesce("text", F.lit("")).alias("text"), F.floor(F.col("seq") / block).alias("block"))
+    last = held.groupBy("key", "block").agg(F.max_by("text", "seq").alias("end"))
+    carried = last.select("key", "block", F.lag("end").over(Window.partitionBy("key").orderBy("block")).alias("carried"))
+    before = F.lag("text").over(Window.partitionBy("key", "block").orderBy("seq"))
+    first = held.withColumn("before", before).join(carried, ["key", "block"]).withColumn("before", F.coalesce("before", "carried"))
     grown = F.col("before").isNotNull() & F.startswith("text", F.col("before"))
-    return held.select("key", "seq", F.when(grown, F.substring("text", F.length("before") + 1, F.length("text"))).otherwise(F.col("text")).alias("delta"))
+    return first.select("key", "seq", F.when(grown, F.substring("text", F.length("before") + 1, F.length("text"))).otherwise(F.col("text")).alias("delta"))
 
 
 def repeated_calls(calls: DataFrame) -> DataFrame:
@@ -127,3 +134,39 @@ def content_key(*parts: Column) -> Column:
 def work_list(content: DataFrame, results: DataFrame, key: str = "content_key") -> DataFrame:
     """The content without a stored result."""
     return content.join(results.select(key).distinct(), key, "left_anti")
+
+
+def context_rows(messages: DataFrame, entities: DataFrame, *, most: int = 20, least_letters: int = 6, few_items: int = 64, few_messages: int = 10_000, salts: int = 32) -> DataFrame:
+    """message, item_id, hits: for each message (message, text) the `most` entities (item_id, text) that share most words with it; ties go to the smaller item_id.
+
+    Words are divided by blanks, compared in lower case, and have least_letters or more. Two kinds of words:
+
+    * A word of at most few_items entities has one row with its entities. Messages meet that
+      row, and a word of more than few_messages messages has it `salts` times, each for a share of them.
+    * A word of more entities is frequent. Entities are ranked once for each set of frequent words
+      that some message has, not for each message, and only the first `most` can matter: what
+      else shares no rarer word with the message is behind all of them.
+
+    A candidate by a rarer word gets its frequent words counted from the entity's own row.
+    """
+    split = lambda df, key: df.select(key, F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w")).filter(F.length("w") >= least_letters)
+    said, known = split(messages, "message"), split(entities, "item_id").distinct()
+    listed = known.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    frequent = listed.filter(F.col("n") > few_items).select("w")
+    rare = known.join(listed.filter(F.col("n") <= few_items).select("w"), "w").groupBy("w").agg(F.collect_list("item_id").alias("items"))
+    crowded = said.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > few_messages).select("w", F.lit(salts).alias("salts"))
+    spread = rare.join(crowded, "w", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    dealt = said.join(crowded, "w", "left").withColumn("salt", F.pmod(F.xxhash64("message"), F.coalesce("salts", F.lit(1))).cast("int"))
+    by_rare = dealt.join(spread, ["w", "salt"]).select("message", F.explode("items").alias("item_id")).groupBy("message", "item_id").agg(F.count(F.lit(1)).alias("rare"))
+
+    words = F.array_sort(F.collect_list("w")).alias("words")
+    own, of_items = said.join(frequent, "w", "left_semi").groupBy("message").agg(words), known.join(frequent, "w", "left_semi").groupBy("item_id").agg(words.alias("item_words"))
+    none = F.array().cast("array<string>")
+    shared = F.size(F.array_intersect(F.coalesce("words", F.lit(none)), F.coalesce("item_words", F.lit(none))))
+    rated = by_rare.join(own, "message", "left").join(of_items, "item_id", "left").select("message", "item_id", (F.col("rare") + shared).alias("hits"))
+    sets = own.select("words").distinct()
+    ranked = sets.select("words", F.explode("words").alias("w")).join(known.join(frequent, "w", "left_semi"), "w").groupBy("words", "item_id").agg(F.count(F.lit(1)).alias("hits"))
+    first = lambda df, *keys: df.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("hits"), "item_id"))).filter(F.col("n") <= most).drop("n")
+    best = first(ranked, "words").groupBy("words").agg(F.collect_list(F.struct("item_id", "hits")).alias("best"))
+    by_frequent = own.join(best, "words").select("message", F.explode("best").alias("b")).select("message", "b.item_id", "b.hits")
+    return first(rated.unionByName(by_frequent).groupBy("message", "item_id").agg(F.max("hits").alias("hits")), "message")

@@ -302,7 +302,10 @@ def _words_sql(of: tuple[str, ...]) -> str:
     return L + "(?:" + "|".join(w[:-1] + r"[\p{L}]*" if w.endswith("*") else w.replace(" ", r"\s*") for w in of) + ")" + R
 
 
-@query("x42_statuses", over_posts("CASE " + " ".join(f"WHEN regexp_matches(x, '{_words_sql(s)}') THEN '{n}'" for n, s in fields.CONCERTS.statuses) + " ELSE 'announced' END AS status"))
+SQL_STATUSES = over_posts("CASE " + " ".join(f"WHEN regexp_matches(x, '{_words_sql(s)}') THEN '{n}'" for n, s in fields.CONCERTS.statuses) + " ELSE 'announced' END AS status")
+
+
+@query("x42_statuses", SQL_STATUSES)
 def _(spark, d):
     return view(spark, d, "posts").select("post_id", fields.status(F.col("text")).alias("status"))
 

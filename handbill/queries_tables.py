@@ -8,6 +8,8 @@ from .functions import fields
 from .functions import text as t
 from .operators import reports
 from .plans.fixtures import plain, view, with_views
+from .plans.shared import new_folder
+from .streaming import jobs
 
 QUERIES, SQL = {}, {}
 
@@ -192,18 +194,28 @@ def _(spark, d):
     return reports.last_messages(view(spark, d, "conversations"), 3).select("conv_id", "turn", "role", "back")
 
 
+@query("l4_bounded_history", "SELECT conv_id, turn, role, sha256(text) AS text_sha256 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 3")
+def _(spark, d):
+    """The last three turns of each conversation, kept as state while its turns arrive in four batches, the last ones in the second."""
+    messages, folder = view(spark, d, "conversations"), new_folder(spark, "history")
+    for batch in (2, 3, 0, 1):
+        messages.filter(F.col("turn") % 4 == batch).write.mode("append").parquet(f"{folder}/arrived")
+        jobs.keep_history(spark.readStream.schema(messages.schema).parquet(f"{folder}/arrived"), folder, keep=3)
+    return jobs.stored_history(spark, folder).select("conv_id", "turn", "role", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("w8_listing", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 50 OFFSET 20")
 def _(spark, d):
     return reports.listing(view(spark, d, "orders"), "o_orderkey", filters=(F.col("o_orderstatus") == "F",), limit=50, offset=20).select("o_orderkey", "o_orderstatus")
 
 
-@query("w9_text_deltas", "WITH v AS (SELECT conv_id, turn, string_agg(coalesce(text, ''), ' ') OVER (PARTITION BY conv_id ORDER BY turn) AS t FROM conversations), w AS (SELECT *, lag(t) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM v) SELECT conv_id AS key, turn AS seq, CASE WHEN b IS NOT NULL AND starts_with(t, b) THEN substr(t, length(b) + 1) ELSE t END AS delta FROM w")
+@query("w9_text_deltas", "WITH v AS (SELECT conv_id, turn * 3 + k AS seq, CASE k WHEN 0 THEN left(t, length(t) // 2) WHEN 1 THEN t ELSE '~' || t END AS t FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations), range(3) AS r(k)), w AS (SELECT *, lag(t) OVER (PARTITION BY conv_id ORDER BY seq) AS b FROM v) SELECT conv_id AS key, seq, CASE WHEN b IS NOT NULL AND starts_with(t, b) THEN substr(t, length(b) + 1) ELSE t END AS delta FROM w")
 def _(spark, d):
-    """What each growing version of a conversation's text adds."""
-    from pyspark.sql import Window
-
-    so_far = F.array_join(F.collect_list(F.coalesce("text", F.lit(""))).over(Window.partitionBy("conv_id").orderBy("turn")), " ")
-    return reports.text_deltas(view(spark, d, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("seq"), so_far.alias("text")))
+    """What each version of a turn's text adds to the one before: its first half, the whole, and another text."""
+    text = F.coalesce("text", F.lit(""))
+    half = F.left(text, F.floor(F.length(text) / 2).cast("int"))
+    versions = view(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.array(half, text, F.concat(F.lit("~"), text))).alias("k", "text"))
+    return reports.text_deltas(versions.select(F.col("conv_id").alias("key"), (F.col("turn") * 3 + F.col("k")).alias("seq"), "text"), block=8)
 
 
 @query("w10_repeated_calls", "SELECT user_id AS run, event_id AS step, nth FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY event_id) AS nth FROM events) WHERE nth > 1")
@@ -270,13 +282,8 @@ def _(spark, d):
 @query("j21_context_rows", "WITH w AS (SELECT DISTINCT conv_id, turn, unnest(string_split(lower(text), ' ')) AS w FROM conversations), p AS (SELECT item_id, unnest(string_split(lower(text), ' ')) AS w FROM benchmark), m AS (SELECT conv_id, turn, item_id, count(*) AS hits FROM w JOIN (SELECT DISTINCT * FROM p) USING (w) WHERE length(w) >= 6 GROUP BY ALL) SELECT conv_id, turn, item_id, hits FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY hits DESC, item_id) AS n FROM m) WHERE n <= 20")
 def _(spark, d):
     """At most 20 known entities for each message, by shared words."""
-    from pyspark.sql import Window
-
-    said = view(spark, d, "conversations").select("conv_id", "turn", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w")).filter(F.length("w") >= 6)
-    known = view(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
-    met = said.join(known, "w").groupBy("conv_id", "turn", "item_id").agg(F.count(F.lit(1)).alias("hits"))
-    order = Window.partitionBy("conv_id", "turn").orderBy(F.desc("hits"), "item_id")
-    return met.withColumn("n", F.row_number().over(order)).filter("n <= 20").drop("n")
+    messages = view(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("message"), "text")
+    return reports.context_rows(messages, view(spark, d, "benchmark")).select("message.*", "item_id", "hits")
 
 
 @query("a15_page_counts", "SELECT count(*) AS total, count(*) FILTER (ok AND NOT blocked AND (status_code IS NULL OR status_code BETWEEN 200 AND 399)) AS usable, count(*) FILTER (blocked) AS blocked FROM {pages_read}")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import dates, fields
 from ..functions import text as t
-from ..operators import reports
+from ..operators import posts, reports
 
 
 def classified_posts(posts: DataFrame) -> DataFrame:
@@ -44,25 +44,80 @@ def released(messages: DataFrame, cutoffs: DataFrame) -> DataFrame:
 
 
 class _History(StatefulProcessor):
-    """The last n messages of a conversation, as a bounded list."""
+    """The last n messages of a conversation by turn, as list state that never holds more."""
 
     def __init__(self, keep: int) -> None:
         self._keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._turns = handle.getListState("turns", "turn bigint, text string")
+        self._turns = handle.getListState("turns", "turn bigint, role string, text string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        plain = lambda v: None if pd.isna(v) else v
         held = list(self._turns.get()) if self._turns.exists() else []
-        held += [(int(r.turn), r.text) for pdf in rows for r in pdf.itertuples()]
-        held = sorted(held)[-self._keep :]
+        for pdf in rows:
+            held += [(None if pd.isna(turn) else int(turn), plain(role), plain(text)) for turn, role, text in zip(pdf["turn"], pdf["role"], pdf["text"], strict=True)]
+            held = sorted(held, key=lambda m: (m[0] is not None, m[0] or 0))[-self._keep :]
         self._turns.put(held)
-        yield pd.DataFrame({"conv_id": [key[0]], "n": [len(held)], "first_turn": [held[0][0]], "last_turn": [held[-1][0]]})
+        out = pd.DataFrame(held, columns=["turn", "role", "text"])
+        out.insert(0, "conv_id", key[0])
+        yield out.astype({"turn": "Int64"})
 
     def close(self) -> None:
         pass
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def bounded_history(messages: DataFrame, keep: int = 40) -> DataFrame:
-    """After each batch, what is kept of each conversation that got messages; needs a state store that can hold lists."""
-    return messages.groupBy("conv_id").transformWithStateInPandas(_History(keep), "conv_id bigint, n bigint, first_turn bigint, last_turn bigint", "Update", "None")
+    """After each batch, the last `keep` messages (conv_id, turn, role, text) of each conversation that got some.
+
+    Older messages leave the state as newer ones come, whatever the order they arrive in; a
+    message without a turn counts as the oldest. Needs the RocksDB state store, as keep_history() sets it.
+    """
+    held = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    return held.groupBy("conv_id").transformWithStateInPandas(_History(keep), "conv_id bigint, turn bigint, role string, text string", "Update", "None")
+
+
+def keep_history(messages: DataFrame, folder: str, keep: int = 40) -> None:
+    """Takes in what has arrived since the last call and stores each conversation's last messages.
+
+    State and results are in the folder, which driver and executors share, so that a later call, in another
+    session too, goes on where this one ended. A batch that runs again replaces its own rows.
+    """
+    spark, name = messages.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+
+    def store(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+
+    spark.conf.set(name, ROCKS)
+    try:
+        running = bounded_history(messages, keep).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(store).start()
+    finally:
+        spark.conf.set(name, before)
+    running.awaitTermination()
+
+
+def stored_history(spark: SparkSession, folder: str) -> DataFrame:
+    """conv_id, turn, role, text: what keep_history() kept last of each conversation."""
+    every = spark.read.schema("conv_id bigint, turn bigint, role string, text string, batch bigint").parquet(f"{folder}/rows")
+    newest = every.groupBy("conv_id").agg(F.max("batch").alias("batch"))
+    return every.join(newest, ["conv_id", "batch"], "left_semi").drop("batch")
+
+
+def keep_drafts(arriving: DataFrame, folder: str, profiles: DataFrame | None = None) -> None:
+    """The whole draft of each post that has arrived since the last call, stored in the folder.
+
+    No state: a draft needs its own post only. A batch that runs again replaces its own rows.
+    """
+
+    def store(batch_posts: DataFrame, batch: int) -> None:
+        posts.drafts(batch_posts, profiles).write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+
+    arriving.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(store).start().awaitTermination()
+
+
+def stored_drafts(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/rows").drop("batch")
