@@ -73,12 +73,16 @@ def one_row_each(docs: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
     return once.join(keys.toDF(name), name, "left_semi").select(*own_columns(docs))
 
 
-def slices(batches: Iterable[pa.RecordBatch], most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that one slice holds few bytes whatever the length of its texts."""
+def slices(batches: Iterable[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that one slice holds few bytes whatever the length of its texts.
+
+    Memory that the batches took goes back to the system after them, as workers outlive their tasks.
+    """
     for batch in batches:
         step = max(1, int(batch.num_rows * most_bytes / max(batch.nbytes, most_bytes)))
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
+    pa.default_memory_pool().release_unused()
 
 
 def per_texts(docs: DataFrame, make: Callable[[], Callable[[list], list[tuple]]], schema: pa.Schema, ddl: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, id_text, one_row_each, row_key, slices, written
 
 #: Bytes of content and members that a task's table may hold before it spills.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 32 << 20
 #: Bits of the hash that one level of spill files uses up, and the levels that 64 bits allow.
 LEVEL_BITS, LEVELS = 4, 14
 #: Content that stands in more partitions than CROWD meets in SALTS groups first.
