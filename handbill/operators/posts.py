@@ -63,10 +63,46 @@ def _names(parts: DataFrame) -> DataFrame:
     return keyed.filter((F.col("key") != "") & F.length("artist").between(2, 60) & ~F.col("key").rlike(fields.words(("live", "концерт*", "афиша", "розыгрыш*"))))
 
 
-def organizers(channels: DataFrame, keywords: tuple[str, ...] = ("concerts", "promo", "agency", "концерты", "агентство")) -> DataFrame:
-    """channel_id, organizer: the cleaned title (channel_id, title) of channels whose title says that they organise."""
+def organizers(channels: DataFrame, parts: tuple[str, ...] = ("concert", "promo", "agency", "концерт", "агентств")) -> DataFrame:
+    """channel_id, organizer: the cleaned title (channel_id, title) of channels whose title has one of the parts anywhere."""
     named = channels.select("channel_id", t.clean_line(F.col("title")).alias("organizer"))
-    return named.filter(F.lower("organizer").rlike(fields.words(keywords)))
+    return named.filter(F.lower("organizer").rlike("|".join(parts)))
+
+
+def labelled_artists(line_table: DataFrame, labels: tuple[str, ...] = ("артист", "артисты", "artist", "artists")) -> DataFrame:
+    """post_id, at, artist: the names in `label: name, name; name` lines, each once whatever its case, in order."""
+    said = F.regexp_extract("line", rf"(?iu)^\s*(?:{'|'.join(labels)})\s*:\s*(.+)$", 1)
+    names = line_table.select("post_id", "pos", F.posexplode(F.split(said, "[,;]")).alias("part", "artist")).withColumn("artist", F.trim("artist")).filter("artist <> ''")
+    first = names.groupBy("post_id", F.lower("artist").alias("key")).agg(F.min(F.struct("pos", "part", "artist")).alias("m"))
+    return first.select("post_id", F.row_number().over(Window.partitionBy("post_id").orderBy("m.pos", "m.part")).alias("at"), "m.artist")
+
+
+def link_cities(link_table: DataFrame) -> DataFrame:
+    """post_id, at, city: cities that ticket links are labelled with, each once by its key, in order of the links."""
+    named = link_table.filter("link_type = 'ticket'").select("post_id", "at", safe_city(F.col("label")).alias("city")).filter("city is not null")
+    return named.groupBy("post_id", t.entity_key(F.col("city")).alias("key")).agg(F.min(F.struct("at", "city")).alias("m")).select("post_id", "m.*")
+
+
+def first_titles(line_table: DataFrame, *, longest: int | None = None, no_urls: bool = False) -> DataFrame:
+    """post_id, title: the first line as it stands; none that begins an object, is longer than allowed, or (no_urls) is an address or a list item."""
+    good = ~F.col("line").rlike(r"^\{")
+    if longest is not None:
+        good &= F.length("line") <= longest
+    if no_urls:
+        good &= ~F.col("line").rlike(r"^(?:-|(?i:https?:|www\.))")
+    return first_by_pos(line_table.filter(good), F.col("line"), "title")
+
+
+def labelled_titles(line_table: DataFrame, labels: tuple[str, ...] = ("название", "событие", "title", "event")) -> DataFrame:
+    """post_id, title: the first labelled title, else titles()."""
+    said = F.regexp_extract("line", rf"(?iu)^\s*(?:{'|'.join(labels)})\s*:\s*(.+)$", 1)
+    named = first_by_pos(line_table.withColumn("said", said).filter("said <> ''"), F.trim("said"), "said")
+    return titles(line_table).join(named, "post_id", "full").select("post_id", F.coalesce("said", "title").alias("title"))
+
+
+def missing_fields(**values: Column) -> Column:
+    """The names of the fields without a value, in the order given."""
+    return F.array_compact(F.array(*(F.when(F.coalesce(F.trim(v.cast("string")), F.lit("")) == "", name) for name, v in values.items())))
 
 
 def links(line_table: DataFrame, buttons: DataFrame | None = None) -> DataFrame:
@@ -110,15 +146,19 @@ def venue_and_city(value: Column, aliases: dict[str, str] | None = None) -> Colu
 
 
 def legacy_occurrences(texts: DataFrame) -> DataFrame:
-    """post_id, pos, date, city, raw: lines of free text in which a city follows a date; never verified."""
+    """post_id, pos, date, city, raw: lines of free text in which a city follows a dotted date; never verified.
+
+    The city is the first words in capitals behind the date, if they can be one.
+    """
     rows = texts.select("post_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    pattern = r"(\d{1,2}[./-]\d{1,2}(?:[./-]\d{2,4})?).{0,80}?(\p{L}[\p{L} -]{2,40})"
-    found = rows.select("post_id", "pos", F.regexp_extract("raw", pattern, 1).alias("date"), F.trim(F.regexp_extract("raw", pattern, 2)).alias("city"), F.trim("raw").alias("raw"))
-    return found.filter("date <> ''")
+    rest = F.element_at(F.split("raw", dates.DOTTED, 2), 2)
+    named = F.regexp_extract(rest, r"(\p{Lu}\p{L}+(?:[ -]\p{Lu}\p{L}+)*)", 1)
+    found = rows.select("post_id", "pos", F.trim(F.regexp_extract("raw", dates.DOTTED, 0)).alias("date"), safe_city(named).alias("city"), F.trim("raw").alias("raw"))
+    return found.filter("date <> '' and city is not null")
 
 
-def legacy_issues(texts: DataFrame, marks: tuple[str, ...] = ("не подтвержд", "не хватает", "unverified", "conflict")) -> DataFrame:
-    """post_id, pos, severity, message: lines of free text that say what is wrong."""
+def legacy_issues(texts: DataFrame, marks: tuple[str, ...]) -> DataFrame:
+    """post_id, pos, severity, message: lines of free text with one of the marks, which say what is wrong."""
     rows = texts.select("post_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     return rows.filter(F.lower("raw").rlike("|".join(marks))).select("post_id", "pos", F.lit("warning").alias("severity"), F.trim("raw").alias("message"))
 

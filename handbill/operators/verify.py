@@ -8,17 +8,36 @@ pages url, ok, blocked, status_code, title, text.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fields
 from ..functions import text as t
 
+
+
+@dataclass(frozen=True)
+class Sources:
+    """What is known of fields, sources and ticket sellers; a caller passes its own."""
+
+    field_aliases: dict[str, str]
+    source_types: dict[str, str]
+    trusted: tuple[str, ...]
+    ticket_hosts: tuple[str, ...]
+    ticket_pages: tuple[str, ...]
+
+
+#: A small set to go with fields.CONCERTS.
+SOURCES = Sources(
+    field_aliases={"дата": "date", "date": "date", "город": "city", "city": "city", "артист": "artist", "artist": "artist", "место": "venue", "venue": "venue", "цена": "price", "price": "price"},
+    source_types={"official_site": "official", "official": "official", "ticket_service": "ticket", "tickets": "ticket", "search": "search", "user": "user_input", "user_input": "user_input", "manual": "manual"},
+    trusted=("official", "ticket", "manual"),
+    ticket_hosts=fields.CONCERTS.ticket_hosts,
+    ticket_pages=(*fields.CONCERTS.ticket_hosts, *fields.CONCERTS.ticket_words),
+)
 # Fixed values.
-FIELD_ALIASES = {"дата": "date", "date": "date", "город": "city", "city": "city", "артист": "artist", "artist": "artist", "место": "venue", "venue": "venue", "цена": "price", "price": "price"}
-SOURCE_TYPES = {"official_site": "official", "official": "official", "ticket_service": "ticket", "tickets": "ticket", "search": "search", "user": "user_input", "user_input": "user_input", "manual": "manual"}
-TRUSTED = ("official", "ticket", "manual")
-TICKET_HOSTS = ("ticket", "kassir", "radario", "afisha")
-TICKET_PAGES = ("ticketscloud", "qtickets", "kassir", "radario", "ticketland", "tickets", "bilet", "билет")
 MONTH_WORDS = ("января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря")
 
 
@@ -93,28 +112,28 @@ def links_by_domain(links: DataFrame, pages: DataFrame) -> DataFrame:
     return exact.unionByName(near)
 
 
-def fact_matches(facts: DataFrame, pages: DataFrame) -> DataFrame:
+def fact_matches(facts: DataFrame, pages: DataFrame, known: Sources = SOURCES) -> DataFrame:
     """run_id, pos, page_pos, url: the first page that contains a fact's value, by the spellings of its kind."""
     page = usable(pages).select("run_id", F.col("pos").alias("page_pos"), "url", haystack().alias("hay"))
-    field = canonical_field(F.col("field"))
+    field = canonical_field(F.col("field"), known)
     values = F.when(field == "date", date_spellings(F.col("value").try_cast("date"))).when(field == "city", city_spellings(F.col("value"))).otherwise(F.array(t.search_key(F.col("value"))))
     both = facts.select("run_id", "pos", values.alias("spellings")).join(page, "run_id").filter(held(F.col("hay"), F.col("spellings")))
     return both.groupBy("run_id", "pos").agg(F.min_by(F.struct("page_pos", "url"), "page_pos").alias("best")).select("run_id", "pos", "best.*")
 
 
-def canonical_field(field: Column) -> Column:
+def canonical_field(field: Column, known: Sources = SOURCES) -> Column:
     low = F.lower(F.trim(field))
-    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in FIELD_ALIASES.items() for x in p)), low), low)
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in known.field_aliases.items() for x in p)), low), low)
 
 
-def canonical_source(source_type: Column, url: Column) -> Column:
+def canonical_source(source_type: Column, url: Column, known: Sources = SOURCES) -> Column:
     """The source type by its aliases; a Telegram address makes it social, an unknown name unknown."""
-    known = F.element_at(F.create_map(*(F.lit(x) for p in SOURCE_TYPES.items() for x in p)), F.lower(F.trim(source_type)))
-    return F.when(F.lower(t.text_or_empty(url)).rlike(r"t\.me/|telegram\.me/"), "social").otherwise(F.coalesce(known, F.lit("unknown")))
+    named = F.element_at(F.create_map(*(F.lit(x) for p in known.source_types.items() for x in p)), F.lower(F.trim(source_type)))
+    return F.when(F.lower(t.text_or_empty(url)).rlike(r"t\.me/|telegram\.me/"), "social").otherwise(F.coalesce(named, F.lit("unknown")))
 
 
-def is_ticket_url(url: Column) -> Column:
-    return F.lower(t.text_or_empty(url)).rlike("|".join(TICKET_HOSTS))
+def is_ticket_url(url: Column, known: Sources = SOURCES) -> Column:
+    return F.lower(t.text_or_empty(url)).rlike("|".join(known.ticket_hosts))
 
 
 def sanitize_links(links: DataFrame) -> DataFrame:
@@ -132,12 +151,12 @@ def sanitize_occurrences(occurrences: DataFrame) -> DataFrame:
     return occurrences.withColumns({"changed": sure != F.col("verified"), "confidence": F.when(sure, F.col("confidence")).otherwise(F.least("confidence", F.lit(0.5))), "verified": sure})
 
 
-def sanitize_facts(facts: DataFrame) -> DataFrame:
+def sanitize_facts(facts: DataFrame, known: Sources = SOURCES) -> DataFrame:
     """Canonical fields and sources; what only search or an untrusted source without an address says is unverified."""
-    source = canonical_source(F.col("source_type"), F.col("source_url"))
-    proven = (source.isin(*TRUSTED) & (t.blank_to_null(F.col("source_url")).isNotNull() | (source == "manual"))) | (source == "social")
+    source = canonical_source(F.col("source_type"), F.col("source_url"), known)
+    proven = (source.isin(*known.trusted) & (t.blank_to_null(F.col("source_url")).isNotNull() | (source == "manual"))) | (source == "social")
     status = F.when((F.col("status") == "verified") & (~proven | (source == "search")), "unverified").otherwise(F.col("status"))
-    return facts.withColumns({"field": canonical_field(F.col("field")), "source_type": source, "changed": status != F.col("status"), "confidence": F.when(status == "verified", F.col("confidence")).otherwise(F.least("confidence", F.lit(0.5))), "status": status})
+    return facts.withColumns({"field": canonical_field(F.col("field"), known), "source_type": source, "changed": status != F.col("status"), "confidence": F.when(status == "verified", F.col("confidence")).otherwise(F.least("confidence", F.lit(0.5))), "status": status})
 
 
 def changed_runs(*tables: DataFrame) -> DataFrame:
@@ -157,12 +176,12 @@ def confirm_occurrences(occurrences: DataFrame, pages: DataFrame) -> DataFrame:
     return joined.withColumns({"verified": F.col("verified") | hit, "confidence": F.when(hit, F.greatest("confidence", "score", F.lit(0.9))).otherwise(F.col("confidence")), "source_url": F.coalesce("page_url", "source_url")}).drop("page_url", "score")
 
 
-def links_by_page_facts(links: DataFrame, pages: DataFrame, occurrences: DataFrame) -> DataFrame:
+def links_by_page_facts(links: DataFrame, pages: DataFrame, occurrences: DataFrame, known: Sources = SOURCES) -> DataFrame:
     """run_id, pos: links whose page by domain holds three of the run's facts, or two for a ticket link on a ticket page.
 
     Any artist of the run counts once; each occurrence's date, city and venue count each.
     """
-    page = usable(pages).select("run_id", F.col("pos").alias("page_pos"), haystack().alias("hay"), F.lower(F.concat_ws(" ", "url", "title")).rlike("|".join(TICKET_PAGES)).alias("tickets"))
+    page = usable(pages).select("run_id", F.col("pos").alias("page_pos"), haystack().alias("hay"), F.lower(F.concat_ws(" ", "url", "title")).rlike("|".join(known.ticket_pages)).alias("tickets"))
     met = links_by_domain(links, pages).select("run_id", "pos", "page_pos").join(links.select("run_id", "pos", "kind"), ["run_id", "pos"]).filter(F.col("kind").isin("ticket", "official", "source"))
     said = met.select("run_id", "page_pos").distinct().join(page, ["run_id", "page_pos"]).join(occurrences.select("run_id", "artist", "event_date", "city_name", "venue_name"), "run_id")
     has = lambda values: F.coalesce(held(F.col("hay"), values), F.lit(False)).cast("int")
@@ -172,28 +191,28 @@ def links_by_page_facts(links: DataFrame, pages: DataFrame, occurrences: DataFra
     return met.join(facts, ["run_id", "page_pos"]).filter((F.col("n") >= 3) | ((F.col("kind") == "ticket") & F.col("tickets") & (F.col("n") >= 2))).select("run_id", "pos")
 
 
-def confirm_links(links: DataFrame, pages: DataFrame, occurrences: DataFrame) -> DataFrame:
+def confirm_links(links: DataFrame, pages: DataFrame, occurrences: DataFrame, known: Sources = SOURCES) -> DataFrame:
     """Ticket and official links whose page was read are verified: 1.0 by address, .8 by domain if the page holds the run's facts."""
     by_url = links_by_url(links, pages).select("run_id", "pos", F.lit(1.0).alias("by_url"))
-    by_domain = links_by_page_facts(links, pages, occurrences).select("run_id", "pos", F.lit(0.8).alias("by_domain"))
+    by_domain = links_by_page_facts(links, pages, occurrences, known).select("run_id", "pos", F.lit(0.8).alias("by_domain"))
     joined = links.join(by_url, ["run_id", "pos"], "left").join(by_domain, ["run_id", "pos"], "left")
     sure = F.when(F.col("kind").isin("ticket", "official", "source"), F.coalesce("by_url", "by_domain"))
     return joined.withColumns({"verified": F.col("verified") | sure.isNotNull(), "confidence": F.greatest("confidence", F.coalesce(sure, F.lit(0.0)))}).drop("by_url", "by_domain")
 
 
-def confirm_facts(facts: DataFrame, pages: DataFrame) -> DataFrame:
+def confirm_facts(facts: DataFrame, pages: DataFrame, known: Sources = SOURCES) -> DataFrame:
     """Facts that a page contains are verified with its address and at least .9."""
-    found = fact_matches(facts, pages).select("run_id", "pos", F.col("url").alias("page_url"))
+    found = fact_matches(facts, pages, known).select("run_id", "pos", F.col("url").alias("page_url"))
     joined, hit = facts.join(found, ["run_id", "pos"], "left"), F.col("page_url").isNotNull()
     return joined.withColumns({"status": F.when(hit, "verified").otherwise(F.col("status")), "confidence": F.when(hit, F.greatest("confidence", F.lit(0.9))).otherwise(F.col("confidence")), "source_url": F.coalesce("page_url", "source_url")}).drop("page_url")
 
 
-def run_metrics(occurrences: DataFrame, links: DataFrame, facts: DataFrame) -> DataFrame:
+def run_metrics(occurrences: DataFrame, links: DataFrame, facts: DataFrame, known: Sources = SOURCES) -> DataFrame:
     """Verified counts of each run: occurrences with a source, official and ticket links, facts of trusted sources, unverified tickets."""
     proven = F.col("verified") & t.blank_to_null(F.col("source_url")).isNotNull()
     o = occurrences.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_occurrences"), F.count_if(proven).alias("v_occurrences"), F.max("confidence").alias("best_occurrence"))
     k = links.groupBy("run_id").agg(F.count_if(F.col("verified") & (F.col("kind") == "official")).alias("v_official"), F.count_if(F.col("verified") & (F.col("kind") == "ticket")).alias("v_ticket"), F.count_if(~F.col("verified") & (F.col("kind") == "ticket")).alias("unverified_tickets"))
-    f = facts.groupBy("run_id").agg(F.count_if((F.col("status") == "verified") & F.col("source_type").isin(*TRUSTED)).alias("v_facts"), F.count_if(F.col("status") == "conflicted").alias("conflicts"))
+    f = facts.groupBy("run_id").agg(F.count_if((F.col("status") == "verified") & F.col("source_type").isin(*known.trusted)).alias("v_facts"), F.count_if(F.col("status") == "conflicted").alias("conflicts"))
     joined = o.join(k, "run_id", "full").join(f, "run_id", "full").fillna(0)
     return joined.withColumn("v_total", F.col("v_occurrences") + F.col("v_official") + F.col("v_ticket") + F.col("v_facts"))
 
@@ -214,12 +233,12 @@ def decide(scored: DataFrame, auto: float = 0.85) -> DataFrame:
     return scored.withColumns({"decision": decision, "reasons": F.array_join(F.concat(blocks, reasons), ",")})
 
 
-def verify(occurrences: DataFrame, links: DataFrame, facts: DataFrame, pages: DataFrame) -> DataFrame:
+def verify(occurrences: DataFrame, links: DataFrame, facts: DataFrame, pages: DataFrame, known: Sources = SOURCES) -> DataFrame:
     """The whole job: sanitise, confirm by pages, sanitise again, count, score and decide."""
     o = sanitize_occurrences(confirm_occurrences(sanitize_occurrences(occurrences), pages))
-    k = sanitize_links(confirm_links(sanitize_links(links), pages, occurrences))
-    f = sanitize_facts(confirm_facts(sanitize_facts(facts), pages))
-    return decide(overall_confidence(run_metrics(o, k, f)))
+    k = sanitize_links(confirm_links(sanitize_links(links), pages, occurrences, known))
+    f = sanitize_facts(confirm_facts(sanitize_facts(facts, known), pages, known), known)
+    return decide(overall_confidence(run_metrics(o, k, f, known)))
 
 
 def issues(drafts: DataFrame) -> DataFrame:
@@ -252,13 +271,13 @@ def merge_links(first: DataFrame, second: DataFrame) -> DataFrame:
     return every.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n", "src")
 
 
-def trust(evidence: DataFrame) -> DataFrame:
+def trust(evidence: DataFrame, known: Sources = SOURCES) -> DataFrame:
     """Evidence with its confidence and status corrected: weak words are low and unverified; search is never
     verified nor high; an untrusted source without an address is unverified."""
     weak = F.lower(t.text_or_empty(F.col("explanation"))).rlike("возможно|вероятно|maybe|probably|assum")
-    source, bare = canonical_source(F.col("source_type"), F.col("source_url")), t.blank_to_null(F.col("source_url")).isNull()
+    source, bare = canonical_source(F.col("source_type"), F.col("source_url"), known), t.blank_to_null(F.col("source_url")).isNull()
     label = F.when(weak, "low").when((source == "search") & (F.col("label") == "high"), "medium").otherwise(F.col("label"))
-    status = F.when((F.col("status") == "verified") & (weak | (source == "search") | (~source.isin(*TRUSTED) & bare)), "unverified").otherwise(F.col("status"))
+    status = F.when((F.col("status") == "verified") & (weak | (source == "search") | (~source.isin(*known.trusted) & bare)), "unverified").otherwise(F.col("status"))
     return evidence.withColumns({"label": label, "status": status})
 
 
@@ -337,9 +356,9 @@ def best_source(links: DataFrame, facts: DataFrame) -> DataFrame:
     return runs.join(official.unionByName(said).groupBy("run_id").agg(F.min_by("url", F.struct("rank", "pos")).alias("url")), "run_id", "left")
 
 
-def page_evidence(pages: DataFrame) -> DataFrame:
+def page_evidence(pages: DataFrame, known: Sources = SOURCES) -> DataFrame:
     """An evidence row for each page that was read."""
-    return usable(pages).select("run_id", F.lit("page").alias("field"), F.col("title").alias("value"), F.lit("verified").alias("status"), F.when(is_ticket_url(F.col("url")), "ticket_service").otherwise("official_site").alias("source_type"), F.col("url").alias("source_url"))
+    return usable(pages).select("run_id", F.lit("page").alias("field"), F.col("title").alias("value"), F.lit("verified").alias("status"), F.when(is_ticket_url(F.col("url"), known), "ticket_service").otherwise("official_site").alias("source_type"), F.col("url").alias("source_url"))
 
 
 #: How sure an input's own words make a field.
@@ -355,25 +374,25 @@ def input_evidence(inputs: DataFrame) -> DataFrame:
     return rows.select("run_id", "e.field", "e.value", F.lit("input").alias("status"), F.lit("input_text").alias("source_type"), F.lit("").alias("source_url"), "e.confidence")
 
 
-def link_evidence(links: DataFrame) -> DataFrame:
+def link_evidence(links: DataFrame, known: Sources = SOURCES) -> DataFrame:
     """Evidence rows of the addresses to be verified (run_id, url): social, ticket or official, by the address."""
-    kind = F.when(F.lower("url").rlike(r"(?:t|telegram)\.me/"), "social_link").when(is_ticket_url(F.col("url")), "ticket_link").otherwise("official_source")
+    kind = F.when(F.lower("url").rlike(r"(?:t|telegram)\.me/"), "social_link").when(is_ticket_url(F.col("url"), known), "ticket_link").otherwise("official_source")
     return links.filter(F.col("url").rlike("^https?://")).select("run_id", kind.alias("field"), "url", F.lit("input").alias("status"), F.lit("input_text").alias("source_type"), F.lit("").alias("source_url"), F.lit(0.4).alias("confidence")).toDF(*_EVIDENCE)
 
 
-def read_evidence(inputs: DataFrame, pages: DataFrame) -> DataFrame:
+def read_evidence(inputs: DataFrame, pages: DataFrame, known: Sources = SOURCES) -> DataFrame:
     """Evidence rows of pages that were read: the page itself, and each of its run's facts that it holds."""
     page = usable(pages).select("run_id", "url", haystack().alias("hay"))
-    own = page.select("run_id", F.when(is_ticket_url(F.col("url")), F.struct(F.lit("ticket_link").alias("field"), F.lit("unverified").alias("status"), F.lit(0.5).alias("confidence"))).otherwise(F.struct(F.lit("official_source").alias("field"), F.lit("verified").alias("status"), F.lit(0.9).alias("confidence"))).alias("e"), "url")
+    own = page.select("run_id", F.when(is_ticket_url(F.col("url"), known), F.struct(F.lit("ticket_link").alias("field"), F.lit("unverified").alias("status"), F.lit(0.5).alias("confidence"))).otherwise(F.struct(F.lit("official_source").alias("field"), F.lit("verified").alias("status"), F.lit(0.9).alias("confidence"))).alias("e"), "url")
     own = own.select("run_id", "e.field", F.col("url").alias("value"), "e.status", F.lit("url").alias("source_type"), F.col("url").alias("source_url"), "e.confidence")
     facts = inputs.select("run_id", F.explode(F.array(*(F.struct(F.lit(n).alias("field"), F.col(n).cast("string").alias("value")) for n in ("title", "artist", "date", "city", "venue")))).alias("f"))
     said = facts.join(page, "run_id").filter(held(F.col("hay"), F.array(t.search_key(F.col("f.value")))))
     return own.unionByName(said.select("run_id", "f.field", "f.value", F.lit("verified").alias("status"), F.lit("url").alias("source_type"), F.col("url").alias("source_url"), F.lit(0.9).alias("confidence")))
 
 
-def rule_evidence(inputs: DataFrame, links: DataFrame, pages: DataFrame) -> DataFrame:
+def rule_evidence(inputs: DataFrame, links: DataFrame, pages: DataFrame, known: Sources = SOURCES) -> DataFrame:
     """All evidence that rules find: in the input, among its addresses and on the pages read. No model is asked."""
-    return input_evidence(inputs).unionByName(link_evidence(links)).unionByName(read_evidence(inputs, pages))
+    return input_evidence(inputs).unionByName(link_evidence(links, known)).unionByName(read_evidence(inputs, pages, known))
 
 
 _SEEN = "struct<source:string,value:string,confidence:double>"

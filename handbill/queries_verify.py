@@ -212,7 +212,7 @@ def _(spark, d):
     return verify.usable(view(spark, d, "pages_read")).select("run_id", "pos")
 
 
-@query("f8_ticket_urls", "SELECT run_id, pos, regexp_matches(lower(url), 'ticket|kassir|radario|afisha') AS ticket FROM {v_links}")
+@query("f8_ticket_urls", "SELECT run_id, pos, regexp_matches(lower(url), 'ticket|kassa') AS ticket FROM {v_links}")
 def _(spark, d):
     return view(spark, d, "v_links").select("run_id", "pos", verify.is_ticket_url(F.col("url")).alias("ticket"))
 
@@ -549,7 +549,7 @@ _IN = "SELECT run_id, artist, CASE WHEN event_date IS NOT NULL THEN day(event_da
 _SAYS = f"SELECT run_id, page_pos, url, field, value, hay FROM (SELECT run_id, unnest(['title', 'artist', 'date', 'city', 'venue']) AS field, unnest([artist, artist, date, city, venue]) AS value FROM ({_IN}) i) f JOIN ({_PAGES}) p USING (run_id)"
 
 
-@query("r9_rule_evidence", f"SELECT run_id, field, status, confidence, count(*) AS n FROM (SELECT run_id, unnest(['title', 'artist', 'event_type', 'date', 'city', 'venue', 'age_limit']) AS field, unnest([artist, artist, 'concert', date, city, venue, '18']) AS value, 'input' AS status, unnest([0.6, 0.6, 0.5, 0.6, 0.6, 0.6, 0.5])::DOUBLE AS confidence FROM ({_IN}) i UNION ALL SELECT run_id, CASE WHEN regexp_matches(lower(url), 't\\.me/|telegram\\.me/') THEN 'social_link' WHEN regexp_matches(lower(url), 'ticket|kassir|radario|afisha') THEN 'ticket_link' ELSE 'official_source' END, url, 'input', 0.4 FROM {{v_links}} UNION ALL SELECT run_id, CASE WHEN regexp_matches(lower(url), 'ticket|kassir|radario|afisha') THEN 'ticket_link' ELSE 'official_source' END, url, CASE WHEN regexp_matches(lower(url), 'ticket|kassir|radario|afisha') THEN 'unverified' ELSE 'verified' END, CASE WHEN regexp_matches(lower(url), 'ticket|kassir|radario|afisha') THEN 0.5 ELSE 0.9 END FROM ({_PAGES}) p UNION ALL SELECT run_id, field, value, 'verified', 0.9 FROM ({_SAYS}) s WHERE {has(key('value'))}) e WHERE trim(value) <> '' GROUP BY ALL")
+@query("r9_rule_evidence", f"SELECT run_id, field, status, confidence, count(*) AS n FROM (SELECT run_id, unnest(['title', 'artist', 'event_type', 'date', 'city', 'venue', 'age_limit']) AS field, unnest([artist, artist, 'concert', date, city, venue, '18']) AS value, 'input' AS status, unnest([0.6, 0.6, 0.5, 0.6, 0.6, 0.6, 0.5])::DOUBLE AS confidence FROM ({_IN}) i UNION ALL SELECT run_id, CASE WHEN regexp_matches(lower(url), 't\\.me/|telegram\\.me/') THEN 'social_link' WHEN regexp_matches(lower(url), 'ticket|kassa') THEN 'ticket_link' ELSE 'official_source' END, url, 'input', 0.4 FROM {{v_links}} UNION ALL SELECT run_id, CASE WHEN regexp_matches(lower(url), 'ticket|kassa') THEN 'ticket_link' ELSE 'official_source' END, url, CASE WHEN regexp_matches(lower(url), 'ticket|kassa') THEN 'unverified' ELSE 'verified' END, CASE WHEN regexp_matches(lower(url), 'ticket|kassa') THEN 0.5 ELSE 0.9 END FROM ({_PAGES}) p UNION ALL SELECT run_id, field, value, 'verified', 0.9 FROM ({_SAYS}) s WHERE {has(key('value'))}) e WHERE trim(value) <> '' GROUP BY ALL")
 def _(spark, d):
     """Evidence that rules find in the inputs, among their addresses and on the pages read."""
     found = verify.rule_evidence(_inputs(spark, d), *tables(spark, d, "v_links", "pages_read"))

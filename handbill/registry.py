@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_drafts, queries_posts, queries_tables, queries_verify
+from . import queries_drafts, queries_inputs, queries_posts, queries_tables, queries_verify
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (queries_tables, queries_posts, queries_drafts, queries_verify)
+PARTS = (queries_tables, queries_posts, queries_drafts, queries_verify, queries_inputs)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
