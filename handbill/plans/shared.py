@@ -19,6 +19,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """The name of a folder, not made yet, where driver and executors both see it."""
+    """A new empty folder where driver and executors both see it; it goes when the driver ends."""
     checkpointed(spark.range(0))
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    name = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return name

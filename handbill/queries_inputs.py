@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import inputs, verify
+from .operators import inputs, results, verify
 from .operators import posts as p
 from .plans.fixtures import plain, view, with_views
-from .queries_drafts import chain, key, safe_city
+from .plans.shared import new_folder
+from .queries_drafts import chain, drafts, key, safe_city
 from .queries_verify import _PAGES, domain, has, has_date
 from .queries_verify import key as search_key
+from .sources import sinks
 
 QUERIES, SQL = {}, {}
 
@@ -153,3 +155,88 @@ _PAIRED = f"SELECT l.run_id, l.pos, l.kind, page_pos, {domain('l.url')} AS a, {d
 def _(spark, d):
     """Links whose page by domain holds enough of their run's facts."""
     return verify.links_by_page_facts(view(spark, d, "v_links"), view(spark, d, "pages_read"), view(spark, d, "v_occurrences"))
+
+
+# Analysis results with nested parts
+
+_DATA = "'{\"place\":{\"run\":' || run_id || ',\"tags\":[\"' || field || '\",{\"status\":\"' || status || '\"}]},\"value\":\"' || value || '\"}'"
+_VALUE = "CASE pos % 3 WHEN 0 THEN '\"' || value || '\"' WHEN 1 THEN run_id::VARCHAR ELSE '{\"of\":[' || pos || ',null,true]}' END"
+
+
+def nested(spark, d):
+    """Results of runs as JSON texts with nested data; of five, one lacks a field, one has a text for a truth value, one a text that is no number, one a list with stray items."""
+    v = view(spark, d, "v_facts")
+    data = F.expr(_DATA.replace("|| run_id ||", "|| cast(run_id as string) ||"))
+    value = F.expr(_VALUE.replace("run_id::VARCHAR", "cast(run_id as string)").replace("|| pos ||", "|| cast(pos as string) ||"))
+    decision = F.concat(F.lit('{"type":"'), "field", F.lit('","confidence":0.5,"data":'), data, F.lit(',"evidence":[{"field":"'), "field", F.lit('","value":'), value, F.lit(',"source":7},{"value":1},"stray"]}'))
+    made = v.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", decision.alias("j")))), lambda x: x["j"]), ",").alias("decisions"))
+    head = F.expr("CASE run_id % 5 WHEN 0 THEN '{\"content_type\":\"event\",\"is_useful\":true,\"confidence\":1' WHEN 1 THEN '{\"content_type\":\"event\",\"is_useful\":\"so\",\"priority\":\"low\",\"confidence\":1' WHEN 2 THEN '{\"content_type\":\"event\",\"is_useful\":true,\"priority\":\"low\",\"confidence\":\"high\"' WHEN 3 THEN '{\"content_type\":\"event\",\"is_useful\":true,\"priority\":\"low\",\"confidence\":\" 0.25 \"' ELSE '{\"content_type\":\"event\",\"is_useful\":false,\"priority\":\"low\",\"confidence\":0.75' END")
+    rest = F.lit(',"main_decision":"review","variants":[{"a":{"b":[1,{"c":null}]}},3],"sql_plan":[{"sql":"select 1"},{"sql":"select 2","requires_review":0},{"purpose":"none"}],"warnings":["w",4],"raw":[]}')
+    return made.select("run_id", F.concat(head, F.lit(',"decisions":[1,'), "decisions", F.lit("]"), rest).alias("json"))
+
+
+_NESTED = f"SELECT run_id, pos, field, {_DATA} AS data, {_VALUE} AS value FROM {{v_facts}} WHERE run_id % 5 > 2"
+
+
+def decisions(rows):
+    """A row for each decision of results read from their JSON."""
+    each = rows.select("run_id", F.posexplode("r.decisions").alias("pos", "x"), "r")
+    return each.select("run_id", (F.col("pos") + 1).alias("pos"), F.col("x.type").alias("field"), F.to_json("x.data").alias("data"), F.to_json(F.col("x.evidence")[0]["value"]).alias("value"), F.size("x.evidence").alias("n_evidence"), F.col("r.confidence").alias("confidence"), F.to_json(F.col("r.variants")[0]).alias("variant"), F.array_join(F.transform("r.sql_plan", lambda s: s["requires_review"].cast("string")), ",").alias("reviews"), F.array_join("r.warnings", ",").alias("warnings"))
+
+
+@query("r18_nested_results", f"SELECT run_id, pos, field, data, value, 1 AS n_evidence, CASE WHEN run_id % 5 = 3 THEN 0.25 ELSE 0.75 END::DOUBLE AS confidence, '{{\"a\":{{\"b\":[1,{{\"c\":null}}]}}}}' AS variant, 'true,false' AS reviews, 'w' AS warnings FROM ({_NESTED}) q")
+def _(spark, d):
+    """Results from JSON text, to JSON text and back again: every nested value is as it was, wrong items are gone."""
+    once = nested(spark, d).select("run_id", results.parsed(F.col("json")).alias("r")).filter("r is not null")
+    again = once.select("run_id", results.parsed(results.as_json(F.col("r"))).alias("r"))
+    return decisions(again)
+
+
+@query("s19_nested_results", f"SELECT run_id, pos, field, data, value, batch, CASE WHEN batch = 2 THEN 'again' END AS note FROM (SELECT *, 1 AS batch FROM ({_NESTED}) a UNION ALL SELECT *, 2 FROM ({_NESTED}) b WHERE run_id % 3 = 0) q")
+def _(spark, d):
+    """Results added to a stored table in two batches, the second with a column more, and read back."""
+    path = new_folder(spark, "results") + "/rows"
+    made = nested(spark, d).select("run_id", results.parsed(F.col("json")).alias("r")).filter("r is not null")
+    results.append(made.withColumn("batch", F.lit(1)), path)
+    results.append(made.filter("run_id % 3 = 0").withColumns({"batch": F.lit(2), "note": F.lit("again")}), path)
+    held = results.stored(spark, path)
+    each = held.select("run_id", "batch", "note", F.posexplode("r.decisions").alias("pos", "x"))
+    return each.select("run_id", (F.col("pos") + 1).alias("pos"), F.col("x.type").alias("field"), F.to_json("x.data").alias("data"), F.to_json(F.col("x.evidence")[0]["value"]).alias("value"), "batch", "note")
+
+
+# Reports that are written and read back
+
+
+@query("s9_written_json", "SELECT run_id, artist, city_name, event_date::VARCHAR AS event_date, verified, confidence FROM {v_occurrences}")
+def _(spark, d):
+    """Occurrences as JSON lines in a folder for each city, dates as ISO text; read back with their types."""
+    rows, path = view(spark, d, "v_occurrences").select("run_id", "artist", "city_name", "event_date", "verified", "confidence"), new_folder(spark, "report") + "/rows"
+    sinks.write_json(rows.withColumn("city", F.col("city_name")), path, "city")
+    return spark.read.schema(rows.schema).json(path).select(rows.columns)
+
+
+@query("s10_written_csv", "SELECT post_id, text, NULL AS said, NULL AS url FROM {posts} UNION ALL SELECT run_id, NULL, '{\"pos\":' || pos || ',\"status\":\"' || status || '\"}', NULL FROM {v_facts} UNION ALL SELECT run_id, NULL, NULL, url FROM {v_links}")
+def _(spark, d):
+    """Posts, facts and links as one CSV: the union of their columns as header, nested values as JSON text."""
+    path = new_folder(spark, "report") + "/rows"
+    facts = view(spark, d, "v_facts").select(F.col("run_id").alias("post_id"), F.struct("pos", "status").alias("said"))
+    sinks.write_csv(path, view(spark, d, "posts").select("post_id", "text"), facts, view(spark, d, "v_links").select(F.col("run_id").alias("post_id"), "url"))
+    read = sinks.read_csv(spark, path)
+    return read.select(F.col("post_id").cast("long").alias("post_id"), "text", "said", "url")
+
+
+@query("s11_written_text", "SELECT url AS line, count(*) AS n FROM {v_links} GROUP BY url")
+def _(spark, d):
+    """A report of plain lines, written and read back."""
+    path = new_folder(spark, "report") + "/rows"
+    sinks.write_text(view(spark, d, "v_links"), "url", path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s21_written_failures", chain("SELECT post_id, source, kind, title, date_line, warnings FROM drafts WHERE warnings = 'not_an_event'", "drafts"))
+def _(spark, d):
+    """Drafts with one warning, written as JSON and read back."""
+    path = new_folder(spark, "failures") + "/rows"
+    failed = sinks.failures(drafts(spark, d), "not_an_event")
+    sinks.write_json(failed, path)
+    return spark.read.schema(failed.schema).json(path)

@@ -532,7 +532,7 @@ def _(spark, d):
 @query("s19_stored_results", "SELECT run_id, count(*) AS n FROM {v_facts} WHERE pos = 1 GROUP BY run_id UNION ALL SELECT run_id, 1 FROM {v_facts} WHERE pos = 1 AND run_id % 3 = 0")
 def _(spark, d):
     """Results added to a stored table twice, the second time those of one run in three, and read back."""
-    path = new_folder(spark, "results")
+    path = new_folder(spark, "results") + "/rows"
     made = results(spark, d)
     sinks.append_results(made.withColumn("batch", F.lit(1)), path)
     sinks.append_results(made.filter("run_id % 3 = 0").withColumn("batch", F.lit(2)), path)

@@ -1,8 +1,12 @@
-"""Writers, and readers of nested results."""
+"""Writers, and readers of nested results.
+
+All writing goes through Spark's file writers, whose commit makes a table's files visible only when all tasks are
+done: a failed or repeated task leaves no half-written report.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAGES = "array<struct<url:string,final_url:string,ok:boolean,blocked_by_antibot:boolean,status_code:int,title:string,text_preview:string>>"
@@ -24,7 +28,13 @@ def flat_rows(*tables: DataFrame) -> DataFrame:
 
 
 def write_csv(path: str, *tables: DataFrame) -> None:
-    flat_rows(*tables).write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
+    """CSV with the union of the tables' columns as header; line breaks and quotes in values are quoted."""
+    flat_rows(*tables).write.mode("errorifexists").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """What write_csv() wrote, as text columns; an empty value is null."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
 def write_text(df: DataFrame, column: str, path: str) -> None:
