@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import text as t
-from .operators import ocr, render, verify
+from .operators import ocr, phrases, render, verify
 from .plans.fixtures import plain, view, with_views
 from .plans.shared import new_folder
 from .sources import chat, sinks
@@ -133,6 +133,14 @@ def _(spark, d):
     return ocr.classified(texts, entities(spark, d))
 
 
+@query("j4_phrases")
+def _(spark, d):
+    """Each recognised text as the phrase of a dictionary of nations, names and aliases that it is most similar to; some names are misread."""
+    texts = block_texts(spark, d).withColumn("text", F.when(F.col("text").rlike("^Supplier#\\d+0$"), F.replace("text", F.lit("pp"), F.lit("p"))).otherwise(F.col("text")))
+    held = phrases.matched(texts, ocr.dictionary(view(spark, d, "nation").select(F.col("n_name").alias("text")), entities(spark, d)))
+    return held.select("text_id", "phrase", "score")
+
+
 @query("a17_dictionary", "SELECT count(*) AS n, count(DISTINCT lower(phrase)) AS keys FROM (SELECT arg_min(phrase, r || phrase) AS phrase FROM (SELECT trim(regexp_replace(unnest(string_split(text, chr(10))), '\\s+', ' ', 'g')) AS phrase, '0' AS r FROM documents UNION ALL SELECT s_name, '1' FROM supplier UNION ALL SELECT 'Supp ' || s_suppkey, '1' FROM supplier) q WHERE phrase <> '' GROUP BY lower(phrase)) z")
 def _(spark, d):
     made = ocr.dictionary(view(spark, d, "documents").select("text"), entities(spark, d))
