@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 
 from .common import id_text, per_texts
 
-#: Pre-tokens that one worker remembers, and that it merges at once.
-REMEMBERED, MERGED_AT_ONCE = 700_000, 100_000
+#: Pre-tokens that one worker remembers, and that it merges at once; bytes of text whose new pre-tokens are merged together.
+REMEMBERED, MERGED_AT_ONCE, TOGETHER = 700_000, 100_000, 16 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -271,7 +271,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
         encoder = worker_encoder(ranks_path, pattern)
         return lambda texts: [(ids,) for ids in encoder.encode(texts)]
 
-    return per_texts(id_text(docs, id_col, text_col), make, pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]), "doc_id long, ids binary")
+    return per_texts(id_text(docs, id_col, text_col), make, pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]), "doc_id long, ids binary", TOGETHER)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -298,4 +298,4 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str =
 
         return of
 
-    return per_texts(id_text(docs, id_col, text_col), make, _TRIP, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return per_texts(id_text(docs, id_col, text_col), make, _TRIP, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", TOGETHER)

@@ -85,15 +85,15 @@ def slices(batches: Iterable[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iter
     pa.default_memory_pool().release_unused()
 
 
-def per_texts(docs: DataFrame, make: Callable[[], Callable[[list], list[tuple]]], schema: pa.Schema, ddl: str) -> DataFrame:
-    """A row for each document: make() is called once a task and gives the function of a list of texts.
+def per_texts(docs: DataFrame, make: Callable[[], Callable[[list], list[tuple]]], schema: pa.Schema, ddl: str, most_bytes: int = 4 << 20) -> DataFrame:
+    """A row for each document: make() is called once a task and gives the function of a list of texts, which hold most_bytes together.
 
     The function returns a tuple for each text: the columns after doc_id, which comes first.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()
-        for part in slices(batches):
+        for part in slices(batches, most_bytes):
             rows = of(part.column(1).to_pylist())
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema.names[1:]]
             arrays = [part.column(0), *(pa.array(c, type=f.type) for c, f in zip(columns, list(schema)[1:], strict=True))]
