@@ -247,7 +247,7 @@ def similar_roots(docs: DataFrame, described: DataFrame, *, words: int = overlap
     their own and so the most links, meet all of them; in the next round eight times as many of
     those not in its largest component, whatever their place. A set that has met all others is done; a
     shingle is done when all sets that are left lie in one component, as of any two in
-    different ones at least one is outside the largest.
+    different ones at least one is outside the largest, or when none of them stands early enough to be a pair's smaller.
     Candidates are verified by whole sets in the same rounds: first each one's four nearest
     and smallest, then 64 times as many of those not connected yet, until none is left.
     """
@@ -270,25 +270,25 @@ def similar_roots(docs: DataFrame, described: DataFrame, *, words: int = overlap
     wanted = described.select("id", "doc_id", "text_hash").join(ids, "id").groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
     sets = written(overlap.sets_of(docs, wanted.select("id", "one.*"), words), "overlap-sets")
 
-    roots, most, done, salts = left.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0), 4, None, 16
+    roots, most, first, salts = left.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0), 4, True, 16
     crowded = not hot.isEmpty()
     while True:
         if crowded:
             placed = hot.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
             rest = placed
-            if done is not None:
-                placed = placed.join(done, ["key", "id"], "left_anti")
-                sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
-                largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("top"))
-                rest = placed.join(largest, "key").filter("root <> top").drop("top")
+            if not first:  # left are keys whose sets lie in several components, one of them a pair's smaller, and sets that have not met all others
+                sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"), F.max(lead).alias("leads"))
+                apart = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("top"), F.count(F.lit(1)).alias("roots"), F.max("leads").alias("leads")).filter("roots > 1 and leads").select("key", "top")
+                placed = written(placed.join(apart, "key"), "overlap-hot")
+                rest = placed.filter("root <> top")
             hubs = Window.partitionBy("key").orderBy(~lead, F.col("n") - F.col("r"), "id")
             chosen = written(rest.withColumn("place", F.row_number().over(hubs)).filter(F.col("place") <= pivots).select("key", *side, "root"), "overlap-hubs")
-            crowded = not chosen.isEmpty()
+            crowded, first = not chosen.isEmpty(), False
         if crowded:
-            done = chosen.select("key", "id") if done is None else done.unionByName(chosen.select("key", "id"))
             x = named(chosen, "x", ("root",)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
             y = named(placed, "y", ("root",)).withColumn("salt", F.pmod(F.hash("id_y"), F.lit(salts)))
             left = left.unionByName(x.join(y, ["key", "salt"]).filter((F.col("root_x") != F.col("root_y")) & fits).select(*ordered)).distinct()
+            hot = placed.join(chosen.select("key", "id"), ["key", "id"], "left_anti").select("key", *side)
         elif left.isEmpty():
             return roots
         near, low = (F.row_number().over(Window.partitionBy("b").orderBy(*by)) for by in (("bits", "a"), ("a",)))
