@@ -11,7 +11,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_text, per_texts, slices
@@ -142,9 +143,9 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """A model from labelled documents that are not held out.
 
-    Of each language, copies aside, the texts whose hashes fall below a rate are taken, about
-    sample / languages of them and all of a rarer language, so that a much copied language
-    has some too and at most about `sample` vectors reach the driver. Of more than
+    Of each language, copies aside, the sample / languages texts with the smallest hashes are
+    taken, eight at least and all of a rarer language, so that a much copied language has some
+    too and no more vectors than that reach the driver. Of more than
     MOST_LANGUAGES labels the commonest are learned.
     """
     labelled = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -154,9 +155,12 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     if not common:
         return Model()
     each = max(8, sample // len(common))
-    rates = docs.sparkSession.createDataFrame([(lang, min(1.0, each / n)) for lang, n in common.items()], "lang string, rate double")
+    # A rate that leaves more than enough of each language keeps the ranking small.
+    rates = docs.sparkSession.createDataFrame([(lang, min(1.0, (2 * each + 100) / n)) for lang, n in common.items()], "lang string, rate double")
     share = F.pmod("place", F.lit(1 << 30)) / F.lit(1 << 30)
-    chosen = labelled.join(F.broadcast(rates), "lang").filter(share < F.col("rate")).dropDuplicates(["lang", "place"]).select("lang", "text")
+    some = labelled.join(F.broadcast(rates), "lang").filter(share < F.col("rate")).dropDuplicates(["lang", "place"]).withColumn("share", share)
+    smallest = Window.partitionBy("lang").orderBy("share", "place")
+    chosen = some.withColumn("rank", F.row_number().over(smallest)).filter(F.col("rank") <= each).select("lang", "text")
 
     def vectors(batches):
         for batch in batches:
@@ -205,17 +209,20 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.2) -> DataFrame:
-    """The rows of docs whose language is determined with a score of at least `least`, all columns as they are.
+    """The rows of docs whose language is determined with a score of at least `least`; a null language becomes the predicted one.
 
-    Null and empty texts and those without letters go. Columns may have any names; repeated
-    rows are kept or go alike; an empty table stays empty.
+    Null and empty texts and those without letters go; all other columns are as they are. Columns may have
+    any names; repeated rows are kept or go alike; an empty table stays empty.
     """
-    model, at = learn(docs, id_col=id_col, text_col=text_col, lang_col=lang_col), docs.columns.index(text_col)
+    model, at, label = learn(docs, id_col=id_col, text_col=text_col, lang_col=lang_col), docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches):
         for part in slices(batches):
-            good = [name != UNDETERMINED and score >= least for name, score in classify(model, part.column(at).to_pylist())]
-            yield part.filter(pa.array(good, pa.bool_()))
+            found = classify(model, part.column(at).to_pylist())
+            good = pa.array([name != UNDETERMINED and score >= least for name, score in found], pa.bool_())
+            if pa.types.is_string(part.schema.field(label).type):
+                part = part.set_column(label, part.schema.field(label), pc.coalesce(part.column(label), pa.array([name for name, _ in found], pa.string())))
+            yield part.filter(good)
 
     plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

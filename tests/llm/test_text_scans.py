@@ -144,6 +144,8 @@ def test_language_edges(spark):
     assert len(found) == 7 and {r.lang_pred for r in found if r.doc_id in (3, 4)} == {"und"}
     assert language_id.keep_identified(docs).columns == docs.columns
     assert language_id.keep_identified(docs).filter("doc_id in (3, 4)").count() == 0
+    filled = {r.doc_id: r.lang for r in language_id.keep_identified(docs).collect()}
+    assert filled[11] == next(r.lang_pred for r in found if r.doc_id == 11) and filled[2] == "de"
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in language_id.identify(unlabelled).collect()} == {"und"}
     assert language_id.identify(docs.limit(0)).count() == 0
