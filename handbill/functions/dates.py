@@ -186,19 +186,22 @@ WORDED = rf"{LEFT}(\d{{1,2}})\s+{_MONTH}{_YEAR}{RIGHT}"
 ENGLISH = rf"{LEFT}(\d{{1,2}})\s+({'|'.join(ENGLISH_MONTHS)})(?:\s+(\d{{4}}))?{RIGHT}"
 
 
+def _first_day(text: Column, pattern: str, sign: str, day: Callable[[Found], Column]) -> Column:
+    """The day that a pattern's first match means; the pattern is searched for once, where its sign is, and its groups in the match."""
+    raw = F.when(text.rlike(sign), F.regexp_extract(text, pattern, 0))
+    return let(raw, lambda r: F.when(r != "", _single(day(Found(r, pattern)), r)))
+
+
 def dotted_date(text: Column, reference: Column) -> Column:
-    m = Found(text, DOTTED)
-    return _single(dated(m[3], m.number(2), m.number(1), reference), m[0])
+    return _first_day(text, DOTTED, SIGNS["dotted"], lambda m: dated(m[3], m.number(2), m.number(1), reference))
 
 
 def worded_date(text: Column, reference: Column) -> Column:
-    m = Found(text, WORDED)
-    return _single(dated(m[3], month_number(m[2]), m.number(1), reference), m[0])
+    return _first_day(text, WORDED, SIGNS["worded"], lambda m: dated(m[3], month_number(m[2]), m.number(1), reference))
 
 
 def english_date(text: Column, reference: Column) -> Column:
-    m = Found(text, ENGLISH)
-    return _single(dated(m[3], _number(m[2], {w: k + 1 for k, w in enumerate(ENGLISH_MONTHS)}), m.number(1), reference), m[0])
+    return _first_day(text, ENGLISH, SIGNS["english"], lambda m: dated(m[3], _number(m[2], {w: k + 1 for k, w in enumerate(ENGLISH_MONTHS)}), m.number(1), reference))
 
 
 #: The cascade, in order.
@@ -211,7 +214,7 @@ RULES = {
 #: What a text must contain for a rule to be tried: one quick search in place of several exact ones.
 SIGNS = {
     "relative_range": "сегодня|завтра|вчера", "relative_day": "сегодня|завтра|вчера", "relative_offset": "через|назад", "weekday_range": "[-–—]", "weekday": "эт|следующ", "weekend": "выходн", "week": "недел",
-    "part_of_month": "нач|сер|кон", "explicit_range": r"\d", "dotted": r"\d[./-]\d", "worded": r"\d\s+[а-я]", "english": r"\d\s+[a-z]",
+    "part_of_month": "нач|сер|кон", "explicit_range": r"(?s)\d.*(?:[-–—]|\sпо\s).*\d", "dotted": r"\d[./-]\d", "worded": r"\d\s+[а-я]", "english": r"\d\s+[a-z]",
 }
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dates import DOTTED, LEFT, RIGHT, WORDED
+from .dates import DOTTED, LEFT, RIGHT, WORDED, let
 from .text import text_or_empty, url_loose_key
 
 
@@ -79,10 +80,16 @@ def urls(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text_or_empty(text), F.lit(URL), F.lit(0)), clean))
 
 
+def first_of_each(values: Column, key: Callable[[Column], Column]) -> Column:
+    """The values whose key none before them has, in order; sorts them, so that time follows their number."""
+    ranked = F.array_sort(F.transform(values, lambda v, k: F.struct(key(v).alias("key"), k.alias("at"), v.alias("value"))))
+    firsts = let(ranked, lambda held: F.filter(held, lambda s, k: (k == 0) | (F.get(held, k - 1)["key"] != s["key"])))
+    return F.transform(F.array_sort(F.transform(firsts, lambda s: F.struct(s["at"], s["value"]))), lambda s: s["value"])
+
+
 def urls_to_verify(text: Column, listed: Column) -> Column:
     """Listed addresses, then those in the text, each once whatever its case."""
-    every = F.concat(listed, F.filter(urls(text), lambda u: u.rlike("^https?://")))
-    return F.aggregate(every, F.array().cast("array<string>"), lambda kept, u: F.when(F.exists(kept, lambda k: url_loose_key(k) == url_loose_key(u)), kept).otherwise(F.concat(kept, F.array(u))))
+    return first_of_each(F.concat(listed, F.filter(urls(text), lambda u: u.rlike("^https?://"))), url_loose_key)
 
 
 def link_type(url: Column, label: Column, rules: Rules = CONCERTS) -> Column:
@@ -153,7 +160,7 @@ def promo_codes(text: Column, rules: Rules = CONCERTS) -> Column:
     after = rf"(?iu){LEFT}(?:{'|'.join(rules.code_words)})(?:[^\S\r\n]+code)?[^\S\r\n]*(?:[:=\-]\s*|\s+)([\p{{L}}\p{{N}}][\p{{L}}\p{{N}}_-]{{2,23}}){RIGHT}"
     found = F.transform(F.regexp_extract_all(text_or_empty(text), F.lit(after), F.lit(1)), lambda c: F.regexp_replace(c, "[_-]+$", ""))
     good = F.filter(found, lambda c: c.rlike(r"\p{L}") & (F.length(c) >= 3) & ~F.lower(c).isin(rules.no_codes))
-    return F.filter(good, lambda c, k: ~F.exists(F.slice(good, 1, k), lambda s: F.lower(s) == F.lower(c)))
+    return first_of_each(good, F.lower)
 
 
 _CLOCK = r"(?:[01]?\d|2[0-3]):[0-5]\d"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,10 +48,9 @@ def normal_line(value: Column) -> Column:
     return squeeze(F.regexp_replace(F.regexp_replace(text_or_empty(value), DASHES, "-"), QUOTES, '"'))
 
 
-@pandas_udf(T.StringType())
-def nfkc(values: pd.Series) -> pd.Series:
-    """Unicode NFKC, which SQL has no function for; called only where it can change something."""
-    return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
+def nfkc(value: Column) -> Column:
+    """Unicode NFKC, by the library that Spark's own collations use; a null text is empty."""
+    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text_or_empty(value), F.lit(True))
 
 
 #: Texts that NFKC leaves alone: ASCII, Cyrillic, and the quotes and dashes of most posts.
@@ -63,7 +60,7 @@ _STABLE = "^[\\x{00}-\\x{7f}\\x{400}-\\x{45f}«»–—]*$"
 def clean_line(value: Column) -> Column:
     """A line without leading icons and noise at its ends; NFKC-normalised where that matters."""
     v = text_or_empty(value)
-    v = F.coalesce(nfkc(F.when(~v.rlike(_STABLE), v)), v)  # only what can change is sent to Python
+    v = F.when(v.rlike(_STABLE), v).otherwise(nfkc(v))
     v = F.trim(F.replace(v, F.lit("\ufeff"), F.lit("")))
     v = F.regexp_replace(v, rf"^[^{WORD}]{{1,4}}\s*", "")
     v = F.regexp_replace(v, r"^[\s\-–—•*|:;,.]+|[\s\-–—•*|:;,]+$", "")

@@ -29,7 +29,8 @@ def first_by_pos(rows: DataFrame, value: Column, alias: str) -> DataFrame:
 def titles(line_table: DataFrame) -> DataFrame:
     """The first line that is no field, cleaned; of a line with bars, its first part."""
     usable = line_table.filter("not (is_labelled or is_date or is_time or is_ticket or is_service or is_short)")
-    return first_by_pos(usable, F.trim(F.element_at(F.split(t.clean_line(F.col("line")), r"\|"), 1)), "title")
+    first = first_by_pos(usable, F.col("line"), "line")
+    return first.select("post_id", F.trim(F.element_at(F.split(t.clean_line(F.col("line")), r"\|"), 1)).alias("title"))
 
 
 _APART = r"\s*(?:,|;|/|\||\s&\s|\s[xх]\s|\sи\s)\s*"

@@ -96,8 +96,7 @@ def _cascade() -> tuple[str, str]:
     }
     assert list(rules) == list(dates.RULES)
     # Each rule only where its sign is: the two ends repeat costly searches.
-    signs = dates.SIGNS | {"explicit_range": r"\d.*(?:[-–—]|\sпо\s).*\d"}
-    sign = lambda n: f"regexp_matches(x, '{signs[n]}')"
+    sign = lambda n: f"regexp_matches(x, '{dates.SIGNS[n]}')"
     tried = ", ".join(f"CASE WHEN {sign(n)} THEN ({a})::DATE END AS s_{n}, CASE WHEN {sign(n)} THEN ({b})::DATE END AS e_{n}" for n, (a, b) in rules.items())
     first = lambda what: "CASE " + " ".join(f"WHEN s_{n} <= e_{n} THEN {what(n)} END" if n == "english" else f"WHEN s_{n} <= e_{n} THEN {what(n)}" for n in rules)
     return f"SELECT post_id, pos, {tried} FROM ln", f"SELECT post_id, pos, {first(lambda n: f's_{n}')} AS start_date, {first(lambda n: f'e_{n}')} AS end_date, {first(repr)} AS rule FROM tried"

@@ -117,7 +117,11 @@ def _(spark, d):
     return view(spark, d, "pages_read").select("run_id", "pos", t.search_key(F.concat_ws(" ", "url", "title", "text")).alias("hay"))
 
 
-@query("n15_chunks")
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_CUT = "CASE WHEN length(rest) <= 2000 THEN length(rest) " + " ".join(f"WHEN length(regexp_extract(left(rest, 2000), '(?s)^(.*){mark}', 1)) > 1000 THEN length(regexp_extract(left(rest, 2000), '(?s)^(.*){mark}', 1)) + {kept}" for mark, kept in ((r"\n", 0), (r"\. ", 1), (", ", 1), (" ", 0))) + " ELSE 2000 END"
+
+
+@query("n15_chunks", f"WITH RECURSIVE c AS (SELECT doc_id, -1 AS part, '' AS chunk, trim(text, {_WS}) AS rest FROM documents UNION ALL SELECT doc_id, part + 1, trim(left(rest, e), {_WS}), trim(substr(rest, e + 1), {_WS}) FROM (SELECT *, {_CUT} AS e FROM c WHERE rest <> '') q) SELECT doc_id, part, chunk FROM c WHERE part >= 0")
 def _(spark, d):
     """Every document in pieces of at most 2000 characters; joined by blanks they are the text, blanks aside."""
     return view(spark, d, "documents").select("doc_id", F.posexplode(t.chunks(t.text_or_empty(F.col("text")), F.lit(2000))).alias("part", "chunk"))
