@@ -246,9 +246,10 @@ def drafts(posts: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     listed = lambda df, of, name: df.groupBy("post_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", of))), lambda s: s[of]), ", ").alias(name))
     link_table = links(table)
     spread = occurrences(table, single).groupBy("post_id").agg(F.count(F.lit(1)).alias("n_occurrences"), F.count("event_date").alias("n_dated"))
-    text = t.normal_text(F.col("text"))
-    kind = fields.message_kind(text)
-    base = posts.select("post_id", "channel_id", "source", "published", kind["kind"].alias("kind"), kind["confidence"].alias("kind_confidence"), fields.status(text).alias("status"), fields.age_limit(text).alias("age_limit"), F.array_join(fields.promo_codes(text), ",").alias("promo_codes"))
+    text = F.col("text")
+    clean = posts.select("post_id", "channel_id", "source", "published", t.normal_text(text).alias("text"))  # once for all rules
+    said = clean.select("*", fields.message_kind(text).alias("said"))
+    base = said.select("post_id", "channel_id", "source", "published", F.col("said.kind").alias("kind"), F.col("said.confidence").alias("kind_confidence"), fields.status(text).alias("status"), fields.age_limit(text).alias("age_limit"), F.array_join(fields.promo_codes(text), ",").alias("promo_codes"))
     out = base
     for part in (titles(table), listed(artists(table), "artist", "artists"), listed(link_table, "url", "links"), link_table.groupBy("post_id").agg(F.count_if(F.col("link_type") == "ticket").alias("n_tickets")), single, spread, descriptions(table)):
         out = out.join(part, "post_id", "left")

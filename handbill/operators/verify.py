@@ -77,9 +77,10 @@ def occurrence_matches(occurrences: DataFrame, pages: DataFrame) -> DataFrame:
     the time, at most .98; the first page wins a tie. Pages are joined within their run.
     """
     page = usable(pages).select("run_id", F.col("pos").alias("page_pos"), "url", haystack().alias("hay"))
-    both = occurrences.join(page, "run_id")
     one = lambda c: F.array(t.search_key(F.col(c)))
-    hits = {"artist": held(F.col("hay"), one("artist")), "date": held(F.col("hay"), date_spellings(F.col("event_date"))), "city": held(F.col("hay"), city_spellings(F.col("city_name"))), "venue": held(F.col("hay"), one("venue_name")), "time": held(F.col("hay"), one("start_time"))}
+    spelled = {"artist": one("artist"), "date": date_spellings(F.col("event_date")), "city": city_spellings(F.col("city_name")), "venue": one("venue_name"), "time": one("start_time")}
+    both = occurrences.select("run_id", "pos", *(c.alias(f"as_{n}") for n, c in spelled.items())).join(page, "run_id")  # spelled once, not for each page
+    hits = {n: held(F.col("hay"), F.col(f"as_{n}")) for n in spelled}
     weights = {"artist": 0.08, "date": 0.08, "city": 0.05, "venue": 0.07, "time": 0.05}
     flagged = both.withColumns({f"has_{n}": c for n, c in hits.items()})
     n = sum((F.col(f"has_{k}").cast("int") for k in weights), F.lit(0))

@@ -39,11 +39,11 @@ def _(spark, d):
 
 @query("n6_line_dedupe", r"WITH l AS (SELECT trim(regexp_replace(regexp_replace(regexp_replace(trim(raw), '[–—−]', '-', 'g'), '[«»„“”]', '" + '"' + r"', 'g'), '\s+', ' ', 'g')) AS line, doc_id FROM (" + _LINES + ") x) SELECT sha256(line) AS line_sha256, count(*) AS n, count(DISTINCT doc_id) AS docs FROM l WHERE line <> '' GROUP BY line HAVING count(*) > 1")
 def _(spark, d):
-    """Lines that stand more than once, with how often and in how many documents."""
+    """Lines that stand more than once, with how often and in how many documents; only their hashes are shuffled."""
     lines = view(spark, d, "documents").select("doc_id", F.explode(F.split(t.normal_text(F.col("text")), "\n")).alias("raw"))
-    line = lines.select("doc_id", t.normal_line(F.col("raw")).alias("line")).filter("line <> ''")
-    per_doc = line.groupBy("line", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_doc.groupBy("line").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")).filter("n > 1").select(F.sha2("line", 256).alias("line_sha256"), "n", "docs")
+    held = lines.filter(F.col("raw").rlike(r"[^\s\x{85}\x{a0}]")).select("doc_id", F.sha2(t.normal_line(F.col("raw")), 256).alias("line_sha256"))
+    per_doc = held.groupBy("line_sha256", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_doc.groupBy("line_sha256").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")).filter("n > 1")
 
 
 _KEY = r"lower(trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(trim(line), '^[^\p{L}\p{N}_]{1,4}\s*', ''), '^[\s\-–—•*|:;,.]+|[\s\-–—•*|:;,]+$', '', 'g'), '\s+', ' ', 'g')), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')))"
