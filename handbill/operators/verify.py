@@ -184,11 +184,12 @@ def links_by_page_facts(links: DataFrame, pages: DataFrame, occurrences: DataFra
     """
     page = usable(pages).select("run_id", F.col("pos").alias("page_pos"), haystack().alias("hay"), F.lower(F.concat_ws(" ", "url", "title")).rlike("|".join(known.ticket_pages)).alias("tickets"))
     met = links_by_domain(links, pages).select("run_id", "pos", "page_pos").join(links.select("run_id", "pos", "kind"), ["run_id", "pos"]).filter(F.col("kind").isin("ticket", "official", "source"))
-    said = met.select("run_id", "page_pos").distinct().join(page, ["run_id", "page_pos"]).join(occurrences.select("run_id", "artist", "event_date", "city_name", "venue_name"), "run_id")
-    has = lambda values: F.coalesce(held(F.col("hay"), values), F.lit(False)).cast("int")
     one = lambda c: F.array(t.search_key(F.col(c)))
-    each = has(date_spellings(F.col("event_date"))) + has(city_spellings(F.col("city_name"))) + has(one("venue_name"))
-    facts = said.groupBy("run_id", "page_pos").agg((F.max(has(one("artist"))) + F.sum(each)).alias("n"), F.bool_or("tickets").alias("tickets"))
+    spelled = occurrences.select("run_id", one("artist").alias("as_artist"), date_spellings(F.col("event_date")).alias("as_date"), city_spellings(F.col("city_name")).alias("as_city"), one("venue_name").alias("as_venue"))
+    said = met.select("run_id", "page_pos").distinct().join(page, ["run_id", "page_pos"]).join(spelled, "run_id")
+    has = lambda name: F.coalesce(held(F.col("hay"), F.col(f"as_{name}")), F.lit(False)).cast("int")
+    counted = said.select("run_id", "page_pos", "tickets", has("artist").alias("artist"), (has("date") + has("city") + has("venue")).alias("rest"))
+    facts = counted.groupBy("run_id", "page_pos").agg((F.max("artist") + F.sum("rest")).alias("n"), F.bool_or("tickets").alias("tickets"))
     return met.join(facts, ["run_id", "page_pos"]).filter((F.col("n") >= 3) | ((F.col("kind") == "ticket") & F.col("tickets") & (F.col("n") >= 2))).select("run_id", "pos")
 
 

@@ -9,7 +9,7 @@ from .operators import posts as p
 from .plans.fixtures import plain, view, with_views
 from .plans.shared import new_folder
 from .queries_drafts import chain, drafts, key, safe_city
-from .queries_verify import _PAGES, domain, has, has_date
+from .queries_verify import _BY_URL, _MATCH, _PAGES, _ST, domain, has, has_date
 from .queries_verify import key as search_key
 from .sources import sinks
 
@@ -145,13 +145,20 @@ def _(spark, d):
 
 
 _WORDS = "|".join(verify.SOURCES.ticket_pages)
-_PAIRED = f"SELECT l.run_id, l.pos, l.kind, page_pos, {domain('l.url')} AS a, {domain('p.url')} AS b FROM {{v_links}} l JOIN ({_PAGES}) p ON p.run_id = l.run_id"
 
 
-@query(
-    "j9_links_by_page_facts",
-    f"WITH pair AS ({_PAIRED}), same AS (SELECT run_id, pos, kind, min(page_pos) AS page_pos FROM pair WHERE a = b GROUP BY ALL), met AS (SELECT * FROM same UNION ALL SELECT run_id, pos, kind, min(page_pos) FROM pair WHERE (ends_with(a, '.' || b) OR ends_with(b, '.' || a)) AND (run_id, pos) NOT IN (SELECT run_id, pos FROM same) GROUP BY ALL), held AS (SELECT p.run_id, p.page_pos, max(({has(search_key('artist'))})::INT) + sum(coalesce(({has_date('event_date')})::INT, 0) + ({has(search_key('city_name'))} OR (city_name = 'Минск' AND contains(hay, ' минск ')))::INT + ({has(search_key('venue_name'))})::INT) AS n, bool_or(regexp_matches(lower(concat_ws(' ', r.url, r.title)), '{_WORDS}')) AS tickets FROM ({_PAGES}) p JOIN {{pages_read}} r ON r.run_id = p.run_id AND r.pos = p.page_pos JOIN {{v_occurrences}} o ON o.run_id = p.run_id GROUP BY ALL) SELECT run_id, pos FROM met JOIN held USING (run_id, page_pos) WHERE kind IN ('ticket', 'official', 'source') AND (n >= 3 OR (kind = 'ticket' AND tickets AND n >= 2))",
-)
+def _page_facts(links: str) -> str:
+    """Steps pair, same, met, held and their rows run_id, pos: links (run_id, pos, kind, url) whose page by domain holds enough facts."""
+    paired = f"SELECT l.run_id, l.pos, l.kind, page_pos, {domain('l.url')} AS a, {domain('p.url')} AS b FROM {links} l JOIN ({_PAGES}) p ON p.run_id = l.run_id"
+    said = f"max(({has(search_key('artist'))})::INT) + sum(coalesce(({has_date('event_date')})::INT, 0) + ({has(search_key('city_name'))} OR (city_name = 'Минск' AND contains(hay, ' минск ')))::INT + ({has(search_key('venue_name'))})::INT)"
+    return (
+        f"WITH pair AS ({paired}), same AS (SELECT run_id, pos, kind, min(page_pos) AS page_pos FROM pair WHERE a = b GROUP BY ALL), met AS (SELECT * FROM same UNION ALL SELECT run_id, pos, kind, min(page_pos) FROM pair WHERE (ends_with(a, '.' || b) OR ends_with(b, '.' || a)) AND (run_id, pos) NOT IN (SELECT run_id, pos FROM same) GROUP BY ALL), "
+        f"held AS (SELECT p.run_id, p.page_pos, {said} AS n, bool_or(regexp_matches(lower(concat_ws(' ', r.url, r.title)), '{_WORDS}')) AS tickets FROM ({_PAGES}) p JOIN {{pages_read}} r ON r.run_id = p.run_id AND r.pos = p.page_pos JOIN {{v_occurrences}} o ON o.run_id = p.run_id GROUP BY ALL) "
+        "SELECT run_id, pos FROM met JOIN held USING (run_id, page_pos) WHERE kind IN ('ticket', 'official', 'source') AND (n >= 3 OR (kind = 'ticket' AND tickets AND n >= 2))"
+    )
+
+
+@query("j9_links_by_page_facts", _page_facts("{v_links}"))
 def _(spark, d):
     """Links whose page by domain holds enough of their run's facts."""
     return verify.links_by_page_facts(view(spark, d, "v_links"), view(spark, d, "pages_read"), view(spark, d, "v_occurrences"))
@@ -240,3 +247,26 @@ def _(spark, d):
     failed = sinks.failures(drafts(spark, d), "not_an_event")
     sinks.write_json(failed, path)
     return spark.read.schema(failed.schema).json(path)
+
+
+# The whole decision, whose query is registered with the verification
+
+_SOCIAL = "regexp_matches(lower(url), 't\\.me/|telegram\\.me/|vk\\.com/|instagram\\.com/')"
+_HIT = f"SELECT f.run_id, f.pos, arg_min(p.url, page_pos) AS page_url FROM {{v_facts}} f JOIN ({_PAGES}) p ON p.run_id = f.run_id WHERE CASE WHEN field = 'дата' THEN {has_date('try_cast(value AS DATE)')} ELSE {has(search_key('value'))} END GROUP BY f.run_id, f.pos"
+_SOURCE = "CASE WHEN regexp_matches(lower({u}), 't\\.me/|telegram\\.me/') THEN 'social' ELSE {s} END"
+_PROVEN = "(s IN ('official', 'ticket') AND u <> '' OR s IN ('manual', 'social'))"
+_STEPS = {
+    "o": f"SELECT run_id, (v OR m.url IS NOT NULL) AND coalesce(m.url, source_url) <> '' AS v, CASE WHEN m.url IS NOT NULL THEN greatest(c, m.score, 0.9) ELSE c END AS c FROM (SELECT run_id, pos, source_url, verified AND source_url <> '' AS v, CASE WHEN verified AND source_url <> '' THEN confidence ELSE least(confidence, 0.5) END AS c FROM {{v_occurrences}}) q LEFT JOIN ({_MATCH}) m USING (run_id, pos)",
+    "os": "SELECT run_id, v, CASE WHEN v THEN c ELSE least(c, 0.5) END AS c FROM o",
+    "k1": f"SELECT run_id, pos, url, CASE WHEN {_SOCIAL} AND kind IN ('official', 'ticket') THEN 'social' ELSE kind END AS kind, verified AND NOT {_SOCIAL} AS v FROM {{v_links}}",
+    "proven": _page_facts("k1"),
+    "k": f"SELECT k1.run_id, kind, (v OR (kind IN ('ticket', 'official', 'source') AND (u.pos IS NOT NULL OR p.pos IS NOT NULL))) AND NOT {_SOCIAL} AS v FROM k1 LEFT JOIN ({_BY_URL}) u USING (run_id, pos) LEFT JOIN proven p USING (run_id, pos)",
+    "f1": f"SELECT run_id, pos, s, u, CASE WHEN status = 'verified' AND (NOT {_PROVEN} OR s = 'search') THEN 'unverified' ELSE status END AS status FROM (SELECT run_id, pos, status, source_url AS u, {_SOURCE.format(u='source_url', s=_ST)} AS s FROM {{v_facts}}) q",
+    "f": f"SELECT run_id, s, CASE WHEN status = 'verified' AND (NOT {_PROVEN} OR s = 'search') THEN 'unverified' ELSE status END AS status FROM (SELECT run_id, coalesce(page_url, u) AS u, {_SOURCE.format(u='coalesce(page_url, u)', s='s')} AS s, CASE WHEN page_url IS NOT NULL THEN 'verified' ELSE status END AS status FROM f1 LEFT JOIN ({_HIT}) h USING (run_id, pos)) q",
+    "m": "SELECT run_id, n_occurrences, v_occurrences, best_occurrence, v_official, v_ticket, unverified_tickets, v_facts, conflicts FROM (SELECT run_id, count(*) AS n_occurrences, count(*) FILTER (v) AS v_occurrences, max(c) AS best_occurrence FROM os GROUP BY run_id) a JOIN (SELECT run_id, count(*) FILTER (v AND kind = 'official') AS v_official, count(*) FILTER (v AND kind = 'ticket') AS v_ticket, count(*) FILTER (NOT v AND kind = 'ticket') AS unverified_tickets FROM k GROUP BY run_id) b USING (run_id) JOIN (SELECT run_id, count(*) FILTER (status = 'verified' AND s IN ('official', 'ticket', 'manual')) AS v_facts, count(*) FILTER (status = 'conflicted') AS conflicts FROM f GROUP BY run_id) c USING (run_id)",
+    "scored": "SELECT *, round(CASE WHEN unverified_tickets > 0 THEN least(raw, 0.8) ELSE raw END, 6) AS overall FROM (SELECT *, greatest(best_occurrence, CASE WHEN v_occurrences > 0 AND v_official + v_ticket > 0 THEN 0.85 WHEN v_occurrences > 0 OR v_official + v_ticket > 0 THEN 0.7 ELSE 0 END) AS raw FROM m) q",
+    "said": "SELECT *, array_to_string(list_filter([CASE WHEN n_occurrences = 0 THEN 'no_occurrence' END, CASE WHEN overall < 0.85 THEN 'low_confidence' END, CASE WHEN unverified_tickets > 0 THEN 'unverified_ticket_link' END, CASE WHEN v_occurrences = 0 THEN 'unverified_occurrence' END, CASE WHEN conflicts > 0 THEN 'conflicts' END], lambda x: x IS NOT NULL), ',') AS reasons FROM scored",
+}
+SQL["r14_r6_a16_decisions"] = with_views(
+    "WITH " + ", ".join(f"{n} AS MATERIALIZED ({s})" for n, s in _STEPS.items()) + " SELECT run_id, n_occurrences, v_occurrences, best_occurrence::DOUBLE AS best_occurrence, v_official, v_ticket, unverified_tickets, v_facts, conflicts, v_occurrences + v_official + v_ticket + v_facts AS v_total, overall::DOUBLE AS overall, CASE WHEN n_occurrences = 0 THEN 'blocked' WHEN reasons = '' THEN 'auto_publish' ELSE 'needs_review' END AS decision, reasons FROM said"
+)
