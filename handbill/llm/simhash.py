@@ -236,6 +236,8 @@ def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
 #: Most bits by which fingerprints of alike documents may differ, of 64, and the ring's segments there.
 ALIKE_BITS, ALIKE_SEGMENTS = 26, 8
+#: Sets of a crowded shingle that meet its hubs in one task.
+SALTED = 4096
 
 
 def similar_roots(docs: DataFrame, described: DataFrame, *, words: int = overlap.WORDS, alike: Fraction = overlap.ALIKE, pair_limit: int = 64, pivots: int = 16) -> DataFrame:
@@ -264,13 +266,14 @@ def similar_roots(docs: DataFrame, described: DataFrame, *, words: int = overlap
     named = lambda df, which, more=(): df.select("key", *(F.col(c).alias(f"{c}_{which}") for c in (*side, *more)))
     few = shared.filter(F.col("met") <= pair_limit)
     left = written(named(few.filter(lead), "x").join(named(few, "y"), "key").filter((F.struct("n_x", "id_x") < F.struct("n_y", "id_y")) & fits).select(*ordered).distinct(), "overlap-pairs")
-    hot = shared.filter(F.col("met") > pair_limit).select("key", *side)
+    hot = shared.filter(F.col("met") > pair_limit).select("key", *side, "met")
 
     ids = left.select(F.explode(F.array("a", "b")).alias("id")).unionByName(hot.select("id")).distinct()
     wanted = described.select("id", "doc_id", "text_hash").join(ids, "id").groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
     sets = written(overlap.sets_of(docs, wanted.select("id", "one.*"), words), "overlap-sets")
 
-    roots, most, first, salts = left.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0), 4, True, 16
+    roots, most, first = left.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0), 4, True
+    salts = (1 + F.floor(F.col("met") / SALTED)).cast("int")  # a key's hubs once for each share of its sets
     crowded = not hot.isEmpty()
     while True:
         if crowded:
@@ -282,13 +285,15 @@ def similar_roots(docs: DataFrame, described: DataFrame, *, words: int = overlap
                 placed = written(placed.join(apart, "key"), "overlap-hot")
                 rest = placed.filter("root <> top")
             hubs = Window.partitionBy("key").orderBy(~lead, F.col("n") - F.col("r"), "id")
-            chosen = written(rest.withColumn("place", F.row_number().over(hubs)).filter(F.col("place") <= pivots).select("key", *side, "root"), "overlap-hubs")
+            chosen = written(rest.withColumn("place", F.row_number().over(hubs)).filter(F.col("place") <= pivots).select("key", *side, "met", "root"), "overlap-hubs")
             crowded, first = not chosen.isEmpty(), False
         if crowded:
-            x = named(chosen, "x", ("root",)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-            y = named(placed, "y", ("root",)).withColumn("salt", F.pmod(F.hash("id_y"), F.lit(salts)))
-            left = left.unionByName(x.join(y, ["key", "salt"]).filter((F.col("root_x") != F.col("root_y")) & fits).select(*ordered)).distinct()
-            hot = placed.join(chosen.select("key", "id"), ["key", "id"], "left_anti").select("key", *side)
+            marked = placed.join(chosen.select("key", "id", F.lit(True).alias("hub")), ["key", "id"], "left").select("key", *side, "met", "root", "hub")
+            x = named(chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))), "x", ("root", "salt")).withColumnRenamed("salt_x", "salt")
+            y = named(marked.withColumn("salt", F.pmod(F.hash("id"), salts)), "y", ("root", "salt", "hub")).withColumnRenamed("salt_y", "salt")
+            once = F.col("hub_y").isNull() | (F.col("id_x") < F.col("id_y"))  # two hubs meet once
+            left = left.unionByName(x.join(y, ["key", "salt"]).filter((F.col("root_x") != F.col("root_y")) & once & fits).select(*ordered)).distinct()
+            hot = marked.filter("hub is null").select("key", *side, "met")
         elif left.isEmpty():
             return roots
         near, low = (F.row_number().over(Window.partitionBy("b").orderBy(*by)) for by in (("bits", "a"), ("a",)))
