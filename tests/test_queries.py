@@ -7,7 +7,7 @@ import __spark_entry__
 from handbill import registry
 from handbill.plans.fixtures import TABLES
 
-FEW = ["n6_line_dedupe", "n11_url_keys", "x10_explicit_ranges", "f2_message_kinds", "r20_a11_a14_w4_fused_blocks", "j8_links_by_domain", "r14_raw_decisions", "s17_s18_upsert"]
+FEW = ["n6_line_dedupe", "n11_url_keys", "x10_explicit_ranges", "f2_message_kinds", "r20_a11_a14_w4_fused_blocks", "j8_links_by_domain", "r14_raw_decisions", "s17_s18_upsert", "w9_text_deltas", "j21_context_rows", "x41_j18_descriptions", "r9_input_fields", "r18_nested_results", "s10_written_csv", "j9_links_by_page_facts", "n15_chunks", "x30_labelled_artists"]
 
 
 @pytest.fixture(scope="module")
