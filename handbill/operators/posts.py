@@ -152,7 +152,7 @@ def legacy_occurrences(texts: DataFrame) -> DataFrame:
     The city is the first words in capitals behind the date, if they can be one.
     """
     rows = texts.select("post_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    rest = F.element_at(F.split("raw", dates.DOTTED, 2), 2)
+    rest = F.get(F.split("raw", dates.DOTTED, 2), 1)
     named = F.regexp_extract(rest, r"(\p{Lu}\p{L}+(?:[ -]\p{Lu}\p{L}+)*)", 1)
     found = rows.select("post_id", "pos", F.trim(F.regexp_extract("raw", dates.DOTTED, 0)).alias("date"), safe_city(named).alias("city"), F.trim("raw").alias("raw"))
     return found.filter("date <> '' and city is not null")
