@@ -16,7 +16,6 @@ each byte of the longest pre-token: one of 30 MB takes 2 GB.
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import re
 
@@ -25,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_text, per_texts
+from .common import held_by_worker, id_text, per_texts
 
 #: Pre-tokens that one worker remembers, and that it merges at once; bytes of text whose new pre-tokens are merged together.
 REMEMBERED, MERGED_AT_ONCE, TOGETHER = 700_000, 100_000, 16 << 20
@@ -235,10 +234,9 @@ class Encoder:
         return [b"".join(map(known, pieces)) for pieces in found]
 
 
-@functools.lru_cache(maxsize=1)
 def worker_encoder(ranks_path: str, pattern: str) -> Encoder:
-    """The encoder of this Python worker: its next tasks neither build it nor merge again what it remembers."""
-    return Encoder(read_ranks(ranks_path), pattern)
+    """The encoder of this Python worker: its next tasks of this operator neither build it nor merge again what it remembers."""
+    return held_by_worker(("encoder", ranks_path, pattern), lambda: Encoder(read_ranks(ranks_path), pattern))
 
 
 class Decoder:
@@ -271,7 +269,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
         encoder = worker_encoder(ranks_path, pattern)
         return lambda texts: [(ids,) for ids in encoder.encode(texts)]
 
-    return per_texts(id_text(docs, id_col, text_col), make, pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]), "doc_id long, ids binary", TOGETHER)
+    return per_texts(id_text(docs, id_col, text_col), make, pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]), "doc_id long, ids binary", TOGETHER, keep=True)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -298,4 +296,4 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str =
 
         return of
 
-    return per_texts(id_text(docs, id_col, text_col), make, _TRIP, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", TOGETHER)
+    return per_texts(id_text(docs, id_col, text_col), make, _TRIP, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", TOGETHER, keep=True)

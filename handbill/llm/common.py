@@ -73,11 +73,25 @@ def one_row_each(docs: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
     return once.join(keys.toDF(name), name, "left_semi").select(*own_columns(docs))
 
 
-def slices(batches: Iterable[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+_HELD: dict = {}
+
+
+def held_by_worker(key: tuple, make: Callable):
+    """make()'s value, kept by this Python worker for its next tasks of the same key; tasks of other operators drop it."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def slices(batches: Iterable[pa.RecordBatch], most_bytes: int = 4 << 20, keep: bool = False) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that one slice holds few bytes whatever the length of its texts.
 
-    Memory that the batches took goes back to the system after them, as workers outlive their tasks.
+    Workers outlive their tasks: what they hold for another operator goes first unless keep says that
+    it is this one's, and memory that the batches took goes back to the system after them.
     """
+    if not keep:
+        _HELD.clear()
     for batch in batches:
         step = max(1, int(batch.num_rows * most_bytes / max(batch.nbytes, most_bytes)))
         for start in range(0, batch.num_rows, step):
@@ -85,15 +99,17 @@ def slices(batches: Iterable[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iter
     pa.default_memory_pool().release_unused()
 
 
-def per_texts(docs: DataFrame, make: Callable[[], Callable[[list], list[tuple]]], schema: pa.Schema, ddl: str, most_bytes: int = 4 << 20) -> DataFrame:
+def per_texts(docs: DataFrame, make: Callable[[], Callable[[list], list[tuple]]], schema: pa.Schema, ddl: str, most_bytes: int = 4 << 20, keep: bool = False) -> DataFrame:
     """A row for each document: make() is called once a task and gives the function of a list of texts, which hold most_bytes together.
 
+    keep says that make() uses held_by_worker().
+
     The function returns a tuple for each text: the columns after doc_id, which comes first.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()
-        for part in slices(batches, most_bytes):
+        for part in slices(batches, most_bytes, keep):
             rows = of(part.column(1).to_pylist())
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema.names[1:]]
             arrays = [part.column(0), *(pa.array(c, type=f.type) for c, f in zip(columns, list(schema)[1:], strict=True))]

@@ -163,7 +163,7 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     chosen = some.withColumn("rank", F.row_number().over(smallest)).filter(F.col("rank") <= each).select("lang", "text")
 
     def vectors(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(lang, v.tobytes()) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (v := features(text)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "vector"])
 
