@@ -240,7 +240,7 @@ ALIKE_BITS, ALIKE_SEGMENTS = 26, 8
 SALTED = 4096
 
 
-def similar_roots(docs: DataFrame, described: DataFrame, *, words: int = overlap.WORDS, alike: Fraction = overlap.ALIKE, pair_limit: int = 64, pivots: int = 16) -> DataFrame:
+def similar_roots(docs: DataFrame, described: DataFrame, *, words: int = overlap.WORDS, alike: Fraction = overlap.ALIKE, pair_limit: int = 64, pivots: int = 4) -> DataFrame:
     """node, root: the smallest id reachable by links, for each id of `described` that has a link.
 
     Candidates are pairs of one shared shingle of their sketches whose sizes and places allow
@@ -309,7 +309,7 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(~F.col("root_a").eqNullSafe(F.col("root_b")) | F.col("root_a").isNull()).select(*pairs.columns)
 
 
-def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = overlap.WORDS, alike: Fraction = overlap.ALIKE, pair_limit: int = 64, pivots: int = 16) -> DataFrame:
+def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = overlap.WORDS, alike: Fraction = overlap.ALIKE, pair_limit: int = 64, pivots: int = 4) -> DataFrame:
     """docs with one document of each group of near copies, the one with the smallest doc_id.
 
     Documents link when the Jaccard similarity of their word shingles is at least alike and
