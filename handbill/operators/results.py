@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dates import let
+
 #: Without these, each of its own type, a text holds no result.
 REQUIRED = {"content_type": "STRING", "is_useful": "BOOLEAN", "priority": "STRING", "main_decision": "STRING"}
 
@@ -26,25 +28,34 @@ def _kind(v: Column) -> Column:
 
 def _text(v: Column) -> Column:
     """The text of a text; null for any other type."""
-    return F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    return let(v, lambda x: F.when(_kind(x) == "STRING", F.try_variant_get(x, "$", "string")))
 
 
 def _number(v: Column) -> Column:
     """A number, a text that is one, or a truth value as 1 or 0; null for any other type."""
-    kind = _kind(v)
-    plain = kind.rlike("^(?:BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)")
-    return F.when(plain, F.try_variant_get(v, "$", "double")).when(kind == "STRING", F.trim(F.try_variant_get(v, "$", "string")).try_cast("double")).when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double"))
+
+    def of(s: Column) -> Column:
+        x, kind = s["x"], s["kind"]
+        plain = kind.rlike("^(?:BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)")
+        return F.when(plain, F.try_variant_get(x, "$", "double")).when(kind == "STRING", F.trim(F.try_variant_get(x, "$", "string")).try_cast("double")).when(kind == "BOOLEAN", F.try_variant_get(x, "$", "boolean").cast("double"))
+
+    return let(let(v, lambda x: F.struct(x.alias("x"), _kind(x).alias("kind"))), of)
+
+
+def _is_object(v: Column) -> Column:
+    """Whether a value is an object, without a look at its members' types."""
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
 def _object(v: Column) -> Column:
     """An object, an empty one for any other type."""
-    return F.when(_kind(v).startswith("OBJECT"), v).otherwise(F.parse_json(F.lit("{}")))
+    return let(v, lambda x: F.when(_is_object(x), x).otherwise(F.parse_json(F.lit("{}"))))
 
 
 def _items(v: Column, kind: str) -> Column:
     """The items of a list that are of a kind, none for any other type."""
-    every = F.when(_kind(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
-    return F.coalesce(F.filter(every, lambda x: _kind(x).startswith(kind)), F.array().cast("array<variant>"))
+    every = F.try_variant_get(v, "$", "array<variant>")
+    return F.coalesce(F.filter(every, _is_object if kind == "OBJECT" else lambda x: _kind(x) == kind), F.array().cast("array<variant>"))
 
 
 def _named(v: Column, name: str, make) -> Column:
@@ -54,7 +65,7 @@ def _named(v: Column, name: str, make) -> Column:
 
 def _truthy(v: Column) -> Column:
     """Whether a value counts as true; a missing one does."""
-    return F.when(v.isNull(), True).when(F.is_variant_null(v), False).otherwise(~F.to_json(v).isin("false", "0", "0.0", '""', "[]", "{}"))
+    return let(v, lambda x: F.when(x.isNull(), True).when(F.is_variant_null(x), False).otherwise(~F.to_json(x).isin("false", "0", "0.0", '""', "[]", "{}")))
 
 
 def _evidence(x: Column) -> Column:
@@ -74,7 +85,10 @@ def parsed(json: Column) -> Column:
 
     The confidence is required too and may be a number, a text that is one, or a truth value.
     """
-    v = F.try_parse_json(json)
+    return let(F.try_parse_json(json), _result)
+
+
+def _result(v: Column) -> Column:
     whole = _number(_get(v, "confidence")).isNotNull()
     for name, kind in REQUIRED.items():
         whole &= _kind(_get(v, name)) == kind

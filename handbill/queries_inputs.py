@@ -187,14 +187,14 @@ _NESTED = f"SELECT run_id, pos, field, {_DATA} AS data, {_VALUE} AS value FROM {
 
 def decisions(rows):
     """A row for each decision of results read from their JSON."""
-    each = rows.select("run_id", F.posexplode("r.decisions").alias("pos", "x"), "r")
+    each = rows.select("run_id", F.posexplode_outer("r.decisions").alias("pos", "x"), "r").filter("pos is not null")  # no filter below it, which would read the JSON again
     return each.select("run_id", (F.col("pos") + 1).alias("pos"), F.col("x.type").alias("field"), F.to_json("x.data").alias("data"), F.to_json(F.col("x.evidence")[0]["value"]).alias("value"), F.size("x.evidence").alias("n_evidence"), F.col("r.confidence").alias("confidence"), F.to_json(F.col("r.variants")[0]).alias("variant"), F.array_join(F.transform("r.sql_plan", lambda s: s["requires_review"].cast("string")), ",").alias("reviews"), F.array_join("r.warnings", ",").alias("warnings"))
 
 
 @query("r18_nested_results", f"SELECT run_id, pos, field, data, value, 1 AS n_evidence, CASE WHEN run_id % 5 = 3 THEN 0.25 ELSE 0.75 END::DOUBLE AS confidence, '{{\"a\":{{\"b\":[1,{{\"c\":null}}]}}}}' AS variant, 'true,false' AS reviews, 'w' AS warnings FROM ({_NESTED}) q")
 def _(spark, d):
     """Results from JSON text, to JSON text and back again: every nested value is as it was, wrong items are gone."""
-    once = nested(spark, d).select("run_id", results.parsed(F.col("json")).alias("r")).filter("r is not null")
+    once = nested(spark, d).select("run_id", results.parsed(F.col("json")).alias("r"))
     again = once.select("run_id", results.parsed(results.as_json(F.col("r"))).alias("r"))
     return decisions(again)
 

@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from handbill import registry
 from handbill.operators import inputs, posts, reports, results
 from handbill.sources import sinks
 from handbill.streaming import jobs
@@ -131,3 +132,9 @@ def test_artists_titles_and_cities_by_labels(spark):
     assert {r.post_id: r.title for r in posts.labelled_titles(lines).collect()}[1] == "Большая ночь"
     assert {r.post_id: r.title for r in posts.first_titles(lines, no_urls=True).collect()}[1] == "Ночь"
     assert [(r.post_id, r.city) for r in posts.link_cities(posts.links(lines)).orderBy("at").collect()] == [(2, "Казань"), (2, "Санкт-Петербург")]
+
+
+def test_each_json_text_is_read_once(spark, small):
+    """A plan that names the parser again for each field, or below a filter, reads each text as often."""
+    plan = registry.queries()["r18_nested_results"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 2  # the texts, and what was written of them
