@@ -5,17 +5,13 @@ Blocks are rows of image_id, ordinal, backend, text, confidence, x, y, w, h, blo
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from ..functions import dates, fields
 from ..functions import text as t
 from ..plans.shared import checkpointed
+from .phrases import nearest
 
 
 def accepted(blocks: DataFrame, least: float = 0.3) -> DataFrame:
@@ -154,12 +150,6 @@ def repaired(tokens: DataFrame, most_letters: int = 6) -> DataFrame:
     return tokens.join(best, "token", "left").withColumn("repaired", F.coalesce("repaired", "token"))
 
 
-@pandas_udf(T.DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Gestalt similarity of two texts, 0 to 1, which SQL has no function for."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
-
-
 def name_keys(entities: DataFrame) -> DataFrame:
     """entity_id, entity_type, name, key, at: a row for the name and each alias (entities have aliases as an array)."""
     every = entities.select("entity_id", "entity_type", "name", F.posexplode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("at", "spelling"))
@@ -175,34 +165,11 @@ def exact_names(texts: DataFrame, entities: DataFrame) -> DataFrame:
 def fuzzy_names(texts: DataFrame, entities: DataFrame, threshold: float = 0.72) -> DataFrame:
     """text_id, name, entity_id, score: the most similar name or alias, directly or by lookalike letters.
 
-    Nothing over the threshold is lost: a ratio is at most 2 * shorter / (both lengths), and
-    texts of together 12 or more characters that are that similar share two letters in a
-    row; shorter ones share a letter and have lengths near each other. Equal texts are
-    compared once.
+    Nothing over the threshold is lost (phrases.nearest). Equal texts are compared once.
     """
-    if threshold < 0.7:
-        raise ValueError("the filter of shared pairs of letters needs a threshold of 0.7 or more")
     keyed = texts.select("text_id", F.lower(F.regexp_replace("text", r"\s+", "")).alias("key")).filter("key <> ''")
-    pairs_of = lambda key: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(key) - 1), lambda k: F.substring(key, k, F.lit(2))))
-
-    def spread(df: DataFrame, name: str) -> DataFrame:
-        """Rows by shared pair of letters of the lookalike form, and of the plain form; short ones also by length."""
-        forms = F.array_distinct(F.concat(*(F.when(F.length(F.col(name)) > 1, pairs_of(f)).otherwise(F.array().cast("array<string>")) for f in (F.col(name), t.lookalike_key(F.col(name))))))
-        none = F.array().cast("array<string>")
-        letters = F.array_distinct(F.filter(F.split(F.concat(F.col(name), t.lookalike_key(F.col(name))), ""), lambda c: c != ""))
-        size = F.length(F.col(name))
-        reach = lambda n: F.sequence(F.ceil(n * threshold / (2 - threshold)).cast("int"), F.least(F.floor(n * (2 - threshold) / threshold), F.lit(11)).cast("int"))
-        sizes = F.array(size) if name == "other" else reach(size)
-        by_letter = F.flatten(F.transform(sizes, lambda n: F.transform(letters, lambda c: F.concat(F.lit("\0"), n.cast("string"), c))))
-        return df.select("*", F.explode(F.concat(forms, F.when(size < 12, by_letter).otherwise(none))).alias("gram"))
-
-    left = keyed.select("key").distinct()
     right = name_keys(entities).withColumnRenamed("key", "other")
-    names = right.select("other").distinct()
-    fits = 2 * F.least(F.length("key"), F.length("other")) >= threshold * (F.length("key") + F.length("other"))
-    met = spread(left, "key").join(spread(names, "other"), "gram").filter(fits & (~F.startswith("gram", F.lit("\0")) | (F.length("key") + F.length("other") < 12))).select("key", "other").distinct()
-    score = F.round(F.greatest(ratio(F.col("key"), F.col("other")), ratio(t.lookalike_key(F.col("key")), t.lookalike_key(F.col("other")))), 6)
-    scored = met.withColumn("score", score).filter(F.col("score") >= threshold)
+    scored = nearest(keyed.select("key").distinct(), right.select("other").distinct(), threshold).withColumn("score", F.round("score", 6))
     best = scored.join(right, "other").groupBy("key").agg(F.max_by(F.struct("name", "entity_id", "score"), F.struct("score", -F.col("entity_id"), -F.col("at"))).alias("best"))
     return keyed.join(best, "key").select("text_id", "best.*")
 
@@ -210,9 +177,11 @@ def fuzzy_names(texts: DataFrame, entities: DataFrame, threshold: float = 0.72)
 def classified(texts: DataFrame, entities: DataFrame, threshold: float = 0.74, resolve: float = 0.8) -> DataFrame:
     """texts with class (age, date, name, similar_name, unknown) and resolved, the canonical name where sure enough."""
     low = F.lower("text")
-    exact = exact_names(texts, entities).select("text_id", F.col("name").alias("exact"))
-    near = fuzzy_names(texts, entities, threshold).select("text_id", F.col("name").alias("near"), "score")
-    joined = texts.join(exact, "text_id", "left").join(near, "text_id", "left")
+    keyed = texts.withColumn("key", F.lower(F.regexp_replace("text", r"\s+", "")))
+    keys = keyed.select(F.col("key").alias("text_id"), F.col("key").alias("text")).filter("key <> ''").distinct()
+    exact = exact_names(keys, entities).select(F.col("text_id").alias("key"), F.col("name").alias("exact"))
+    near = fuzzy_names(keys, entities, threshold).select(F.col("text_id").alias("key"), F.col("name").alias("near"), "score")
+    joined = keyed.join(near.join(exact, "key", "left"), "key", "left")  # an equal name is a near one too
     kind = F.when(fields.age_limit(F.col("text")).isNotNull(), "age").when(low.rlike(dates.DOTTED) | low.rlike(dates.WORDED), "date").when(F.col("exact").isNotNull(), "name").when(F.col("near").isNotNull(), "similar_name").otherwise("unknown")
     return joined.select(*texts.columns, kind.alias("class"), F.coalesce("exact", F.when(F.col("score") >= resolve, F.col("near")), "text").alias("resolved"))
 
@@ -236,9 +205,7 @@ def pipeline(blocks: DataFrame, entities: DataFrame | None = None) -> tuple[Data
     good = accepted(blocks)
     fused = fuse(overlap_groups(good, overlaps(good)))
     if entities is not None:
-        texts = fused.select(F.concat_ws("/", "image_id", "group_id").alias("text_id"), "text", "image_id", "group_id")
-        named = classified(texts, entities).select("image_id", "group_id", "class", "resolved")
-        fused = fused.join(named, ["image_id", "group_id"]).withColumn("text", F.col("resolved")).drop("resolved")
+        fused = classified(fused, entities).withColumn("text", F.col("resolved")).drop("resolved")
     return fused, image_text(fused)
 
 

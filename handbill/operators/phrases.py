@@ -11,22 +11,42 @@ LONG letters) and of numbered pairs of letters (for longer ones), in an order th
 with the rarest of the dictionary. Two sets of which o elements are shared have one in common
 among all but the last o - 1 of each: only these prefixes are joined, which leaves out what is
 in nearly every phrase. What meets is counted whole before any ratio is computed.
+
+The higher the threshold, the shorter the prefixes. As only the most similar phrase is asked
+for, texts are first looked for by equal form, then by one letter more or less, then by the
+index of a high threshold; only those without a phrase that nothing unseen can equal go on.
 """
 
 from __future__ import annotations
 
+import difflib
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from ..functions import text as t
-from .ocr import ratio
+from ..plans.shared import checkpointed
 
 #: Letters of two texts together from which on they share a pair of letters at any threshold of LEAST or more.
 LONG, LEAST = 12, 0.7
 #: Phrases in one row of the index.
 POSTING = 256
+#: Letters of a text up to which it is also spelt with each letter left out.
+SPELT = 64
+#: Thresholds whose index is tried before that of the threshold asked for.
+STEPS = (0.9,)
+#: Scores that differ by less may be equal when rounded.
+CLOSE = 1e-6
+
+
+@pandas_udf(T.DoubleType())
+def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Gestalt similarity of two texts, 0 to 1, which SQL has no function for."""
+    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
 
 
 def _numbered(parts: Column, mark: str) -> Column:
@@ -77,6 +97,64 @@ def _prefixes(sets: DataFrame, often: DataFrame) -> DataFrame:
     return first.select("key", "n", "kind", "set", F.explode("ordered").alias("o")).select("key", "n", "kind", "set", F.col("o.element").alias("element"))
 
 
+def _alike(keys: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
+    """key, other: pairs that may have a ratio of the threshold or more, none of those that have left out."""
+    known = _sets(others.select(F.col("other").alias("key")), threshold)
+    often = known.select("kind", F.explode("set").alias("element")).groupBy("kind", "element").agg(F.count(F.lit(1)).alias("often"))
+    number = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
+    asked = _prefixes(_sets(keys, threshold), often)
+    index = _prefixes(known, often).join(asked.select("kind", "element").distinct(), ["kind", "element"], "left_semi").join(often, ["kind", "element"]).withColumn("part", F.pmod(number, F.ceil(F.col("often") / POSTING)))
+    index = index.groupBy("kind", "element", "part").agg(F.collect_list(F.struct(F.col("key").alias("other"), F.col("n").alias("m"), F.col("set").alias("with"))).alias("postings")).drop("part")
+    met = asked.join(index, ["kind", "element"]).select("key", "n", "kind", "set", F.explode("postings").alias("p")).select("key", "n", "kind", "set", "p.*")
+    s = F.col("n") + F.col("m")
+    m_least = F.ceil(s * threshold / 2 - 1e-9)
+    fits = (2 * F.least("n", "m") >= F.lit(threshold) * s) & F.when(F.col("kind") == "l", s < LONG).otherwise(s >= LONG)
+    enough = F.size(F.array_intersect("set", "with")) >= F.greatest(F.when(F.col("kind") == "l", m_least).otherwise(3 * m_least - s - 1), F.lit(1))
+    return met.filter(fits & enough).select("key", "other").distinct()
+
+
+def _one_more(keys: DataFrame, others: DataFrame) -> DataFrame:
+    """key, other: pairs of up to SPELT letters of which one is the other, in lookalike form, with a letter left out."""
+
+    def spelt(df: DataFrame, name: str, whole: int) -> DataFrame:
+        form, n = t.lookalike_key(F.col(name)), F.length(F.col(name))
+        cut = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.substring(form, F.lit(1), k - 1), F.substring(form, k + 1, n)))
+        every = F.concat(F.array(F.struct(F.lit(whole).alias("cut"), form.alias("form"))), F.transform(F.array_distinct(cut), lambda c: F.struct(F.lit(1 - whole).alias("cut"), c.alias("form"))))
+        return df.filter(n.between(1, SPELT)).select(name, F.explode(every).alias("s")).select(name, "s.*")
+
+    return spelt(keys, "key", 0).join(spelt(others, "other", 1), ["cut", "form"]).select("key", "other").distinct()
+
+
+def nearest(keys: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
+    """key, other, score: others (other) of each key (key) with a score of the threshold or more, among them all with its highest score.
+
+    Keys and others are distinct texts in lower case without white space; the score is the ratio of the texts or of their lookalike
+    forms, the greater. A key leaves once its best score is higher than that of any pair not yet seen: beyond one letter more or
+    less, the unmatched letters of a key of n letters are 2 or more, and its score n / (n + 1) at most.
+    """
+    if threshold < LEAST:
+        raise ValueError(f"the index needs a threshold of {LEAST} or more")
+    score = F.greatest(ratio(F.col("key"), F.col("other")), ratio(t.lookalike_key(F.col("key")), t.lookalike_key(F.col("other"))))
+    left, others = checkpointed(keys.select("key").filter("key <> ''")), checkpointed(others.select("other").filter("other <> ''"))
+    form = lambda df, name: df.select(name, t.lookalike_key(F.col(name)).alias("form"))
+    found = [checkpointed(form(left, "key").join(form(others, "other"), "form").select("key", "other", F.lit(1.0).alias("score")))]
+    n = F.length("key")
+    for level in (None, *(x for x in STEPS if x > threshold), threshold):
+        left = checkpointed(left.join(found[-1].select("key").distinct(), "key", "left_anti"))
+        if left.isEmpty():
+            break
+        pairs = _one_more(left.filter(n < SPELT), others) if level is None else _alike(left, others, level)
+        unseen = n / (n + 1) + CLOSE if level is None else F.lit(level + CLOSE)
+        sure = F.col("score") >= threshold
+        if level != threshold:
+            sure &= F.col("score") > unseen
+        found.append(checkpointed(pairs.withColumn("score", score).filter(sure)))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every
+
+
 def matched(texts: DataFrame, dictionary: DataFrame, threshold: float = 0.72) -> DataFrame:
     """text_id, text, phrase, score: the most similar phrase (dictionary: phrase) of each text (text_id, text), if its ratio is over the threshold; else the text itself and a null score.
 
@@ -92,18 +170,6 @@ def matched(texts: DataFrame, dictionary: DataFrame, threshold: float = 0.72) ->
 
     same = keys.join(phrases, F.col("key") == F.col("other")).select("key", "phrase", F.lit(1.0).alias("score"))
     rest = keys.join(same.select("key"), "key", "left_anti")
-    known = _sets(phrases.select(F.col("other").alias("key")), threshold)
-    often = known.select("kind", F.explode("set").alias("element")).groupBy("kind", "element").agg(F.count(F.lit(1)).alias("often"))
-    number = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
-    index = _prefixes(known, often).join(often, ["kind", "element"]).withColumn("part", F.pmod(number, F.ceil(F.col("often") / POSTING)))
-    index = index.groupBy("kind", "element", "part").agg(F.collect_list(F.struct(F.col("key").alias("other"), F.col("n").alias("m"), F.col("set").alias("with"))).alias("postings")).drop("part")
-    met = _prefixes(_sets(rest, threshold), often).join(index, ["kind", "element"]).select("key", "n", "kind", "set", F.explode("postings").alias("p")).select("key", "n", "kind", "set", "p.*")
-    s = F.col("n") + F.col("m")
-    m_least = F.ceil(s * threshold / 2 - 1e-9)
-    fits = (2 * F.least("n", "m") >= F.lit(threshold) * s) & F.when(F.col("kind") == "l", s < LONG).otherwise(s >= LONG)
-    enough = F.size(F.array_intersect("set", "with")) >= F.greatest(F.when(F.col("kind") == "l", m_least).otherwise(3 * m_least - s - 1), F.lit(1))
-    pairs = met.filter(fits & enough).select("key", "other").distinct()
-    score = F.greatest(ratio(F.col("key"), F.col("other")), ratio(t.lookalike_key(F.col("key")), t.lookalike_key(F.col("other"))))
-    near = pairs.withColumn("score", score).filter(F.col("score") > threshold).join(phrases, "other")
+    near = nearest(rest, phrases.select("other"), threshold).filter(F.col("score") > threshold).join(phrases, "other")
     best = near.groupBy("key").agg(F.max("score").alias("top"), F.min_by("phrase", F.struct(-F.col("score"), F.col("phrase"))).alias("phrase")).select("key", "phrase", F.col("top").alias("score"))
     return held.join(same.unionByName(best), "key", "left").select("text_id", "text", F.coalesce("phrase", "text").alias("phrase"), F.round("score", 6).alias("score"))

@@ -73,3 +73,20 @@ def test_no_texts_and_no_phrases(spark):
     empty = spark.createDataFrame([], "phrase string")
     assert [tuple(r) for r in phrases.matched(texts, empty).collect()] == [(1, "one", "one", None)]
     assert phrases.matched(texts.limit(0), empty).count() == 0
+
+
+def test_nearest_equals_every_ratio_and_pairs_equal_names_only(spark):
+    """Steps lose nothing, for repetitive texts too; numbered names, all alike, meet only themselves."""
+    rng = random.Random(11)
+    keys, others = ({"".join(rng.choice("ab0о") for _ in range(rng.randint(1, 9))) for _ in range(n)} for n in (60, 90))
+    found = phrases.nearest(spark.createDataFrame([(k,) for k in keys], "key string"), spark.createDataFrame([(o,) for o in others], "other string"), 0.72).collect()
+    form = lambda x: x.translate(str.maketrans(t.LOOKALIKES))
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+    for key in keys:
+        scores = {o: max(ratio(key, o), ratio(form(key), form(o))) for o in others}
+        top = max(scores.values())
+        got = {r["other"]: r["score"] for r in found if r["key"] == key}
+        assert all(got[o] == scores[o] for o in got)
+        assert {o for o, s in got.items() if s == top} == {o for o, s in scores.items() if s == top and top >= 0.72}
+    names = spark.range(300).selectExpr("concat('supplier#', lpad(id, 9, '0')) AS key")
+    assert phrases.nearest(names, names.withColumnRenamed("key", "other"), 0.72).count() == 300
