@@ -114,9 +114,9 @@ def unexpired(entries: DataFrame, now: Column) -> DataFrame:
     return entries.filter(F.col("expires_at").isNull() | (F.col("expires_at") > now))
 
 
-def upsert(current: DataFrame, changes: DataFrame, key: str, version: str, deleted: str = "deleted") -> DataFrame:
-    """The table after changes: the newest change of each key replaces its row, and a deletion removes it."""
-    newest = changes.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version)))).filter("n = 1").drop("n")
+def upsert(current: DataFrame, changes: DataFrame, key: str, version: str, deleted: str = "deleted", place: tuple[str, ...] = ()) -> DataFrame:
+    """The table after changes: the newest change of each key replaces its row, and a deletion removes it; of changes of one version the first by place counts."""
+    newest = changes.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version), *place))).filter("n = 1").drop("n")
     return current.join(newest.select(key), key, "left_anti").unionByName(newest.filter(~F.col(deleted)).select(*current.columns))
 
 

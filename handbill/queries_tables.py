@@ -270,10 +270,10 @@ def _(spark, d):
 
 @query("s17_s18_upsert", "WITH c AS (SELECT l_orderkey AS k, max(l_linenumber) AS v, arg_max(l_quantity, l_linenumber) AS q, arg_max(l_returnflag, l_linenumber) = 'R' AS gone FROM lineitem GROUP BY l_orderkey) SELECT o_orderkey AS k, o_totalprice AS q FROM orders WHERE o_orderkey NOT IN (SELECT k FROM c) UNION ALL SELECT k, q FROM c WHERE NOT gone")
 def _(spark, d):
-    """Orders after a change table: the newest line of an order replaces it, a returned one deletes it."""
+    """Orders after a change table: the newest line of an order replaces it, a returned one deletes it; of lines of one number the first in the table counts."""
     current = view(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("q"))
-    changes = view(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").alias("q"), "l_linenumber", (F.col("l_returnflag") == "R").alias("deleted"))
-    return reports.upsert(current, changes, "k", "l_linenumber")
+    changes = view(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").alias("q"), "l_linenumber", (F.col("l_returnflag") == "R").alias("deleted"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return reports.upsert(current, changes, "k", "l_linenumber", place=("file", "row"))
 
 
 @query("j19_j20_work_list", "SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)")

@@ -142,3 +142,10 @@ def test_links_by_domain_need_the_facts_on_their_page(spark):
     k = spark.createDataFrame([(r, 0, f"https://{h}/link", kind, False, 0.1) for r, (h, kind) in enumerate(zip(hosts, kinds, strict=True))], "run_id long, pos int, url string, kind string, verified boolean, confidence double")
     found = {r.run_id: (r.verified, r.confidence) for r in verify.confirm_links(k, p, o).collect()}
     assert found == {0: (False, 0.1), 1: (False, 0.1), 2: (True, 0.8), 3: (True, 0.8), 4: (False, 0.1)}
+
+
+def test_upsert_takes_the_first_of_one_version(spark):
+    current = spark.createDataFrame([(1, "old")], "k int, v string")
+    changes = spark.createDataFrame([(1, "third", 7, 3, False), (1, "first", 7, 1, False), (1, "second", 7, 2, True), (1, "older", 6, 0, True)], "k int, v string, version int, row int, deleted boolean")
+    for some in (changes, changes.orderBy("row"), changes.orderBy(F.desc("row"))):
+        assert list(map(tuple, reports.upsert(current, some, "k", "version", place=("row",)).collect())) == [(1, "first")]
