@@ -85,9 +85,9 @@ def fuse(grouped: DataFrame) -> DataFrame:
     """One block for each group, in reading order.
 
     The winner has the best score, then lines, then length, then backend; ties go to the
-    topmost, leftmost, first. The type is the commonest known one, the larger name on a tie.
+    topmost, leftmost, first, then to the larger text and box. The type is the commonest known one, the larger name on a tie.
     """
-    winner = F.struct(block_score().alias("score"), (F.col("n_lines") > 0).alias("lined"), F.length("text").alias("length"), F.col("backend"), (-F.col("y")).alias("up"), (-F.col("x")).alias("left"), (-F.col("ordinal")).alias("early"))
+    winner = F.struct(block_score().alias("score"), (F.col("n_lines") > 0).alias("lined"), F.length("text").alias("length"), F.col("backend"), (-F.col("y")).alias("up"), (-F.col("x")).alias("left"), (-F.col("ordinal")).alias("early"), F.col("text"), F.col("w"), F.col("h"))
     best = grouped.groupBy("image_id", "group_id").agg(
         F.max_by(F.struct("text", "x", "y", "w", "h"), winner).alias("best"), F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("n_blocks"),
         F.max_by("ordinal", F.struct("n_lines", "confidence", -F.col("ordinal"))).alias("richest"),

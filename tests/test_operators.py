@@ -149,3 +149,11 @@ def test_upsert_takes_the_first_of_one_version(spark):
     changes = spark.createDataFrame([(1, "third", 7, 3, False), (1, "first", 7, 1, False), (1, "second", 7, 2, True), (1, "older", 6, 0, True)], "k int, v string, version int, row int, deleted boolean")
     for some in (changes, changes.orderBy("row"), changes.orderBy(F.desc("row"))):
         assert list(map(tuple, reports.upsert(current, some, "k", "version", place=("row",)).collect())) == [(1, "first")]
+
+
+
+def test_tied_blocks_have_one_winner(spark):
+    rows = [(1, 5, "alpha", text, 0.5, 0, 0, w, 10, "text", 1, 5) for text, w in (("Supplier#1", 20), ("Supplier#2", 30), ("Supplier#2", 40))]
+    ddl = "image_id long, ordinal int, backend string, text string, confidence double, x int, y int, w int, h int, block_type string, n_lines int, group_id int"
+    for some in (rows, rows[::-1], rows[1:] + rows[:1]):
+        assert [(r["text"], r["w"]) for r in ocr.fuse(spark.createDataFrame(some, ddl).coalesce(1)).collect()] == [("Supplier#2", 40)]
