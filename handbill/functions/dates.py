@@ -218,9 +218,32 @@ SIGNS = {
 }
 
 
+def has_any(text: Column, *parts: str) -> Column:
+    """Whether a text contains any of the parts: a quick sign, before a pattern that needs one of them is searched for."""
+    found = F.contains(text, F.lit(parts[0]))
+    for part in parts[1:]:
+        found |= F.contains(text, F.lit(part))
+    return found
+
+
+def _signed(text: Column, name: str) -> Column:
+    """Whether a rule's sign is there; one of plain words or characters needs no pattern."""
+    sign = SIGNS[name].strip("[]")
+    return has_any(text, *sign) if f"[{sign}]" == SIGNS[name] else has_any(text, *sign.split("|")) if sign.replace("|", "").isalpha() else text.rlike(SIGNS[name])
+
+
+#: The rules that need a digit; the last ones of the cascade.
+IN_DIGITS = ("explicit_range", "dotted", "worded", "english")
+
+
 def date_range(text: Column, reference: Column) -> Column:
     """struct<start,end,raw,source> of the first rule that yields, else null."""
-    return let(F.lower(text), lambda low: F.coalesce(*(F.when(low.rlike(SIGNS[name]), _named(rule(low, reference), name)) for name, rule in RULES.items())))
+
+    def of(low: Column) -> Column:
+        tried = {name: F.when(_signed(low, name), _named(rule(low, reference), name)) for name, rule in RULES.items()}
+        return F.coalesce(*(c for n, c in tried.items() if n not in IN_DIGITS), F.when(low.rlike(r"\d"), F.coalesce(*(tried[n] for n in IN_DIGITS))))
+
+    return let(F.lower(text), of)
 
 
 def _named(found: Column, name: str) -> Column:

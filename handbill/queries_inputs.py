@@ -141,7 +141,7 @@ def _(spark, d):
 @query("x33_link_cities", chain(f"SELECT post_id, \"at\"::INT AS \"at\", city FROM (SELECT *, row_number() OVER (PARTITION BY post_id, {key('city')} ORDER BY \"at\") AS n FROM (SELECT post_id, \"at\", {safe_city('label')} AS city FROM links WHERE link_type = 'ticket') WHERE city IS NOT NULL) WHERE n = 1", "links"))
 def _(spark, d):
     """Cities that ticket links are labelled with; a tour's links bear one each."""
-    return p.link_cities(p.links(p.lines(view(spark, d, "posts"))))
+    return p.link_cities(p.links(p.kept_lines(view(spark, d, "posts"))))
 
 
 _WORDS = "|".join(verify.SOURCES.ticket_pages)

@@ -157,3 +157,8 @@ def test_tied_blocks_have_one_winner(spark):
     ddl = "image_id long, ordinal int, backend string, text string, confidence double, x int, y int, w int, h int, block_type string, n_lines int, group_id int"
     for some in (rows, rows[::-1], rows[1:] + rows[:1]):
         assert [(r["text"], r["w"]) for r in ocr.fuse(spark.createDataFrame(some, ddl).coalesce(1)).collect()] == [("Supplier#2", 40)]
+
+
+def test_lines_are_cleaned_once_whatever_is_asked_of_them(spark):
+    plan = posts.titles(posts.lines(post_table(spark, POST, TOUR)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("„") == 1
