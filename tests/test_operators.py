@@ -162,3 +162,9 @@ def test_tied_blocks_have_one_winner(spark):
 def test_lines_are_cleaned_once_whatever_is_asked_of_them(spark):
     plan = posts.titles(posts.lines(post_table(spark, POST, TOUR)))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("„") == 1
+
+
+def test_stored_results_are_read_once(spark):
+    json_column = verify.result_of(F.col("json"))
+    read = posts.once(spark.createDataFrame([(1, "{}")], "run_id long, json string"), json_column.alias("r")).filter("r is not null")
+    assert read.count() == 0 and read.select("r.is_useful", "r.decisions")._jdf.queryExecution().optimizedPlan().toString().count("from_json(StructField(content_type") == 1
