@@ -288,12 +288,13 @@ def similar_roots(docs: DataFrame, described: DataFrame, *, words: int = overlap
             chosen = written(rest.withColumn("place", F.row_number().over(hubs)).filter(F.col("place") <= pivots).select("key", *side, "met", "root"), "overlap-hubs")
             crowded, first = not chosen.isEmpty(), False
         if crowded:
-            marked = placed.join(chosen.select("key", "id", F.lit(True).alias("hub")), ["key", "id"], "left").select("key", *side, "met", "root", "hub")
+            row = ["key", *side, "met", "root"]  # a row and its mark are drawn together by all their columns: no join, and a group of two rows at most
+            marked = placed.select(*row, F.lit(False).alias("hub")).unionByName(chosen.select(*row, F.lit(True).alias("hub"))).groupBy(*row).agg(F.max("hub").alias("hub"))
             x = named(chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))), "x", ("root", "salt")).withColumnRenamed("salt_x", "salt")
             y = named(marked.withColumn("salt", F.pmod(F.hash("id"), salts)), "y", ("root", "salt", "hub")).withColumnRenamed("salt_y", "salt")
-            once = F.col("hub_y").isNull() | (F.col("id_x") < F.col("id_y"))  # two hubs meet once
+            once = ~F.col("hub_y") | (F.col("id_x") < F.col("id_y"))  # two hubs meet once
             left = left.unionByName(x.join(y, ["key", "salt"]).filter((F.col("root_x") != F.col("root_y")) & once & fits).select(*ordered)).distinct()
-            hot = marked.filter("hub is null").select("key", *side, "met")
+            hot = marked.filter("not hub").select("key", *side, "met")
         elif left.isEmpty():
             return roots
         near, low = (F.row_number().over(Window.partitionBy("b").orderBy(*by)) for by in (("bits", "a"), ("a",)))
