@@ -2,17 +2,19 @@
 
 Features are hashed counts of one to three letters, as square roots of shares. A linear
 support vector machine for each family against the rest picks the family; within a family a
-machine for each pair of languages votes. All machines learn from a bounded sample.
+machine for each pair of languages votes. All labelled texts are learned from: in shards of
+about a thousand texts, each with texts of every language, whose machines are averaged.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, per_texts, slices
@@ -30,8 +32,8 @@ FAMILIES = {
 }
 FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes}
 BUCKETS = 4096
-#: At most so many labelled documents are learned from, shared evenly among languages, of which the commonest are learned.
-SAMPLE, MOST_LANGUAGES = 2000, 256
+#: About so many labelled texts are learned from together; of more languages than that the commonest are learned.
+SHARD, MOST_LANGUAGES = 1000, 256
 
 _LETTERS: np.ndarray | None = None
 
@@ -68,7 +70,8 @@ def features(text: str | None) -> np.ndarray | None:
 
 def machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, passes: int = 15) -> np.ndarray:
     """Weights, the bias last, of a linear SVM with squared hinge loss; y is 1 or -1. Dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
+    x, plain = np.ones((len(x), x.shape[1] + 1)), x
+    x[:, :-1] = plain
     share = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
     slack = 1 / (2 * cost * share)
     norms, alpha, w = (x * x).sum(1) + slack, np.zeros(len(x)), np.zeros(x.shape[1])
@@ -122,31 +125,46 @@ class Model:
         return list(names), np.clip(score, 0.0, 1.0)
 
 
-def fit(x: np.ndarray, langs: list[str]) -> Model:
-    found = sorted(set(langs))
-    of = np.array(langs, object)
+def grouped(langs: Iterable[str]) -> dict[str, list[str]]:
+    """The languages of each family."""
     groups: dict[str, list[str]] = {}
-    for code in found:
+    for code in sorted(set(langs)):
         groups.setdefault(FAMILY.get(code, code), []).append(code)
-    model = Model(sorted(groups), groups)
+    return groups
+
+
+def machines(x: np.ndarray, langs: list[str]) -> dict[tuple[str, str], np.ndarray]:
+    """Weights of each family (with an empty second name) against the others, and of each pair of a family's languages."""
+    groups, of, found = grouped(langs), np.array(langs, object), {}
     if len(groups) > 1:
         family = np.array([FAMILY.get(c, c) for c in langs], object)
-        model.family_weights = np.stack([machine(x, np.where(family == name, 1.0, -1.0)) for name in model.families])
+        found |= {(name, ""): machine(x, np.where(family == name, 1.0, -1.0)) for name in groups}
     for codes in groups.values():
         for i, a in enumerate(codes):
             for b in codes[i + 1 :]:
                 rows = (of == a) | (of == b)
-                model.pair_weights[a, b] = machine(x[rows], np.where(of[rows] == a, 1.0, -1.0))
+                found[a, b] = machine(x[rows], np.where(of[rows] == a, 1.0, -1.0))
+    return found
+
+
+def model_of(langs: Iterable[str], weights: dict[tuple[str, str], np.ndarray]) -> Model:
+    groups = grouped(langs)
+    model, none = Model(sorted(groups), groups), np.zeros(BUCKETS + 1)
+    if len(groups) > 1:
+        model.family_weights = np.stack([weights.get((name, ""), none) for name in model.families])
+    for codes in groups.values():
+        model.pair_weights |= {(a, b): weights.get((a, b), none) for i, a in enumerate(codes) for b in codes[i + 1 :]}
     return model
 
 
-def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model from labelled documents that are not held out.
+def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SHARD) -> Model:
+    """A model from all labelled documents that are not held out, copies aside.
 
-    Of each language, copies aside, the sample / languages texts with the smallest hashes are
-    taken, eight at least and all of a rarer language, so that a much copied language has some
-    too and no more vectors than that reach the driver. Of more than
-    MOST_LANGUAGES labels the commonest are learned.
+    Texts fall into shards of about `sample` by their hash, those of rarer languages into several,
+    so that every shard knows every language. A task learns the machines of one shard after the
+    other; their mean is the model. What is learned depends neither on the order of the rows nor on
+    their partitions, and the driver sees the mean alone. Of more than MOST_LANGUAGES labels the
+    commonest are learned.
     """
     labelled = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("text").alias("place"))
@@ -154,23 +172,62 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     common = {r["lang"]: r["n"] for r in found.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not common:
         return Model()
-    each = max(8, sample // len(common))
-    # A rate that leaves more than enough of each language keeps the ranking small.
-    rates = docs.sparkSession.createDataFrame([(lang, min(1.0, (2 * each + 100) / n)) for lang, n in common.items()], "lang string, rate double")
-    share = F.pmod("place", F.lit(1 << 30)) / F.lit(1 << 30)
-    some = labelled.join(F.broadcast(rates), "lang").filter(share < F.col("rate")).dropDuplicates(["lang", "place"]).withColumn("share", share)
-    smallest = Window.partitionBy("lang").orderBy("share", "place")
-    chosen = some.withColumn("rank", F.row_number().over(smallest)).filter(F.col("rank") <= each).select("lang", "text")
-
-    def vectors(batches):
+    shards = -(-sum(common.values()) // sample)
+    least = max(8, sample // (4 * len(common)))  # texts of a language in a shard
+    times = docs.sparkSession.createDataFrame([(lang, min(shards, -(-shards * least // n))) for lang, n in common.items()], "lang string, times int")
+
+    def first_copies(batches):
+        seen = set()
         for batch in slices(batches):
-            rows = [(lang, v.tobytes()) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (v := features(text)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "vector"])
+            new = [key not in seen and not seen.add(key) for key in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield batch.filter(pa.array(new, pa.bool_()))
 
-    rows = sorted((r["lang"], bytes(r["vector"])) for r in chosen.mapInArrow(vectors, "lang string, vector binary").collect())
-    if not rows:
-        return Model()
-    return fit(np.stack([np.frombuffer(v, np.float32) for _, v in rows]), [lang for lang, _ in rows])
+    placed = labelled.mapInArrow(first_copies, labelled.schema).join(F.broadcast(times), "lang")  # fewer copies reach a task
+    spread = placed.select("lang", "text", "place", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("turn"))
+    sharded = spread.select(F.pmod(F.col("place") + F.col("turn"), F.lit(shards)).cast("int").alias("shard"), "lang", "place", "text")
+    ordered = sharded.repartition(min(shards, 1000), "shard").sortWithinPartitions("shard", "lang", "place")
+
+    def sums(batches):
+        """The sum of the machines of a task's shards, and its languages: first, a, b, n, weights."""
+        total, langs, first, held, last = {}, set(), None, [], None
+
+        def add():
+            for names, w in machines(np.stack([v for _, v in held]), [lang for lang, _ in held]).items() if held else ():
+                n, sum_ = total.get(names, (0, 0.0))
+                total[names] = n + 1, sum_ + w
+            held.clear()
+
+        for batch in slices(batches):
+            for shard, lang, place, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last is not None and shard != last[0]:
+                    add()
+                if (shard, lang, place) != last and (v := features(text)) is not None:
+                    held.append((lang, v))
+                    langs.add(lang)
+                first, last = shard if first is None else first, (shard, lang, place)
+        add()
+        for (a, b), (n, w) in [*total.items(), *(((lang, None), (0, np.zeros(0))) for lang in sorted(langs))]:
+            yield pa.RecordBatch.from_pylist([{"first": first, "a": a, "b": b, "n": n, "weights": w.tobytes()}], schema=_SUMS)
+
+    def totals(batches):
+        """The rows of each pair of names, which come in order, as one; of a language, its first."""
+        names, n, total = None, 0, 0.0
+        row = lambda: pa.RecordBatch.from_pylist([{"first": 0, "a": names[0], "b": names[1], "n": n, "weights": (total / max(n, 1)).tobytes()}], schema=_SUMS)
+        for batch in batches:
+            for r in batch.to_pylist():
+                if names is not None and names != (r["a"], r["b"]):
+                    yield row()
+                    n, total = 0, 0.0
+                names, n, total = (r["a"], r["b"]), n + r["n"], total + np.frombuffer(r["weights"])
+        if names is not None:
+            yield row()
+
+    ddl = "first int, a string, b string, n int, weights binary"
+    rows = ordered.mapInArrow(sums, ddl).repartition("a", "b").sortWithinPartitions("a", "b", "first").mapInArrow(totals, ddl).collect()
+    return model_of((r["a"] for r in rows if r["b"] is None), {(r["a"], r["b"]): np.frombuffer(r["weights"]) for r in rows if r["b"] is not None})
+
+
+_SUMS = pa.schema([("first", pa.int32()), ("a", pa.string()), ("b", pa.string()), ("n", pa.int32()), ("weights", pa.binary())])
 
 
 def held_out(doc_id):

@@ -6,7 +6,7 @@ import random
 import pytest
 import xxhash
 
-from handbill.llm import exact_dedup, simhash
+from handbill.llm import exact_dedup, overlap, simhash
 
 DDL = "doc_id long, text string, source string, fp string, _row string"
 
@@ -171,3 +171,17 @@ def test_a_long_run_of_neighbouring_fingerprints(spark):
         chain.append(chain[-1] ^ (3 << (k % 60)))
     prints = spark.createDataFrame([(x,) for x in set(chain)], "fp long")
     assert {r.root for r in simhash.rooted(prints).collect()} == {min(chain)}
+
+
+def test_common_shingles_are_counted_in_all_documents(spark, monkeypatch):
+    """The near stage's counts are those of every document, however few share a block."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 40))) for _ in range(300)]
+    want = {}
+    for t in texts:
+        for key in overlap.shingle_set(t, 2).tolist():
+            want[key] = want.get(key, 0) + 1
+    monkeypatch.setattr(overlap, "OF", 20)
+    table = docs(spark, list(enumerate(texts))).repartition(5)
+    keys, met = overlap._common(table, 2, block=100_000)
+    assert dict(zip(keys.tolist(), met.tolist(), strict=True)) == {k: n for k, n in want.items() if n >= 30}

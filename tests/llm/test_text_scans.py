@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -341,3 +342,22 @@ def test_audio_keeps_every_frame_whatever_its_last_bytes_look_like():
             text[inside - 32 : inside] = ape(length, 0)
             media = mpeg_audio.write_stream(bytes(text))
             assert mpeg_audio.payload(media, mpeg_audio.read_stream(media)) == bytes(text)
+
+
+def test_every_labelled_text_is_learned_from(spark):
+    """A language model of many shards hears of each text, and of each language in each shard, whatever the partitions."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(900_000 + k, f"la casa numero {k} della strada è bella", "it") for k in range(12)], docs.schema)
+    docs = docs.unionByName(rare)
+    model = language_id.learn(docs, sample=100)
+    other = language_id.learn(docs.repartition(7), sample=100)
+    assert model.languages == other.languages and "it" in model.languages["romance"]
+    assert np.array_equal(model.family_weights, other.family_weights)
+    texts = docs.filter(language_id.held_out(F.col("doc_id")) & F.col("text").isNotNull()).collect()
+    found = language_id.classify(model, [r.text for r in texts])
+    assert sum(name == r.lang for (name, _), r in zip(found, texts, strict=True)) / len(texts) > 0.97
+    # A bucket that only one text fills has weight, whichever text that is.
+    labelled = [r for r in docs.collect() if r.text and r.lang and zlib.crc32(str(r.doc_id).encode()) % 5]
+    met = np.stack([v for v in {r.text: language_id.features(r.text) for r in labelled}.values() if v is not None]) > 0
+    lone = np.flatnonzero(met.sum(0) == 1)
+    assert len(lone) > 10 and (np.abs(model.family_weights[:, lone]).max(0) > 0).mean() > 0.5
