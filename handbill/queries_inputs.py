@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .operators import inputs, results, verify
 from .operators import posts as p
 from .plans.fixtures import plain, view, with_views
-from .plans.shared import new_folder
+from .plans.shared import checkpointed, new_folder
 from .queries_drafts import chain, drafts, key, safe_city
 from .queries_verify import _BY_URL, _MATCH, _PAGES, _ST, domain, has, has_date
 from .queries_verify import key as search_key
@@ -93,7 +93,7 @@ _TICKET = "regexp_matches(lower(url), '" + "|".join(verify.SOURCES.ticket_hosts)
 )
 def _(spark, d):
     """Evidence that rules find in the posts' texts, among their addresses and on the pages read."""
-    held = inputs.wide(texts(spark, d))
+    held = checkpointed(inputs.wide(texts(spark, d)))  # read twice
     found = verify.rule_evidence(held, view(spark, d, "v_links"), view(spark, d, "pages_read"))
     return found.select("run_id", "field", "value", "status", "source_url", "confidence")
 
