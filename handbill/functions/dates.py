@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Fixed values.
 MONTHS = ("января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря")
 ENGLISH_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -45,7 +47,12 @@ def month_number(word: Column) -> Column:
 
 def ymd(year: Column, month: Column, day: Column) -> Column:
     """A date, null if there is no such day."""
-    return F.format_string("%04d-%02d-%02d", year, month, day).try_cast("date")
+
+    def of(s: Column) -> Column:
+        first = F.when(s["m"].between(1, 12) & s["y"].between(0, 99999) & (s["d"] >= 1), F.make_date(s["y"], s["m"], F.lit(1)))
+        return let(F.date_add(first, s["d"] - 1), lambda v: F.when(F.month(v) == s["m"], v))
+
+    return let(F.struct(year.alias("y"), month.alias("m"), F.least(day, F.lit(32)).alias("d")), of)
 
 
 def year_number(text: Column) -> Column:
@@ -54,11 +61,6 @@ def year_number(text: Column) -> Column:
     return F.when(F.length(text) == 2, n + 2000).when(text != "", n)
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value computed once, however often use names it: keeps plans of nested rules small."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def dated(year_text: Column, month: Column, day: Column, reference: Column) -> Column:
     """The day meant: in the written year, else on or after the reference date."""
 
@@ -83,7 +85,7 @@ class Found:
     """A pattern's first match in a text: its groups as text and as numbers."""
 
     def __init__(self, text: Column, pattern: str) -> None:
-        self._text, self._pattern = text, pattern
+        self.text, self._text, self._pattern = text, text, pattern
 
     def __getitem__(self, group: int) -> Column:
         return F.regexp_extract(self._text, self._pattern, group)
@@ -96,6 +98,11 @@ class Found:
         return self._text.rlike(self._pattern)
 
 
+def _first(text: Column, pattern: str, sign: Column, use: Callable[[Found], Column], other: Column | None = None) -> Column:
+    """use() of a pattern's first match, else the other value; the pattern is searched for once, where its sign is, and its groups in the match."""
+    return let(F.when(sign, F.regexp_extract(text, pattern, 0)), lambda r: F.when(r != "", use(Found(r, pattern))).otherwise(F.lit(None) if other is None else other))
+
+
 def day_range(text: Column, reference: Column) -> Column:
     m = Found(text, rf"{LEFT}{_WORD}\s*(?:-|–|—|и)\s*{_WORD}{RIGHT}")
     return _result(F.date_add(reference, _number(m[1], DAY_WORDS)), F.date_add(reference, _number(m[2], DAY_WORDS)), m[0])
@@ -122,9 +129,11 @@ def _coming(reference: Column, index: Column) -> Column:
 
 
 def weekday_range(text: Column, reference: Column) -> Column:
-    m = Found(text, rf"{LEFT}{_DAY}\s*[-–—]\s*{_DAY}{RIGHT}")
-    ends = F.struct(_number(m[1], WEEKDAYS).alias("a"), _number(m[2], WEEKDAYS).alias("b"))
-    return let(ends, lambda e: _result(_coming(reference, e["a"]), F.date_add(_coming(reference, e["a"]), F.pmod(e["b"] - e["a"], F.lit(7)).cast("int")), m[0]))
+    def of(m: Found) -> Column:
+        ends = F.struct(_number(m[1], WEEKDAYS).alias("a"), _number(m[2], WEEKDAYS).alias("b"))
+        return let(ends, lambda e: _result(_coming(reference, e["a"]), F.date_add(_coming(reference, e["a"]), F.pmod(e["b"] - e["a"], F.lit(7)).cast("int")), m.text))
+
+    return _first(text, rf"{LEFT}{_DAY}\s*[-–—]\s*{_DAY}{RIGHT}", text.rlike(r"[а-я]\s*[-–—]\s*[а-я]"), of)
 
 
 def weekday(text: Column, reference: Column) -> Column:
@@ -149,15 +158,18 @@ def week(text: Column, reference: Column) -> Column:
 
 def part_of_month(text: Column, reference: Column) -> Column:
     """Days 1 to 10, 11 to 20, or 21 to the last."""
-    m = Found(text, rf"{LEFT}(начал[оеа]|середин[аеы]|кон(?:ец|це|ца))\s+{_MONTH}{_YEAR}{RIGHT}")
-    first = F.when(m[1].startswith("нач"), 1).when(m[1].startswith("сер"), 11).otherwise(21)
-    said = F.struct(first.alias("first"), month_number(m[2]).alias("month"), year_number(m[3]).alias("year"))
 
-    def of(s: Column) -> Column:
-        year = F.coalesce(s["year"], F.year(reference) + F.when(s["month"] < F.month(reference), 1).otherwise(0))
-        return let(ymd(year, s["month"], s["first"]), lambda start: _result(start, F.when(s["first"] == 21, F.last_day(start)).otherwise(F.date_add(start, 9)), m[0]))
+    def of(m: Found) -> Column:
+        first = F.when(m[1].startswith("нач"), 1).when(m[1].startswith("сер"), 11).otherwise(21)
+        said = F.struct(first.alias("first"), month_number(m[2]).alias("month"), year_number(m[3]).alias("year"))
+
+        def days(s: Column) -> Column:
+            year = F.coalesce(s["year"], F.year(reference) + F.when(s["month"] < F.month(reference), 1).otherwise(0))
+            return let(ymd(year, s["month"], s["first"]), lambda start: _result(start, F.when(s["first"] == 21, F.last_day(start)).otherwise(F.date_add(start, 9)), m.text))
 
-    return let(said, of)
+        return let(said, days)
+
+    return _first(text, rf"{LEFT}(начал[оеа]|середин[аеы]|кон(?:ец|це|ца))\s+{_MONTH}{_YEAR}{RIGHT}", has_any(text, *MONTHS), of)
 
 
 def explicit_range(text: Column, reference: Column) -> Column:
@@ -174,22 +186,25 @@ def explicit_range(text: Column, reference: Column) -> Column:
     )
     chosen = F.lit(None)
     for pattern, first, last, words in reversed(shapes):
-        m = Found(text, pattern)
-        month = (lambda g, m=m: month_number(m[g])) if words else (lambda g, m=m: m.number(g))
-        start, end = (dated(m[y], month(k), m.number(d), reference) for d, k, y in (first, last))
-        chosen = F.when(m.is_there, _result(start, end, m[0])).otherwise(chosen)
+
+        def of(m: Found, first=first, last=last, words=words) -> Column:
+            month = (lambda g: month_number(m[g])) if words else m.number
+            start, end = (dated(m[y], month(k), m.number(d), reference) for d, k, y in (first, last))
+            return _result(start, end, m.text)
+
+        parts = has_any(text, *MONTHS) if words else text.rlike(r"\d[./]\d")
+        chosen = _first(text, pattern, parts & (F.contains(text, F.lit("по")) if r"\s+по\s+" in pattern else has_any(text, *"-–—")), of, chosen)
     return chosen
 
 
-DOTTED = rf"{LEFT}(\d{{1,2}})[./-](\d{{1,2}})(?:[./-](\d{{4}}|\d{{2}}))?{RIGHT}"
-WORDED = rf"{LEFT}(\d{{1,2}})\s+{_MONTH}{_YEAR}{RIGHT}"
-ENGLISH = rf"{LEFT}(\d{{1,2}})\s+({'|'.join(ENGLISH_MONTHS)})(?:\s+(\d{{4}}))?{RIGHT}"
+DOTTED = rf"(?=\d){LEFT}(\d{{1,2}})[./-](\d{{1,2}})(?:[./-](\d{{4}}|\d{{2}}))?{RIGHT}"
+WORDED = rf"(?=\d){LEFT}(\d{{1,2}})\s+{_MONTH}{_YEAR}{RIGHT}"
+ENGLISH = rf"(?=\d){LEFT}(\d{{1,2}})\s+({'|'.join(ENGLISH_MONTHS)})(?:\s+(\d{{4}}))?{RIGHT}"
 
 
 def _first_day(text: Column, pattern: str, sign: str, day: Callable[[Found], Column]) -> Column:
-    """The day that a pattern's first match means; the pattern is searched for once, where its sign is, and its groups in the match."""
-    raw = F.when(text.rlike(sign), F.regexp_extract(text, pattern, 0))
-    return let(raw, lambda r: F.when(r != "", _single(day(Found(r, pattern)), r)))
+    """The day that a pattern's first match means."""
+    return _first(text, pattern, text.rlike(sign), lambda m: _single(day(m), m.text))
 
 
 def dotted_date(text: Column, reference: Column) -> Column:
@@ -234,6 +249,8 @@ def _signed(text: Column, name: str) -> Column:
 
 #: The rules that need a digit; the last ones of the cascade.
 IN_DIGITS = ("explicit_range", "dotted", "worded", "english")
+#: What follows a day's number in all of them.
+_IN_DIGITS = r"\d(?:[./-]\d|\s+[а-яa-z]|\s*[-–—]\s*\d)"
 
 
 def date_range(text: Column, reference: Column) -> Column:
@@ -241,7 +258,7 @@ def date_range(text: Column, reference: Column) -> Column:
 
     def of(low: Column) -> Column:
         tried = {name: F.when(_signed(low, name), _named(rule(low, reference), name)) for name, rule in RULES.items()}
-        return F.coalesce(*(c for n, c in tried.items() if n not in IN_DIGITS), F.when(low.rlike(r"\d"), F.coalesce(*(tried[n] for n in IN_DIGITS))))
+        return F.coalesce(*(c for n, c in tried.items() if n not in IN_DIGITS), F.when(low.rlike(_IN_DIGITS), F.coalesce(*(tried[n] for n in IN_DIGITS))))
 
     return let(F.lower(text), of)
 

@@ -14,6 +14,7 @@ from .functions import text as t
 from .operators import posts as p
 from .operators import reports
 from .plans.fixtures import plain, view, with_views
+from .plans.shared import checkpointed
 from .queries_posts import L, R, dated, ex, month, num, pick
 
 QUERIES, SQL = {}, {}
@@ -154,7 +155,7 @@ def chain(select: str, upto: str) -> str:
 
 
 def drafts(spark, d):
-    return q.drafts(spark, d)
+    return checkpointed(q.drafts(spark, d))
 
 
 def lines(spark, d):

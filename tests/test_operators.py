@@ -168,3 +168,12 @@ def test_stored_results_are_read_once(spark):
     json_column = verify.result_of(F.col("json"))
     read = posts.once(spark.createDataFrame([(1, "{}")], "run_id long, json string"), json_column.alias("r")).filter("r is not null")
     assert read.count() == 0 and read.select("r.is_useful", "r.decisions")._jdf.queryExecution().optimizedPlan().toString().count("from_json(StructField(content_type") == 1
+
+
+def test_reports_clean_a_text_once_and_compute_what_they_read(spark):
+    table = post_table(spark, POST, TOUR, "спасибо", "", None, "Show12.05\r\r\r\rв\x0bбаре «Дом» ")
+    read = ("source", *reports.HAS.values())
+    wanted = posts.drafts(table, None, read)
+    plan = wanted._jdf.queryExecution().optimizedPlan().toString()
+    assert "([A-Za-z])(" not in plan and "low_signal" not in plan and "schedule" not in plan
+    assert sorted(map(str, wanted.collect())) == sorted(map(str, posts.drafts(table).select(*read).collect()))
