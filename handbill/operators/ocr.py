@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, fields
 from ..functions import text as t
-from ..plans.shared import checkpointed
+from ..plans.shared import checkpointed, shuffled
 from .phrases import nearest
 
 
@@ -159,7 +159,7 @@ def name_keys(entities: DataFrame) -> DataFrame:
 def exact_names(texts: DataFrame, entities: DataFrame) -> DataFrame:
     """Texts (text_id, text) whose letters without blanks equal a name or alias; the first entity wins."""
     keyed = texts.withColumn("key", F.lower(F.regexp_replace("text", r"\s+", "")))
-    return keyed.join(name_keys(entities), "key").groupBy("text_id").agg(F.min_by("name", F.struct("entity_id", "at")).alias("name"), F.min("entity_id").alias("entity_id"))
+    return keyed.join(shuffled(name_keys(entities)), "key").groupBy("text_id").agg(F.min_by("name", F.struct("entity_id", "at")).alias("name"), F.min("entity_id").alias("entity_id"))
 
 
 def fuzzy_names(texts: DataFrame, entities: DataFrame, threshold: float = 0.72) -> DataFrame:
@@ -170,7 +170,7 @@ def fuzzy_names(texts: DataFrame, entities: DataFrame, threshold: float = 0.72)
     keyed = texts.select("text_id", F.lower(F.regexp_replace("text", r"\s+", "")).alias("key")).filter("key <> ''")
     right = name_keys(entities).withColumnRenamed("key", "other")
     scored = nearest(keyed.select("key").distinct(), right.select("other").distinct(), threshold).withColumn("score", F.round("score", 6))
-    best = scored.join(right, "other").groupBy("key").agg(F.max_by(F.struct("name", "entity_id", "score"), F.struct("score", -F.col("entity_id"), -F.col("at"))).alias("best"))
+    best = scored.join(shuffled(right), "other").groupBy("key").agg(F.max_by(F.struct("name", "entity_id", "score"), F.struct("score", -F.col("entity_id"), -F.col("at"))).alias("best"))
     return keyed.join(best, "key").select("text_id", "best.*")
 
 

@@ -29,12 +29,16 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import text as t
-from ..plans.shared import checkpointed
+from ..plans.shared import checkpointed, shuffled, spread
 
 #: Letters of two texts together from which on they share a pair of letters at any threshold of LEAST or more.
 LONG, LEAST = 12, 0.7
 #: Phrases in one row of the index.
 POSTING = 256
+#: Elements up to which their counts are broadcast.
+FEW = 100_000
+#: Pairs of a text and a phrase, alike or not, for each part that they are compared in.
+PAIRS = 50_000
 #: Letters of a text up to which it is also spelt with each letter left out.
 SPELT = 64
 #: Thresholds whose index is tried before that of the threshold asked for.
@@ -91,21 +95,23 @@ def _sets(df: DataFrame, threshold: float) -> DataFrame:
 
 def _prefixes(sets: DataFrame, often: DataFrame) -> DataFrame:
     """key, n, kind, set and one element of its prefix a row."""
-    each = sets.select("key", "kind", F.explode("set").alias("element")).join(often, ["kind", "element"], "left")
-    ordered = each.groupBy("key", "kind").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "element"))).alias("ordered"))
-    first = ordered.join(sets, ["key", "kind"]).withColumn("ordered", F.slice("ordered", 1, F.greatest(F.size("ordered") - F.col("least") + 1, F.lit(0))))
-    return first.select("key", "n", "kind", "set", F.explode("ordered").alias("o")).select("key", "n", "kind", "set", F.col("o.element").alias("element"))
+    each = sets.select("key", "n", "kind", "least", F.explode("set").alias("element")).join(often, ["kind", "element"], "left")
+    ordered = each.groupBy("key", "n", "kind", "least").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "element"))).alias("ordered"))
+    first = ordered.select("key", "n", "kind", F.transform("ordered", lambda o: o["element"]).alias("set"), F.greatest(F.size("ordered") - F.col("least") + 1, F.lit(0)).alias("most"))
+    return first.select("key", "n", "kind", "set", F.explode(F.slice("set", F.lit(1), F.col("most"))).alias("element"))
 
 
-def _alike(keys: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
-    """key, other: pairs that may have a ratio of the threshold or more, none of those that have left out."""
+def _alike(keys: DataFrame, others: DataFrame, threshold: float, parts: int | None = None) -> DataFrame:
+    """key, other: pairs that may have a ratio of the threshold or more, none of those that have left out; met in that many parts at most."""
     known = _sets(others.select(F.col("other").alias("key")), threshold)
-    often = known.select("kind", F.explode("set").alias("element")).groupBy("kind", "element").agg(F.count(F.lit(1)).alias("often"))
+    often = checkpointed(known.select("kind", F.explode("set").alias("element")).groupBy("kind", "element").agg(F.count(F.lit(1)).alias("often")))
+    joined = F.broadcast if often.count() <= FEW else shuffled
     number = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
-    asked = _prefixes(_sets(keys, threshold), often)
-    index = _prefixes(known, often).join(asked.select("kind", "element").distinct(), ["kind", "element"], "left_semi").join(often, ["kind", "element"]).withColumn("part", F.pmod(number, F.ceil(F.col("often") / POSTING)))
+    asked = _prefixes(_sets(keys, threshold), joined(often))
+    wanted = often.join(shuffled(asked.select("kind", "element").distinct()), ["kind", "element"], "left_semi")
+    index = _prefixes(known, joined(often)).join(joined(wanted), ["kind", "element"]).withColumn("part", F.pmod(number, F.ceil(F.col("often") / POSTING)))
     index = index.groupBy("kind", "element", "part").agg(F.collect_list(F.struct(F.col("key").alias("other"), F.col("n").alias("m"), F.col("set").alias("with"))).alias("postings")).drop("part")
-    met = asked.join(index, ["kind", "element"]).select("key", "n", "kind", "set", F.explode("postings").alias("p")).select("key", "n", "kind", "set", "p.*")
+    met = spread(asked, "kind", "element", most=parts).join(shuffled(index), ["kind", "element"]).select("key", "n", "kind", "set", F.explode("postings").alias("p")).select("key", "n", "kind", "set", "p.*")
     s = F.col("n") + F.col("m")
     m_least = F.ceil(s * threshold / 2 - 1e-9)
     fits = (2 * F.least("n", "m") >= F.lit(threshold) * s) & F.when(F.col("kind") == "l", s < LONG).otherwise(s >= LONG)
@@ -122,7 +128,7 @@ def _one_more(keys: DataFrame, others: DataFrame) -> DataFrame:
         every = F.concat(F.array(F.struct(F.lit(whole).alias("cut"), form.alias("form"))), F.transform(F.array_distinct(cut), lambda c: F.struct(F.lit(1 - whole).alias("cut"), c.alias("form"))))
         return df.filter(n.between(1, SPELT)).select(name, F.explode(every).alias("s")).select(name, "s.*")
 
-    return spelt(keys, "key", 0).join(spelt(others, "other", 1), ["cut", "form"]).select("key", "other").distinct()
+    return spelt(keys, "key", 0).join(shuffled(spelt(others, "other", 1)), ["cut", "form"]).select("key", "other").distinct()
 
 
 def nearest(keys: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
@@ -134,21 +140,23 @@ def nearest(keys: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
     """
     if threshold < LEAST:
         raise ValueError(f"the index needs a threshold of {LEAST} or more")
-    score = F.greatest(ratio(F.col("key"), F.col("other")), ratio(t.lookalike_key(F.col("key")), t.lookalike_key(F.col("other"))))
+    alike = ratio.asNondeterministic()  # else the filter is put before the pairs are made distinct, and each ratio computed again after it
+    score = F.greatest(alike(F.col("key"), F.col("other")), alike(t.lookalike_key(F.col("key")), t.lookalike_key(F.col("other"))))
     left, others = checkpointed(keys.select("key").filter("key <> ''")), checkpointed(others.select("other").filter("other <> ''"))
     form = lambda df, name: df.select(name, t.lookalike_key(F.col(name)).alias("form"))
-    found = [checkpointed(form(left, "key").join(form(others, "other"), "form").select("key", "other", F.lit(1.0).alias("score")))]
-    n = F.length("key")
+    found = [checkpointed(form(left, "key").join(shuffled(form(others, "other")), "form").select("key", "other", F.lit(1.0).alias("score")))]
+    n, many = F.length("key"), others.count()
     for level in (None, *(x for x in STEPS if x > threshold), threshold):
         left = checkpointed(left.join(found[-1].select("key").distinct(), "key", "left_anti"))
-        if left.isEmpty():
+        parts = math.ceil(left.count() * many / PAIRS)
+        if not parts:
             break
-        pairs = _one_more(left.filter(n < SPELT), others) if level is None else _alike(left, others, level)
+        pairs = _one_more(left.filter(n < SPELT), others) if level is None else _alike(left, others, level, parts)
         unseen = n / (n + 1) + CLOSE if level is None else F.lit(level + CLOSE)
         sure = F.col("score") >= threshold
         if level != threshold:
             sure &= F.col("score") > unseen
-        found.append(checkpointed(pairs.withColumn("score", score).filter(sure)))
+        found.append(checkpointed(spread(pairs, "key", "other", most=parts).withColumn("score", score).filter(sure)))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)

@@ -4,9 +4,10 @@ import difflib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from handbill.functions import text as t
-from handbill.operators import phrases
+from handbill.operators import ocr, phrases
 
 ALPHABET = "абвеокрaeopcxy015 "
 
@@ -90,3 +91,25 @@ def test_nearest_equals_every_ratio_and_pairs_equal_names_only(spark):
         assert {o for o, s in got.items() if s == top} == {o for o, s in scores.items() if s == top and top >= 0.72}
     names = spark.range(300).selectExpr("concat('supplier#', lpad(id, 9, '0')) AS key")
     assert phrases.nearest(names, names.withColumnRenamed("key", "other"), 0.72).count() == 300
+
+
+def test_names_are_not_broadcast_and_ratios_computed_once(spark, monkeypatch):
+    """However small a plan takes the names for; counts of elements are broadcast only if they are few."""
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    keys, others = spark.createDataFrame([("konzert",), ("abende",)], "key string"), spark.createDataFrame([("konzerte",), ("abendx",)], "other string")
+    entities = spark.createDataFrame([(1, "artist", "Konzert", ["Abende"]), (2, "artist", "Abend", None)], "entity_id int, entity_type string, name string, aliases array<string>")
+    plans, real = [], phrases.checkpointed
+    monkeypatch.setattr(phrases, "checkpointed", lambda df: plans.append(plan(df)) or real(df))
+    assert {tuple(r) for r in phrases.nearest(keys, others, 0.7).collect()} >= {("konzert", "konzerte", 14 / 15), ("abende", "abendx", 10 / 12)}
+    compared = [p for p in plans if "ArrowEvalPython" in p]
+    assert compared
+    for p in compared:
+        assert 0 < p.index("ArrowEvalPython") < p.index("Aggregate") and p.count("ArrowEvalPython") == 1  # plans read from the end
+    assert "BroadcastHashJoin" not in next(p for p in plans if "Join" in p)
+    assert "Join" in plan(phrases._one_more(keys, others)) and "BroadcastHashJoin" not in plan(phrases._one_more(keys, others))
+    exact = ocr.exact_names(keys.select(F.col("key").alias("text_id"), F.col("key").alias("text")), entities)
+    assert "Join" in plan(exact) and "BroadcastHashJoin" not in plan(exact)
+    assert "BroadcastHashJoin" in plan(phrases._alike(keys, others, 0.7))
+    monkeypatch.setattr(phrases, "FEW", 0)
+    assert "BroadcastHashJoin" not in plan(phrases._alike(keys, others, 0.7))
+    assert {tuple(r) for r in phrases._alike(keys, others, 0.7).collect()} >= {("konzert", "konzerte"), ("abende", "abendx")}
