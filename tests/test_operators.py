@@ -177,3 +177,9 @@ def test_reports_clean_a_text_once_and_compute_what_they_read(spark):
     plan = wanted._jdf.queryExecution().optimizedPlan().toString()
     assert "([A-Za-z])(" not in plan and "low_signal" not in plan and "schedule" not in plan
     assert sorted(map(str, wanted.collect())) == sorted(map(str, posts.drafts(table).select(*read).collect()))
+
+
+def test_organizers_have_a_part_of_a_word_in_their_title(spark):
+    titles = ["★ Concertsville", "Промогруппа Юг", "promo77", "Концертный зал", "Fans", "", None]
+    found = posts.organizers(spark.createDataFrame(list(enumerate(titles)), "channel_id int, title string"))
+    assert sorted(map(tuple, found.collect())) == [(0, "Concertsville"), (1, "Промогруппа Юг"), (2, "promo77"), (3, "Концертный зал")]
